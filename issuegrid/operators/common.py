@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,26 +14,32 @@ from ..schema import HOURS_SUM
 NULL_KEY_SPREAD = 256
 
 
-def lookup(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
+def lookup(fact: DataFrame, dim: DataFrame, fact_key: str | list[str], dim_key: str | list[str],
            columns: dict[str, str], how: str = "left", spread_by: str | None = None) -> DataFrame:
     """Attach ``columns`` ({dim column: output name}) of ``dim`` to ``fact``.
 
-    An equi-join on ``fact_key == dim_key``. The planner (AQE) picks broadcast or
-    sort-merge from measured sizes; no broadcast is forced because dimension sizes
-    grow with the data. For left joins, rows whose key is null are the usual hot
-    key (e.g. worklogs of deleted users): a second join column spreads them over
-    :data:`NULL_KEY_SPREAD` hash buckets by ``spread_by`` (the fact's primary key),
-    while the dimension side carries bucket 0, so matches are unchanged.
+    An equi-join on ``fact_key == dim_key`` (one column or a list). The planner
+    (AQE) picks broadcast or sort-merge from measured sizes; no broadcast is
+    forced because dimension sizes grow with the data. For left joins, rows whose
+    key is null are the usual hot key (e.g. worklogs of deleted users, issues
+    without a parent): one more join column spreads them over
+    :data:`NULL_KEY_SPREAD` hash buckets by ``spread_by`` (the fact's primary
+    key), while the dimension side carries bucket 0, so matches are unchanged.
     """
-    right = dim.select(F.col(dim_key).alias("__k"), *[F.col(c).alias(a) for c, a in columns.items()])
+    fks = [fact_key] if isinstance(fact_key, str) else list(fact_key)
+    dks = [dim_key] if isinstance(dim_key, str) else list(dim_key)
+    right = dim.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(dks)],
+                       *[F.col(c).alias(a) for c, a in columns.items()])
+    cond = [fact[f] == right[f"__k{i}"] for i, f in enumerate(fks)]
+    left = fact
     if how == "left" and spread_by is not None:
-        salt = F.when(F.col(fact_key).isNull(), F.pmod(F.xxhash64(F.col(spread_by)), F.lit(NULL_KEY_SPREAD)) + 1).otherwise(F.lit(0))
-        left = fact.withColumn("__s", salt)
-        right = right.withColumn("__s", F.lit(0).cast("long"))
-        out = left.join(right, (left[fact_key] == right["__k"]) & (left["__s"] == right["__s"]), "left")
-        return out.drop("__k", "__s")
-    out = fact.join(right, fact[fact_key] == right["__k"], how)
-    return out.drop("__k")
+        any_null = functools.reduce(lambda a, b: a | b, [F.col(f).isNull() for f in fks])
+        salt = F.when(any_null, F.pmod(F.xxhash64(F.col(spread_by)), F.lit(NULL_KEY_SPREAD)) + 1).otherwise(F.lit(0))
+        left = fact.withColumn("__nullspread", salt.cast("long"))
+        right = right.withColumn("__nullspread", F.lit(0).cast("long"))
+        cond = [left[f] == right[f"__k{i}"] for i, f in enumerate(fks)] + [left["__nullspread"] == right["__nullspread"]]
+    out = left.join(right, functools.reduce(lambda a, b: a & b, cond), how)
+    return out.drop(*[f"__k{i}" for i in range(len(dks))], "__nullspread")
 
 
 def hours_sum(col: str | Column) -> Column:
