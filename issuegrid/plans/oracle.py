@@ -21,4 +21,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 # Bodies live in these modules.
-from . import o_core, o_pages  # noqa: E402,F401
+from . import o_core, o_labels, o_pages  # noqa: E402,F401
