@@ -195,4 +195,7 @@ def oracle_with(body: str) -> str:
     ctes = ",\n".join(
         f"{name} AS ({_PLACEHOLDER.sub(lambda m: m.group(1), VIEWS[name]).strip()})" for name in needed
     )
-    return f"WITH {ctes}\n{body.strip()}"
+    text = body.strip()
+    if re.match(r"(?i)^with\s", text):
+        return f"WITH {ctes},\n{text[5:].lstrip()}"
+    return f"WITH {ctes}\n{text}"
