@@ -90,6 +90,9 @@ SELECT CAST(page_id AS INT) AS attachment_id, CAST(page_id % 100 AS INT) AS issu
   CAST(length(html) AS BIGINT) AS file_size_bytes,
   CAST(TIMESTAMP '2024-02-01 00:00:00' + page_id * INTERVAL '1' HOUR AS TIMESTAMP) AS uploaded_at
 FROM {pages}""",
+    # Bodies of the uploaded files (one per attachment).
+    "t_page_body": """
+SELECT CAST(page_id AS INT) AS attachment_id, html AS body FROM {pages}""",
     # Change batches: what users did after the snapshot.
     "t_activity": """
 SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, CAST(user_id AS INT) AS user_id, CAST(event_id % 1500 AS INT) AS issue_id,
