@@ -28,10 +28,14 @@ CHILD_FIELDS = {
 }
 CHILD_KEYS = {"comments": "comment_id", "worklogs": "worklog_id", "attachments": "attachment_id"}
 CHILD_USER = {"comments": "author_username", "worklogs": "logger_username", "attachments": "uploader_username"}
+ENRICH = {"comments": comment_enriched, "worklogs": worklog_enriched, "attachments": attachment_enriched}
 
 
-def _child_list(df: DataFrame, kind: str, limit: int) -> DataFrame:
+def _child_list(df: DataFrame, kind: str, limit: int, user: DataFrame) -> DataFrame:
+    # Cut to the first ``limit`` per issue first, then look up usernames for
+    # the surviving rows only.
     top = top_k_per_parent(df, "issue_id", ORDERS[kind], 0, limit, rank_col="__rn")
+    top = ENRICH[kind](top, user)
     fields = [f for f in CHILD_FIELDS[kind] if f in top.columns]
     lists = top.groupBy("issue_id").agg(F.collect_list(F.struct("__rn", *fields)).alias("__l"))
     return lists.select("issue_id", F.transform(
@@ -43,15 +47,13 @@ def issue_details(issue: DataFrame, project: DataFrame, sprint: DataFrame, user:
                   keys: DataFrame | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """One document row per issue (all issues, or those in ``keys``)."""
     issues = restrict(issue, keys, "issue_id")
-    ids = issues.select("issue_id")
-    children = {
-        "comments": comment_enriched(comment.join(ids, "issue_id", "left_semi"), user),
-        "worklogs": worklog_enriched(worklog.join(ids, "issue_id", "left_semi"), user),
-        "attachments": attachment_enriched(attachment.join(ids, "issue_id", "left_semi"), user),
-    }
+    children = {"comments": comment, "worklogs": worklog, "attachments": attachment}
+    if keys is not None:
+        ids = issues.select("issue_id")
+        children = {k: df.join(ids, "issue_id", "left_semi") for k, df in children.items()}
     doc = issue_enriched(issues, project, sprint, user).join(issue_hours(issue, worklog, keys), "issue_id", "left")
     for kind, df in children.items():
-        lst = _child_list(df, kind, limit)
+        lst = _child_list(df, kind, limit, user)
         doc = doc.join(lst, "issue_id", "left")
         elem = lst.schema[kind].dataType
         doc = doc.withColumn(kind, F.coalesce(F.col(kind), F.array().cast(elem)))

@@ -80,21 +80,54 @@ def validation_report(df: DataFrame, table: str) -> DataFrame:
                          F.array_join("reasons", ",").alias("reasons"))
 
 
+def _with_parent_flags(tables: dict[str, DataFrame], table: str, df: DataFrame) -> tuple[DataFrame, list]:
+    """Left-join ``df`` (rows of ``table``) once per foreign key against the
+    parent's distinct keys. Adds ``__has_<fk>`` (true when the parent exists)
+    and, for an issue's sprint and parent, ``__proj_<fk>`` (the parent's
+    project). Null keys are spread (see ``lookup``). Returns the frame and the
+    foreign keys checked."""
+    from .common import lookup
+
+    pk = PRIMARY_KEYS[table]
+    checked = []
+    for fk in FOREIGN_KEYS:
+        if fk.child != table or fk.parent not in tables or fk.column not in df.columns:
+            continue
+        flag, proj = f"__has_{fk.column}", f"__proj_{fk.column}"
+        if table == "issue" and fk.column in SAME_PROJECT_KEYS:
+            parent = (tables[fk.parent].select(F.col(fk.parent_key).alias("__k"), F.col("project_id").alias(proj))
+                      .dropDuplicates(["__k"]))
+            cols = {flag: flag, proj: proj}
+        else:
+            parent = tables[fk.parent].select(F.col(fk.parent_key).alias("__k")).distinct()
+            cols = {flag: flag}
+        df = lookup(df, parent.withColumn(flag, F.lit(True)), fk.column, "__k", cols, spread_by=pk)
+        checked.append(fk)
+    return df, checked
+
+
+SAME_PROJECT_KEYS = ("sprint_id", "parent_issue_id")
+
+
 def fk_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """``(child_table, fk_column, child_id, missing_key)`` for every non-null
-    foreign key without a parent row (one ``left_anti`` join per key)."""
+    foreign key without a parent row. Each child table is scanned once; its
+    keys are checked by one left join each."""
     parts = []
-    for fk in FOREIGN_KEYS:
-        if fk.child not in tables or fk.parent not in tables:
+    for table in SCHEMAS:
+        if table not in tables:
             continue
-        child, parent = tables[fk.child], tables[fk.parent]
-        keys = parent.select(F.col(fk.parent_key).alias("__key"))
-        rows = (child.filter(F.col(fk.column).isNotNull())
-                .select(F.col(PRIMARY_KEYS[fk.child]).cast("long").alias("child_id"),
-                        F.col(fk.column).cast("long").alias("__key")))
-        missing = rows.join(keys, "__key", "left_anti")
-        parts.append(missing.select(F.lit(fk.child).alias("child_table"), F.lit(fk.column).alias("fk_column"),
-                                    "child_id", F.col("__key").alias("missing_key")))
+        pk = PRIMARY_KEYS[table]
+        df, fks = _with_parent_flags(tables, table, tables[table])
+        if not fks:
+            continue
+        found = F.array_compact(F.array(*[
+            F.when(F.col(fk.column).isNotNull() & F.col(f"__has_{fk.column}").isNull(),
+                   F.struct(F.lit(fk.column).alias("fk_column"), F.col(fk.column).cast("long").alias("missing_key")))
+            for fk in fks]))
+        parts.append(df.select(F.lit(table).alias("child_table"), F.col(pk).cast("long").alias("child_id"),
+                               F.explode(found).alias("v"))
+                     .select("child_table", "v.fk_column", "child_id", "v.missing_key"))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
@@ -160,23 +193,37 @@ def project_missing(rows: DataFrame, project: DataFrame, id_col: str) -> DataFra
     return rows.join(project.select("project_id"), "project_id", "left_anti").select(id_col, "project_id")
 
 
+def checked_table(tables: dict[str, DataFrame], table: str) -> DataFrame:
+    """One pass over ``table``: its row-rule reasons plus key reasons —
+    ``<fk>:unknown_parent`` for every foreign key without a parent row, and for
+    issues ``sprint_id:other_project`` (V12: the sprint exists in another
+    project) and ``parent_issue_id:other_project`` (V13: no parent issue in the
+    same project). The table is scanned once however many keys it has."""
+    df, fks = _with_parent_flags(tables, table, with_reasons(tables[table], table))
+    extra = []
+    for fk in fks:
+        flag, proj = F.col(f"__has_{fk.column}"), F.col(f"__proj_{fk.column}")
+        extra.append(F.when(F.col(fk.column).isNotNull() & flag.isNull(), F.lit(f"{fk.column}:unknown_parent")))
+        if table == "issue" and fk.column == "sprint_id":
+            extra.append(F.when(flag & (proj != F.col("project_id")), F.lit("sprint_id:other_project")))
+        elif table == "issue" and fk.column == "parent_issue_id":
+            extra.append(F.when(F.col(fk.column).isNotNull() & (flag.isNull() | (proj != F.col("project_id"))),
+                                F.lit("parent_issue_id:other_project")))
+    if extra:
+        df = df.withColumn("reasons", F.concat("reasons", F.array_compact(F.array(*extra))))
+    return df.drop(*[c for c in df.columns if c.startswith("__has_") or c.startswith("__proj_")])
+
+
 def violation_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """``(table_name, reason, violations)`` over every rule: row rules of each
-    table, unknown foreign keys, duplicate natural keys, sprint and parent in
-    another project."""
+    table, unknown foreign keys, sprint and parent in another project (all in
+    one pass per table, :func:`checked_table`) and duplicate natural keys."""
     parts = []
     for table in SCHEMAS:
         if table in tables:
-            r = with_reasons(tables[table], table)
-            parts.append(r.select(F.lit(table).alias("table_name"), F.explode("reasons").alias("reason")))
-    parts.append(fk_violations(tables).select(F.col("child_table").alias("table_name"),
-                                              F.concat(F.col("fk_column"), F.lit(":unknown_parent")).alias("reason")))
+            parts.append(checked_table(tables, table).select(F.lit(table).alias("table_name"),
+                                                             F.explode("reasons").alias("reason")))
     parts.append(duplicate_keys(tables).select("table_name",
                                                F.concat(F.col("column_name"), F.lit(":duplicate")).alias("reason")))
-    if "issue" in tables and "sprint" in tables:
-        parts.append(sprint_project_mismatch(tables["issue"], tables["sprint"]).select(
-            F.lit("issue").alias("table_name"), F.lit("sprint_id:other_project").alias("reason")))
-        parts.append(parent_project_mismatch(tables["issue"]).select(
-            F.lit("issue").alias("table_name"), F.lit("parent_issue_id:other_project").alias("reason")))
     union = functools.reduce(DataFrame.unionByName, parts)
     return union.groupBy("table_name", "reason").agg(F.count(F.lit(1)).alias("violations"))

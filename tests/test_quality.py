@@ -70,9 +70,19 @@ def test_fk_violations_and_split_is_partition(spark):
 
 def test_violation_counts(spark):
     t = base_tables(spark)
-    bad = table(spark, "issue", [dict(issue_id=8, project_id=100, description="", issue_type="Chore",
-                                      priority="Low", status="To Do", story_points=-1)])
-    t2 = dict(t, issue=t["issue"].unionByName(bad))
+    bad = table(spark, "issue", [
+        dict(issue_id=8, project_id=100, description="", issue_type="Chore", priority="Low", status="To Do",
+             story_points=-1),
+        dict(issue_id=9, project_id=200, sprint_id=1, description="d", issue_type="Task", priority="Low",
+             status="To Do", reporter_id=77, parent_issue_id=1),
+        dict(issue_id=10, project_id=100, sprint_id=5, description="d", issue_type="Task", priority="Low",
+             status="To Do", parent_issue_id=55)])
+    dup_user = table(spark, "user", [dict(user_id=13, username="ANN", email="x@y.org", password_hash="h",
+                                          role="user")])
+    t2 = dict(t, issue=t["issue"].unionByName(bad), user=t["user"].unionByName(dup_user))
     got = {(r.table_name, r.reason): r.violations for r in quality.violation_counts(t2).collect()}
     assert got == {("issue", "issue_type:not_allowed"): 1, ("issue", "description:too_short"): 1,
-                   ("issue", "story_points:negative"): 1}
+                   ("issue", "story_points:negative"): 1, ("issue", "reporter_id:unknown_parent"): 1,
+                   ("issue", "sprint_id:other_project"): 1, ("issue", "parent_issue_id:other_project"): 2,
+                   ("issue", "sprint_id:unknown_parent"): 1, ("issue", "parent_issue_id:unknown_parent"): 1,
+                   ("user", "username:duplicate"): 1}
