@@ -172,58 +172,58 @@ def apply_patches(table: str, df: DataFrame, patches: DataFrame, now: str | Colu
     column per field. Only fields named in ``set_fields`` change — a field set to
     null becomes null, an absent field keeps its value — and fields outside the
     table's allow-list are ignored. A patch that would break a row rule (e.g. an
-    unknown priority) is rejected whole. Rows whose content changed get a new
-    last-changed instant (D8).
+    unknown priority) is rejected whole, as is a patch for an unknown row. Rows
+    whose content really changed get ``now`` as last-changed instant (D8).
+
+    Plan: valid patches are reduced to one row per key (the last setter of each
+    field, a partial-aggregated ``max``), joined once to the table; the D8 test
+    compares the set values with the old ones in the same projection.
 
     Returns ``(new_table, rejected_patches)``.
     """
     pk = PRIMARY_KEYS[table]
     allowed = [f for f in PATCH_ALLOW[table] if f in patches.columns and f in df.columns]
     types = {f.name: f.dataType for f in SCHEMAS[table].fields}
-    # Row rules on the values a patch sets (unset fields are not checked).
     probe = patches.select(F.col(change_key), F.col("pk"), "set_fields",
                            *[F.col(f).cast(types[f]).alias(f) for f in allowed])
-    checks = []
-    for code, broken in row_rules(table, allowed):
-        field = code.split(":")[0]
-        checks.append(F.when(F.array_contains("set_fields", field) & broken, F.lit(code)))
-    probe = probe.withColumn("reasons", F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>"))
-    known = df.select(F.col(pk).alias("pk"), F.lit(True).alias("__known"))
-    probe = (probe.join(known, "pk", "left")
-             .withColumn("reasons", F.when(F.col("__known").isNull(),
-                                           F.concat("reasons", F.array(F.lit(f"{pk}:not_found"))))
-                         .otherwise(F.col("reasons"))).drop("__known"))
+    checks = [F.when(F.array_contains("set_fields", code.split(":")[0]) & broken, F.lit(code))
+              for code, broken in row_rules(table, allowed)]
+    probe = probe.withColumn("reasons", F.array_compact(F.array(*checks)) if checks
+                             else F.array().cast("array<string>"))
     good = probe.filter(F.size("reasons") == 0)
-    rejected = probe.filter(F.size("reasons") > 0)
+    unknown = (good.join(df.select(F.col(pk).alias("pk")), "pk", "left_anti")
+               .withColumn("reasons", F.array(F.lit(f"{pk}:not_found"))))
+    rejected = probe.filter(F.size("reasons") > 0).unionByName(unknown)
     last = good.groupBy("pk").agg(*[
         F.max(F.when(F.array_contains("set_fields", f), F.struct(F.col(change_key).alias("k"), F.col(f).alias("v"))))
         .alias(f"__set_{f}") for f in allowed])
     joined = df.join(last.withColumnRenamed("pk", pk), pk, "left")
+    changed = _or([F.col(f"__set_{f}").isNotNull() & ~F.col(f"__set_{f}.v").eqNullSafe(F.col(f)) for f in allowed])
+    auto = AUTO_UPDATE_COLUMNS.get(table)
+    if auto in df.columns:
+        joined = joined.withColumn(auto, F.when(changed, _now(now)).otherwise(F.col(auto)))
     for f in allowed:
         joined = joined.withColumn(f, F.when(F.col(f"__set_{f}").isNotNull(), F.col(f"__set_{f}.v"))
                                    .otherwise(F.col(f)))
-    new = joined.drop(*[f"__set_{f}" for f in allowed])
-    if table in AUTO_UPDATE_COLUMNS and AUTO_UPDATE_COLUMNS[table] in df.columns:
-        new = auto_touch(df, new, table, now)
-    return new.select(*df.columns), rejected
+    return joined.select(*df.columns), rejected
 
 
 # ---------------------------------------------------------------- D4 status
 
 def apply_status_changes(issue: DataFrame, changes: DataFrame, now: str | Column | None = None,
                          change_key: str = "change_id") -> tuple[DataFrame, DataFrame]:
-    """Status updates. A value outside the status list is rejected (V1); an
-    unknown issue is rejected. Every issue with an accepted change gets the
-    last accepted status and ``updated_date = now`` (set even when the status
-    is unchanged, as the procedure does). Returns ``(new_issue, rejected)``."""
-    known = issue.select("issue_id", F.lit(True).alias("__known"))
-    marked = (changes.join(known, "issue_id", "left")
-              .withColumn("reason", F.when(F.col("__known").isNull(), F.lit(ISSUE_NOT_FOUND))
-                          .when(~F.col("status").isin(*ISSUE_STATUSES) | F.col("status").isNull(),
-                                F.lit("status:not_allowed")))
-              .drop("__known"))
-    rejected = marked.filter(F.col("reason").isNotNull())
-    last = (marked.filter(F.col("reason").isNull()).groupBy("issue_id")
+    """Status updates. A value outside the status list is rejected (V1); so
+    is a change for an unknown issue. Every issue with an accepted change gets
+    the last accepted status and ``updated_date = now`` (set even when the
+    status is unchanged, as the procedure does). Valid changes are reduced to
+    one row per issue before the single join with the issue table.
+    Returns ``(new_issue, rejected)``."""
+    valid = F.col("status").isNotNull() & F.col("status").isin(*ISSUE_STATUSES)
+    good = changes.filter(valid)
+    rejected = (changes.filter(~valid | F.col("status").isNull()).withColumn("reason", F.lit("status:not_allowed"))
+                .unionByName(good.join(issue.select("issue_id"), "issue_id", "left_anti")
+                             .withColumn("reason", F.lit(ISSUE_NOT_FOUND))))
+    last = (good.groupBy("issue_id")
             .agg(F.max(F.struct(F.col(change_key).alias("k"), F.col("status").alias("v"))).alias("__last")))
     new = (issue.join(last, "issue_id", "left")
            .withColumn("status", F.coalesce(F.col("__last.v"), F.col("status")))
@@ -239,22 +239,29 @@ def apply_assignments(issue: DataFrame, user: DataFrame, changes: DataFrame, now
     """Assignee updates (null = unassign). Only the user key is checked: an
     unknown user (or issue) is rejected. The last accepted value wins;
     ``updated_date`` moves only if some accepted change actually changed the
-    value on the way (the column's on-update rule). Returns ``(new_issue, rejected)``."""
+    value on the way (the column's on-update rule) — i.e. unless every accepted
+    value equals the old one. Per issue the accepted changes are reduced to
+    (last value, min, max, any null) before the single join with the issue
+    table. Returns ``(new_issue, rejected)``."""
     users = user.select("user_id").distinct().withColumn("__user", F.lit(True))
-    old = issue.select("issue_id", F.col("assignee_id").alias("__old"), F.lit(True).alias("__exists"))
-    marked = lookup(changes.join(old, "issue_id", "left"), users, "assignee_id", "user_id", {"__user": "__user"},
-                    spread_by=change_key)
-    marked = marked.withColumn("reason", F.when(F.col("__exists").isNull(), F.lit(ISSUE_NOT_FOUND))
-                               .when(F.col("assignee_id").isNotNull() & F.col("__user").isNull(),
-                                     F.lit("assignee_id:unknown_parent")))
-    rejected = marked.filter(F.col("reason").isNotNull()).select(*changes.columns, "reason")
-    last = (marked.filter(F.col("reason").isNull()).groupBy("issue_id")
-            .agg(F.max(F.struct(F.col(change_key).alias("k"), F.col("assignee_id").alias("v"))).alias("__last"),
-                 F.max((~F.col("assignee_id").eqNullSafe(F.col("__old"))).cast("int")).alias("__moved")))
+    marked = lookup(changes, users, "assignee_id", "user_id", {"__user": "__user"}, spread_by=change_key)
+    bad_user = F.col("assignee_id").isNotNull() & F.col("__user").isNull()
+    good = marked.filter(~bad_user).drop("__user")
+    rejected = (marked.filter(bad_user).drop("__user").withColumn("reason", F.lit("assignee_id:unknown_parent"))
+                .unionByName(good.join(issue.select("issue_id"), "issue_id", "left_anti")
+                             .withColumn("reason", F.lit(ISSUE_NOT_FOUND))))
+    last = good.groupBy("issue_id").agg(
+        F.max(F.struct(F.col(change_key).alias("k"), F.col("assignee_id").alias("v"))).alias("__last"),
+        F.min("assignee_id").alias("__lo"), F.max("assignee_id").alias("__hi"),
+        F.max(F.col("assignee_id").isNull().cast("int")).alias("__nul"))
+    old = F.col("assignee_id")
+    moved = F.when(old.isNull(), F.col("__hi").isNotNull()).otherwise(
+        (F.col("__nul") == 1) | (F.col("__lo") != old) | (F.col("__hi") != old))
     new = (issue.join(last, "issue_id", "left")
-           .withColumn("assignee_id", F.when(F.col("__last").isNotNull(), F.col("__last.v")).otherwise(F.col("assignee_id")))
-           .withColumn("updated_date", F.when(F.col("__moved") == 1, _now(now)).otherwise(F.col("updated_date")))
-           .drop("__last", "__moved"))
+           .withColumn("updated_date", F.when(F.col("__last").isNotNull() & moved, _now(now))
+                       .otherwise(F.col("updated_date")))
+           .withColumn("assignee_id", F.when(F.col("__last").isNotNull(), F.col("__last.v")).otherwise(old))
+           .drop("__last", "__lo", "__hi", "__nul"))
     return new.select(*issue.columns), rejected
 
 
@@ -294,7 +301,7 @@ def apply_sprint_requests(issue: DataFrame, sprint: DataFrame, requests: DataFra
 # ---------------------------------------------------------------- D7 deletes
 
 def delete_cascade(tables: dict[str, DataFrame], table: str, keys: DataFrame,
-                   key_col: str = "pk") -> tuple[dict[str, DataFrame], DataFrame]:
+                   key_col: str = "pk", materialize: bool = True) -> tuple[dict[str, DataFrame], DataFrame]:
     """Delete ``keys`` from ``table`` and follow the key graph: children on a
     CASCADE key are deleted with their parent, children on a SET NULL key lose
     the reference. The graph has fixed depth, so this is a constant number of
@@ -319,6 +326,11 @@ def delete_cascade(tables: dict[str, DataFrame], table: str, keys: DataFrame,
         parts = [tables[child].join(deleted[fk.parent].select(F.col(fk.parent_key).alias(fk.column)), fk.column,
                                     "left_semi").select(cpk) for fk in sources]
         deleted[child] = functools.reduce(DataFrame.union, parts).distinct() if len(parts) > 1 else parts[0]
+    if materialize:
+        # Each key set feeds several joins below (cascade, set-null, report); write
+        # it once to the shared checkpoint folder instead of re-deriving it.
+        checkpoint_dir(keys.sparkSession)
+        deleted = {name: d.checkpoint(eager=True) for name, d in deleted.items()}
     new: dict[str, DataFrame] = {}
     report = []
     for name, df in tables.items():

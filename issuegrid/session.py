@@ -6,7 +6,6 @@ in. ``get_session`` is a convenience for scripts and tests.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -22,6 +21,9 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Streaming state is one row per issue: keep it in RocksDB, not on the heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -55,20 +57,18 @@ def get_session(
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder comes from the session (a shared file system). Only
-    when it is unset — local tests — a folder is created under ``fallback`` (or a
-    fresh temporary folder) and registered with the SparkContext.
+    On a cluster the folder must come from the session (a shared file system);
+    an unset value is an error there. Only for a local master — tests, the
+    bench — a folder is made under ``fallback`` (or a fresh temporary folder).
+    The folder is also registered as the SparkContext checkpoint directory.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store) for this cluster")
         path = fallback or tempfile.mkdtemp(prefix="issuegrid-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path.removeprefix("file:")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written intermediate tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, name)

@@ -151,3 +151,10 @@ def test_reject_duplicates_against_old_and_batch(spark):
                                  (4, "kim", "BOB@x.org")], "request_id long, username string, email string")
     got = {r.request_id: list(r.reasons) for r in changes.reject_duplicates("user", t["user"], new).collect()}
     assert got == {1: ["username:duplicate"], 2: [], 3: ["username:duplicate"], 4: ["email:duplicate"]}
+
+
+def test_d8_auto_touch_only_on_real_change(spark):
+    t = base_tables(spark)
+    new = t["issue"].withColumn("priority", F.when(F.col("issue_id") == 2, F.lit("Highest")).otherwise(F.col("priority")))
+    got = as_dict(changes.auto_touch(t["issue"], new, "issue", NOW_S), "issue_id")
+    assert got[2].updated_date == NOW and got[1].updated_date == T0 and got[2].priority == "Highest"

@@ -86,3 +86,9 @@ def test_violation_counts(spark):
                    ("issue", "sprint_id:other_project"): 1, ("issue", "parent_issue_id:other_project"): 2,
                    ("issue", "sprint_id:unknown_parent"): 1, ("issue", "parent_issue_id:unknown_parent"): 1,
                    ("user", "username:duplicate"): 1}
+
+
+def test_v14_project_missing(spark):
+    t = base_tables(spark)
+    new = spark.createDataFrame([(1, 100), (2, 999)], "request_id int, project_id int")
+    assert [r.request_id for r in quality.project_missing(new, t["project"], "request_id").collect()] == [2]
