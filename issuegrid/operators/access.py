@@ -1,4 +1,4 @@
-"""Row visibility and rights as relations.
+"""G1–G9 (and the access-scope join J10): row visibility and rights as relations.
 
 The reference checks one request ("may user U read issue I?"); here each right
 is the relation of ``(user_id, row id)`` pairs it grants, built as a union of
@@ -31,6 +31,8 @@ def _union_distinct(parts: list[DataFrame]) -> DataFrame:
 
 
 def _owner_of_issue(project: DataFrame, issue: DataFrame) -> DataFrame:
+    """The owner clause of the access test as an equi-join (issue → its
+    project's owner); the admin clause is the :func:`admin_users` flag."""
     owners = project.filter(F.col("owner_id").isNotNull()).select("project_id", F.col("owner_id").alias("user_id"))
     return issue.select("issue_id", "project_id").join(owners, "project_id", "inner").select("user_id", "issue_id")
 
