@@ -88,21 +88,29 @@ def list_files(t):
     return listing.list_files(spark, _store(t)).select("stored_name", "size_bytes")
 
 
-@query("orphan_files", oracle=False)
+@query("orphan_files")
 def orphan_files(t):
-    """Stored files without an attachment record."""
+    """Files left in the store after the archived-project cascade
+    deleted their attachment records."""
     spark = t["attachment"].sparkSession
     store = listing.list_files(spark, _store(t))
-    records = t["attachment"].withColumn("file_path", _upload_name(t["attachment"]))
-    return files.orphan_files(store, records)
+    after, _ = changes.delete_cascade({k: t[k] for k in TABLES}, "project", t["delete_project"])
+    records = after["attachment"].withColumn("file_path", _upload_name(after["attachment"]))
+    return files.orphan_files(store, records).select("stored_name", "size_bytes")
 
 
-@query("missing_files", oracle=False)
+@query("missing_files")
 def missing_files(t):
-    """Attachment records whose file is not in the store."""
+    """Attachment records without a stored file — the attachments the
+    activity batch recorded (D1, ids by D2) whose upload never reached the store."""
     spark = t["attachment"].sparkSession
     store = listing.list_files(spark, _store(t))
-    records = t["attachment"].withColumn("file_path", _upload_name(t["attachment"]))
+    requests = t["new_attachment"].withColumn("file_path", X.stored_path(
+        "file_name", F.concat_ws("_", F.col("request_id").cast("string"), F.col("file_name"))))
+    new, _ = changes.insert_rows("attachment", requests, {k: t[k] for k in TABLES}, changes.DEFAULT_NOW,
+                                 acting_user="user_id")
+    current = t["attachment"].withColumn("file_path", _upload_name(t["attachment"]))
+    records = current.unionByName(new.select(*current.columns))
     return files.missing_files(store, records)
 
 

@@ -136,6 +136,10 @@ SELECT event_id AS request_id,
   CAST(NULL AS STRING) AS first_name, CAST(NULL AS STRING) AS last_name, CAST(NULL AS STRING) AS phone,
   'admin' AS role
 FROM {events} e LEFT JOIN {customer} c ON c.c_custkey = e.user_id""",
+    "t_new_attachment": """
+SELECT event_id AS request_id, issue_id, user_id, concat('upload_', CAST(event_id AS VARCHAR(20)), '.txt') AS file_name,
+  'text/plain' AS file_type, CAST(hours * 100 AS BIGINT) AS file_size_bytes
+FROM {t_activity} WHERE kind = 'attachment_insert'""",
     "t_delete_project": """
 SELECT project_id AS pk FROM {t_project} WHERE status = 'archived'""",
     "t_delete_user": """
