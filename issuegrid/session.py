@@ -27,17 +27,34 @@ BASE_CONF = {
 }
 
 
+# Starting points for a large cluster (not applied unless asked for): many initial
+# shuffle partitions that AQE coalesces to ~256 MB each, 256 MB scan splits, and
+# skew splitting from 5x the median partition.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.sources.bucketing.enabled": "true",
+}
+
+
 def get_session(
     master: str | None = None,
     app_name: str = "issuegrid",
     shuffle_partitions: int | None = None,
     extra_conf: dict[str, str] | None = None,
+    cluster: bool = False,
 ) -> SparkSession:
-    """Build (or reuse) a session with :data:`BASE_CONF` applied."""
+    """Build (or reuse) a session with :data:`BASE_CONF` (and, with ``cluster``,
+    :data:`CLUSTER_CONF`) applied."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    if cluster:
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})

@@ -82,3 +82,34 @@ def export_json(df: DataFrame, path: str) -> None:
 def to_json_documents(df: DataFrame) -> DataFrame:
     """S5 (column form): one JSON text per row, nulls kept."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("document"))
+
+
+# Tables whose joins run on ``issue_id``: bucketing them by it co-locates the
+# worklog/comment/attachment ⋈ issue joins of A1–A3, A6 and N1.
+BUCKET_KEYS = {"issue": "issue_id", "worklog": "issue_id", "comment": "issue_id", "attachment": "issue_id"}
+
+
+def save_bucketed(tables: dict[str, DataFrame], directory: str, buckets: int, prefix: str = "ig_") -> dict[str, str]:
+    """S4 (co-located layout): write the issue-keyed tables bucketed and sorted by
+    ``issue_id`` into ``<directory>/<table>`` and register them as catalog tables
+    ``<prefix><table>``. Joins between two such tables on ``issue_id`` with the
+    same bucket count need no shuffle. Other tables are written as plain Parquet.
+    Returns ``{table: catalog name or path}``."""
+    out = {}
+    for name, df in tables.items():
+        path = f"{directory}/{name}"
+        key = BUCKET_KEYS.get(name)
+        if key:
+            (df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+             .option("path", path).saveAsTable(f"{prefix}{name}"))
+            out[name] = f"{prefix}{name}"
+        else:
+            df.write.mode("overwrite").parquet(path)
+            out[name] = path
+    return out
+
+
+def load_bucketed(spark: SparkSession, names: dict[str, str]) -> dict[str, DataFrame]:
+    """Read tables written by :func:`save_bucketed` (bucketed ones through the
+    catalog, so the planner knows their layout)."""
+    return {t: (spark.table(n) if t in BUCKET_KEYS else spark.read.parquet(n)) for t, n in names.items()}

@@ -34,3 +34,25 @@ def test_hours_by_user_prunes_worklog_id_window(spark):
     t = fixture_tables(spark, SF_SMALL, ["issue", "worklog", "user"])
     p = plan(reports.hours_by_user(t["issue"], t["worklog"], t["user"]))
     assert "Window" not in p
+
+
+def test_bucketed_layout_removes_join_shuffle(spark):
+    import tempfile
+
+    from issuegrid.sources.tables import load_bucketed, save_bucketed
+
+    t = fixture_tables(spark, SF_SMALL, ["issue", "worklog", "user"])
+    names = save_bucketed(t, tempfile.mkdtemp(prefix="bucketed-", dir="/tmp"), buckets=8)
+    b = load_bucketed(spark, names)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = b["worklog"].join(b["issue"].select("issue_id", "project_id"), "issue_id")
+        p = plan(joined)
+        assert "SortMergeJoin" in p and "Exchange hashpartitioning" not in p
+        got = reports.hours_by_user(b["issue"], b["worklog"], b["user"], ordered=False)
+        expect = reports.hours_by_user(t["issue"], t["worklog"], t["user"], ordered=False)
+        assert sorted(got.collect()) == sorted(expect.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
