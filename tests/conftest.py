@@ -17,7 +17,8 @@ SF_ORACLE = "/root/testdata/sf0.01"
 def spark():
     from issuegrid.session import checkpoint_dir, get_session
 
-    s = get_session("local[*]", shuffle_partitions=8)
+    s = get_session("local[*]", shuffle_partitions=8,
+                    extra_conf={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="wh-", dir="/tmp")})
     checkpoint_dir(s, tempfile.mkdtemp(prefix="ckpt-", dir="/tmp"))
     yield s
     s.stop()
