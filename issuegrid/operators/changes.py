@@ -274,7 +274,9 @@ def classify_sprint_requests(issue: DataFrame, sprint: DataFrame, requests: Data
     rejected with the procedure's message."""
     iss = issue.select("issue_id", F.col("project_id").alias("__ip"))
     sp = sprint.select("sprint_id", F.col("project_id").alias("__sp"))
-    j = requests.join(iss, "issue_id", "left").join(sp, "sprint_id", "left")
+    # Unassign requests (null sprint) are spread, not sent to one task.
+    j = lookup(requests.join(iss, "issue_id", "left"), sp, "sprint_id", "sprint_id", {"__sp": "__sp"},
+               spread_by="request_id")
     reason = (F.when(F.col("__ip").isNull(), F.lit(ISSUE_NOT_FOUND))
               .when(F.col("sprint_id").isNotNull() & (F.col("__sp").isNull() | (F.col("__sp") != F.col("__ip"))),
                     F.lit(SPRINT_REJECTED)))

@@ -37,6 +37,9 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
     "spark.sql.sources.bucketing.enabled": "true",
+    # Size estimates from compressed Parquet bytes are low; scale them up so the
+    # planner's static broadcast choice stays on the safe side.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
 }
 
 
