@@ -46,14 +46,16 @@ def children_of(df: DataFrame, fk: str, parents: DataFrame, parent_key: str) ->
     return df.join(p, fk, "left_semi")
 
 
-def issue_filter(issues: DataFrame, project_id: int | None = None, sprint_id: int | None = None) -> DataFrame:
+def issue_filter(issues: DataFrame, project_id: int | Column | None = None,
+                 sprint_id: int | Column | None = None) -> DataFrame:
     """the sprint filter wins over the project filter; 0 counts as not given.
+    Either may also be a Column (e.g. a scalar subquery).
 
     Raises ``ValueError`` when neither is given, as the listing endpoint refuses.
     """
-    if sprint_id:
+    if isinstance(sprint_id, Column) or sprint_id:
         return issues.filter(F.col("sprint_id") == F.lit(sprint_id))
-    if project_id:
+    if isinstance(project_id, Column) or project_id:
         return issues.filter(F.col("project_id") == F.lit(project_id))
     raise ValueError("either project_id or sprint_id must be given")
 

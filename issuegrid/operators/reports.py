@@ -169,17 +169,3 @@ def project_report(project: DataFrame, sprint: DataFrame, issue: DataFrame, work
         "project_id", "project_key", "project_name", "status", "total_hours", "issue_count",
         F.coalesce("sprint_count", F.lit(0).cast("long")).alias("sprint_count"),
         "user_id", "username", "total_user_hours")
-
-
-def nest_user_hours(report: DataFrame) -> DataFrame:
-    """A9 document form: one row per project with ``user_hours`` as an array in
-    report order (hours desc, user_id). The array holds one entry per distinct
-    user who logged hours on that project — bounded by the users, not the worklogs.
-    """
-    head = ["project_id", "project_key", "project_name", "status", "total_hours", "issue_count", "sprint_count"]
-    entry = F.when(F.col("user_id").isNotNull(), F.struct(
-        (-F.col("total_user_hours")).alias("neg_hours"), "user_id", "username", "total_user_hours"))
-    nested = report.groupBy(*head).agg(F.collect_list(entry).alias("u"))
-    return nested.select(*head, F.transform(
-        F.array_sort("u"), lambda s: F.struct(s["user_id"].alias("user_id"), s["username"].alias("username"),
-                                              s["total_user_hours"].alias("total_user_hours"))).alias("user_hours"))

@@ -146,7 +146,8 @@ WHERE issue_id IN (SELECT issue_id FROM t_issue WHERE status = 'Blocked')
 """)
 
 sql("issue_filter", f"""
-SELECT * FROM ({ISSUE_ENRICHED}) e WHERE e.project_id = 5
+SELECT * FROM ({ISSUE_ENRICHED}) e
+WHERE e.project_id = (SELECT project_id FROM t_issue GROUP BY project_id ORDER BY count(*) DESC, project_id LIMIT 1)
 """)
 
 sql("backlog", f"""

@@ -14,33 +14,33 @@ ORDER BY created_at DESC NULLS LAST, project_id LIMIT 100
 """)
 
 sql("page_project_sprints", """
-SELECT * FROM t_sprint WHERE project_id = 3
+SELECT * FROM t_sprint WHERE project_id = (SELECT project_id FROM t_sprint GROUP BY project_id ORDER BY count(*) DESC, project_id LIMIT 1)
 ORDER BY start_date DESC NULLS LAST, created_at DESC NULLS LAST, sprint_id LIMIT 100
 """)
 
 sql("page_project_issues", f"""
-SELECT * FROM ({ISSUE_ENRICHED}) e WHERE e.project_id = 3
+SELECT * FROM ({ISSUE_ENRICHED}) e WHERE e.project_id = (SELECT project_id FROM t_issue GROUP BY project_id ORDER BY count(*) DESC, project_id LIMIT 1)
 ORDER BY created_date DESC NULLS LAST, issue_id LIMIT 100 OFFSET 100
 """)
 
 sql("page_sprint_issues", f"""
-SELECT * FROM ({ISSUE_ENRICHED}) e WHERE e.sprint_id = 32
+SELECT * FROM ({ISSUE_ENRICHED}) e WHERE e.sprint_id = (SELECT sprint_id FROM t_issue WHERE sprint_id IS NOT NULL GROUP BY sprint_id ORDER BY count(*) DESC, sprint_id LIMIT 1)
 ORDER BY priority ASC NULLS FIRST, created_date DESC NULLS LAST, issue_id LIMIT 100
 """)
 
 sql("page_issue_comments", """
 SELECT c.*, u.username AS author_username FROM t_comment c LEFT JOIN t_user u ON c.user_id = u.user_id
-WHERE c.issue_id = 42 ORDER BY c.created_at ASC NULLS FIRST, c.comment_id LIMIT 100
+WHERE c.issue_id = (SELECT issue_id FROM t_comment GROUP BY issue_id ORDER BY count(*) DESC, issue_id LIMIT 1) ORDER BY c.created_at ASC NULLS FIRST, c.comment_id LIMIT 100
 """)
 
 sql("page_issue_worklogs", """
 SELECT w.*, u.username AS logger_username FROM t_worklog w LEFT JOIN t_user u ON w.user_id = u.user_id
-WHERE w.issue_id = 42 ORDER BY w.work_date DESC NULLS LAST, w.created_at DESC NULLS LAST, w.worklog_id LIMIT 100
+WHERE w.issue_id = (SELECT issue_id FROM t_worklog GROUP BY issue_id ORDER BY count(*) DESC, issue_id LIMIT 1) ORDER BY w.work_date DESC NULLS LAST, w.created_at DESC NULLS LAST, w.worklog_id LIMIT 100
 """)
 
 sql("page_issue_attachments", """
 SELECT a.*, u.username AS uploader_username FROM t_attachment a LEFT JOIN t_user u ON a.user_id = u.user_id
-WHERE a.issue_id = 42 ORDER BY a.uploaded_at DESC NULLS LAST, a.attachment_id LIMIT 100
+WHERE a.issue_id = (SELECT issue_id FROM t_attachment GROUP BY issue_id ORDER BY count(*) DESC, issue_id LIMIT 1) ORDER BY a.uploaded_at DESC NULLS LAST, a.attachment_id LIMIT 100
 """)
 
 sql("top_k_per_parent", """

@@ -131,8 +131,10 @@ def children_of_parent(t):
 
 @query("issue_filter")
 def issue_filter(t):
-    """issue listing with project 5 and sprint 0 (0 = not given → project wins)."""
-    return lookup.issue_filter(_issues(t), project_id=5, sprint_id=0)
+    """issue listing asked with the busiest project and sprint 0 (0 = not
+    given, so the project filter applies)."""
+    from .q_pages import busiest
+    return lookup.issue_filter(_issues(t), project_id=busiest(t["issue"], "project_id"), sprint_id=0)
 
 
 @query("backlog")

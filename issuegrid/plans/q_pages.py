@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import details, paging
 from .catalog import query
 
-# Page parameters of the registered queries: a second page where the parent has
-# more than one, the reference's default page size everywhere.
-PROJECT, SPRINT, ISSUE = 3, 32, 42
+def busiest(df, key: str):
+    """The ``key`` value with the most rows (ties: the smallest), as a scalar
+    subquery — each page query pages its hottest parent."""
+    top = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), key).limit(1)
+    return top.select(key).scalar()
 
 
 @query("page_users")
@@ -24,38 +28,40 @@ def page_projects(t):
 
 @query("page_project_sprints")
 def page_project_sprints(t):
-    """Sprints of project 3 by start date (nulls last), then creation."""
-    return paging.page_project_sprints(t["sprint"], PROJECT, 0, 100)
+    """Sprints of the project with most sprints, by start date (nulls last), then creation."""
+    return paging.page_project_sprints(t["sprint"], busiest(t["sprint"], "project_id"), 0, 100)
 
 
 @query("page_project_issues")
 def page_project_issues(t):
-    """Second page of project 3's issues, newest first."""
-    return paging.page_project_issues(t["issue"], t["project"], t["sprint"], t["user"], PROJECT, 100, 100)
+    """Second page of the busiest project's issues, newest first."""
+    return paging.page_project_issues(t["issue"], t["project"], t["sprint"], t["user"],
+                                      busiest(t["issue"], "project_id"), 100, 100)
 
 
 @query("page_sprint_issues")
 def page_sprint_issues(t):
-    """P5: first page of sprint 32's issues, priority in alphabetical order."""
-    return paging.page_sprint_issues(t["issue"], t["project"], t["sprint"], t["user"], SPRINT, 0, 100)
+    """P5: first page of the busiest sprint's issues, priority in alphabetical order."""
+    return paging.page_sprint_issues(t["issue"], t["project"], t["sprint"], t["user"],
+                                     busiest(t["issue"].filter(F.col("sprint_id").isNotNull()), "sprint_id"), 0, 100)
 
 
 @query("page_issue_comments")
 def page_issue_comments(t):
-    """Comments of issue 42, oldest first."""
-    return paging.page_issue_comments(t["comment"], t["user"], ISSUE, 0, 100)
+    """Comments of the most-commented issue, oldest first."""
+    return paging.page_issue_comments(t["comment"], t["user"], busiest(t["comment"], "issue_id"), 0, 100)
 
 
 @query("page_issue_worklogs")
 def page_issue_worklogs(t):
-    """Worklogs of issue 42, latest work date first."""
-    return paging.page_issue_worklogs(t["worklog"], t["user"], ISSUE, 0, 100)
+    """Worklogs of the issue with most worklogs, latest work date first."""
+    return paging.page_issue_worklogs(t["worklog"], t["user"], busiest(t["worklog"], "issue_id"), 0, 100)
 
 
 @query("page_issue_attachments")
 def page_issue_attachments(t):
-    """Attachments of issue 42, newest first."""
-    return paging.page_issue_attachments(t["attachment"], t["user"], ISSUE, 0, 100)
+    """Attachments of the issue with most attachments, newest first."""
+    return paging.page_issue_attachments(t["attachment"], t["user"], busiest(t["attachment"], "issue_id"), 0, 100)
 
 
 @query("top_k_per_parent")

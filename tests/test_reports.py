@@ -73,10 +73,12 @@ def test_last_activity_and_hours_delta(spark):
     assert new[3].total_hours == Decimal("1.50") and new[1].total_hours == Decimal("7.25")
 
 
-def test_project_report_nested(spark):
+def test_project_report_long_form(spark):
     t = base_tables(spark)
-    rep = reports.project_report(t["project"], t["sprint"], t["issue"], t["worklog"], t["user"])
-    nested = as_dict(reports.nest_user_hours(rep), "project_id")
-    assert [u.user_id for u in nested[100].user_hours] == [10, 11]
-    assert nested[300].user_hours == [] and nested[300].issue_count == 0
-    assert nested[100].sprint_count == 1 and nested[100].total_hours == Decimal("8.50")
+    rep = reports.project_report(t["project"], t["sprint"], t["issue"], t["worklog"], t["user"]).collect()
+    by_project = {}
+    for r in rep:
+        by_project.setdefault(r.project_id, []).append(r)
+    assert sorted(r.user_id for r in by_project[100]) == [10, 11]
+    assert [r.user_id for r in by_project[300]] == [None] and by_project[300][0].issue_count == 0
+    assert by_project[100][0].sprint_count == 1 and by_project[100][0].total_hours == Decimal("8.50")
