@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from ..schema import HOURS_SUM
 
-# Null foreign keys never match, but a shuffle sends them all to one task. They
-# are spread over this many buckets by a hash of the row's own key.
-NULL_KEY_SPREAD = 256
-
 
 def lookup(fact: DataFrame, dim: DataFrame, fact_key: str | list[str], dim_key: str | list[str],
            columns: dict[str, str], how: str = "left", spread_by: str | None = None) -> DataFrame:
@@ -20,26 +16,34 @@ def lookup(fact: DataFrame, dim: DataFrame, fact_key: str | list[str], dim_key:
 
     An equi-join on ``fact_key == dim_key`` (one column or a list). The planner
     (AQE) picks broadcast or sort-merge from measured sizes; no broadcast is
-    forced because dimension sizes grow with the data. For left joins, rows whose
-    key is null are the usual hot key (e.g. worklogs of deleted users, issues
-    without a parent): one more join column spreads them over
-    :data:`NULL_KEY_SPREAD` hash buckets by ``spread_by`` (the fact's primary
-    key), while the dimension side carries bucket 0, so matches are unchanged.
+    forced because dimension sizes grow with the data.
+
+    For left joins with ``spread_by`` (the fact's primary key), rows whose key
+    is null — the usual hot key: worklogs of deleted users, issues without a
+    parent — are not sent to one task. The join runs on one struct key:
+    ``(0, key…)`` for the dimension and for fact rows with a full key, and
+    ``(odd 64-bit hash of spread_by, key…)`` for fact rows with a null in the
+    key. The first field never matches for those rows (they could not match
+    anyway) and spreads them over every shuffle partition. The dimension side
+    is a real column expression, so the optimizer cannot fold it away.
     """
     fks = [fact_key] if isinstance(fact_key, str) else list(fact_key)
     dks = [dim_key] if isinstance(dim_key, str) else list(dim_key)
     right = dim.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(dks)],
                        *[F.col(c).alias(a) for c, a in columns.items()])
-    cond = [fact[f] == right[f"__k{i}"] for i, f in enumerate(fks)]
-    left = fact
     if how == "left" and spread_by is not None:
+        types = [right.schema[f"__k{i}"].dataType for i in range(len(dks))]
         any_null = functools.reduce(lambda a, b: a | b, [F.col(f).isNull() for f in fks])
-        salt = F.when(any_null, F.pmod(F.xxhash64(F.col(spread_by)), F.lit(NULL_KEY_SPREAD)) + 1).otherwise(F.lit(0))
-        left = fact.withColumn("__nullspread", salt.cast("long"))
-        right = right.withColumn("__nullspread", F.lit(0).cast("long"))
-        cond = [left[f] == right[f"__k{i}"] for i, f in enumerate(fks)] + [left["__nullspread"] == right["__nullspread"]]
-    out = left.join(right, functools.reduce(lambda a, b: a & b, cond), how)
-    return out.drop(*[f"__k{i}" for i in range(len(dks))], "__nullspread")
+        tag = F.when(any_null, F.xxhash64(F.col(spread_by)).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long"))
+        left = fact.withColumn("__jk", F.struct(tag.alias("t"), *[F.col(f).cast(types[i]).alias(f"k{i}")
+                                                                   for i, f in enumerate(fks)]))
+        right = right.withColumn("__jk", F.struct(F.lit(0).cast("long").alias("t"),
+                                                  *[F.col(f"__k{i}").alias(f"k{i}") for i in range(len(dks))]))
+        out = left.join(right, left["__jk"] == right["__jk"], "left")
+        return out.drop("__jk", *[f"__k{i}" for i in range(len(dks))])
+    cond = functools.reduce(lambda a, b: a & b, [fact[f] == right[f"__k{i}"] for i, f in enumerate(fks)])
+    out = fact.join(right, cond, how)
+    return out.drop(*[f"__k{i}" for i in range(len(dks))])
 
 
 def hours_sum(col: str | Column) -> Column:

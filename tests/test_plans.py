@@ -56,3 +56,24 @@ def test_bucketed_layout_removes_join_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_null_keys_spread_over_partitions(spark):
+    from issuegrid.operators.common import lookup
+
+    fact = spark.range(0, 20000).select(F.col("id").alias("pk"),
+                                        F.when(F.col("id") % 10 == 0, F.col("id") % 50).alias("fk"))
+    dim = spark.range(0, 50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        def biggest(df):
+            return df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+        plain = fact.join(dim.withColumnRenamed("k", "fk"), "fk", "left")
+        spread = lookup(fact, dim, "fk", "k", {"v": "v"}, spread_by="pk")
+        assert biggest(plain) >= 18000
+        assert biggest(spread) < 6000
+        assert spread.filter(F.col("v").isNotNull()).count() == 2000 and spread.count() == 20000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
