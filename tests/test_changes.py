@@ -158,3 +158,15 @@ def test_d8_auto_touch_only_on_real_change(spark):
     new = t["issue"].withColumn("priority", F.when(F.col("issue_id") == 2, F.lit("Highest")).otherwise(F.col("priority")))
     got = as_dict(changes.auto_touch(t["issue"], new, "issue", NOW_S), "issue_id")
     assert got[2].updated_date == NOW and got[1].updated_date == T0 and got[2].priority == "Highest"
+
+
+def test_insert_user_forced_role_and_duplicates(spark):
+    t = base_tables(spark)
+    req = spark.createDataFrame(
+        [(1, "zed", "zed@x.org", "hash", "admin"), (2, "ANN", "a2@x.org", "hash", "user"),
+         (3, "no", "no@x.org", "hash", "user")],
+        "request_id long, username string, email string, password_hash string, role string")
+    dup = changes.reject_duplicates("user", t["user"], req).filter("accepted").select("request_id")
+    ok, bad = changes.insert_rows("user", req.join(dup, "request_id", "left_semi"), t, NOW_S)
+    assert [(r.user_id, r.username, r.role) for r in ok.collect()] == [(13, "zed", "user")]
+    assert {r.request_id: list(r.reasons) for r in bad.collect()} == {3: ["username:too_short"]}

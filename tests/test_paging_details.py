@@ -48,3 +48,21 @@ def test_issue_document_lists_bounded_and_ordered(spark):
     assert [c.author_username for c in d[1].comments] == ["ann"]
     flat = details.explode_details(doc)
     assert flat.filter(F.col("issue_id") == 3).count() == 3
+
+
+def test_p3_sprint_order_null_dates_last(spark):
+    import datetime as dt
+
+    from edge_rows import T0, table
+
+    s = table(spark, "sprint", [
+        dict(sprint_id=1, project_id=1, sprint_name="a", status="future", start_date=None, created_at=T0),
+        dict(sprint_id=2, project_id=1, sprint_name="b", status="active", start_date=dt.date(2025, 1, 1),
+             created_at=T0),
+        dict(sprint_id=3, project_id=1, sprint_name="c", status="active", start_date=dt.date(2025, 3, 1),
+             created_at=T0),
+        dict(sprint_id=4, project_id=1, sprint_name="d", status="active", start_date=dt.date(2025, 3, 1),
+             created_at=T0 + dt.timedelta(days=1)),
+    ])
+    assert [r.sprint_id for r in paging.page_project_sprints(s, 1).collect()] == [4, 3, 2, 1]
+    assert [r.sprint_id for r in paging.page_project_sprints(s, 1, skip=1, limit=2).collect()] == [3, 2]
