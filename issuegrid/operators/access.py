@@ -26,10 +26,6 @@ def admin_users(user: DataFrame) -> DataFrame:
     return user.filter(F.col("role") == ADMIN).select("user_id")
 
 
-def _union_distinct(parts: list[DataFrame]) -> DataFrame:
-    return functools.reduce(DataFrame.unionByName, parts).distinct()
-
-
 def _owner_of_issue(project: DataFrame, issue: DataFrame) -> DataFrame:
     """The owner clause of the access test as an equi-join (issue → its
     project's owner); the admin clause is the :func:`admin_users` flag."""
@@ -46,11 +42,15 @@ def can_read_issue(project: DataFrame, issue: DataFrame) -> DataFrame:
 def can_write_issue(project: DataFrame, issue: DataFrame) -> DataFrame:
     """``(user_id, issue_id)`` — owner, reporter or assignee may edit the
     issue, change its status or delete it. (A reporter or assignee may write an
-    issue they may not read; that is the reference's rule.)"""
-    parts = [_owner_of_issue(project, issue)]
-    for col in ("reporter_id", "assignee_id"):
-        parts.append(issue.filter(F.col(col).isNotNull()).select(F.col(col).alias("user_id"), "issue_id"))
-    return _union_distinct(parts)
+    issue they may not read; that is the reference's rule.)
+
+    One pass over the issues: the project owner is attached by an equi-join
+    (projects with no owner keep a null), then the three clause columns are
+    exploded and de-duplicated."""
+    owners = project.select("project_id", F.col("owner_id").alias("__owner"))
+    rows = issue.select("issue_id", "project_id", "reporter_id", "assignee_id").join(owners, "project_id", "left")
+    return (rows.select(F.explode(F.array("__owner", "reporter_id", "assignee_id")).alias("user_id"), "issue_id")
+            .filter(F.col("user_id").isNotNull()).distinct())
 
 
 def can_assign(project: DataFrame, issue: DataFrame) -> DataFrame:
@@ -79,13 +79,14 @@ def can_edit_entry(comment: DataFrame, worklog: DataFrame) -> DataFrame:
 def can_delete_entry(project: DataFrame, issue: DataFrame, comment: DataFrame, worklog: DataFrame,
                      attachment: DataFrame) -> DataFrame:
     """``(user_id, entry_kind, entry_id)`` — the author or the owner of the
-    entry's project deletes a comment, worklog or attachment."""
+    entry's project deletes a comment, worklog or attachment. One pass over the
+    entries: the owner is attached by an equi-join on the issue, then author
+    and owner are exploded and de-duplicated."""
     entries = functools.reduce(DataFrame.unionByName, _entries(comment, worklog, attachment))
-    authors = entries.filter(F.col("user_id").isNotNull()).select("user_id", "entry_kind", "entry_id")
-    owners = (entries.select("entry_kind", "entry_id", "issue_id")
-              .join(_owner_of_issue(project, issue), "issue_id", "inner")
-              .select("user_id", "entry_kind", "entry_id"))
-    return _union_distinct([authors, owners])
+    owners = _owner_of_issue(project, issue).withColumnRenamed("user_id", "__owner")
+    rows = entries.join(owners, "issue_id", "left")
+    return (rows.select(F.explode(F.array("user_id", "__owner")).alias("user_id"), "entry_kind", "entry_id")
+            .filter(F.col("user_id").isNotNull()).distinct())
 
 
 def can_edit_project(project: DataFrame) -> DataFrame:
