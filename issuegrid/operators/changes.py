@@ -395,26 +395,28 @@ def reject_duplicates(table: str, existing: DataFrame, new: DataFrame,
     refused when a unique natural key (insensitive collation) is already taken
     by an existing row or by an earlier request of the same batch.
 
-    Only existing rows whose key occurs in the batch take part (semi-join on
-    the collated key); the winner of each key is one ``min`` aggregate."""
+    Per key column: existing rows are cut to the keys the batch asks for
+    (semi-join on the collated key), the winner of each key is one ``min``
+    aggregate over (existing first, then request order), and the losing
+    requests are flagged. All flags meet in one aggregation per request."""
     pk = PRIMARY_KEYS[table]
-    reasons = []
-    out = new.select(request_key)
-    for t, column in UNIQUE_KEYS:
-        if t != table or column not in new.columns:
-            continue
-        asked = new.select(F.col(request_key).alias("__id"), insensitive(column).alias("__ck")).filter(
-            F.col("__ck").isNotNull())
+    flags = [new.select(F.col(request_key).cast("long").alias("__id"),
+                        F.lit(None).cast("struct<o:int,r:string>").alias("__f"))]
+    columns = [c for t, c in UNIQUE_KEYS if t == table and c in new.columns]
+    for order, column in enumerate(columns):
+        asked = (new.select(F.col(request_key).cast("long").alias("__id"), insensitive(column).alias("__ck"))
+                 .filter(F.col("__ck").isNotNull()))
         taken = (existing.select(F.col(pk).cast("long").alias("__id"), insensitive(column).alias("__ck"))
                  .join(asked.select("__ck").distinct(), "__ck", "left_semi"))
-        cand = (taken.select("__ck", F.struct(F.lit(0).alias("g"), F.col("__id")).alias("__c"))
-                .unionByName(asked.select("__ck", F.struct(F.lit(1).alias("g"), F.col("__id").cast("long").alias("__id"))
-                                          .alias("__c"))))
+        cand = (taken.select("__ck", F.struct(F.lit(0).alias("g"), "__id").alias("__c"))
+                .unionByName(asked.select("__ck", F.struct(F.lit(1).alias("g"), "__id").alias("__c"))))
         winners = cand.groupBy("__ck").agg(F.min("__c").alias("__w"))
-        dup = (asked.join(winners, "__ck", "inner")
-               .filter((F.col("__w.g") == 0) | (F.col("__w.__id") != F.col("__id")))
-               .select(F.col("__id").alias(request_key), F.lit(True).alias(f"__dup_{column}")))
-        out = out.join(dup, request_key, "left")
-        reasons.append(F.when(F.col(f"__dup_{column}"), F.lit(f"{column}:duplicate")))
-    arr = F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>")
-    return out.select(request_key, (F.size(arr) == 0).alias("accepted"), arr.alias("reasons"))
+        lost = (asked.join(winners, "__ck", "inner")
+                .filter((F.col("__w.g") == 0) | (F.col("__w.__id") != F.col("__id"))))
+        flags.append(lost.select("__id", F.struct(F.lit(order).alias("o"),
+                                                  F.lit(f"{column}:duplicate").alias("r")).alias("__f")))
+    per_request = (functools.reduce(DataFrame.unionByName, flags).groupBy("__id")
+                   .agg(F.array_sort(F.collect_list("__f")).alias("__fs")))
+    reasons = F.transform("__fs", lambda f: f["r"])
+    return per_request.select(F.col("__id").alias(request_key), (F.size("__fs") == 0).alias("accepted"),
+                              reasons.alias("reasons"))
