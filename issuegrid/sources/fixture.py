@@ -11,6 +11,7 @@ both engines see identical inputs.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -157,31 +158,58 @@ def view_deps(name: str) -> list[str]:
     return [d for d in _PLACEHOLDER.findall(VIEWS[name]) if d in VIEWS]
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> dict[str, DataFrame]:
-    """Build the stand-in tables for ``sf_dir`` as lazily planned DataFrames.
+class _LazyViews(Mapping):
+    """``{short name: DataFrame}`` whose views are planned on first access, so a
+    query pays only for the stand-in tables it reads."""
 
-    Returns ``{"user": df, "issue": df, ..., "sprint_request": df, ...}``.
-    """
-    raw: dict[str, DataFrame] = {}
+    def __init__(self, spark: SparkSession, sf_dir: str, names: list[str]):
+        self._spark, self._dir = spark, sf_dir
+        self._names = names
+        self._raw: dict[str, DataFrame] = {}
+        self._built: dict[str, DataFrame] = {}
 
-    def table(name: str) -> DataFrame:
-        if name not in raw:
-            raw[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        return raw[name]
+    def _table(self, name: str) -> DataFrame:
+        if name not in self._raw:
+            self._raw[name] = self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        return self._raw[name]
 
-    built: dict[str, DataFrame] = {}
-
-    def view(name: str) -> DataFrame:
-        if name not in built:
+    def _view(self, name: str) -> DataFrame:
+        if name not in self._built:
             sql = VIEWS[name]
-            args = {}
-            for dep in set(_PLACEHOLDER.findall(sql)):
-                args[dep] = view(dep) if dep in VIEWS else table(dep)
-            built[name] = spark.sql(sql, **args)
-        return built[name]
-
-    wanted = [f"t_{n}" for n in names] if names else list(VIEWS)
-    return {SHORT[v]: view(v) for v in wanted}
+            args = {dep: (self._view(dep) if dep in VIEWS else self._table(dep))
+                    for dep in set(_PLACEHOLDER.findall(sql))}
+            self._built[name] = self._spark.sql(sql, **args)
+        return self._built[name]
+
+    def __getitem__(self, short: str) -> DataFrame:
+        view = f"t_{short}"
+        if view not in self._names:
+            raise KeyError(short)
+        return self._view(view)
+
+    def __iter__(self):
+        return (SHORT[v] for v in self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+
+_LOADED: dict[tuple, _LazyViews] = {}
+
+
+def fixture_tables(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> Mapping[str, DataFrame]:
+    """The stand-in tables for ``sf_dir`` as lazily planned DataFrames:
+    ``{"user": df, "issue": df, ..., "sprint_request": df, ...}``.
+
+    Loaded once per session and folder (as a Spark user loads tables once and
+    reuses the DataFrames); only plans are kept, no data is cached."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _LOADED:
+        _LOADED[key] = _LazyViews(spark, sf_dir, list(VIEWS))
+    views = _LOADED[key]
+    if not names:
+        return views
+    return {n: views[n] for n in names}
 
 
 def oracle_with(body: str) -> str:
