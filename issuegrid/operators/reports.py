@@ -63,12 +63,13 @@ def hours_by_user(issue: DataFrame, worklog: DataFrame, user: DataFrame,
     return out
 
 
-def user_issue_counts(user: DataFrame, issue: DataFrame) -> DataFrame:
+def user_issue_counts(user: DataFrame, issue: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """A4: ``(user_id, role, issue_count)`` with role in ('reporter', 'assignee').
 
     One scan of issues emits (user, role) pairs; a single grouped count follows.
-    Every user gets both roles, zero-filled.
+    Every user (or every user in ``keys``) gets both roles, zero-filled.
     """
+    user = restrict(user, keys, "user_id")
     pairs = issue.select(F.explode(F.array(
         F.struct(F.col("reporter_id").alias("user_id"), F.lit("reporter").alias("role")),
         F.struct(F.col("assignee_id").alias("user_id"), F.lit("assignee").alias("role")),
@@ -79,16 +80,18 @@ def user_issue_counts(user: DataFrame, issue: DataFrame) -> DataFrame:
             .select("user_id", "role", F.coalesce("issue_count", F.lit(0).cast("long")).alias("issue_count")))
 
 
-def project_issue_counts(project: DataFrame, issue: DataFrame) -> DataFrame:
-    """A5: ``(project_id, issue_count)``, zero-filled."""
+def project_issue_counts(project: DataFrame, issue: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """A5: ``(project_id, issue_count)``, zero-filled (all projects or ``keys``)."""
+    project = restrict(project, keys, "project_id")
     counts = issue.groupBy("project_id").agg(F.count(F.lit(1)).alias("issue_count"))
     return (project.select("project_id").join(counts, "project_id", "left")
             .select("project_id", F.coalesce("issue_count", F.lit(0).cast("long")).alias("issue_count")))
 
 
 def issue_child_counts(issue: DataFrame, comment: DataFrame, worklog: DataFrame,
-                       attachment: DataFrame) -> DataFrame:
-    """Comments, worklogs and attachments per issue (uncapped), zero-filled.
+                       attachment: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Comments, worklogs and attachments per issue (uncapped), zero-filled
+    (all issues or those in ``keys``).
 
     The three child tables are unioned into one narrow stream so a single
     aggregation (one shuffle) counts all three.
@@ -101,7 +104,7 @@ def issue_child_counts(issue: DataFrame, comment: DataFrame, worklog: DataFrame,
         F.sum("w").cast("long").alias("worklog_count"),
         F.sum("a").cast("long").alias("attachment_count"))
     zero = F.lit(0).cast("long")
-    return (issue.select("issue_id").join(counts, "issue_id", "left")
+    return (restrict(issue.select("issue_id"), keys, "issue_id").join(counts, "issue_id", "left")
             .select("issue_id",
                     F.coalesce("comment_count", zero).alias("comment_count"),
                     F.coalesce("worklog_count", zero).alias("worklog_count"),

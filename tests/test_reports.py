@@ -82,3 +82,15 @@ def test_project_report_long_form(spark):
     assert sorted(r.user_id for r in by_project[100]) == [10, 11]
     assert [r.user_id for r in by_project[300]] == [None] and by_project[300][0].issue_count == 0
     assert by_project[100][0].sprint_count == 1 and by_project[100][0].total_hours == Decimal("8.50")
+
+
+def test_counts_restricted_to_keys(spark):
+    t = base_tables(spark)
+    users = spark.createDataFrame([(10,)], "user_id int")
+    assert {(r.role, r.issue_count) for r in reports.user_issue_counts(t["user"], t["issue"], users).collect()} == {
+        ("reporter", 2), ("assignee", 1)}
+    projects = spark.createDataFrame([(300,)], "project_id int")
+    assert [tuple(r) for r in reports.project_issue_counts(t["project"], t["issue"], projects).collect()] == [(300, 0)]
+    issues = spark.createDataFrame([(4,)], "issue_id int")
+    got = reports.issue_child_counts(t["issue"], t["comment"], t["worklog"], t["attachment"], issues).collect()
+    assert [tuple(r) for r in got] == [(4, 1, 1, 0)]
