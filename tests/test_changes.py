@@ -4,7 +4,7 @@ from decimal import Decimal
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from edge_rows import T0, as_dict, base_tables, table
+from edge_rows import T0, as_dict, base_tables
 
 from issuegrid.operators import changes, reports
 

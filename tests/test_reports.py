@@ -2,7 +2,7 @@ from decimal import Decimal
 
 import datetime as dt
 
-from edge_rows import T0, as_dict, base_tables, table
+from edge_rows import T0, as_dict, base_tables
 
 from issuegrid.operators import reports
 
