@@ -190,6 +190,7 @@ def apply_patches(table: str, df: DataFrame, patches: DataFrame, now: str | Colu
               for code, broken in row_rules(table, allowed)]
     probe = probe.withColumn("reasons", F.array_compact(F.array(*checks)) if checks
                              else F.array().cast("array<string>"))
+    probe = _unique_conflicts(table, df, probe, allowed, change_key)
     good = probe.filter(F.size("reasons") == 0)
     unknown = (good.join(df.select(F.col(pk).alias("pk")), "pk", "left_anti")
                .withColumn("reasons", F.array(F.lit(f"{pk}:not_found"))))
@@ -208,6 +209,35 @@ def apply_patches(table: str, df: DataFrame, patches: DataFrame, now: str | Colu
     return joined.select(*df.columns), rejected
 
 
+def _unique_conflicts(table: str, df: DataFrame, probe: DataFrame, allowed: list[str],
+                      change_key: str) -> DataFrame:
+    """D10 on update: a patch that sets a unique column (e.g. a user's email) to
+    a value another row already holds — compared insensitively, in the
+    snapshot — or that an earlier patch of the batch claims for another row,
+    gets ``<column>:duplicate``. (Conservative: a value freed by an earlier
+    patch of the same batch still counts as taken.)"""
+    pk = PRIMARY_KEYS[table]
+    for t, column in UNIQUE_KEYS:
+        if t != table or column not in allowed:
+            continue
+        rule_ok = F.size("reasons") == 0
+        setting = (probe.filter(rule_ok & F.array_contains("set_fields", column) & F.col(column).isNotNull())
+                   .select(change_key, "pk", insensitive(column).alias("__ck")))
+        holders = (df.select(F.col(pk).alias("__holder"), insensitive(column).alias("__ck"))
+                   .join(setting.select("__ck").distinct(), "__ck", "left_semi"))
+        taken = (setting.join(holders, "__ck").filter(F.col("__holder") != F.col("pk")).select(change_key))
+        # Among the patches whose value is free in the snapshot, the first claim wins.
+        free = setting.join(taken, change_key, "left_anti")
+        first = free.groupBy("__ck").agg(F.min(F.struct(change_key, "pk")).alias("__first"))
+        lost = free.join(first, "__ck").filter(F.col("__first.pk") != F.col("pk")).select(change_key)
+        dup = taken.unionByName(lost).distinct().withColumn("__dup", F.lit(True))
+        probe = (probe.join(dup, change_key, "left")
+                 .withColumn("reasons", F.when(F.col("__dup"), F.concat("reasons", F.array(F.lit(f"{column}:duplicate"))))
+                             .otherwise(F.col("reasons")))
+                 .drop("__dup"))
+    return probe
+
+
 # ---------------------------------------------------------------- D4 status
 
 def apply_status_changes(issue: DataFrame, changes: DataFrame, now: str | Column | None = None,

@@ -170,3 +170,18 @@ def test_insert_user_forced_role_and_duplicates(spark):
     ok, bad = changes.insert_rows("user", req.join(dup, "request_id", "left_semi"), t, NOW_S)
     assert [(r.user_id, r.username, r.role) for r in ok.collect()] == [(13, "zed", "user")]
     assert {r.request_id: list(r.reasons) for r in bad.collect()} == {3: ["username:too_short"]}
+
+
+def test_patch_rejects_taken_unique_values(spark):
+    t = base_tables(spark)
+    patches = spark.createDataFrame(
+        [(1, 10, ["email"], "BOB@x.org"),        # held by user 11
+         (2, 11, ["email"], "Bob@X.org"),        # own email, other case: fine
+         (3, 12, ["email"], "new@x.org"),        # first claim wins
+         (4, 10, ["email"], "NEW@x.org")],       # claimed by an earlier patch
+        "change_id long, pk int, set_fields array<string>, email string")
+    new, rejected = changes.apply_patches("user", t["user"], patches, NOW_S)
+    assert {r.change_id: list(r.reasons) for r in rejected.collect()} == {
+        1: ["email:duplicate"], 4: ["email:duplicate"]}
+    got = as_dict(new, "user_id")
+    assert got[10].email == "ann@x.org" and got[11].email == "Bob@X.org" and got[12].email == "new@x.org"
