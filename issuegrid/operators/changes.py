@@ -97,9 +97,10 @@ def insert_rows(table: str, requests: DataFrame, tables: dict[str, DataFrame], n
     'planning' with start/end dates dropped; user role 'user'); columns the
     request leaves null take the table defaults; the acting user becomes the
     reporter / owner / author when ``acting_user`` names its column. Each row is
-    checked against the row rules (§ validity) and its foreign keys must resolve
-    (the database's unknown-parent error). Accepted rows get ids after the
-    table's largest id, in ``request_key`` order (D2).
+    checked against the row rules (§ validity), its foreign keys must resolve
+    (the database's unknown-parent error) and its unique keys must be free (D10).
+    Accepted rows get ids after the table's largest id, in ``request_key``
+    order (D2).
 
     Returns ``(accepted, rejected)``; ``rejected`` = requests + ``reasons``.
     """
@@ -140,6 +141,16 @@ def insert_rows(table: str, requests: DataFrame, tables: dict[str, DataFrame], n
                                                  F.concat("reasons", F.array(F.lit(f"{fk.column}:unknown_parent"))))
                                .otherwise(F.col("reasons")))
                    .drop("__hit"))
+    if table in tables and any(t == table for t, _ in UNIQUE_KEYS):
+        # Unique keys (insensitive) must be free in the table and not
+        # claimed by an earlier request that passes every other rule.
+        passing = checked.filter(F.size("reasons") == 0)
+        dup = (reject_duplicates(table, tables[table], passing, request_key)
+               .filter(~F.col("accepted")).select(request_key, F.col("reasons").alias("__dup")))
+        checked = (checked.join(dup, request_key, "left")
+                   .withColumn("reasons", F.when(F.col("__dup").isNotNull(), F.concat("reasons", "__dup"))
+                               .otherwise(F.col("reasons")))
+                   .drop("__dup"))
     accepted = checked.filter(F.size("reasons") == 0).drop("reasons")
     rejected = checked.filter(F.size("reasons") > 0)
     if assign:

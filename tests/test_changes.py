@@ -185,3 +185,15 @@ def test_patch_rejects_taken_unique_values(spark):
         1: ["email:duplicate"], 4: ["email:duplicate"]}
     got = as_dict(new, "user_id")
     assert got[10].email == "ann@x.org" and got[11].email == "Bob@X.org" and got[12].email == "new@x.org"
+
+
+def test_insert_rows_applies_unique_keys(spark):
+    t = base_tables(spark)
+    req = spark.createDataFrame(
+        [(1, "ANN", "a2@x.org", "h"), (2, "nu", "n@x.org", "h"), (3, "newbie", "N@X.org", "h"),
+         (4, "newbie", "z@x.org", "h")],
+        "request_id long, username string, email string, password_hash string")
+    ok, bad = changes.insert_rows("user", req, t, NOW_S)
+    assert [(r.request_id, r.user_id) for r in ok.collect()] == [(3, 13)]
+    assert {r.request_id: list(r.reasons) for r in bad.collect()} == {
+        1: ["username:duplicate"], 2: ["username:too_short"], 4: ["username:duplicate"]}
