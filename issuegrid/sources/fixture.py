@@ -68,14 +68,16 @@ FROM {orders}""",
     # Line items carry no id of their own; (order, ship date, part, line) is unique
     # in the driver data, so a per-order sequence over it gives a stable id.
     "t_worklog": """
-SELECT CAST(l_orderkey * 64 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_linenumber) AS INT) AS worklog_id,
-  CAST(l_orderkey AS INT) AS issue_id,
-  CASE WHEN (l_orderkey + l_linenumber) % 11 = 0 THEN NULL ELSE CAST(l_suppkey AS INT) END AS user_id,
-  CAST(l_quantity AS DECIMAL(5,2)) AS hours_logged, CAST(l_shipdate AS DATE) AS work_date,
-  CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('Shipped part ', CAST(l_partkey AS VARCHAR(20))) END AS description,
-  CAST(l_shipdate AS TIMESTAMP) AS created_at,
-  l_partkey AS src_partkey, l_linenumber AS src_line
-FROM {lineitem}""",
+SELECT CAST(CAST(issue_id AS BIGINT) * 64 + row_number() OVER (PARTITION BY issue_id ORDER BY created_at, src_partkey, src_line) AS INT) AS worklog_id,
+  issue_id, user_id, hours_logged, work_date, description, created_at, src_partkey, src_line
+FROM (
+  SELECT CAST(l_orderkey AS INT) AS issue_id,
+    CASE WHEN (l_orderkey + l_linenumber) % 11 = 0 THEN NULL ELSE CAST(l_suppkey AS INT) END AS user_id,
+    CAST(l_quantity AS DECIMAL(5,2)) AS hours_logged, CAST(l_shipdate AS DATE) AS work_date,
+    CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('Shipped part ', CAST(l_partkey AS VARCHAR(20))) END AS description,
+    CAST(l_shipdate AS TIMESTAMP) AS created_at,
+    l_partkey AS src_partkey, l_linenumber AS src_line
+  FROM {lineitem}) x""",
     "t_comment": """
 SELECT CAST(conv_id * 100 + turn AS INT) AS comment_id, CAST(conv_id AS INT) AS issue_id,
   CASE role WHEN 'system' THEN NULL WHEN 'user' THEN CAST(conv_id % 100 AS INT) ELSE CAST((conv_id + 1) % 100 AS INT) END AS user_id,
