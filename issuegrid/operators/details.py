@@ -14,10 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import restrict
+from .common import hours_sum, restrict, zero_hours
 from .enrich import attachment_enriched, comment_enriched, issue_enriched, worklog_enriched
 from .paging import DEFAULT_LIMIT, ORDERS, top_k_per_parent
-from .reports import issue_hours
 
 CHILD_FIELDS = {
     "comments": ["comment_id", "user_id", "author_username", "comment_text", "created_at", "updated_at"],
@@ -51,7 +50,12 @@ def issue_details(issue: DataFrame, project: DataFrame, sprint: DataFrame, user:
     if keys is not None:
         ids = issues.select("issue_id")
         children = {k: df.join(ids, "issue_id", "left_semi") for k, df in children.items()}
-    doc = issue_enriched(issues, project, sprint, user).join(issue_hours(issue, worklog, keys), "issue_id", "left")
+    # A1 over all of each issue's worklogs, joined straight to the document
+    # (zero when the issue has none).
+    hours = (children["worklogs"].groupBy("issue_id")
+             .agg(hours_sum("hours_logged").alias("total_hours")))
+    doc = (issue_enriched(issues, project, sprint, user).join(hours, "issue_id", "left")
+           .withColumn("total_hours", F.coalesce("total_hours", zero_hours())))
     for kind, df in children.items():
         lst = _child_list(df, kind, limit, user)
         doc = doc.join(lst, "issue_id", "left")
