@@ -1,9 +1,12 @@
 """Hour reports, counts and activity roll-ups, for all keys at once.
 
-Plans aggregate before they join wherever the join key is the group key, so the
-fact table is reduced map-side (partial aggregation) before any shuffle. A hot key
-(one issue or project with a third of all rows) only makes one partial aggregate
-larger; it never lands as raw rows in a single task.
+Plans aggregate before they join wherever the join key is the group key (A1,
+A2, A5, A6, A7), so the fact table is reduced map-side (partial aggregation)
+before it is shuffled: a hot key (one issue or project with a third of all rows)
+only makes one partial aggregate larger. A3 must join worklogs to issues before
+grouping by project; there the join is a broadcast while the issue keys are
+small and otherwise a sort-merge join whose hot partition AQE's skew handling
+splits.
 """
 
 from __future__ import annotations
