@@ -1,12 +1,10 @@
 """Hour reports, counts and activity roll-ups, for all keys at once.
 
-Plans aggregate before they join wherever the join key is the group key (A1,
-A2, A5, A6, A7), so the fact table is reduced map-side (partial aggregation)
-before it is shuffled: a hot key (one issue or project with a third of all rows)
-only makes one partial aggregate larger. A3 must join worklogs to issues before
-grouping by project; there the join is a broadcast while the issue keys are
-small and otherwise a sort-merge join whose hot partition AQE's skew handling
-splits.
+Plans aggregate before they join, so the fact table is reduced map-side
+(partial aggregation) before it is shuffled: a hot key (one issue or project
+with a third of all rows) only makes one partial aggregate larger. A2 sums per
+issue before the issue join; A3 sums per (issue, user) before it, so a hot
+issue reaches the join as one row per user.
 """
 
 from __future__ import annotations
@@ -47,18 +45,18 @@ def hours_by_user(issue: DataFrame, worklog: DataFrame, user: DataFrame,
     """A3 (flagship): ``(project_id, user_id, username, total_user_hours)``.
 
     Same rows as ``worklog JOIN user JOIN issue GROUP BY project, user``: worklogs
-    with a null or unknown user are dropped by the INNER user join. The worklog ⋈
-    issue join runs first; the (project, user) partial aggregate then collapses the
-    fact rows before the only other shuffle, and usernames are joined to the
-    small aggregate rather than to the fact table. Ordered by hours desc within a
-    project, ``user_id`` breaking ties.
+    with a null or unknown user are dropped by the INNER user join. Worklogs are
+    first summed per (issue, user) — partial aggregation, so a hot issue reaches
+    the issue join as one row per user, not as its raw worklogs — then joined to
+    their issue, summed per (project, user), and only then joined to the
+    usernames. Ordered by hours desc within a project, ``user_id`` breaking ties.
     """
     issues = restrict(issue.select("issue_id", "project_id"), keys, "project_id")
-    agg = (worklog.filter(F.col("user_id").isNotNull())
-           .select("issue_id", "user_id", "hours_logged")
-           .join(issues, "issue_id", "inner")
+    per_issue_user = (worklog.filter(F.col("user_id").isNotNull())
+                      .groupBy("issue_id", "user_id").agg(F.sum("hours_logged").alias("h")))
+    agg = (per_issue_user.join(issues, "issue_id", "inner")
            .groupBy("project_id", "user_id")
-           .agg(hours_sum("hours_logged").alias("total_user_hours")))
+           .agg(hours_sum("h").alias("total_user_hours")))
     out = agg.join(user.select("user_id", "username"), "user_id", "inner").select(
         "project_id", "user_id", "username", "total_user_hours")
     if ordered:
