@@ -23,7 +23,7 @@ from ..schema import (AUTO_UPDATE_COLUMNS, COLUMN_DEFAULTS, FOREIGN_KEYS, INSERT
                       PATCH_ALLOW, PRIMARY_KEYS, SCHEMAS, TOUCHING_KINDS, UNIQUE_KEYS)
 from ..session import checkpoint_dir
 from .common import lookup
-from .lookup import insensitive
+from .lookup import insensitive, not_equal
 from .quality import row_rules
 
 DEFAULT_NOW = "2025-01-01 00:00:00"
@@ -170,7 +170,7 @@ def auto_touch(old: DataFrame, new: DataFrame, table: str, now: str | Column | N
     compare = [c for c in new.columns if c not in (pk, auto) and c in old.columns]
     o = old.select(pk, *[F.col(c).alias(f"__old_{c}") for c in compare + [auto]])
     joined = new.join(o, pk, "left")
-    changed = _or([~F.col(c).eqNullSafe(F.col(f"__old_{c}")) for c in compare])
+    changed = _or([not_equal(c, f"__old_{c}") for c in compare])
     out = joined.withColumn(auto, F.when(changed, _now(now)).otherwise(F.col(f"__old_{auto}")))
     return out.drop(*[f"__old_{c}" for c in compare + [auto]])
 
@@ -210,7 +210,7 @@ def apply_patches(table: str, df: DataFrame, patches: DataFrame, now: str | Colu
         F.max(F.when(F.array_contains("set_fields", f), F.struct(F.col(change_key).alias("k"), F.col(f).alias("v"))))
         .alias(f"__set_{f}") for f in allowed])
     joined = df.join(last.withColumnRenamed("pk", pk), pk, "left")
-    changed = _or([F.col(f"__set_{f}").isNotNull() & ~F.col(f"__set_{f}.v").eqNullSafe(F.col(f)) for f in allowed])
+    changed = _or([F.col(f"__set_{f}").isNotNull() & not_equal(f"__set_{f}.v", f) for f in allowed])
     auto = AUTO_UPDATE_COLUMNS.get(table)
     if auto in df.columns:
         joined = joined.withColumn(auto, F.when(changed, _now(now)).otherwise(F.col(auto)))

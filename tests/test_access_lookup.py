@@ -19,6 +19,7 @@ def test_admin_flag_and_filters(spark):
     assert access.visible_issues(t["issue"], t["project"], t["user"], 12).count() == 4
     assert sorted(r.issue_id for r in access.visible_issues(t["issue"], t["project"], t["user"], 11).collect()) == [4]
     assert access.visible_users(t["user"], 12).count() == 3
+    assert access.visible_projects(t["project"]).count() == t["project"].count()
     only_self = access.visible_users(t["user"], 10).collect()
     assert [r.user_id for r in only_self] == [10] and "password_hash" not in only_self[0].asDict()
 

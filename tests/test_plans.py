@@ -23,8 +23,10 @@ def test_no_nested_loop_or_cartesian(spark, name):
 
 
 def test_filter_and_columns_pushed_to_scan(spark):
+    from issuegrid.operators.lookup import select_columns
+
     t = fixture_tables(spark, SF_SMALL, ["issue"])
-    df = t["issue"].filter(F.col("project_id") == 3).select("issue_id", "created_date")
+    df = select_columns(t["issue"].filter(F.col("project_id") == 3), ["issue_id", "created_date"])
     p = plan(df)
     assert "PushedFilters: [IsNotNull(o_custkey)" in p
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>" in p

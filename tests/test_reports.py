@@ -94,3 +94,11 @@ def test_counts_restricted_to_keys(spark):
     issues = spark.createDataFrame([(4,)], "issue_id int")
     got = reports.issue_child_counts(t["issue"], t["comment"], t["worklog"], t["attachment"], issues).collect()
     assert [tuple(r) for r in got] == [(4, 1, 1, 0)]
+
+
+def test_j7_inner_joins_drop_unknown_users(spark):
+    from issuegrid.operators import enrich
+    t = base_tables(spark)
+    rows = enrich.worklog_with_user_and_project(t["worklog"], t["user"], t["issue"]).collect()
+    assert sorted((r.worklog_id, r.username, r.project_id) for r in rows) == [
+        (1, "ann", 100), (2, "Bob", 100), (4, "ann", 100), (5, "Bob", 200)]
