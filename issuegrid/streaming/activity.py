@@ -14,7 +14,8 @@ Results leave the stream through ``foreachBatch`` in update mode: each
 micro-batch writes only the issues it changed, into its own ``epoch=N``
 partition (dynamic partition overwrite, so a re-run of an epoch after a failure
 replaces it instead of duplicating it). The current table is the newest epoch's
-row per issue (:func:`current_table`).
+row per issue (:func:`current_table`); :func:`compact` folds the epochs written so
+far into a base table so later reads only scan newer epochs.
 """
 
 from __future__ import annotations
@@ -74,12 +75,34 @@ def start(agg: DataFrame, sink: str, checkpoint: str, available_now: bool = True
     return writer.start()
 
 
-def current_table(spark: SparkSession, sink: str, key: str, value_cols: list[str]) -> DataFrame:
-    """The latest value per key across all written epochs (one partial-aggregated
-    ``max(struct(epoch, values))``)."""
-    df = spark.read.parquet(sink)
+def _latest(spark: SparkSession, sink: str, key: str, value_cols: list[str], base: str | None) -> DataFrame:
+    """``(key, epoch, values)``: the newest written value per key (a
+    partial-aggregated ``max(struct(epoch, values))``), over ``base`` if given."""
+    df = spark.read.parquet(sink).select(key, "epoch", *value_cols)
+    if base is not None:
+        b = spark.read.parquet(base).select(key, "epoch", *value_cols)
+        upto = b.select(F.max("epoch")).scalar()
+        df = b.unionByName(df.filter(F.col("epoch") > upto))   # prunes folded epoch partitions
     latest = df.groupBy(key).agg(F.max(F.struct("epoch", *value_cols)).alias("__v"))
-    return latest.select(key, *[F.col(f"__v.{c}").alias(c) for c in value_cols])
+    return latest.select(key, F.col("__v.epoch").alias("epoch"), *[F.col(f"__v.{c}").alias(c) for c in value_cols])
+
+
+def current_table(spark: SparkSession, sink: str, key: str, value_cols: list[str],
+                  base: str | None = None) -> DataFrame:
+    """The latest value per key across the written epochs. With ``base``
+    (written by :func:`compact`) only epochs newer than the base are read from
+    the sink — a partition filter on ``epoch`` — and folded over the base rows."""
+    return _latest(spark, sink, key, value_cols, base).drop("epoch")
+
+
+def compact(spark: SparkSession, sink: str, key: str, value_cols: list[str], base: str,
+            previous: str | None = None) -> str:
+    """Fold every epoch of ``sink`` (over an optional ``previous`` base) into one
+    row per key, written to the new folder ``base`` with the epoch each value
+    came from. Later reads pass ``base`` to :func:`current_table`; the folded
+    epoch partitions may then be dropped by the sink's retention."""
+    _latest(spark, sink, key, value_cols, previous).write.mode("overwrite").parquet(base)
+    return base
 
 
 def run_until_caught_up(spark: SparkSession, events_dir: str, which: str, work_dir: str | None = None,

@@ -53,3 +53,21 @@ def test_file_audit_both_directions(spark):
     assert [r.stored_name for r in files.orphan_files(lst, extra).collect()] == ["stray.bin"]
     assert [r.attachment_id for r in files.missing_files(lst, extra).collect()] == [2]
     assert os.path.exists(os.path.join(store, "u1_a.txt"))
+
+
+def test_compaction_keeps_the_current_table(spark):
+    base_ts = dt.datetime(2025, 1, 1)
+    rows = [(i, base_ts + dt.timedelta(minutes=i), 1, i % 5, "worklog_insert", Decimal(i % 4 + 1)) for i in range(60)]
+    root = tempfile.mkdtemp(prefix="compact-", dir="/tmp")
+    events, work = os.path.join(root, "events"), os.path.join(root, "work")
+    activity.land_events(_events(spark, rows[:30]), events, files=2)
+    activity.run_until_caught_up(spark, events, "running_hours", work_dir=work)
+    sink = os.path.join(work, "sink")
+    base = activity.compact(spark, sink, "issue_id", ["total_hours"], os.path.join(root, "base1"))
+    activity.land_events(_events(spark, rows[30:]), events, files=2)
+    activity.run_until_caught_up(spark, events, "running_hours", work_dir=work)
+    got = activity.current_table(spark, sink, "issue_id", ["total_hours"], base=base)
+    expect = reports.hours_delta(spark.createDataFrame([], "issue_id int, total_hours decimal(18,2)"),
+                                 _events(spark, rows))
+    assert sorted(got.collect()) == sorted(expect.collect())
+    assert sorted(activity.current_table(spark, sink, "issue_id", ["total_hours"]).collect()) == sorted(got.collect())
