@@ -80,7 +80,12 @@ def page_after(df: DataFrame, order: list[tuple[str, bool]], last: dict | None,
 
 def top_k_per_parent(df: DataFrame, parent: str, order: list[tuple[str, bool]], skip: int = 0,
                      limit: int = DEFAULT_LIMIT, rank_col: str = "rn") -> DataFrame:
-    """Rows ``skip+1 .. skip+limit`` of every parent, with their 1-based rank."""
+    """Rows ``skip+1 .. skip+limit`` of every parent, with their 1-based rank.
+
+    Spark inserts the partial ``WindowGroupLimit`` (at most ``skip + limit`` rows
+    per parent leave each map task) when ``skip + limit`` is within
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default); raise
+    that setting for deeper per-parent pages."""
     w = Window.partitionBy(parent).orderBy(*sort_columns(order))
     ranked = df.withColumn(rank_col, F.row_number().over(w))
     cond = F.col(rank_col) <= skip + limit
