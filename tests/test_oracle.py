@@ -20,6 +20,5 @@ def test_query_matches_oracle(spark, con, name):
     assert res["ok"], res
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(ORACLE)))
-def test_rows_only_queries_run(spark, name):
-    assert entry.queries()[name](spark, SF_SMALL).count() >= 0
+def test_every_query_has_an_oracle():
+    assert set(entry.queries()) == set(ORACLE)
