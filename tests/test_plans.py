@@ -53,6 +53,8 @@ def test_bucketed_layout_removes_join_shuffle(spark):
         p = plan(joined)
         assert "SortMergeJoin" in p and "Exchange hashpartitioning" not in p
         got = reports.hours_by_user(b["issue"], b["worklog"], b["user"], ordered=False)
+        a3 = plan(got)
+        assert "Exchange hashpartitioning(issue_id" not in a3        # pre-aggregate and issue join co-located
         expect = reports.hours_by_user(t["issue"], t["worklog"], t["user"], ordered=False)
         assert sorted(got.collect()) == sorted(expect.collect())
     finally:
