@@ -66,3 +66,19 @@ def test_p3_sprint_order_null_dates_last(spark):
     ])
     assert [r.sprint_id for r in paging.page_project_sprints(s, 1).collect()] == [4, 3, 2, 1]
     assert [r.sprint_id for r in paging.page_project_sprints(s, 1, skip=1, limit=2).collect()] == [3, 2]
+
+
+def test_keyset_paging_through_nulls(spark):
+    t = fixture_tables(spark, SF_SMALL, ["sprint"])
+    order = paging.ORDERS["sprints"]                      # start_date desc (nulls last), created_at desc, id
+    sprints = t["sprint"]
+    expected = [r.sprint_id for r in paging.page(sprints, order, 0, 1000).collect()]
+    assert sprints.filter(F.col("start_date").isNull()).count() > 0
+    seen, last = [], None
+    while True:
+        rows = paging.page_after(sprints, order, last, 7).collect()
+        if not rows:
+            break
+        seen += [r.sprint_id for r in rows]
+        last = {c: rows[-1][c] for c, _ in order}
+    assert seen == expected
