@@ -56,28 +56,38 @@ def page(df: DataFrame, order: list[tuple[str, bool]], skip: int = 0, limit: int
 def page_after(df: DataFrame, order: list[tuple[str, bool]], last: dict | None,
                limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Keyset page: the ``limit`` rows that follow the row whose order values are
-    ``last`` (None = first page). Cost does not grow with the page depth."""
+    ``last`` (None = first page). Cost does not grow with the page depth.
+
+    Cursor values may be Python values or Columns (e.g. scalar subqueries).
+    Nulls follow the page order: first in ascending, last in descending columns.
+    """
     out = df
     if last is not None:
-        # (a, b, c) after (x, y, z) in the mixed-direction order, nulls as ranked above.
-        def after(col: str, desc: bool) -> Column:
+        def value(col: str) -> Column:
             v = last[col]
-            c = F.col(col)
-            if v is None:
-                return c.isNotNull() if not desc else F.lit(False)
-            return (c < F.lit(v)) | c.isNull() if desc else c > F.lit(v)
+            return v if isinstance(v, Column) else F.lit(v)
 
-        def same(col: str) -> Column:
-            return F.col(col).eqNullSafe(F.lit(last[col]))
+        def after(col: str, desc: bool) -> Column:
+            c, v = F.col(col), value(col)
+            if desc:    # larger first, nulls last
+                return (v.isNotNull() & c.isNull()) | F.coalesce(c < v, F.lit(False))
+            return (v.isNull() & c.isNotNull()) | F.coalesce(c > v, F.lit(False))
 
         clauses = []
         for i, (col, desc) in enumerate(order):
-            prefix = [same(c) for c, _ in order[:i]]
+            prefix = [F.col(c).eqNullSafe(value(c)) for c, _ in order[:i]]
             clauses.append(functools.reduce(lambda a, b: a & b, prefix + [after(col, desc)]))
         out = out.filter(functools.reduce(lambda a, b: a | b, clauses))
     return out.orderBy(*sort_columns(order)).limit(limit)
 
 
+def cursor_of(df: DataFrame, order: list[tuple[str, bool]], position: int) -> dict[str, Column]:
+    """The order values of the row at 1-based ``position`` as scalar subqueries —
+    the cursor a client holds after reading that row."""
+    row = df.orderBy(*sort_columns(order)).offset(position - 1).limit(1)
+    return {c: row.select(c).scalar() for c, _ in order}
+
+
 def top_k_per_parent(df: DataFrame, parent: str, order: list[tuple[str, bool]], skip: int = 0,
                      limit: int = DEFAULT_LIMIT, rank_col: str = "rn") -> DataFrame:
     """Rows ``skip+1 .. skip+limit`` of every parent, with their 1-based rank.

@@ -70,3 +70,9 @@ LEFT JOIN (
   ) WHERE pos < 100
 ) x ON x.issue_id = e.issue_id AND x.kind = k.kind
 """)
+
+sql("page_project_issues_keyset", f"""
+SELECT * FROM ({ISSUE_ENRICHED}) e
+WHERE e.project_id = (SELECT project_id FROM t_issue GROUP BY project_id ORDER BY count(*) DESC, project_id LIMIT 1)
+ORDER BY created_date DESC NULLS LAST, issue_id LIMIT 100 OFFSET 100
+""")

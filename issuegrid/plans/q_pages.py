@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import details, paging
+from ..operators import details, enrich, paging
 from .catalog import query
 
 def busiest(df, key: str):
@@ -39,6 +39,18 @@ def page_project_issues(t):
                                       busiest(t["issue"], "project_id"), 100, 100)
 
 
+@query("page_project_issues_keyset")
+def page_project_issues_keyset(t):
+    """P4 by keyset: the busiest project's second page of 100, fetched after the
+    cursor of row 100 instead of skipping rows (same rows as the offset page)."""
+    pid = busiest(t["issue"], "project_id")
+    base = t["issue"].filter(F.col("project_id") == pid).join(t["project"].select("project_id"), "project_id",
+                                                               "left_semi")
+    order = paging.ORDERS["project_issues"]
+    rows = paging.page_after(base, order, paging.cursor_of(base, order, 100), 100)
+    return enrich.issue_enriched(rows, t["project"], t["sprint"], t["user"]).orderBy(*paging.sort_columns(order))
+
+
 @query("page_sprint_issues")
 def page_sprint_issues(t):
     """P5: first page of the busiest sprint's issues, priority in alphabetical order."""
