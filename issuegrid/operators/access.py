@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ADMIN = "admin"
@@ -101,7 +101,7 @@ def visible_projects(project: DataFrame) -> DataFrame:
     return project
 
 
-def visible_users(user: DataFrame, viewer_id: int) -> DataFrame:
+def visible_users(user: DataFrame, viewer_id: int | Column) -> DataFrame:
     """The user list for one viewer — all users for an admin, else only the
     viewer's own row. Password hashes are never part of it."""
     viewer_is_admin = user.filter((F.col("user_id") == viewer_id) & (F.col("role") == ADMIN)).exists()
@@ -109,7 +109,7 @@ def visible_users(user: DataFrame, viewer_id: int) -> DataFrame:
     return public.filter(viewer_is_admin | (F.col("user_id") == viewer_id))
 
 
-def visible_issues(issue: DataFrame, project: DataFrame, user: DataFrame, viewer_id: int) -> DataFrame:
+def visible_issues(issue: DataFrame, project: DataFrame, user: DataFrame, viewer_id: int | Column) -> DataFrame:
     """G1 as a filter for one viewer: all issues for an admin, else the issues
     of the projects the viewer owns."""
     viewer_is_admin = user.filter((F.col("user_id") == viewer_id) & (F.col("role") == ADMIN)).exists()

@@ -44,3 +44,18 @@ SELECT DISTINCT viewer_id, project_id, user_id FROM (
   UNION ALL SELECT v.viewer_id, v.project_id, p.owner_id FROM v JOIN t_project p ON p.project_id = v.project_id) x
 WHERE user_id IS NOT NULL
 """)
+
+sql("visible_issues", """
+WITH v AS (SELECT owner_id AS viewer FROM t_project WHERE owner_id IS NOT NULL
+           GROUP BY owner_id ORDER BY count(*) DESC, owner_id LIMIT 1)
+SELECT i.* FROM t_issue i
+WHERE EXISTS (SELECT 1 FROM t_user u, v WHERE u.user_id = v.viewer AND u.role = 'admin')
+   OR i.project_id IN (SELECT p.project_id FROM t_project p, v WHERE p.owner_id = v.viewer)
+""")
+
+sql("visible_users", """
+WITH v AS (SELECT min(user_id) AS viewer FROM t_user WHERE role = 'admin')
+SELECT u.* FROM t_user u
+WHERE EXISTS (SELECT 1 FROM t_user a, v WHERE a.user_id = v.viewer AND a.role = 'admin')
+   OR u.user_id = (SELECT viewer FROM v)
+""")

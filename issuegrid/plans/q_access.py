@@ -56,3 +56,18 @@ def assignable_users(t):
     visits = (t["activity"].join(t["issue"].select("issue_id", "project_id"), "issue_id", "inner")
               .select(F.col("user_id").alias("viewer_id"), "project_id"))
     return access.assignable_users(visits, t["project"])
+
+
+@query("visible_issues")
+def visible_issues(t):
+    """G1 as a filter: the issues the owner of the most projects may read."""
+    from .q_pages import busiest
+    viewer = busiest(t["project"].filter(F.col("owner_id").isNotNull()), "owner_id")
+    return access.visible_issues(t["issue"], t["project"], t["user"], viewer)
+
+
+@query("visible_users")
+def visible_users(t):
+    """The user list as the first admin sees it (all users, public columns)."""
+    viewer = t["user"].filter(F.col("role") == access.ADMIN).select(F.min("user_id")).scalar()
+    return access.visible_users(t["user"], viewer)
