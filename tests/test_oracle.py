@@ -2,11 +2,12 @@
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SF_SMALL
+from issuegrid.plans.catalog import QUERIES
+from issuegrid.plans.oracle import oracle_sql
 from oracle_harness import compare, duck
 
-ORACLE = entry.oracle_sql()
+ORACLE = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,9 +17,9 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
-    res = compare(spark, name, SF_SMALL, entry.queries(), ORACLE, con)
+    res = compare(spark, name, SF_SMALL, QUERIES, ORACLE, con)
     assert res["ok"], res
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(ORACLE)
+    assert set(QUERIES) == set(ORACLE)

@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from conftest import SF_SMALL
 from issuegrid.operators import reports
+from issuegrid.plans.catalog import QUERIES
 from issuegrid.sources.fixture import fixture_tables
 
 SKIP = {"base_table_scan", "append_rows", "export_json", "list_files", "orphan_files", "missing_files",
@@ -16,9 +16,9 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SKIP))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SKIP))
 def test_no_nested_loop_or_cartesian(spark, name):
-    p = plan(entry.queries()[name](spark, SF_SMALL))
+    p = plan(QUERIES[name](spark, SF_SMALL))
     assert "NestedLoopJoin" not in p and "CartesianProduct" not in p
 
 
