@@ -10,9 +10,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import round_trip_digest
+from .decontam import contamination_digest
 from .minhash import near_duplicates
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the installed public tokenizer files lie (the same place on every machine)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,8 +31,20 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside occurrences of 13-word benchmark windows."""
+    return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's BPE ids and of their decoded text."""
+    return round_trip_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op9_bpe_encoding": op9_bpe_encoding,
 }
 
 ORACLES: dict[str, str] = {}
