@@ -14,6 +14,7 @@ from .bpe import round_trip_digest
 from .decontam import contamination_digest
 from .minhash import near_duplicates
 from .quality import quality_scores
+from .substrings import repeated_substrings_digest
 from .toxicity import toxicity_scores
 
 
@@ -48,6 +49,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that start earlier, as digests."""
+    return repeated_substrings_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's BPE ids and of their decoded text."""
     return round_trip_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_bpe_encoding": op9_bpe_encoding,
 }
 
