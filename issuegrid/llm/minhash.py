@@ -7,9 +7,9 @@
 3. The classes' signatures are cut into ``bands``; equal band values form a bucket.
    Each bucket gives a star: its centre against every other member, not all pairs.
 4. Candidates are confirmed on the full sets; confirmed links form components.
-5. What a star leaves open - members of one bucket that are still in different
-   components - is compared by signature in blocks inside tasks, and what may reach the
-   threshold is confirmed the same way, so no link hangs on which member was the centre.
+5. What the stars leave open - members of one bucket that are still in different
+   components - is compared on the full sets, block by block inside tasks, so no link
+   hangs on which member was the centre.
 """
 
 from __future__ import annotations
@@ -24,10 +24,7 @@ from .text import LOWER, SPACED_WORD, dropped, mixed, prefix_hash, saved, span_h
 
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
-#: Signatures are compared as one byte a bin. At the threshold (0.8 or more) about 102 of
-#: 128 bins agree with a deviation of 4.5; below this many a pair is taken as refuted.
-LEAST_AGREE = 72
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 2048, 500_000    # members, and shingles of theirs, that one block of an open cluster has at most
 _U = np.uint64
 
 
@@ -78,8 +75,8 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, n_shingles, set_a, set_b, buckets, sig)`` of every row; ``set_a, set_b`` tell
-    the set, ``buckets`` are the band keys, ``sig`` is the signature in one byte a bin."""
+    """``(doc_id, n_shingles, set_a, set_b, buckets)`` of every row; ``set_a, set_b`` tell the
+    set, ``buckets`` are the keys of its signature's bands."""
 
     def run(batches):
         for batch in batches:
@@ -96,17 +93,15 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
                     for r in range(ROWS):
                         bands = mixed(bands + sig.reshape(len(n), BANDS, ROWS)[:, :, r], r + 7)
                     bands += np.arange(BANDS, dtype=np.uint64)[None, :] * _U(0x9E3779B97F4A7C15)
-                    small = (mixed(sig, 9) & _U(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(csum[0]), pa.array(csum[1]),
                     pa.ListArray.from_arrays(np.arange(0, len(n) * BANDS + 1, BANDS, dtype=np.int32),
-                                             pa.array(bands.astype(np.int64).ravel())),
-                    pa.array([small[k].tobytes() for k in range(len(n))], pa.binary())],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "buckets", "sig"])
+                                             pa.array(bands.astype(np.int64).ravel()))],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "buckets"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_shingles bigint, set_a bigint, set_b bigint, buckets array<bigint>, sig binary")
+        run, f"doc_id {kind}, n_shingles bigint, set_a bigint, set_b bigint, buckets array<bigint>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -139,42 +134,75 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return both.select("a", "b", "ta", "tb").sortWithinPartitions("a").mapInArrow(run, "a bigint, b bigint")
 
 
-def _open_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and different components that their signatures don't refute.
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """``(id, set)``: the shingle hashes of each text, as bytes."""
 
-    Buckets are cut into blocks of :data:`BLOCK` members; a task compares two blocks at a
-    time, so a large bucket is many small rows of work and only pairs that may be links
-    leave the task.
+    def run(batches):
+        for batch in batches:
+            for i, j, data, offsets in text_chunks(batch):
+                hashes, bounds = shingle_sets(data, offsets, words)
+                raw = [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(raw, pa.binary())], ["id", "set"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, set binary")
+
+
+def _common(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of every set of ``rows`` with every set of ``cols``, as
+    products of the sets' incidence matrices, some thousand shingles at a time."""
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    keep = count[code] > 1
+    of, code = of[keep], shared[code[keep]]
+    order = np.argsort(code, kind="stable")
+    of, code = of[order], code[order]
+    out = np.zeros((len(rows), len(cols)), np.float32)
+    for lo in range(0, int(shared[-1]) + 1 if len(shared) else 0, 2048):
+        a, b = np.searchsorted(code, [lo, lo + 2048])
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[of[a:b], code[a:b] - lo] = 1
+        out += part[rows] @ part[cols].T
+    return out
+
+
+def _open_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one bucket that the stars left in different components.
+
+    Members connected by buckets form a cluster; a cluster is dealt into blocks of bounded
+    size, and a task compares the full sets of two blocks at a time by matrix products.
+    Nothing is emitted for a pair but the links that join two components.
     """
-    size = members.groupBy("bucket").agg(F.count("*").alias("size"))
-    dealt = members.join(size, "bucket").select(
-        "bucket", "id", "component", "n", "sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"),
-        F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block"))
-    # Every pair of blocks (x <= y) is one group; a member goes to the groups of its block.
-    groups = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-        F.struct("block", "id", "component", "n", "sig").alias("m"))
-    lists = groups.groupBy("bucket", "x", "y").agg(F.collect_list("m").alias("ms"))   # at most two blocks' members
+    low = left.groupBy("bucket").agg(F.min("id").alias("b"))
+    cluster = components(left.join(low, "bucket").select(F.col("id").alias("a"), "b")).withColumnRenamed("component", "cluster")
+    members = saved(left.select("id", "component", "n").distinct().join(cluster, "id"), "open")
+    size = members.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK)).cast("int").alias("blocks"))
+    dealt = members.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # Every two blocks (x <= y) are one piece of work; a member goes to the pieces of its block.
+    pieces = dealt.join(sets, "id").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+        F.struct("block", "id", "component", "set").alias("m"))
+    pieces = pieces.groupBy("cluster", "x", "y").agg(F.collect_list("m").alias("ms"))
 
     def run(batches):
         for batch in batches:
-            a, b = [], []
             for x, y, ms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 ms = ms.values
-                block, ids, comp, n = (ms.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                sig = np.frombuffer(b"".join(ms.field(4).to_pylist()), np.uint8).reshape(-1, BINS)
-                left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-                for k in left:
-                    r = right[(comp[right] != comp[k]) & (100 * np.minimum(n[right], n[k]) >= percent * np.maximum(n[right], n[k]))]
-                    if x == y:
-                        r = r[ids[r] > ids[k]]
-                    r = r[(sig[r] == sig[k]).sum(1) >= LEAST_AGREE]
-                    a.append(np.minimum(ids[r], ids[k]))
-                    b.append(np.maximum(ids[r], ids[k]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a) if a else [], pa.int64()),
-                                              pa.array(np.concatenate(b) if b else [], pa.int64())], ["a", "b"])
-
-    return lists.select("x", "y", "ms").mapInArrow(run, "a bigint, b bigint").distinct()
+                block, ids, label = (ms.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                label, found = label.copy(), []
+                sets = [np.frombuffer(b, np.uint64) for b in ms.field(3).to_pylist()]
+                rows, cols = np.flatnonzero(block == x), np.flatnonzero(block == y)
+                n = np.array([len(s) for s in sets])
+                both = _common(sets, rows, cols)
+                linked = 100 * both >= percent * (n[rows][:, None] + n[cols][None, :] - both)
+                for k in np.flatnonzero(linked.any(1)):
+                    for j in cols[linked[k]]:
+                        if label[j] != label[rows[k]]:
+                            found.append((ids[rows[k]], ids[j]))
+                            label[label == label[j]] = label[rows[k]]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+    return pieces.select("x", "y", "ms").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
@@ -190,12 +218,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     """
     prints = saved(fingerprints(docs, words), "prints")
     classes = prints.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(
-        F.min("doc_id").cast("bigint").alias("id"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig"))
+        F.min("doc_id").cast("bigint").alias("id"), F.first("buckets").alias("buckets"))
     classes = saved(classes, "classes")
     listed = classes.select(F.explode("buckets").alias("bucket"), "id", F.col("n_shingles").alias("n"))
-    shared = listed.groupBy("bucket").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("id").alias("o"), "id", "n")).alias("c"))
-    shared = shared.where("k > 1").select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("m"))
-    members = saved(listed.join(shared, "bucket"), "members")
+    met = listed.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    met = saved(listed.join(met, "bucket"), "met")
+    # A bucket's centre is its member with the most company over all buckets: the text that
+    # its copies were made from rather than one of them.
+    company = met.groupBy("id").agg(F.sum("k").alias("company"))
+    centre = F.max(F.struct("company", -F.col("id"), "n"))
+    stars_of = met.join(company, "id").groupBy("bucket").agg(centre.alias("c"))
+    members = saved(met.join(stars_of.select("bucket", (-F.col("c.col2")).alias("centre"), F.col("c.n").alias("m")), "bucket"), "members")
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     stars = members.where((F.col("id") != F.col("centre")) & near).select(
         F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
@@ -209,9 +242,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     labelled = members.select("bucket", "id", "n").join(found, "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
     still = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    left = labelled.join(still.select("bucket"), "bucket", "left_semi").join(classes.select("id", "sig"), "id")
-    more = _open_pairs(left, percent).join(stars, ["a", "b"], "left_anti")
-    more = saved(confirmed(more, texts, words, percent), "more")
+    left = saved(labelled.join(still.select("bucket"), "bucket", "left_semi"), "left")
+    more = saved(_open_links(left, _sets(texts.join(left.select("id").distinct(), "id", "left_semi"), words), percent), "more")
     ends = components(links.unionAll(more))
 
     of_class = classes.select("set_a", "set_b", "n_shingles", "id").join(ends, "id", "left").select(
@@ -219,6 +251,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     out = prints.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    for t in (members, stars, texts, links, more, found):
-        dropped(t) if t is not None else None
+    for t in (met, members, stars, texts, links, left, more, found):
+        dropped(t)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
