@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip_digest
 from .decontam import contamination_digest
+from .egojoin import near_vectors
 from .minhash import near_duplicates
 from .quality import quality_scores
 from .substrings import repeated_substrings_digest
 from .toxicity import toxicity_scores
+from .urlfilter import url_verdicts
 
 
 def tokenizer_path(name: str) -> str:
@@ -59,13 +61,25 @@ def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with cosine 0.95 or more."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_bpe_encoding": op9_bpe_encoding,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES: dict[str, str] = {}
