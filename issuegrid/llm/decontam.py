@@ -193,15 +193,17 @@ def _blocks(benchmark: DataFrame, window: int):
             yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """``(doc_id, text, n_words, n_hit, n_items, items, hits, contaminated)`` for every row of ``docs``.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20,
+                  keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, text, n_words, n_hit, n_items, items, hits, contaminated, *keep)`` for every row of ``docs``.
 
     ``items`` are the ids of items with a window in the text, sorted as strings; ``hits``
     the hit stretches as flat ``start, end`` byte places of the UTF-8 text;
     ``contaminated``: words are hit, and ``share * n_hit >= n_words``. A null or empty text
     has no words; an item without words has no window; rows of one item_id are one item
     with several texts; an item without id counts as one item with the id "" ; repeated
-    documents are judged row by row; other columns are ignored. Nothing is shuffled.
+    documents are judged row by row; ``keep`` columns are passed on, others ignored. Nothing
+    is shuffled.
 
     The automata are broadcast one after another, each of bounded size; between two of
     them the rows are written to the shared folder.
@@ -211,7 +213,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     def run(batches, block):
         matcher = Matcher(block.value, window)
         for batch in batches:
-            had_items, had_hits = batch.column(2), batch.column(3)
+            had_items, had_hits, kept = batch.column(2), batch.column(3), batch.column(4)
             for i, j, data, offsets in text_chunks(batch):
                 data = LOWER[data]
                 starts, ends, first = word_spans(data, offsets, PLAIN_WORD)
@@ -242,22 +244,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i),
                     pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(flat, pa.list_(pa.int64())),
-                    pa.array(n_words.astype(np.int64)), pa.array((total[first[1:]] - total[first[:-1]]).astype(np.int64))],
-                    ["doc_id", "text", "items", "hits", "n_words", "n_hit"])
-
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, text string, items array<string>, hits array<bigint>, n_words bigint, n_hit bigint"
-    out, passes = docs.select("doc_id", "text", F.array().cast("array<string>").alias("items"),
-                              F.array().cast("array<bigint>").alias("hits")), 0
+                    pa.array(n_words.astype(np.int64)), pa.array((total[first[1:]] - total[first[:-1]]).astype(np.int64)),
+                    kept.slice(i, j - i)], ["doc_id", "text", "items", "hits", "n_words", "n_hit", "kept"])
+
+    # ``keep`` travels as one struct, so its names cannot clash with the operator's.
+    rows = docs.select("doc_id", "text", F.array().cast("array<string>").alias("items"), F.array().cast("array<bigint>").alias("hits"),
+                       (F.struct(*keep) if keep else F.lit(None).cast("int")).alias("kept"))
+    types = dict(rows.dtypes)
+    schema = f"doc_id {types['doc_id']}, text string, items array<string>, hits array<bigint>, n_words bigint, n_hit bigint, kept {types['kept']}"
+    out, passes = rows, 0
     for block in _blocks(benchmark, window):
         if passes:
-            out = saved(out, "hits").select("doc_id", "text", "items", "hits")
+            out = saved(out, "hits").select("doc_id", "text", "items", "hits", "kept")
         out = out.mapInArrow(functools.partial(run, block=spark.sparkContext.broadcast(block)), schema)
         passes += 1
     if not passes:                       # a benchmark without words: only the words are counted
         out = out.mapInArrow(functools.partial(run, block=spark.sparkContext.broadcast([])), schema)
     return out.select("doc_id", "text", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", "hits",
-                      ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))
+                      ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"),
+                      *(F.col(f"kept.{c}").alias(c) for c in keep))
 
 
 def without_hits(judged: DataFrame, whole_text: bool = True) -> DataFrame:

@@ -80,18 +80,19 @@ def text_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns of every row and its :data:`STATISTICS` as double columns."""
-    ddl = ", ".join([*(f"{c} {t}" for c, t in docs.select(*keep).dtypes), *(f"{s} double" for s in STATISTICS)])
+    """The ``keep`` columns of every row as one struct ``kept`` (so no name can clash), and its
+    :data:`STATISTICS` as double columns."""
+    rows = docs.select(F.struct(*keep).alias("kept"), "text")
+    ddl = ", ".join([f"kept {dict(rows.dtypes)['kept']}", *(f"{s} double" for s in STATISTICS)])
 
     def run(batches):
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch):
                 stats = text_statistics(data, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(i, j - i) for k in range(len(keep))), *(pa.array(np.ascontiguousarray(s)) for s in stats.T)],
-                    [*keep, *STATISTICS])
+                    [batch.column(0).slice(i, j - i), *(pa.array(np.ascontiguousarray(s)) for s in stats.T)], ["kept", *STATISTICS])
 
-    return docs.select(*keep, "text").mapInArrow(run, ddl)
+    return rows.mapInArrow(run, ddl)
 
 
 @dataclass(frozen=True)
@@ -180,7 +181,7 @@ def score_column(intercept: float, rules: list[tuple[Rule, float]]) -> Column:
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Column:
     """:func:`score_column` of rules fitted on at most ``rows`` labelled documents (those whose
     crc32(doc_id) mod 3 is not 1)."""
-    sample = with_statistics(training_rows(docs, labels, "quality", 3, 1, rows), "doc_id", "label").toPandas()
+    sample = with_statistics(training_rows(docs, labels, "quality", 3, 1, rows), "doc_id", "label").select("kept.*", *STATISTICS).toPandas()
     sample = sample.sort_values("doc_id", kind="stable")
     return score_column(*fit_rules(sample[STATISTICS].to_numpy(float), sample["label"].to_numpy(float)))
 
@@ -193,6 +194,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -
     looked at. Without labels every score is the prior 0.5. Nothing but the bounded sample
     leaves the tasks.
     """
-    return with_statistics(docs, "doc_id").select(
+    return with_statistics(docs, "doc_id").select("kept.doc_id", *STATISTICS).select(
         "doc_id", held_out(3, 1).alias("held_out"), fitted(docs, labels, rows).alias("score")).select(
         "*", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -14,8 +14,10 @@ from .bpe import round_trip_digest
 from .decontam import contamination_digest
 from .egojoin import near_vectors
 from .minhash import near_duplicates
+from .packing import packed_rows
 from .quality import quality_scores
 from .substrings import repeated_substrings_digest
+from .tokencount import token_counts
 from .toxicity import toxicity_scores
 from .urlfilter import url_verdicts
 
@@ -41,6 +43,11 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram piece counts of every document."""
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside occurrences of 13-word benchmark windows."""
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -56,6 +63,11 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids packed into rows of 2048."""
+    return packed_rows(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op9_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's BPE ids and of their decoded text."""
     return round_trip_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -74,10 +86,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_token_counts": op3_token_counts,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_token_packing": op8_token_packing,
     "op9_bpe_encoding": op9_bpe_encoding,
     "op10_url_filter": op10_url_filter,
 }

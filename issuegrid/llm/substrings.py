@@ -319,11 +319,25 @@ def _spans(marks: dict[str, np.ndarray], length: int) -> np.ndarray:
     return np.stack([a[first], b[np.append(first[1:], len(a)) - 1]], 1) if len(a) else np.zeros((0, 2), np.int64)
 
 
-def repeated_substrings(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
+def _on_characters(raw: bytes, spans: np.ndarray) -> np.ndarray:
+    """Stretches shrunk to the whole UTF-8 characters in them."""
+    out = []
+    for a, b in spans.tolist():
+        while a < b and raw[a] & 0xC0 == 0x80:                         # begins inside a character
+            a += 1
+        while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:        # ends inside one
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def repeated_substrings(docs: DataFrame, length: int = 100, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """``(doc_id, n_bytes, spans, kept, *carry)`` for every row of ``docs (doc_id, text)``.
 
     ``spans``: the removed stretches as flat ``start, end`` byte places; ``kept``: the bytes
-    left. Null counts as an empty text; a text shorter than ``length`` keeps all. Rows
+    left. With ``whole_characters`` a stretch leaves out characters that it covers only in
+    part, so what is kept is text. Null counts as an empty text; a text shorter than ``length`` keeps all. Rows
     without doc_id come before all others. Rows with one doc_id and one text are one
     document (each gets the result); different texts under one doc_id are documents in the
     order of a hash of their texts. ``carry`` columns are passed on; other columns are ignored.
@@ -380,6 +394,8 @@ def repeated_substrings(docs: DataFrame, length: int = 100, carry: tuple[str, ..
                     marks = _sorted_by_document(MARKS, marks)
                 spans = _spans(_of_document(marks, MARKS, d, h), length)
                 raw, at, kept = zstandard.decompress(text), 0, []
+                if whole_characters:
+                    spans = _on_characters(raw, spans)
                 for a, b in spans.tolist():
                     kept.append(raw[at:a])
                     at = b
