@@ -344,7 +344,7 @@ def repeated_substrings(docs: DataFrame, length: int = 100, carry: tuple[str, ..
     """
     spark = docs.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 2 * spread
+    parts = spread
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("d"), F.hash(text).alias("h"), text.alias("text"),
                         F.struct(F.col("doc_id"), *carry).alias("row"))
