@@ -175,7 +175,7 @@ def _open_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     low = left.groupBy("bucket").agg(F.min("id").alias("b"))
     cluster = components(left.join(low, "bucket").select(F.col("id").alias("a"), "b")).withColumnRenamed("component", "cluster")
-    members = saved(left.select("id", "component", "n").distinct().join(cluster, "id"), "open")
+    members = left.select("id", "component", "n").distinct().join(cluster, "id")
     size = members.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK)).cast("int").alias("blocks"))
     dealt = members.join(size, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # Every two blocks (x <= y) are one piece of work; a member goes to the pieces of its block.
@@ -221,36 +221,37 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
         F.min("doc_id").cast("bigint").alias("id"), F.first("buckets").alias("buckets"))
     classes = saved(classes, "classes")
     listed = classes.select(F.explode("buckets").alias("bucket"), "id", F.col("n_shingles").alias("n"))
-    met = listed.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
-    met = saved(listed.join(met, "bucket"), "met")
-    # A bucket's centre is its member with the most company over all buckets: the text that
-    # its copies were made from rather than one of them.
-    company = met.groupBy("id").agg(F.sum("k").alias("company"))
-    centre = F.max(F.struct("company", -F.col("id"), "n"))
-    stars_of = met.join(company, "id").groupBy("bucket").agg(centre.alias("c"))
-    members = saved(met.join(stars_of.select("bucket", (-F.col("c.col2")).alias("centre"), F.col("c.n").alias("m")), "bucket"), "members")
+    centre = F.min(F.struct(F.xxhash64("id").alias("o"), "id", "n")).alias("c")    # the same text in many buckets
+    shared = listed.groupBy("bucket").agg(F.count("*").alias("k"), centre).where("k > 1")
+    members = saved(listed.join(shared.select("bucket", F.col("c.id").alias("centre"), F.col("c.n").alias("m")), "bucket"), "members")
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     stars = members.where((F.col("id") != F.col("centre")) & near).select(
         F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     ids = members.select("id").distinct()
     texts = saved(docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), "text")
                   .join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    stars = saved(stars, "stars")
     links = saved(confirmed(stars, texts, words, percent), "links")
-    found = saved(components(links), "found")
+    found = components(links)
 
     labelled = members.select("bucket", "id", "n").join(found, "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
     still = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     left = saved(labelled.join(still.select("bucket"), "bucket", "left_semi"), "left")
     more = saved(_open_links(left, _sets(texts.join(left.select("id").distinct(), "id", "left_semi"), words), percent), "more")
-    ends = components(links.unionAll(more))
+    # What the open links join are components: only those move.
+    if not more.isEmpty():
+        of = lambda side: F.col(f"{side}.component")
+        label = labelled.select("id", "component").distinct()
+        moved = more.join(label.alias("x"), F.col("a") == F.col("x.id")).join(label.alias("y"), F.col("b") == F.col("y.id"))
+        moved = components(moved.select(of("x").alias("a"), of("y").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("to"))
+        found = label.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    ends = found
 
     of_class = classes.select("set_a", "set_b", "n_shingles", "id").join(ends, "id", "left").select(
         "set_a", "set_b", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = prints.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    for t in (met, members, stars, texts, links, left, more, found):
-        dropped(t)
+    dropped(texts)
+    dropped(left)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
