@@ -14,6 +14,7 @@ from .bpe import round_trip_digest
 from .decontam import contamination_digest
 from .egojoin import near_vectors
 from .minhash import near_duplicates
+from .oracles import ORACLES  # noqa: F401
 from .packing import packed_rows
 from .quality import quality_scores
 from .substrings import repeated_substrings_digest
@@ -95,5 +96,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_encoding": op9_bpe_encoding,
     "op10_url_filter": op10_url_filter,
 }
-
-ORACLES: dict[str, str] = {}

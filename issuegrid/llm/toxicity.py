@@ -23,7 +23,7 @@ TRAIN_ROWS = 4000
 WINDOW, STRIDE = 32, 16
 WORD, CHAR, HIDDEN = 8, 4, 8
 LEAST_SEEN, VOCABULARY = 5, 30_000
-EPOCHS, BATCH, RATE = 4, 64, 0.02
+STEPS, BATCH, RATE = 250, 64, 0.02
 _F = np.float32
 
 
@@ -156,8 +156,9 @@ def _backward(p, x, index, mask, kept, g):
     return d, dx
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
-    """The trained network for texts and their 0/1 labels; the outcome depends on nothing else."""
+def train(texts: list[str], labels: np.ndarray, steps: int = STEPS) -> dict[str, np.ndarray]:
+    """The network after ``steps`` batches of texts with 0/1 labels, going over them as often as
+    that takes; the outcome depends on nothing else."""
     raw = [t.encode() for t in texts]
     docs = [(np.frombuffer(t, np.uint8), *_words(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[:3]) for t in raw]
     seen = [np.unique(d[1]) for d in docs]
@@ -183,9 +184,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> dict[st
     places = [_places(vocabulary, d[1]) for d in docs]
     with_words = [k for k, d in enumerate(docs) if len(d[1])]
     m, v, step, r = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0, np.random.default_rng(2)
-    total = epochs * -(-len(with_words) // BATCH)
-    for _ in range(epochs):
-        for chosen in np.array_split(r.permutation(with_words), max(1, -(-len(with_words) // BATCH))):
+    while with_words and step < steps:
+        for chosen in np.array_split(r.permutation(with_words), -(-len(with_words) // BATCH))[:steps - step]:
             first = np.concatenate([[0], np.cumsum([len(docs[k][1]) for k in chosen])])
             shift = np.concatenate([[0], np.cumsum([len(docs[k][0]) for k in chosen])])
             data = np.concatenate([docs[k][0] for k in chosen])
@@ -210,7 +210,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS) -> dict[st
                 bytes_of[q] = np.bincount(data[starts[w]:ends[w]], minlength=256) / (ends[w] - starts[w])
             grad["char"] = bytes_of.T @ dx[:, WORD:]
             step += 1
-            rate = RATE * (1 - step / (total + 1))
+            rate = RATE * (1 - step / (steps + 1))
             for k, a in grad.items():                  # Adam
                 m[k] = 0.9 * m[k] + 0.1 * a
                 v[k] = 0.99 * v[k] + 0.01 * a * a

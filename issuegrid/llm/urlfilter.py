@@ -88,11 +88,10 @@ def _threshold(scores: DataFrame) -> float:
     good, bad = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not good or not bad:
         return 0.0
-    below_bad, above_good, best = 0, good, (good, 0.0)
-    best = (1.0, rows[0][0] / 50)
-    for b, g, x in rows:
+    below_bad, above_good, best = 0, good, (1.0, rows[0][0] / 50)
+    for (b, g, x), after in zip(rows, [*(r[0] for r in rows[1:]), rows[-1][0] + 1], strict=True):
         below_bad, above_good = below_bad + x, above_good - g
-        best = min(best, (below_bad / bad + above_good / good, (b + 1) / 50))
+        best = min(best, (below_bad / bad + above_good / good, (b + 1 + after) / 100))   # the middle of the gap
     return best[1]
 
 
