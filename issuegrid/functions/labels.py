@@ -139,14 +139,14 @@ def blank_to_null(c: str | Column) -> Column:
 
 def text_to_int(c: str | Column) -> Column:
     """Form text to an integer id / points; anything not a whole number
-    (including '5abc', which the page's parser would accept) gives null."""
-    c = _c(c)
-    return F.when(F.trim(c).rlike(r"^[+-]?[0-9]{1,9}$"), F.trim(c).cast("int"))
+    (including '5abc', which the page's parser would accept) or outside INT gives null."""
+    return F.regexp_extract(_c(c), r"\A\s*([+-]?[0-9]+)\s*\z", 1).try_cast("int")
 
 
 def non_blank(c: str | Column) -> Column:
-    """True when the text has a non-space character."""
-    return F.trim(_c(c)) != ""
+    """True when the text has a character other than white space (as the page's trim
+    takes it: also no-break, line and other Unicode spaces)."""
+    return _c(c).rlike(r"[^\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 def now_param(ts: str) -> Column:

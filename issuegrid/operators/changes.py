@@ -24,7 +24,7 @@ from ..schema import (AUTO_UPDATE_COLUMNS, COLUMN_DEFAULTS, FOREIGN_KEYS, INSERT
 from ..session import checkpoint_dir
 from .common import lookup
 from .lookup import insensitive, not_equal
-from .quality import row_rules
+from .quality import SAME_PROJECT_KEYS, row_rules
 
 DEFAULT_NOW = "2025-01-01 00:00:00"
 
@@ -45,33 +45,29 @@ def _or(cols: list[Column]) -> Column:
 
 # ---------------------------------------------------------------- D2 assign_ids
 
-def assign_ids(df: DataFrame, id_col: str, order_by: list[str], start_after: Column | int = 0,
-               checkpoint: bool = True) -> DataFrame:
-    """Dense ids ``start_after + 1 … start_after + n`` in ``order_by`` order.
+def assign_ids(df: DataFrame, id_col: str, order_by: list[str], start_after: Column | int = 0) -> DataFrame:
+    """Dense BIGINT ids ``start_after + 1 … start_after + n`` in ``order_by`` order.
 
     Equal to ``start_after + row_number() OVER (ORDER BY order_by)`` without the
-    single-task window: the rows are range-partitioned and sorted, each row's
-    position inside its partition comes from ``monotonically_increasing_id``,
-    and a prefix sum over the per-partition counts (one row per partition, the
-    only broadcast — its size is the partition count) gives each partition's
-    offset. ``order_by`` must be a total order (end with a unique column) so a
-    re-run assigns the same ids; with ``checkpoint`` the result is written to
-    the shared checkpoint folder once, so a lost executor cannot renumber it.
+    single-task window. The rows are range-partitioned, sorted and written **once** to
+    the shared checkpoint folder together with their partition and position
+    (``monotonically_increasing_id``); the per-partition counts and the rows are both
+    taken from that copy, so the counts belong to the rows however the range bounds
+    were drawn, and a lost executor cannot renumber them. A prefix sum over the counts
+    (one row per partition, the only broadcast) gives each partition's offset.
+    ``order_by`` must be a total order (end with a unique column).
     """
-    sorted_rows = df.orderBy(*order_by).withColumn("__mid", F.monotonically_increasing_id())
-    sorted_rows = (sorted_rows.withColumn("__part", F.shiftright("__mid", 33))
-                   .withColumn("__local", F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))))
-    counts = sorted_rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    checkpoint_dir(df.sparkSession)
+    rows = df.orderBy(*order_by).withColumn("__mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    rows = (rows.withColumn("__part", F.shiftright("__mid", 33))
+            .withColumn("__local", F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     base = start_after if isinstance(start_after, Column) else F.lit(start_after)
-    out = (sorted_rows.join(F.broadcast(offsets), "__part")
-           .withColumn(id_col, (base + F.col("__off") + F.col("__local") + 1).cast("int"))
-           .drop("__mid", "__part", "__local", "__off"))
-    if checkpoint:
-        checkpoint_dir(out.sparkSession)
-        out = out.checkpoint(eager=True)
-    return out
+    return (rows.join(F.broadcast(offsets), "__part")
+            .withColumn(id_col, (base + F.col("__off") + F.col("__local") + 1).cast("long"))
+            .drop("__mid", "__part", "__local", "__off"))
 
 
 def max_id(df: DataFrame, id_col: str) -> Column:
@@ -81,6 +77,7 @@ def max_id(df: DataFrame, id_col: str) -> Column:
 
 # ---------------------------------------------------------------- D1 insert_rows
 
+RAW_HOURS = "decimal(20,6)"   # hours as sent, before they are rounded and narrowed
 ACTING_USER_COLUMN = {"project": "owner_id", "issue": "reporter_id", "comment": "user_id",
                       "worklog": "user_id", "attachment": "user_id"}
 CREATED_COLUMN = {"user": "created_at", "project": "created_at", "sprint": "created_at",
@@ -100,7 +97,8 @@ def insert_rows(table: str, requests: DataFrame, tables: dict[str, DataFrame], n
     checked against the row rules (§ validity), its foreign keys must resolve
     (the database's unknown-parent error) and its unique keys must be free (D10).
     Accepted rows get ids after the table's largest id, in ``request_key``
-    order (D2).
+    order (D2). An issue's sprint and parent must be in its project (V12, V13). Hours are
+    tested as sent; an accepted value is then rounded half-even to two places (X10).
 
     Returns ``(accepted, rejected)``; ``rejected`` = requests + ``reasons``.
     """
@@ -120,7 +118,7 @@ def insert_rows(table: str, requests: DataFrame, tables: dict[str, DataFrame], n
         elif f.name == CREATED_COLUMN.get(table):
             c = now_c
         elif f.name in requests.columns:
-            c = F.col(f.name).cast(f.dataType)
+            c = F.col(f.name).cast(RAW_HOURS if f.name == "hours_logged" else f.dataType)
             if f.name in defaults:
                 c = F.coalesce(c, F.lit(defaults[f.name]).cast(f.dataType))
         elif f.name in defaults:
@@ -131,16 +129,20 @@ def insert_rows(table: str, requests: DataFrame, tables: dict[str, DataFrame], n
     rows = requests.select(F.col(request_key), *cols)
     rules = [(code, broken) for code, broken in row_rules(table, rows.columns) if not code.startswith(f"{pk}:")]
     checked = rows.withColumn("reasons", F.array_compact(F.array(*[F.when(b, F.lit(c)) for c, b in rules])))
-    # Foreign keys must resolve: one left join per key against the parent's ids.
+    # Foreign keys must resolve: one left join per key against the parent's ids (and, for an
+    # issue's sprint and parent, their project).
     for fk in FOREIGN_KEYS:
         if fk.child != table or fk.parent not in tables:
             continue
-        parent_ids = tables[fk.parent].select(fk.parent_key).distinct().withColumn("__hit", F.lit(True))
-        checked = (lookup(checked, parent_ids, fk.column, fk.parent_key, {"__hit": "__hit"}, spread_by=request_key)
-                   .withColumn("reasons", F.when(F.col(fk.column).isNotNull() & F.col("__hit").isNull(),
-                                                 F.concat("reasons", F.array(F.lit(f"{fk.column}:unknown_parent"))))
-                               .otherwise(F.col("reasons")))
-                   .drop("__hit"))
+        same = table == "issue" and fk.column in SAME_PROJECT_KEYS
+        parent = tables[fk.parent].select(F.col(fk.parent_key).alias("__k"), F.lit(True).alias("__hit"),
+                                          (F.col("project_id") if same else F.lit(None).cast("int")).alias("__proj"))
+        given = F.col(fk.column).isNotNull()
+        missing = F.when(given & F.col("__hit").isNull(), F.lit(f"{fk.column}:unknown_parent"))
+        other = F.when(given & (F.col("__proj") != F.col("project_id")), F.lit(f"{fk.column}:other_project"))
+        checked = (lookup(checked, parent, fk.column, "__k", {"__hit": "__hit", "__proj": "__proj"}, spread_by=request_key)
+                   .withColumn("reasons", F.concat("reasons", F.array_compact(F.array(missing, *([other] if same else [])))))
+                   .drop("__hit", "__proj"))
     if table in tables and any(t == table for t, _ in UNIQUE_KEYS):
         # Unique keys (insensitive) must be free in the table and not
         # claimed by an earlier request that passes every other rule.
@@ -152,6 +154,8 @@ def insert_rows(table: str, requests: DataFrame, tables: dict[str, DataFrame], n
                                .otherwise(F.col("reasons")))
                    .drop("__dup"))
     accepted = checked.filter(F.size("reasons") == 0).drop("reasons")
+    if "hours_logged" in accepted.columns:                             # X10, then the stored width
+        accepted = accepted.withColumn("hours_logged", F.bround("hours_logged", 2).cast(schema["hours_logged"].dataType))
     rejected = checked.filter(F.size("reasons") > 0)
     if assign:
         start = max_id(tables[table], pk) if table in tables else F.lit(0)
@@ -178,17 +182,21 @@ def auto_touch(old: DataFrame, new: DataFrame, table: str, now: str | Column | N
 # ---------------------------------------------------------------- D3 apply_patches
 
 def apply_patches(table: str, df: DataFrame, patches: DataFrame, now: str | Column | None = None,
-                  change_key: str = "change_id") -> tuple[DataFrame, DataFrame]:
+                  change_key: str = "change_id", parents: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """D3: general updates. A patch row carries ``pk``, ``set_fields`` and one
     column per field. Only fields named in ``set_fields`` change — a field set to
     null becomes null, an absent field keeps its value — and fields outside the
     table's allow-list are ignored. A patch that would break a row rule (e.g. an
-    unknown priority) is rejected whole, as is a patch for an unknown row. Rows
-    whose content really changed get ``now`` as last-changed instant (D8).
+    unknown priority) is rejected whole, as is a patch for an unknown row or one that
+    sets a foreign key to a row that does not exist (``parents``: the parent tables;
+    the table itself is always known). Rows that some accepted patch really changed on
+    the way, even if a later one changed them back, get ``now`` as last-changed
+    instant (D8).
 
-    Plan: valid patches are reduced to one row per key (the last setter of each
-    field, a partial-aggregated ``max``), joined once to the table; the D8 test
-    compares the set values with the old ones in the same projection.
+    Plan: valid patches are reduced to one row per key (per field the last setter, the
+    smallest and the largest value and whether a null was set; all partial aggregates),
+    joined once to the table; the D8 test compares them with the old values in the
+    same projection.
 
     Returns ``(new_table, rejected_patches)``.
     """
@@ -196,21 +204,38 @@ def apply_patches(table: str, df: DataFrame, patches: DataFrame, now: str | Colu
     allowed = [f for f in PATCH_ALLOW[table] if f in patches.columns and f in df.columns]
     types = {f.name: f.dataType for f in SCHEMAS[table].fields}
     probe = patches.select(F.col(change_key), F.col("pk"), "set_fields",
-                           *[F.col(f).cast(types[f]).alias(f) for f in allowed])
+                           *[F.col(f).cast(RAW_HOURS if f == "hours_logged" else types[f]).alias(f) for f in allowed])
     checks = [F.when(F.array_contains("set_fields", code.split(":")[0]) & broken, F.lit(code))
               for code, broken in row_rules(table, allowed)]
     probe = probe.withColumn("reasons", F.array_compact(F.array(*checks)) if checks
                              else F.array().cast("array<string>"))
+    known = {**(parents or {}), table: df}
+    for fk in FOREIGN_KEYS:
+        if fk.child != table or fk.column not in allowed or fk.parent not in known:
+            continue
+        keys = known[fk.parent].select(F.col(fk.parent_key).alias("__k"), F.lit(True).alias("__hit"))
+        bad = F.array_contains("set_fields", fk.column) & F.col(fk.column).isNotNull() & F.col("__hit").isNull()
+        probe = (lookup(probe, keys, fk.column, "__k", {"__hit": "__hit"}, spread_by=change_key)
+                 .withColumn("reasons", F.when(bad, F.concat("reasons", F.array(F.lit(f"{fk.column}:unknown_parent"))))
+                             .otherwise(F.col("reasons"))).drop("__hit"))
     probe = _unique_conflicts(table, df, probe, allowed, change_key)
     good = probe.filter(F.size("reasons") == 0)
     unknown = (good.join(df.select(F.col(pk).alias("pk")), "pk", "left_anti")
                .withColumn("reasons", F.array(F.lit(f"{pk}:not_found"))))
     rejected = probe.filter(F.size("reasons") > 0).unionByName(unknown)
-    last = good.groupBy("pk").agg(*[
-        F.max(F.when(F.array_contains("set_fields", f), F.struct(F.col(change_key).alias("k"), F.col(f).alias("v"))))
-        .alias(f"__set_{f}") for f in allowed])
+    if "hours_logged" in allowed:                                      # X10, then the stored width
+        good = good.withColumn("hours_logged", F.bround("hours_logged", 2).cast(types["hours_logged"]))
+    per_field = []
+    for f in allowed:
+        sets, v = F.array_contains("set_fields", f), F.col(f)
+        per_field += [F.max(F.when(sets, F.struct(F.col(change_key).alias("k"), v.alias("v")))).alias(f"__set_{f}"),
+                      F.min(F.when(sets, v)).alias(f"__lo_{f}"), F.max(F.when(sets, v)).alias(f"__hi_{f}"),
+                      F.max(F.when(sets & v.isNull(), 1)).alias(f"__nul_{f}")]
+    last = good.groupBy("pk").agg(*per_field)
     joined = df.join(last.withColumnRenamed("pk", pk), pk, "left")
-    changed = _or([F.col(f"__set_{f}").isNotNull() & not_equal(f"__set_{f}.v", f) for f in allowed])
+    moved = lambda f: F.when(F.col(f).isNull(), F.col(f"__hi_{f}").isNotNull()).otherwise(
+        F.col(f"__nul_{f}").isNotNull() | (F.col(f"__lo_{f}") != F.col(f)) | (F.col(f"__hi_{f}") != F.col(f)))
+    changed = _or([F.col(f"__set_{f}").isNotNull() & moved(f) for f in allowed])
     auto = AUTO_UPDATE_COLUMNS.get(table)
     if auto in df.columns:
         joined = joined.withColumn(auto, F.when(changed, _now(now)).otherwise(F.col(auto)))
@@ -431,33 +456,51 @@ def issue_touch(issue: DataFrame, events: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- D10 duplicates
 
 def reject_duplicates(table: str, existing: DataFrame, new: DataFrame,
-                      request_key: str = "request_id") -> DataFrame:
-    """``(request_key, accepted, reasons)`` for each new row. A row is
-    refused when a unique natural key (insensitive collation) is already taken
-    by an existing row or by an earlier request of the same batch.
-
-    Per key column: existing rows are cut to the keys the batch asks for
-    (semi-join on the collated key), the winner of each key is one ``min``
-    aggregate over (existing first, then request order), and the losing
-    requests are flagged. All flags meet in one aggregation per request."""
+                      request_key: str = "request_id", rounds: int = 20) -> DataFrame:
+    """``(request_key, accepted, reasons)`` for each new row, as if the requests came
+    one by one: a row is refused when one of its unique natural keys (insensitive
+    collation) is held by an existing row or by an earlier **accepted** request; a
+    refused request holds no key.
+
+    Requests with a key of an existing row are refused at once. Of the others, those
+    that are first on all their keys are accepted and the later ones that share a key
+    with them are refused; the rest goes through the next round. Each round is a few
+    aggregates and joins on the keys and is written to the shared folder; a chain of
+    refusals deeper than ``rounds`` raises an error rather than give a guess.
+    """
     pk = PRIMARY_KEYS[table]
-    flags = [new.select(F.col(request_key).cast("long").alias("__id"),
-                        F.lit(None).cast("struct<o:int,r:string>").alias("__f"))]
     columns = [c for t, c in UNIQUE_KEYS if t == table and c in new.columns]
-    for order, column in enumerate(columns):
-        asked = (new.select(F.col(request_key).cast("long").alias("__id"), insensitive(column).alias("__ck"))
-                 .filter(F.col("__ck").isNotNull()))
-        taken = (existing.select(F.col(pk).cast("long").alias("__id"), insensitive(column).alias("__ck"))
-                 .join(asked.select("__ck").distinct(), "__ck", "left_semi"))
-        cand = (taken.select("__ck", F.struct(F.lit(0).alias("g"), "__id").alias("__c"))
-                .unionByName(asked.select("__ck", F.struct(F.lit(1).alias("g"), "__id").alias("__c"))))
-        winners = cand.groupBy("__ck").agg(F.min("__c").alias("__w"))
-        lost = (asked.join(winners, "__ck", "inner")
-                .filter((F.col("__w.g") == 0) | (F.col("__w.__id") != F.col("__id"))))
-        flags.append(lost.select("__id", F.struct(F.lit(order).alias("o"),
-                                                  F.lit(f"{column}:duplicate").alias("r")).alias("__f")))
-    per_request = (functools.reduce(DataFrame.unionByName, flags).groupBy("__id")
-                   .agg(F.array_sort(F.collect_list("__f")).alias("__fs")))
-    reasons = F.transform("__fs", lambda f: f["r"])
-    return per_request.select(F.col("__id").alias(request_key), (F.size("__fs") == 0).alias("accepted"),
-                              reasons.alias("reasons"))
+    rid = F.col(request_key).cast("long").alias("__id")
+    requests = new.select(rid, *[insensitive(c).alias(c) for c in columns])
+    keys = functools.reduce(DataFrame.unionByName, [
+        requests.select("__id", F.lit(k).alias("__o"), F.col(c).alias("__ck")).filter(F.col("__ck").isNotNull())
+        for k, c in enumerate(columns)])
+    held = functools.reduce(DataFrame.unionByName, [
+        existing.select(F.lit(k).alias("__o"), insensitive(c).alias("__ck")) for k, c in enumerate(columns)])
+    checkpoint_dir(new.sparkSession)
+    held = held.join(keys.select("__o", "__ck").distinct(), ["__o", "__ck"], "left_semi").select("__o", "__ck", F.lit(-1).cast("long").alias("__by"))
+    keys = keys.join(held.distinct(), ["__o", "__ck"], "left").select("__id", "__o", "__ck", F.col("__by").isNotNull().alias("__taken")).checkpoint()
+    flagged = keys.groupBy("__id").agg(F.max("__taken").alias("__refused"))
+    undecided = keys.join(flagged.filter(~F.col("__refused")).select("__id"), "__id", "left_semi").select("__id", "__o", "__ck")
+    claims, accepted = undecided, None
+    for _ in range(rounds):
+        first = undecided.groupBy("__o", "__ck").agg(F.min("__id").alias("__first"))
+        marked = undecided.join(first, ["__o", "__ck"])
+        wins = marked.groupBy("__id").agg(F.min((F.col("__first") == F.col("__id")).cast("int")).alias("__w")).filter("__w = 1").select("__id")
+        wins = wins.checkpoint()
+        accepted = wins if accepted is None else accepted.unionByName(wins)
+        lost = marked.join(wins.withColumnRenamed("__id", "__first"), "__first", "left_semi").select("__id").distinct()
+        undecided = undecided.join(lost, "__id", "left_anti").checkpoint()     # the accepted are among them
+        if undecided.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"requests still wait on one another after {rounds} rounds; pass a larger number")
+    owners = claims.join(accepted, "__id", "left_semi").select("__o", "__ck", F.col("__id").alias("__by"))
+    flags = (keys.join(owners, ["__o", "__ck"], "left")
+             .withColumn("__lost", F.col("__taken") | F.coalesce(F.col("__by") < F.col("__id"), F.lit(False))))
+    names = F.array(*[F.lit(f"{c}:duplicate") for c in columns])
+    reasons = F.transform(F.array_sort(F.collect_list(F.when(F.col("__lost"), F.col("__o")))), lambda o: names[o])
+    per_request = flags.groupBy("__id").agg(reasons.alias("reasons"))
+    out = new.select(F.col(request_key), rid).join(per_request, "__id", "left").withColumn(
+        "reasons", F.coalesce("reasons", F.array().cast("array<string>")))
+    return out.select(F.col("__id").alias(request_key), (F.size("reasons") == 0).alias("accepted"), "reasons")

@@ -87,12 +87,12 @@ def exists_checks(issue: DataFrame, project: DataFrame, sprint: DataFrame) -> Da
 
     ``project_exists`` (one-column key), ``sprint_in_project`` and
     ``parent_in_project`` (two-column keys; true when no sprint / parent is set).
-    Each check is a left join against the distinct key set — the plan Catalyst
+    Each check is a left join against the parents' primary keys — the plan Catalyst
     makes of a decorrelated EXISTS — with null keys spread (see ``lookup``).
     """
-    p = project.select("project_id").distinct().withColumn("__has_project", F.lit(True))
-    s = sprint.select("sprint_id", "project_id").distinct().withColumn("__has_sprint", F.lit(True))
-    par = (issue.select(F.col("issue_id").alias("__pid"), F.col("project_id").alias("__ppid")).distinct()
+    p = project.select("project_id").withColumn("__has_project", F.lit(True))
+    s = sprint.select("sprint_id", "project_id").withColumn("__has_sprint", F.lit(True))
+    par = (issue.select(F.col("issue_id").alias("__pid"), F.col("project_id").alias("__ppid"))
            .withColumn("__has_parent", F.lit(True)))
     out = issue.select("issue_id", "project_id", "sprint_id", "parent_issue_id")
     out = lookup(out, p, "project_id", "project_id", {"__has_project": "__has_project"}, spread_by="issue_id")

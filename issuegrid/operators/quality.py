@@ -82,7 +82,7 @@ def validation_report(df: DataFrame, table: str) -> DataFrame:
 
 def _with_parent_flags(tables: dict[str, DataFrame], table: str, df: DataFrame) -> tuple[DataFrame, list]:
     """Left-join ``df`` (rows of ``table``) once per foreign key against the
-    parent's distinct keys. Adds ``__has_<fk>`` (true when the parent exists)
+    parent's primary key (unique, so no row is repeated). Adds ``__has_<fk>`` (true when the parent exists)
     and, for an issue's sprint and parent, ``__proj_<fk>`` (the parent's
     project). Null keys are spread (see ``lookup``). Returns the frame and the
     foreign keys checked."""
@@ -95,11 +95,10 @@ def _with_parent_flags(tables: dict[str, DataFrame], table: str, df: DataFrame)
             continue
         flag, proj = f"__has_{fk.column}", f"__proj_{fk.column}"
         if table == "issue" and fk.column in SAME_PROJECT_KEYS:
-            parent = (tables[fk.parent].select(F.col(fk.parent_key).alias("__k"), F.col("project_id").alias(proj))
-                      .dropDuplicates(["__k"]))
+            parent = (tables[fk.parent].select(F.col(fk.parent_key).alias("__k"), F.col("project_id").alias(proj)))
             cols = {flag: flag, proj: proj}
         else:
-            parent = tables[fk.parent].select(F.col(fk.parent_key).alias("__k")).distinct()
+            parent = tables[fk.parent].select(F.col(fk.parent_key).alias("__k"))
             cols = {flag: flag}
         df = lookup(df, parent.withColumn(flag, F.lit(True)), fk.column, "__k", cols, spread_by=pk)
         checked.append(fk)
@@ -207,7 +206,7 @@ def checked_table(tables: dict[str, DataFrame], table: str) -> DataFrame:
         if table == "issue" and fk.column == "sprint_id":
             extra.append(F.when(flag & (proj != F.col("project_id")), F.lit("sprint_id:other_project")))
         elif table == "issue" and fk.column == "parent_issue_id":
-            extra.append(F.when(F.col(fk.column).isNotNull() & (flag.isNull() | (proj != F.col("project_id"))),
+            extra.append(F.when(F.col(fk.column).isNotNull() & ~F.coalesce(proj == F.col("project_id"), F.lit(False)),
                                 F.lit("parent_issue_id:other_project")))
     if extra:
         df = df.withColumn("reasons", F.concat("reasons", F.array_compact(F.array(*extra))))

@@ -59,3 +59,6 @@ SELECT u.* FROM t_user u
 WHERE EXISTS (SELECT 1 FROM t_user a, v WHERE a.user_id = v.viewer AND a.role = 'admin')
    OR u.user_id = (SELECT viewer FROM v)
 """)
+
+sql("public_users", "SELECT user_id, username, email, first_name, last_name, phone, role FROM t_user")
+sql("visible_projects", "SELECT project_id, project_key, project_name, status, owner_id FROM t_project")

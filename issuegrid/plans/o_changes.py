@@ -1,31 +1,78 @@
 """Oracle bodies for set-based changes."""
 
+from .o_quality import PK, REASONS
 from .oracle import sql
 
 NOW = "TIMESTAMP '2025-01-01 00:00:00'"
 
-sql("insert_rows", f"""
-WITH req AS (
-  SELECT r.request_id, r.issue_id, r.user_id, CAST(r.hours_logged AS DECIMAL(5,2)) AS hours_logged, r.work_date,
-    {NOW} AS created_at,
-    concat_ws(',',
-      CASE WHEN r.hours_logged IS NULL THEN 'hours_logged:missing' END,
-      CASE WHEN r.work_date IS NULL THEN 'work_date:missing' END,
-      CASE WHEN r.hours_logged <= 0 THEN 'hours_logged:not_positive' END,
-      CASE WHEN r.hours_logged > 0 AND round_even(r.hours_logged, 2) <= 0 THEN 'hours_logged:rounds_to_zero' END,
-      CASE WHEN r.hours_logged > 999.99 THEN 'hours_logged:too_large' END,
-      CASE WHEN NOT EXISTS (SELECT 1 FROM t_issue i WHERE i.issue_id = r.issue_id) THEN 'issue_id:unknown_parent' END,
-      CASE WHEN r.user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t_user u WHERE u.user_id = r.user_id) THEN 'user_id:unknown_parent' END
-    ) AS reasons
-  FROM t_new_worklog r)
-SELECT request_id, issue_id, user_id, hours_logged, work_date, created_at,
-  CASE WHEN reasons = '' THEN CAST((SELECT max(worklog_id) FROM t_worklog) + row_number() OVER (PARTITION BY reasons = '' ORDER BY request_id) AS INT) END AS worklog_id,
+
+
+def _insert(table, view, cols, keys, out, dup=""):
+    """Text of an insert: ``cols`` make the rows, ``keys`` are (column, parent, same project?)."""
+    pk, rules = PK[table], "\n".join(x for x in REASONS[table].split("\n") if f"WHEN {PK[table]} IS NULL" not in x)
+    refs = []
+    for col, parent, same in keys:
+        refs.append(f"CASE WHEN {col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t_{parent} p WHERE p.{PK[parent]} = r.{col}) THEN '{col}:unknown_parent' END")
+        if same:
+            refs.append(f"CASE WHEN EXISTS (SELECT 1 FROM t_{parent} p WHERE p.{PK[parent]} = r.{col} AND p.project_id <> r.project_id) THEN '{col}:other_project' END")
+    return f"""
+made AS (SELECT request_id, {cols} FROM {view}),
+ruled AS (SELECT *, concat_ws(',', NULLIF({rules}, ''){''.join(', ' + x for x in refs)}) AS first_reasons FROM made r),
+{dup or 'judged AS (SELECT *, first_reasons AS reasons FROM ruled)'}
+SELECT {out}, CASE WHEN reasons = '' THEN CAST((SELECT coalesce(max({pk}), 0) FROM t_{table}) + row_number() OVER (PARTITION BY reasons = '' ORDER BY request_id) AS BIGINT) END AS {pk},
   reasons = '' AS accepted, reasons
-FROM req
-""")
+FROM judged
+"""
+
+
+sql("insert_rows", "WITH " + _insert(
+    "worklog", "t_new_worklog", f"issue_id, user_id, hours_logged, work_date, {NOW} AS created_at", [("issue_id", "issue", False), ("user_id", "user", False)],
+    "request_id, issue_id, user_id, CAST(CASE WHEN reasons = '' THEN round_even(hours_logged, 2) ELSE hours_logged END AS DECIMAL(20,6)) AS hours_logged, work_date, created_at"))
+
+sql("insert_issues", "WITH " + _insert(
+    "issue", "t_new_issue", f"""project_id, sprint_id, parent_issue_id, description, COALESCE(issue_type, 'Task') AS issue_type, 'Medium' AS priority,
+  'To Do' AS status, story_points, reporter_id, assignee_id, {NOW} AS created_date""",
+    [("project_id", "project", False), ("sprint_id", "sprint", True), ("reporter_id", "user", False), ("assignee_id", "user", False), ("parent_issue_id", "issue", True)],
+    "request_id, project_id, sprint_id, parent_issue_id, description, issue_type, priority, status, story_points, reporter_id, assignee_id, created_date"))
+
+sql("insert_comments", "WITH " + _insert(
+    "comment", "t_new_comment", f"issue_id, user_id, comment_text, {NOW} AS created_at", [("issue_id", "issue", False), ("user_id", "user", False)],
+    "request_id, issue_id, user_id, comment_text, created_at"))
+
+
+def _one_by_one(source):
+    """CTEs that take the rows of ``source`` in request order: a row is accepted when neither
+    its name nor its email is held by a user or by an accepted row before it. Rows whose
+    name and email nobody else in the batch wants need no turn. Ends with ``held_names``
+    and ``held_emails`` (key, request that holds it)."""
+    return f"""
+asked AS (SELECT request_id, lower(username) AS u, lower(email) AS e FROM {source}),
+free AS (SELECT * FROM asked a WHERE NOT EXISTS (SELECT 1 FROM t_user x WHERE lower(x.username) = a.u) AND NOT EXISTS (SELECT 1 FROM t_user x WHERE lower(x.email) = a.e)),
+wanted AS (SELECT *, count(*) OVER (PARTITION BY u) > 1 OR count(*) OVER (PARTITION BY e) > 1 AS more FROM free),
+turns AS (SELECT request_id, u, e, row_number() OVER (ORDER BY request_id) AS k FROM wanted WHERE more),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS us, CAST([] AS VARCHAR[]) AS es, CAST(NULL AS BIGINT) AS request_id, false AS ok
+  UNION ALL
+  SELECT t.k, CASE WHEN list_contains(s.us, t.u) OR list_contains(s.es, t.e) THEN s.us ELSE list_append(s.us, t.u) END,
+    CASE WHEN list_contains(s.us, t.u) OR list_contains(s.es, t.e) THEN s.es ELSE list_append(s.es, t.e) END,
+    t.request_id, NOT (list_contains(s.us, t.u) OR list_contains(s.es, t.e))
+  FROM step s JOIN turns t ON t.k = s.k + 1),
+taken AS (SELECT request_id, u, e FROM turns WHERE request_id IN (SELECT request_id FROM step WHERE ok) UNION ALL SELECT request_id, u, e FROM wanted WHERE NOT more),
+duplicates AS (
+  SELECT a.request_id, concat_ws(',',
+    CASE WHEN EXISTS (SELECT 1 FROM t_user x WHERE lower(x.username) = a.u) OR EXISTS (SELECT 1 FROM taken y WHERE y.u = a.u AND y.request_id < a.request_id) THEN 'username:duplicate' END,
+    CASE WHEN EXISTS (SELECT 1 FROM t_user x WHERE lower(x.email) = a.e) OR EXISTS (SELECT 1 FROM taken y WHERE y.e = a.e AND y.request_id < a.request_id) THEN 'email:duplicate' END) AS dup
+  FROM asked a)"""
+
+
+sql("insert_users", "WITH RECURSIVE " + _insert(
+    "user", "t_new_user", f"username, email, password_hash, first_name, last_name, phone, 'user' AS role, {NOW} AS created_at", [],
+    "request_id, username, email, role, created_at",
+    dup="passing AS (SELECT * FROM ruled WHERE first_reasons = '')," + _one_by_one("passing") + """,
+judged AS (SELECT r.*, concat_ws(',', NULLIF(r.first_reasons, ''), NULLIF(d.dup, '')) AS reasons FROM ruled r LEFT JOIN duplicates d ON d.request_id = r.request_id)"""))
 
 sql("assign_ids", """
-SELECT request_id, CAST((SELECT max(comment_id) FROM t_comment) + row_number() OVER (ORDER BY request_id) AS INT) AS comment_id
+SELECT request_id, CAST((SELECT max(comment_id) FROM t_comment) + row_number() OVER (ORDER BY request_id) AS BIGINT) AS comment_id
 FROM t_new_comment
 """)
 
@@ -79,7 +126,9 @@ _last = ",\n".join(
     f"f_{f} AS (SELECT pk, {f} FROM (SELECT pk, {f}, row_number() OVER (PARTITION BY pk ORDER BY change_id DESC) AS rn "
     f"FROM ok WHERE list_contains(set_fields, '{f}')) WHERE rn = 1)" for f in _fields)
 _new = ",\n  ".join(f"CASE WHEN f_{f}.pk IS NOT NULL THEN f_{f}.{f} ELSE i.{f} END AS {f}" for f in _fields)
-_changed = " OR ".join(f"(f_{f}.pk IS NOT NULL AND f_{f}.{f} IS DISTINCT FROM i.{f})" for f in _fields)
+# Some accepted patch set a value other than the old one: the row changed on the way.
+_changed = "EXISTS (SELECT 1 FROM moved m WHERE m.pk = i.issue_id)"
+_moved = " OR ".join(f"(list_contains(p.set_fields, '{f}') AND p.{f} IS DISTINCT FROM o.{f})" for f in _fields)
 _joins = "\n".join(f"LEFT JOIN f_{f} ON f_{f}.pk = i.issue_id" for f in _fields)
 sql("apply_patches", f"""
 WITH ok AS (
@@ -88,7 +137,9 @@ WITH ok AS (
     AND NOT (list_contains(set_fields, 'description') AND (description IS NULL OR length(description) < 1))
     AND NOT (list_contains(set_fields, 'issue_type') AND (issue_type IS NULL OR issue_type NOT IN ('Task', 'Bug', 'Story', 'Epic')))
     AND NOT (list_contains(set_fields, 'priority') AND (priority IS NULL OR priority NOT IN ('Highest', 'High', 'Medium', 'Low', 'Lowest')))
-    AND NOT (list_contains(set_fields, 'story_points') AND story_points < 0)),
+    AND NOT (list_contains(set_fields, 'story_points') AND story_points < 0)
+    AND NOT (list_contains(set_fields, 'parent_issue_id') AND parent_issue_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t_issue q WHERE q.issue_id = p.parent_issue_id))),
+moved AS (SELECT DISTINCT p.pk FROM ok p JOIN t_issue o ON o.issue_id = p.pk WHERE {_moved}),
 {_last}
 SELECT i.issue_id,
   {_new},
@@ -139,21 +190,54 @@ FROM t_issue i LEFT JOIN (
   GROUP BY issue_id) e ON e.issue_id = i.issue_id
 """)
 
-sql("reject_duplicates", """
-SELECT n.request_id,
-  concat_ws(',',
-    CASE WHEN EXISTS (SELECT 1 FROM t_user u WHERE lower(u.username) = lower(n.username))
-           OR EXISTS (SELECT 1 FROM t_new_user m WHERE lower(m.username) = lower(n.username) AND m.request_id < n.request_id)
-         THEN 'username:duplicate' END,
-    CASE WHEN EXISTS (SELECT 1 FROM t_user u WHERE lower(u.email) = lower(n.email))
-           OR EXISTS (SELECT 1 FROM t_new_user m WHERE lower(m.email) = lower(n.email) AND m.request_id < n.request_id)
-         THEN 'email:duplicate' END) = '' AS accepted,
-  concat_ws(',',
-    CASE WHEN EXISTS (SELECT 1 FROM t_user u WHERE lower(u.username) = lower(n.username))
-           OR EXISTS (SELECT 1 FROM t_new_user m WHERE lower(m.username) = lower(n.username) AND m.request_id < n.request_id)
-         THEN 'username:duplicate' END,
-    CASE WHEN EXISTS (SELECT 1 FROM t_user u WHERE lower(u.email) = lower(n.email))
-           OR EXISTS (SELECT 1 FROM t_new_user m WHERE lower(m.email) = lower(n.email) AND m.request_id < n.request_id)
-         THEN 'email:duplicate' END) AS reasons
-FROM t_new_user n
+sql("reject_duplicates", "WITH RECURSIVE " + _one_by_one("t_new_user").lstrip() + """
+SELECT request_id, dup = '' AS accepted, dup AS reasons FROM duplicates
+""")
+
+sql("apply_patches_rejected", """
+WITH judged AS (
+  SELECT change_id, pk, concat_ws(',',
+    CASE WHEN list_contains(set_fields, 'description') AND description IS NULL THEN 'description:missing' END,
+    CASE WHEN list_contains(set_fields, 'issue_type') AND issue_type IS NULL THEN 'issue_type:missing' END,
+    CASE WHEN list_contains(set_fields, 'priority') AND priority IS NULL THEN 'priority:missing' END,
+    CASE WHEN list_contains(set_fields, 'issue_type') AND issue_type NOT IN ('Task', 'Bug', 'Story', 'Epic') THEN 'issue_type:not_allowed' END,
+    CASE WHEN list_contains(set_fields, 'priority') AND priority NOT IN ('Highest', 'High', 'Medium', 'Low', 'Lowest') THEN 'priority:not_allowed' END,
+    CASE WHEN list_contains(set_fields, 'description') AND length(description) < 1 THEN 'description:too_short' END,
+    CASE WHEN list_contains(set_fields, 'story_points') AND story_points < 0 THEN 'story_points:negative' END,
+    CASE WHEN list_contains(set_fields, 'parent_issue_id') AND parent_issue_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t_issue q WHERE q.issue_id = p.parent_issue_id)
+      THEN 'parent_issue_id:unknown_parent' END) AS r
+  FROM t_issue_patch p)
+SELECT change_id, pk, CASE WHEN r <> '' THEN r ELSE 'issue_id:not_found' END AS reasons FROM judged j
+WHERE r <> '' OR NOT EXISTS (SELECT 1 FROM t_issue i WHERE i.issue_id = j.pk)
+""")
+
+sql("apply_status_changes_rejected", """
+SELECT change_id, issue_id, status,
+  CASE WHEN status IS NULL OR status NOT IN ('To Do', 'In Progress', 'In Review', 'Done', 'Blocked') THEN 'status:not_allowed' ELSE 'Issue not found' END AS reason
+FROM t_status_change c
+WHERE status IS NULL OR status NOT IN ('To Do', 'In Progress', 'In Review', 'Done', 'Blocked')
+  OR NOT EXISTS (SELECT 1 FROM t_issue i WHERE i.issue_id = c.issue_id)
+""")
+
+sql("apply_assignments_rejected", """
+SELECT change_id, issue_id, assignee_id,
+  CASE WHEN assignee_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t_user u WHERE u.user_id = a.assignee_id) THEN 'assignee_id:unknown_parent' ELSE 'Issue not found' END AS reason
+FROM t_assignment a
+WHERE (assignee_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t_user u WHERE u.user_id = a.assignee_id))
+  OR NOT EXISTS (SELECT 1 FROM t_issue i WHERE i.issue_id = a.issue_id)
+""")
+
+sql("delete_project_cascade_issues", """
+WITH dp AS (SELECT project_id FROM t_project WHERE project_id IN (SELECT pk FROM t_delete_project))
+SELECT i.issue_id, i.project_id,
+  CASE WHEN EXISTS (SELECT 1 FROM t_sprint s WHERE s.sprint_id = i.sprint_id AND s.project_id IN (SELECT project_id FROM dp)) THEN NULL ELSE i.sprint_id END AS sprint_id,
+  CASE WHEN EXISTS (SELECT 1 FROM t_issue p WHERE p.issue_id = i.parent_issue_id AND p.project_id IN (SELECT project_id FROM dp)) THEN NULL ELSE i.parent_issue_id END AS parent_issue_id
+FROM t_issue i WHERE i.project_id NOT IN (SELECT project_id FROM dp)
+""")
+
+sql("delete_user_setnull_issues", """
+SELECT issue_id,
+  CASE WHEN reporter_id IN (SELECT pk FROM t_delete_user) THEN NULL ELSE reporter_id END AS reporter_id,
+  CASE WHEN assignee_id IN (SELECT pk FROM t_delete_user) THEN NULL ELSE assignee_id END AS assignee_id, parent_issue_id
+FROM t_issue
 """)

@@ -78,6 +78,6 @@ SELECT attachment_id, concat('/api/attachments/', CAST(attachment_id AS VARCHAR)
   CASE WHEN file_type IS NULL OR file_type = '' THEN 'application/octet-stream' ELSE file_type END AS media_type
 FROM t_attachment""")
 
-sql("blank_to_null", """
-SELECT worklog_id, NULLIF(description, '') AS description, COALESCE(trim(description) <> '', false) AS has_text
+sql("blank_to_null", r"""
+SELECT worklog_id, NULLIF(description, '') AS description, COALESCE(regexp_matches(description, '[^\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]'), false) AS has_text
 FROM t_worklog""")

@@ -71,3 +71,17 @@ def visible_users(t):
     """The user list as the first admin sees it (all users, public columns)."""
     viewer = t["user"].filter(F.col("role") == access.ADMIN).select(F.min("user_id")).scalar()
     return access.visible_users(t["user"], viewer)
+
+
+@query("public_users")
+def public_users(t):
+    """F7+F8: every user without the password hash, as an explicit column list."""
+    from ..operators.lookup import public_user_columns, select_columns
+
+    return select_columns(public_user_columns(t["user"]), ["user_id", "username", "email", "first_name", "last_name", "phone", "role"])
+
+
+@query("visible_projects")
+def visible_projects(t):
+    """The project list that every signed-in user sees."""
+    return access.visible_projects(t["project"]).select("project_id", "project_key", "project_name", "status", "owner_id")

@@ -15,16 +15,44 @@ def _base(t):
     return {k: t[k] for k in TABLES}
 
 
+def _both(ok, bad, pk, cols):
+    """Accepted requests with their id and refused ones with their reasons, in one table."""
+    return (ok.select(*cols, F.col(pk).cast("long").alias(pk), F.lit(True).alias("accepted"), F.lit("").alias("reasons"))
+            .unionByName(bad.select(*cols, F.lit(None).cast("long").alias(pk), F.lit(False).alias("accepted"),
+                                    F.array_join("reasons", ",").alias("reasons"))))
+
+
 @query("insert_rows")
 def insert_rows(t):
     """D1+D2+D10: the logged-work requests of the activity batch become worklogs:
     defaults applied, rows checked (hours rules, known issue and user), accepted
     rows numbered after the largest worklog id in request order."""
     ok, bad = changes.insert_rows("worklog", t["new_worklog"], _base(t), NOW, acting_user="user_id")
-    cols = ["request_id", "issue_id", "user_id", "hours_logged", "work_date", "created_at"]
-    return (ok.select(*cols, "worklog_id", F.lit(True).alias("accepted"), F.lit("").alias("reasons"))
-            .unionByName(bad.select(*cols, F.lit(None).cast("int").alias("worklog_id"), F.lit(False).alias("accepted"),
-                                    F.array_join("reasons", ",").alias("reasons"))))
+    hours = F.col("hours_logged").cast(changes.RAW_HOURS).alias("hours_logged")
+    return _both(ok, bad, "worklog_id", ["request_id", "issue_id", "user_id", hours, "work_date", "created_at"])
+
+
+@query("insert_issues")
+def insert_issues(t):
+    """D1+D2: new issues: forced status, defaults, row rules, known parents, sprint and
+    parent in the issue's project."""
+    ok, bad = changes.insert_rows("issue", t["new_issue"], _base(t), NOW)
+    return _both(ok, bad, "issue_id", ["request_id", "project_id", "sprint_id", "parent_issue_id", "description", "issue_type",
+                                       "priority", "status", "story_points", "reporter_id", "assignee_id", "created_date"])
+
+
+@query("insert_users")
+def insert_users(t):
+    """D1+D2+D10: the sign-up batch: forced role, row rules, unique names and emails."""
+    ok, bad = changes.insert_rows("user", t["new_user"], _base(t), NOW)
+    return _both(ok, bad, "user_id", ["request_id", "username", "email", "role", "created_at"])
+
+
+@query("insert_comments")
+def insert_comments(t):
+    """D1+D2: the new comments of the activity batch."""
+    ok, bad = changes.insert_rows("comment", t["new_comment"], _base(t), NOW)
+    return _both(ok, bad, "comment_id", ["request_id", "issue_id", "user_id", "comment_text", "created_at"])
 
 
 @query("assign_ids")
@@ -67,11 +95,46 @@ def apply_sprint_requests_issues(t):
 @query("apply_patches")
 def apply_patches(t):
     """D3+D8: the issue patch batch applied to all issues (allow-listed fields only)."""
-    new, _ = changes.apply_patches("issue", t["issue"], t["issue_patch"], NOW)
+    new, _ = changes.apply_patches("issue", t["issue"], t["issue_patch"], NOW, parents=_base(t))
     return new.select("issue_id", "description", "issue_type", "priority", "due_date", "story_points",
                       "parent_issue_id", "status", "assignee_id", "sprint_id", "updated_date")
 
 
+@query("apply_patches_rejected")
+def apply_patches_rejected(t):
+    """D3: the refused issue patches with their reasons."""
+    _, bad = changes.apply_patches("issue", t["issue"], t["issue_patch"], NOW, parents=_base(t))
+    return bad.select("change_id", "pk", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("apply_status_changes_rejected")
+def apply_status_changes_rejected(t):
+    """The refused status changes."""
+    _, bad = changes.apply_status_changes(t["issue"], t["status_change"], NOW)
+    return bad.select("change_id", "issue_id", "status", "reason")
+
+
+@query("apply_assignments_rejected")
+def apply_assignments_rejected(t):
+    """The refused assignee changes."""
+    _, bad = changes.apply_assignments(t["issue"], t["user"], t["assignment"], NOW)
+    return bad.select("change_id", "issue_id", "assignee_id", "reason")
+
+
+@query("delete_project_cascade_issues")
+def delete_project_cascade_issues(t):
+    """The issues left after deleting every archived project, with their references."""
+    new, _ = changes.delete_cascade(_base(t), "project", t["delete_project"])
+    return new["issue"].select("issue_id", "project_id", "sprint_id", "parent_issue_id")
+
+
+@query("delete_user_setnull_issues")
+def delete_user_setnull_issues(t):
+    """All issues after deleting the project managers, with their references."""
+    new, _ = changes.delete_cascade(_base(t), "user", t["delete_user"])
+    return new["issue"].select("issue_id", "reporter_id", "assignee_id", "parent_issue_id")
+
+
 @query("delete_project_cascade")
 def delete_project_cascade(t):
     """Delete every archived project; rows removed and references cleared per table."""

@@ -21,7 +21,7 @@ DRIVER_TABLES = ("customer", "nation", "orders", "lineitem", "conversations", "p
 VIEWS: dict[str, str] = {
     "t_user": """
 SELECT CAST(c_custkey AS INT) AS user_id, c_name AS username,
-  concat(lower(c_name), '@example.com') AS email,
+  concat(lower(c_name), '@example.com') AS email, concat('hash', CAST(c_custkey AS VARCHAR(20))) AS password_hash,
   CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS first_name,
   CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE concat('N', CAST(c_nationkey AS VARCHAR(10))) END AS last_name,
   CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('+1-555-', CAST(c_custkey AS VARCHAR(10))) END AS phone,
@@ -119,26 +119,40 @@ SELECT event_id AS change_id, CAST(event_id % 2000 AS INT) AS pk,
   split(CASE event_type WHEN 'click' THEN 'priority' WHEN 'view' THEN 'due_date,status' WHEN 'purchase' THEN 'story_points,description' WHEN 'signup' THEN 'parent_issue_id,issue_type' ELSE 'assignee_id,sprint_id' END, ',') AS set_fields,
   concat('Edited by user ', CAST(user_id AS VARCHAR(10))) AS description,
   CASE WHEN user_id % 2 = 0 THEN 'Bug' ELSE 'Story' END AS issue_type,
-  CASE WHEN value > 100 THEN 'Highest' ELSE 'Low' END AS priority,
+  CASE WHEN value > 100 THEN 'Highest' WHEN user_id % 9 = 1 THEN 'Urgent' ELSE 'Low' END AS priority,
   CAST(NULL AS DATE) AS due_date,
-  CAST(user_id % 13 AS INT) AS story_points,
-  CASE WHEN user_id % 3 = 0 THEN NULL ELSE CAST(event_id % 2000 + 1 AS INT) END AS parent_issue_id,
+  CAST(user_id % 13 - 1 AS INT) AS story_points,
+  CASE WHEN user_id % 3 = 0 THEN NULL WHEN user_id % 7 = 1 THEN 987654321 ELSE CAST(event_id % 2000 + 1 AS INT) END AS parent_issue_id,
   'Done' AS status, CAST(user_id AS INT) AS assignee_id, CAST(NULL AS INT) AS sprint_id
 FROM {events}""",
     "t_new_worklog": """
-SELECT event_id AS request_id, issue_id, user_id, hours AS hours_logged, CAST(ts AS DATE) AS work_date,
+SELECT event_id AS request_id, issue_id, user_id,
+  CAST(CASE event_id % 50 WHEN 1 THEN 0 WHEN 2 THEN 0.004 WHEN 3 THEN 0.125 WHEN 4 THEN 999.99 WHEN 5 THEN 1000.00 WHEN 6 THEN NULL ELSE hours END AS DECIMAL(20,6)) AS hours_logged,
+  CAST(ts AS DATE) AS work_date,
   CAST(NULL AS STRING) AS description
 FROM {t_activity} WHERE kind = 'worklog_insert'""",
     "t_new_comment": """
 SELECT event_id AS request_id, issue_id, user_id, concat('Comment by user ', CAST(user_id AS VARCHAR(10))) AS comment_text
 FROM {t_activity} WHERE kind = 'comment_insert'""",
+    # Sign-ups: taken names and emails, names and emails that several requests of the batch
+    # want, and requests that are refused for one key while their other key is free.
     "t_new_user": """
 SELECT event_id AS request_id,
-  CASE WHEN event_type = 'signup' THEN c.c_name ELSE concat('Member', CAST(event_id AS VARCHAR(20))) END AS username,
-  CASE WHEN event_type = 'click' THEN concat(lower(c.c_name), '@example.com') ELSE concat('m', CAST(event_id AS VARCHAR(20)), '@example.org') END AS email,
+  CASE event_type WHEN 'signup' THEN c.c_name WHEN 'view' THEN concat('Fresh', CAST(event_id % 40 AS VARCHAR(20))) WHEN 'click' THEN concat('FRESH', CAST(event_id % 40 AS VARCHAR(20))) WHEN 'error' THEN 'ab' ELSE concat('Member', CAST(event_id AS VARCHAR(20))) END AS username,
+  CASE WHEN event_type = 'click' THEN concat(lower(c.c_name), '@example.com') WHEN event_type = 'view' AND event_id % 2 = 0 THEN concat('fresh', CAST(event_id % 30 AS VARCHAR(20)), '@example.org') WHEN event_id % 17 = 0 THEN 'no address' ELSE concat('m', CAST(event_id AS VARCHAR(20)), '@example.org') END AS email,
+  CASE WHEN event_id % 23 = 0 THEN NULL ELSE concat('hash', CAST(event_id AS VARCHAR(20))) END AS password_hash,
   CAST(NULL AS STRING) AS first_name, CAST(NULL AS STRING) AS last_name, CAST(NULL AS STRING) AS phone,
   'admin' AS role
 FROM {events} e LEFT JOIN {customer} c ON c.c_custkey = e.user_id""",
+    "t_new_issue": """
+SELECT event_id AS request_id, CAST(event_id % 27 AS INT) AS project_id,
+  CASE event_type WHEN 'click' THEN CAST((event_id % 27) * 10 + event_id % 4 AS INT) WHEN 'view' THEN CAST((event_id % 25) * 10 + 1 AS INT) END AS sprint_id,
+  CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 4000 AS INT) END AS parent_issue_id,
+  CASE WHEN event_id % 11 = 0 THEN '' ELSE concat('Issue of event ', CAST(event_id AS VARCHAR(20))) END AS description,
+  CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN 'Wish' ELSE 'Bug' END AS issue_type,
+  CAST(event_id % 9 - 1 AS INT) AS story_points, 'Done' AS status,
+  CAST(user_id AS INT) AS reporter_id, CAST(user_id % 200 AS INT) AS assignee_id
+FROM {events}""",
     "t_new_attachment": """
 SELECT event_id AS request_id, issue_id, user_id, concat('upload_', CAST(event_id AS VARCHAR(20)), '.txt') AS file_name,
   'text/plain' AS file_type, CAST(hours * 100 AS BIGINT) AS file_size_bytes
@@ -147,6 +161,58 @@ FROM {t_activity} WHERE kind = 'attachment_insert'""",
 SELECT project_id AS pk FROM {t_project} WHERE status = 'archived'""",
     "t_delete_user": """
 SELECT user_id AS pk FROM {t_user} WHERE role = 'project_manager'""",
+    # The tables with bad rows in them: every rule of the validity checks meets some.
+    "t_dirty_user": """
+SELECT CASE WHEN user_id % 97 = 1 THEN NULL ELSE user_id END AS user_id,
+  CASE user_id % 41 WHEN 0 THEN NULL WHEN 1 THEN 'ab' WHEN 2 THEN repeat('x', 256) WHEN 3 THEN 'TWIN name' WHEN 4 THEN 'twin NAME' ELSE username END AS username,
+  CASE user_id % 43 WHEN 0 THEN NULL WHEN 1 THEN 'no address' WHEN 2 THEN concat(repeat('y', 250), '@example.com') WHEN 3 THEN 'Twin@example.com' WHEN 4 THEN 'a b@example.com' WHEN 5 THEN 'x@nodot' ELSE email END AS email,
+  CASE WHEN user_id % 29 = 0 THEN NULL ELSE password_hash END AS password_hash,
+  CASE WHEN user_id % 37 = 0 THEN repeat('f', 101) ELSE first_name END AS first_name,
+  CASE WHEN user_id % 37 = 1 THEN repeat('l', 101) ELSE last_name END AS last_name,
+  CASE WHEN user_id % 37 = 2 THEN repeat('5', 21) ELSE phone END AS phone,
+  CASE user_id % 31 WHEN 0 THEN NULL WHEN 1 THEN 'owner' ELSE role END AS role, created_at
+FROM {t_user}""",
+    "t_dirty_project": """
+SELECT project_id, CASE project_id WHEN 1 THEN NULL WHEN 2 THEN 'lower' WHEN 3 THEN 'ELEVENCHARS' WHEN 4 THEN 'TWIN' WHEN 5 THEN 'TWIN' ELSE project_key END AS project_key,
+  CASE project_id WHEN 6 THEN NULL WHEN 7 THEN '' WHEN 8 THEN repeat('p', 256) ELSE project_name END AS project_name, description, start_date, end_date,
+  CASE project_id WHEN 9 THEN NULL WHEN 10 THEN 'paused' ELSE status END AS status,
+  CASE WHEN project_id = 11 THEN 987654 ELSE owner_id END AS owner_id, created_at, updated_at
+FROM {t_project}""",
+    "t_dirty_sprint": """
+SELECT sprint_id, CASE sprint_id % 23 WHEN 0 THEN NULL WHEN 1 THEN 987654 ELSE project_id END AS project_id,
+  CASE sprint_id % 19 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN repeat('s', 256) ELSE sprint_name END AS sprint_name, goal, start_date, end_date,
+  CASE sprint_id % 17 WHEN 0 THEN NULL WHEN 1 THEN 'open' ELSE status END AS status, created_at, updated_at
+FROM {t_sprint}""",
+    "t_dirty_issue": """
+SELECT issue_id, CASE issue_id % 101 WHEN 0 THEN NULL WHEN 1 THEN 987654 ELSE project_id END AS project_id,
+  CASE issue_id % 103 WHEN 0 THEN 987654 WHEN 1 THEN 11 ELSE sprint_id END AS sprint_id,
+  CASE issue_id % 59 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE description END AS description,
+  CASE issue_id % 61 WHEN 0 THEN NULL WHEN 1 THEN 'Wish' ELSE issue_type END AS issue_type,
+  CASE issue_id % 67 WHEN 0 THEN NULL WHEN 1 THEN 'Urgent' ELSE priority END AS priority,
+  CASE issue_id % 71 WHEN 0 THEN NULL WHEN 1 THEN 'Open' ELSE status END AS status,
+  CASE WHEN issue_id % 73 = 0 THEN 987654 ELSE reporter_id END AS reporter_id, assignee_id, created_date, due_date, updated_date,
+  CASE WHEN issue_id % 79 = 0 THEN -1 ELSE story_points END AS story_points,
+  CASE issue_id % 83 WHEN 0 THEN 987654 WHEN 1 THEN issue_id - 1 ELSE parent_issue_id END AS parent_issue_id
+FROM {t_issue}""",
+    "t_dirty_comment": """
+SELECT comment_id, CASE comment_id % 29 WHEN 0 THEN NULL WHEN 1 THEN 987654321 ELSE issue_id END AS issue_id,
+  CASE WHEN comment_id % 31 = 0 THEN 987654 ELSE user_id END AS user_id,
+  CASE comment_id % 37 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE comment_text END AS comment_text, created_at, updated_at
+FROM {t_comment}""",
+    "t_dirty_attachment": """
+SELECT attachment_id, CASE attachment_id % 29 WHEN 0 THEN NULL WHEN 1 THEN 987654321 ELSE issue_id END AS issue_id, user_id,
+  CASE attachment_id % 23 WHEN 0 THEN NULL WHEN 1 THEN repeat('n', 256) ELSE file_name END AS file_name,
+  CASE attachment_id % 19 WHEN 0 THEN NULL WHEN 1 THEN repeat('q', 513) WHEN 2 THEN 'Same/Path' WHEN 3 THEN 'same/PATH' ELSE file_path END AS file_path,
+  CASE WHEN attachment_id % 17 = 0 THEN repeat('t', 101) ELSE file_type END AS file_type,
+  CASE WHEN attachment_id % 13 = 0 THEN -1 ELSE file_size_bytes END AS file_size_bytes, uploaded_at
+FROM {t_attachment}""",
+    # Hours come unrounded here, as a request carries them.
+    "t_dirty_worklog": """
+SELECT worklog_id, CASE worklog_id % 89 WHEN 0 THEN NULL WHEN 1 THEN 987654321 ELSE issue_id END AS issue_id,
+  CASE WHEN worklog_id % 97 = 0 THEN 98765432 ELSE user_id END AS user_id,
+  CAST(CASE worklog_id % 53 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 0.004 WHEN 3 THEN 1000 WHEN 4 THEN -2 WHEN 5 THEN 0.125 ELSE hours_logged END AS DECIMAL(20,6)) AS hours_logged,
+  CASE WHEN worklog_id % 47 = 0 THEN NULL ELSE work_date END AS work_date, description, created_at
+FROM {t_worklog}""",
 }
 
 # Name in the result dict of ``fixture_tables`` for each view.
@@ -233,6 +299,8 @@ def oracle_with(body: str) -> str:
         f"{name} AS ({_PLACEHOLDER.sub(lambda m: m.group(1), VIEWS[name]).strip()})" for name in needed
     )
     text = body.strip()
+    if re.match(r"(?i)^with\s+recursive\s", text):
+        return f"WITH RECURSIVE {ctes},\n{re.sub(r'(?i)^with\s+recursive\s+', '', text)}"
     if re.match(r"(?i)^with\s", text):
         return f"WITH {ctes},\n{text[5:].lstrip()}"
     return f"WITH {ctes}\n{text}"

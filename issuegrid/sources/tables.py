@@ -10,17 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import SCHEMAS, TABLES
+from ..schema import SCHEMAS, TABLES, not_null_columns
 
 
 def conform(df: DataFrame, table: str, keep_extra: bool = False) -> DataFrame:
     """Cast ``df`` to the declared schema of ``table``.
 
     Integer keys stored as BIGINT are narrowed to INT, timestamps read as
-    TIMESTAMP_NTZ become session-zone TIMESTAMP. Declared columns missing from the
-    input are added as typed nulls; extra columns are dropped unless ``keep_extra``.
+    TIMESTAMP_NTZ become session-zone TIMESTAMP. Nullable columns missing from the input
+    are added as typed nulls; a missing column that must not be null is an error. Extra
+    columns are dropped unless ``keep_extra``.
     """
     present = set(df.columns)
+    missing = [c for c in not_null_columns(table) if c not in present]
+    if missing:
+        raise ValueError(f"{table}: required columns are missing: {', '.join(missing)}")
     cols = [
         (F.col(f.name).cast(f.dataType) if f.name in present else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in SCHEMAS[table].fields

@@ -1,6 +1,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -197,3 +198,52 @@ def test_insert_rows_applies_unique_keys(spark):
     assert [(r.request_id, r.user_id) for r in ok.collect()] == [(3, 13)]
     assert {r.request_id: list(r.reasons) for r in bad.collect()} == {
         1: ["username:duplicate"], 2: ["username:too_short"], 4: ["username:duplicate"]}
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_assign_ids_large_batch_is_dense_and_ordered(spark, adaptive):
+    """A million rows with a wide column over 16 range partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        df = spark.range(1_000_000).select(F.xxhash64("id").alias("k"), F.repeat(F.lit("w"), 64).alias("wide"))
+        got = changes.assign_ids(df, "new_id", ["k"], 10)
+        stats = got.agg(F.countDistinct("new_id").alias("n"), F.min("new_id").alias("lo"), F.max("new_id").alias("hi")).first()
+        assert (stats.n, stats.lo, stats.hi) == (1_000_000, 11, 1_000_010)
+        assert got.join(got.select((F.col("new_id") - 1).alias("new_id"), F.col("k").alias("next")), "new_id").filter("next <= k").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_refused_request_holds_no_key(spark):
+    users = spark.createDataFrame([(1, "ann", "ann@x.org")], "user_id int, username string, email string")
+    rows = [(1, "bob", "ANN@x.org"), (2, "Bob", "b@x.org"), (3, "bob", "c@x.org"), (4, "carl", "b@X.org"), (5, "Carl", "d@x.org")]
+    got = changes.reject_duplicates("user", users, spark.createDataFrame(rows, "request_id int, username string, email string")).collect()
+    assert {r.request_id: list(r.reasons) for r in got} == {
+        1: ["email:duplicate"], 2: [], 3: ["username:duplicate"], 4: ["email:duplicate"], 5: []}
+
+
+def test_long_chain_of_refusals_is_an_error_not_a_guess(spark):
+    users = spark.createDataFrame([], "user_id int, username string, email string")
+    rows = [(k, f"n{k // 2}", f"m{(k + 1) // 2}") for k in range(30)]
+    new = spark.createDataFrame(rows, "request_id int, username string, email string")
+    with pytest.raises(RuntimeError):
+        changes.reject_duplicates("user", users, new, rounds=3)
+    got = changes.reject_duplicates("user", users, new, rounds=30)
+    assert [r.request_id for r in got.filter("accepted").orderBy("request_id").collect()] == list(range(0, 30, 2))
+
+
+def test_patch_back_and_forth_moves_the_instant_and_unknown_parent_is_refused(spark):
+    import datetime
+
+    old = datetime.datetime(2020, 1, 1)
+    issue = spark.createDataFrame([(1, "Low", None, old), (2, "Low", None, old)], "issue_id int, priority string, parent_issue_id int, updated_date timestamp")
+    patches = spark.createDataFrame([(1, 1, ["priority"], "High", None), (2, 1, ["priority"], "Low", None), (3, 2, ["priority"], "Low", None),
+                                     (4, 2, ["parent_issue_id"], None, 99), (5, 1, ["parent_issue_id"], None, 2)],
+                                    "change_id int, pk int, set_fields array<string>, priority string, parent_issue_id int")
+    new, bad = changes.apply_patches("issue", issue, patches, "2024-01-01 00:00:00")
+    got = {r.issue_id: (r.priority, r.parent_issue_id, r.updated_date.year) for r in new.collect()}
+    assert got == {1: ("Low", 2, 2024), 2: ("Low", None, 2020)}
+    assert [(r.change_id, list(r.reasons)) for r in bad.collect()] == [(4, ["parent_issue_id:unknown_parent"])]

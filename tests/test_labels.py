@@ -75,7 +75,11 @@ def test_blank_and_int_parsing(spark):
     assert _one(spark, X.blank_to_null, "", "string") is None
     assert _one(spark, X.text_to_int, " 5 ", "string") == 5
     assert _one(spark, X.text_to_int, "5abc", "string") is None
+    assert _one(spark, X.text_to_int, "2147483647", "string") == 2147483647
+    assert _one(spark, X.text_to_int, "2147483648", "string") is None
+    assert _one(spark, X.text_to_int, "7\nx", "string") is None
     assert _one(spark, X.non_blank, "   ", "string") is False
+    assert _one(spark, X.non_blank, "\t\n\u00a0", "string") is False
 
 
 def test_codes_urls_and_paths(spark):
