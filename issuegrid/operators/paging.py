@@ -38,6 +38,9 @@ ORDERS: dict[str, list[tuple[str, bool]]] = {
 # --- fixed values: priority rank for the optional "rank" order of P5 ----------
 PRIORITY_RANK = {"Highest": 1, "High": 2, "Medium": 3, "Low": 4, "Lowest": 5}
 
+#: Parts that a parent's rows are ranked in first when a page is deep.
+SALTS = 64
+
 
 def sort_columns(order: list[tuple[str, bool]]) -> list[Column]:
     return [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_first() for c, desc in order]
@@ -94,11 +97,17 @@ def top_k_per_parent(df: DataFrame, parent: str, order: list[tuple[str, bool]],
 
     Spark inserts the partial ``WindowGroupLimit`` (at most ``skip + limit`` rows
     per parent leave each map task) when ``skip + limit`` is within
-    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default); raise
-    that setting for deeper per-parent pages."""
+    ``spark.sql.optimizer.windowGroupLimitThreshold``. For deeper pages the rows of a
+    parent are first ranked in ``SALTS`` random parts, of which none keeps more than
+    ``skip + limit`` rows, so no task holds all rows of a hot parent."""
+    last = skip + limit
+    if last > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        salted = df.withColumn("__salt", F.pmod(F.xxhash64(*[c for c, _ in order]), F.lit(SALTS)))
+        part = Window.partitionBy(parent, "__salt").orderBy(*sort_columns(order))
+        df = salted.withColumn(rank_col, F.row_number().over(part)).filter(F.col(rank_col) <= last).drop("__salt", rank_col)
     w = Window.partitionBy(parent).orderBy(*sort_columns(order))
     ranked = df.withColumn(rank_col, F.row_number().over(w))
-    cond = F.col(rank_col) <= skip + limit
+    cond = F.col(rank_col) <= last
     if skip:
         cond = cond & (F.col(rank_col) > skip)
     return ranked.filter(cond)

@@ -159,17 +159,23 @@ def project_report(project: DataFrame, sprint: DataFrame, issue: DataFrame, work
 
     ``project_id, project_key, project_name, status, total_hours, issue_count,
     sprint_count, user_id, username, total_user_hours``. Projects without any
-    user hours keep one row with null user columns. The per-project figures are
-    small aggregates joined to A3, so no group is ever collected into one row.
+    user hours keep one row with null user columns. Worklogs are read and summed once, per
+    (issue, user) with the null user kept, then per (project, user); the project totals (A2)
+    and the user rows (A3) both come from those few rows.
     """
-    a3 = hours_by_user(issue, worklog, user, ordered=False)
+    per_issue_user = worklog.groupBy("issue_id", "user_id").agg(F.sum("hours_logged").alias("h"))
+    per_user = (per_issue_user.join(issue.select("issue_id", "project_id"), "issue_id", "inner")
+                .groupBy("project_id", "user_id").agg(F.sum("h").alias("h")))
+    totals = per_user.groupBy("project_id").agg(hours_sum("h").alias("total_hours"))
+    users = (per_user.filter(F.col("user_id").isNotNull()).join(user.select("user_id", "username"), "user_id", "inner")
+             .select("project_id", "user_id", "username", F.col("h").cast(HOURS_SUM).alias("total_user_hours")))
+    issues = issue.groupBy("project_id").agg(F.count(F.lit(1)).alias("issue_count"))
     sprints = sprint.groupBy("project_id").agg(F.count(F.lit(1)).alias("sprint_count"))
-    out = (project.select("project_id", "project_key", "project_name", "status")
-           .join(project_hours(project, issue, worklog), "project_id", "left")
-           .join(project_issue_counts(project, issue), "project_id", "left")
-           .join(sprints, "project_id", "left")
-           .join(a3.select("project_id", "user_id", "username", "total_user_hours"), "project_id", "left"))
+    out = project.select("project_id", "project_key", "project_name", "status")
+    for figures in (totals, issues, sprints, users):
+        out = out.join(figures, "project_id", "left")
+    none = F.lit(0).cast("long")
     return out.select(
-        "project_id", "project_key", "project_name", "status", "total_hours", "issue_count",
-        F.coalesce("sprint_count", F.lit(0).cast("long")).alias("sprint_count"),
+        "project_id", "project_key", "project_name", "status", F.coalesce("total_hours", zero_hours()).alias("total_hours"),
+        F.coalesce("issue_count", none).alias("issue_count"), F.coalesce("sprint_count", none).alias("sprint_count"),
         "user_id", "username", "total_user_hours")

@@ -85,7 +85,7 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store) for this cluster")
         path = fallback or tempfile.mkdtemp(prefix="issuegrid-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)

@@ -99,9 +99,13 @@ SELECT CAST(page_id AS INT) AS attachment_id, html AS body FROM {pages}""",
     # Change batches: what users did after the snapshot.
     "t_activity": """
 SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, CAST(user_id AS INT) AS user_id, CAST(event_id % 1500 AS INT) AS issue_id,
-  CASE event_type WHEN 'click' THEN 'comment_insert' WHEN 'view' THEN 'comment_update' WHEN 'purchase' THEN 'worklog_insert' WHEN 'signup' THEN 'attachment_insert' ELSE 'worklog_update' END AS kind,
+  CASE event_type WHEN 'click' THEN 'comment_insert' WHEN 'view' THEN 'comment_update' WHEN 'purchase' THEN 'worklog_insert' WHEN 'signup' THEN 'attachment_insert' ELSE CASE WHEN event_id % 2 = 0 THEN 'worklog_delete' ELSE 'worklog_update' END END AS kind,
   CAST(value AS DECIMAL(5,2)) AS hours
 FROM {events}""",
+    # The same events as a stream delivers them: some come twice.
+    "t_activity_delivered": """
+SELECT event_id, ts, user_id, issue_id, kind, hours FROM {t_activity}
+UNION ALL SELECT event_id, ts, user_id, issue_id, kind, hours FROM {t_activity} WHERE event_id % 20 < 2""",
     "t_sprint_request": """
 SELECT CAST(e.event_id AS INT) AS request_id, CAST(e.event_id % 2000 AS INT) AS issue_id,
   CASE e.event_type WHEN 'error' THEN NULL WHEN 'click' THEN 99999 WHEN 'view' THEN CAST((e.event_id % 25) * 10 + e.user_id % 7 AS INT) ELSE CAST((o.o_custkey % 25) * 10 + e.user_id % 7 AS INT) END AS sprint_id

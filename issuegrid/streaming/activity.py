@@ -7,8 +7,9 @@ Both are keyed aggregates without a time window: the state is one row per issue.
   watermark is needed.
 * ST2 ``running_hours``: running total, worklog inserts add and deletes subtract.
   A sum is not repeat-insensitive, so events are de-duplicated on ``event_id``
-  within a watermark (``dropDuplicatesWithinWatermark``); ``delay`` must exceed
-  the worst lateness — events behind the watermark are dropped.
+  within a watermark (``dropDuplicatesWithinWatermark``); ``delay`` (no default) must
+  exceed the worst lateness. An event behind the watermark would be left out of the
+  sum, so :func:`run_until_caught_up` fails if the stream reports any.
 
 Results leave the stream through ``foreachBatch`` in update mode: each
 micro-batch writes only the issues it changed, into its own ``epoch=N``
@@ -30,9 +31,13 @@ from ..schema import ACTIVITY, HOURS_SIGN, HOURS_SUM, TOUCHING_KINDS
 from ..session import checkpoint_dir
 
 
-def read_activity(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A stream of activity events from Parquet files landing in ``directory``."""
+def read_activity(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None,
+                  max_bytes_per_trigger: int | None = None) -> DataFrame:
+    """A stream of activity events from Parquet files landing in ``directory``; a
+    micro-batch takes files up to a number or, better, up to a size."""
     reader = spark.readStream.schema(ACTIVITY)
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return reader.parquet(directory)
@@ -44,10 +49,12 @@ def last_activity(events: DataFrame) -> DataFrame:
             .groupBy("issue_id").agg(F.max("ts").alias("last_activity")))
 
 
-def running_hours(events: DataFrame, delay: str = "1 day", dedupe: bool = True) -> DataFrame:
+def running_hours(events: DataFrame, delay: str | None, dedupe: bool = True) -> DataFrame:
     """ST2: ``(issue_id, total_hours)`` running signed sum of worklog events."""
     src = events
     if dedupe:
+        if not delay:
+            raise ValueError("de-duplication needs a delay above the worst lateness")
         src = src.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
     sign = F.coalesce(*[F.when(F.col("kind") == k, F.lit(s)) for k, s in HOURS_SIGN.items()], F.lit(0))
     return (src.filter(F.col("kind").isin(*HOURS_SIGN))
@@ -106,14 +113,15 @@ def compact(spark: SparkSession, sink: str, key: str, value_cols: list[str], bas
 
 
 def run_until_caught_up(spark: SparkSession, events_dir: str, which: str, work_dir: str | None = None,
-                        delay: str = "1 day", dedupe: bool = True,
-                        max_files_per_trigger: int | None = None) -> DataFrame:
+                        delay: str | None = None, dedupe: bool = True,
+                        max_files_per_trigger: int | None = None,
+                        max_bytes_per_trigger: int | None = None) -> DataFrame:
     """Run ST1 (``which="last_activity"``) or ST2 (``"running_hours"``) over
     everything in ``events_dir`` with ``availableNow`` and return the result
-    table. Sink and checkpoint live under ``work_dir`` (default: a new folder in
+    table; fails if events came too late for the watermark. Sink and checkpoint live under ``work_dir`` (default: a new folder in
     the session's shared checkpoint folder)."""
     base = work_dir or os.path.join(checkpoint_dir(spark), f"stream-{which}-{uuid.uuid4().hex[:12]}")
-    events = read_activity(spark, events_dir, max_files_per_trigger)
+    events = read_activity(spark, events_dir, max_files_per_trigger, max_bytes_per_trigger)
     if which == "last_activity":
         agg, values = last_activity(events), ["last_activity"]
     elif which == "running_hours":
@@ -124,11 +132,15 @@ def run_until_caught_up(spark: SparkSession, events_dir: str, which: str, work_d
     q.awaitTermination()
     if q.exception():
         raise q.exception()
+    late = sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"])
+    if late:
+        raise RuntimeError(f"{late} events came later than {delay}: run again from the start with a larger delay")
     return current_table(spark, os.path.join(base, "sink"), "issue_id", values)
 
 
-def land_events(events: DataFrame, directory: str, files: int = 4) -> None:
-    """Write activity rows as ``files`` Parquet files into ``directory`` — how
-    events arrive for the stream (used to feed it from a table)."""
-    (events.select("event_id", "ts", "user_id", "issue_id", "kind", "hours")
-     .repartition(files, "event_id").write.mode("append").parquet(directory))
+def land_events(events: DataFrame, directory: str, files: int | None = None) -> None:
+    """Write activity rows as Parquet files into ``directory`` — how events arrive for the
+    stream (used to feed it from a table): one file for each partition of ``events``, or
+    ``files`` of them."""
+    rows = events.select("event_id", "ts", "user_id", "issue_id", "kind", "hours")
+    (rows.repartition(files, "event_id") if files else rows).write.mode("append").parquet(directory)

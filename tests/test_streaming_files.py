@@ -61,11 +61,11 @@ def test_compaction_keeps_the_current_table(spark):
     root = tempfile.mkdtemp(prefix="compact-", dir="/tmp")
     events, work = os.path.join(root, "events"), os.path.join(root, "work")
     activity.land_events(_events(spark, rows[:30]), events, files=2)
-    activity.run_until_caught_up(spark, events, "running_hours", work_dir=work)
+    activity.run_until_caught_up(spark, events, "running_hours", work_dir=work, delay="1 day")
     sink = os.path.join(work, "sink")
     base = activity.compact(spark, sink, "issue_id", ["total_hours"], os.path.join(root, "base1"))
     activity.land_events(_events(spark, rows[30:]), events, files=2)
-    activity.run_until_caught_up(spark, events, "running_hours", work_dir=work)
+    activity.run_until_caught_up(spark, events, "running_hours", work_dir=work, delay="1 day")
     got = activity.current_table(spark, sink, "issue_id", ["total_hours"], base=base)
     expect = reports.hours_delta(spark.createDataFrame([], "issue_id int, total_hours decimal(18,2)"),
                                  _events(spark, rows))
