@@ -196,10 +196,10 @@ def _open_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = _common(sets, rows, cols)
                 linked = 100 * both >= percent * (n[rows][:, None] + n[cols][None, :] - both)
                 for k in np.flatnonzero(linked.any(1)):
-                    for j in cols[linked[k]]:
-                        if label[j] != label[rows[k]]:
-                            found.append((ids[rows[k]], ids[j]))
-                            label[label == label[j]] = label[rows[k]]
+                    i, js = rows[k], cols[linked[k]]
+                    while len(js := js[label[js] != label[i]]):         # one link a component that joins
+                        found.append((ids[i], ids[js[0]]))
+                        label[label == label[js[0]]] = label[i]
                 yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
 
     return pieces.select("x", "y", "ms").mapInArrow(run, "a bigint, b bigint")
@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     Documents with ``100 * |A n B| >= percent * |A u B|`` are linked; ``component_id`` is the
     smallest doc_id reachable, ``kept`` says that the row is it. A null text has no words; a
     document without words has an empty set, is linked with nothing and is its own component.
-    Rows repeated under one doc_id are copies of each other. A row without doc_id is linked
+    Rows repeated under one doc_id are copies of each other; different texts under one doc_id
+    are one document, linked as the smallest of its texts is. A row without doc_id is linked
     like any other for the sake of its neighbours' links only if another row has its set;
     its ``component_id`` is that of its set (null if no row with an id has it), ``kept`` is false.
     Other columns are ignored; an empty table gives an empty result.
@@ -229,7 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
         F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
     ids = members.select("id").distinct()
     texts = saved(docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), "text")
-                  .join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+                  .join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
     links = saved(confirmed(stars, texts, words, percent), "links")
     found = components(links)
 
