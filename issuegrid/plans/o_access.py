@@ -55,10 +55,12 @@ WHERE EXISTS (SELECT 1 FROM t_user u, v WHERE u.user_id = v.viewer AND u.role =
 
 sql("visible_users", """
 WITH v AS (SELECT min(user_id) AS viewer FROM t_user WHERE role = 'admin')
-SELECT u.* FROM t_user u
+SELECT u.* EXCLUDE (password_hash) FROM t_user u
 WHERE EXISTS (SELECT 1 FROM t_user a, v WHERE a.user_id = v.viewer AND a.role = 'admin')
    OR u.user_id = (SELECT viewer FROM v)
 """)
 
 sql("public_users", "SELECT user_id, username, email, first_name, last_name, phone, role FROM t_user")
 sql("visible_projects", "SELECT project_id, project_key, project_name, status, owner_id FROM t_project")
+
+sql("visible_users_self", "SELECT user_id, username, role FROM t_user WHERE user_id = (SELECT min(user_id) FROM t_user WHERE role = 'user')")

@@ -241,3 +241,22 @@ SELECT issue_id,
   CASE WHEN assignee_id IN (SELECT pk FROM t_delete_user) THEN NULL ELSE assignee_id END AS assignee_id, parent_issue_id
 FROM t_issue
 """)
+
+# Deletes rooted at the other tables: (child, column) pairs that go with the root, and that lose the reference.
+for _root, _go, _clear in [("sprint", [], [("issue", "sprint_id")]),
+                           ("issue", [("comment", "issue_id"), ("attachment", "issue_id"), ("worklog", "issue_id")], [("issue", "parent_issue_id")]),
+                           ("comment", [], []), ("attachment", [], []), ("worklog", [], [])]:
+    _rows = [f"SELECT '{_root}' AS table_name, 'deleted' AS action, count(*) AS row_count FROM gone"]
+    _rows += [f"SELECT '{c}', 'deleted', count(*) FROM t_{c} WHERE {col} IN (SELECT k FROM gone)" for c, col in _go]
+    _rows += [f"SELECT '{c}', 'set_null:{col}', count(*) FROM t_{c} WHERE {col} IN (SELECT k FROM gone)"
+              + (f" AND {PK[c]} NOT IN (SELECT k FROM gone)" if c == _root else "") for c, col in _clear]
+    sql(f"delete_{_root}", f"""
+WITH gone AS (SELECT {PK[_root]} AS k FROM t_{_root} WHERE {PK[_root]} IN (SELECT pk FROM t_some_key))
+SELECT * FROM ({' UNION ALL '.join(_rows)}) r WHERE row_count > 0
+""")
+
+sql("comment_edit_touch", f"""
+SELECT issue_id, CASE WHEN issue_id IN (SELECT issue_id FROM t_comment WHERE comment_id % 5 = 0 OR comment_id % 3 = 0)
+    AND (updated_date IS NULL OR updated_date < {NOW}) THEN {NOW} ELSE updated_date END AS updated_date
+FROM t_issue
+""")

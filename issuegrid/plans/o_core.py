@@ -153,3 +153,16 @@ WHERE e.project_id = (SELECT project_id FROM t_issue GROUP BY project_id ORDER B
 sql("backlog", f"""
 SELECT * FROM ({ISSUE_ENRICHED}) e WHERE e.sprint_id IS NULL
 """)
+
+for _table, _cols in {"user": ["user_id", "username", "role"], "project": ["project_id", "project_key", "status"],
+                      "sprint": ["sprint_id", "project_id", "sprint_name"], "comment": ["comment_id", "issue_id", "comment_text"],
+                      "attachment": ["attachment_id", "issue_id", "file_name"], "worklog": ["worklog_id", "issue_id", "hours_logged"]}.items():
+    sql(f"lookup_{_table}_by_keys", f"SELECT {', '.join(_cols)} FROM t_{_table} WHERE {_cols[0]} IN (SELECT pk FROM t_some_key)")
+
+for _table, _parent in {"comment": "issue_id", "attachment": "issue_id", "sprint": "project_id", "issue": "project_id"}.items():
+    sql(f"{_table}s_of_parents", f"SELECT {_table}_id, {_parent} FROM t_{_table} WHERE {_parent} IN (SELECT pk FROM t_some_key)")
+
+sql("worklog_with_user_and_project", """
+SELECT w.worklog_id, w.user_id, u.username, i.project_id, w.hours_logged
+FROM t_worklog w JOIN t_user u ON u.user_id = w.user_id JOIN t_issue i ON i.issue_id = w.issue_id
+""")

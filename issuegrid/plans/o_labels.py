@@ -81,3 +81,9 @@ FROM t_attachment""")
 sql("blank_to_null", r"""
 SELECT worklog_id, NULLIF(description, '') AS description, COALESCE(regexp_matches(description, '[^\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]'), false) AS has_text
 FROM t_worklog""")
+
+sql("text_to_int", """
+SELECT worklog_id, CASE WHEN worklog_id % 7 <> 0 AND CAST(worklog_id AS BIGINT) * 1000003 <= 2147483647
+  THEN TRY_CAST(CAST(worklog_id AS BIGINT) * 1000003 AS INT) END AS number
+FROM t_worklog
+""")

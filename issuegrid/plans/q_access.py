@@ -85,3 +85,10 @@ def public_users(t):
 def visible_projects(t):
     """The project list that every signed-in user sees."""
     return access.visible_projects(t["project"]).select("project_id", "project_key", "project_name", "status", "owner_id")
+
+
+@query("visible_users_self")
+def visible_users_self(t):
+    """The user list as a plain user sees it (the own row)."""
+    viewer = t["user"].filter(F.col("role") == "user").select(F.min("user_id")).scalar()
+    return access.visible_users(t["user"], viewer).select("user_id", "username", "role")

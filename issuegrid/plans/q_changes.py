@@ -160,3 +160,26 @@ def reject_duplicates(t):
     """Sign-up batch checked for taken usernames and emails."""
     out = changes.reject_duplicates("user", t["user"], t["new_user"])
     return out.select("request_id", "accepted", F.array_join("reasons", ",").alias("reasons"))
+
+
+def _delete(table):
+    def fn(t):
+        _, report = changes.delete_cascade(_base(t), table, t["some_key"])
+        return report
+    fn.__doc__ = f"D7: delete some {table} rows; rows removed and references cleared per table."
+    return fn
+
+
+for _table in ("sprint", "issue", "comment", "attachment", "worklog"):
+    query(f"delete_{_table}")(_delete(_table))
+
+
+@query("comment_edit_touch")
+def comment_edit_touch(t):
+    """Issues after a comment snapshot in which some texts changed (some only in letter
+    case, which touches nothing) and some comments are new."""
+    old = t["comment"].filter(F.col("comment_id") % 5 != 0)
+    text = (F.when(F.col("comment_id") % 3 == 0, F.concat("comment_text", F.lit(" (edited)")))
+            .when(F.col("comment_id") % 3 == 1, F.upper("comment_text")).otherwise(F.col("comment_text")))
+    events = changes.comment_edit_events(old, t["comment"].withColumn("comment_text", text), NOW)
+    return changes.issue_touch(t["issue"], events).select("issue_id", "updated_date")

@@ -145,3 +145,40 @@ def backlog(t):
 
 def _issues(t):
     return enrich.issue_enriched(t["issue"], t["project"], t["sprint"], t["user"])
+
+
+# F1 for the other tables: a few columns of the rows whose id is asked for.
+LOOKED_UP = {"user": ["user_id", "username", "role"], "project": ["project_id", "project_key", "status"],
+             "sprint": ["sprint_id", "project_id", "sprint_name"], "comment": ["comment_id", "issue_id", "comment_text"],
+             "attachment": ["attachment_id", "issue_id", "file_name"], "worklog": ["worklog_id", "issue_id", "hours_logged"]}
+CHILDREN = {"comment": "issue_id", "attachment": "issue_id", "sprint": "project_id", "issue": "project_id"}
+
+
+def _lookup(table, cols):
+    def fn(t):
+        return lookup.lookup_by_keys(t[table].select(*cols), t["some_key"], cols[0])
+    fn.__doc__ = f"F1: {table} rows by id."
+    return fn
+
+
+for _table, _cols in LOOKED_UP.items():
+    query(f"lookup_{_table}_by_keys")(_lookup(_table, _cols))
+
+
+def _children(table, parent):
+    def fn(t):
+        rows = t[table].select(f"{table}_id", parent)
+        return lookup.children_of(rows, parent, t["some_key"], "pk")
+    fn.__doc__ = f"F3: {table} rows of the parents asked for."
+    return fn
+
+
+for _table, _parent in CHILDREN.items():
+    query(f"{_table}s_of_parents")(_children(_table, _parent))
+
+
+@query("worklog_with_user_and_project")
+def worklog_with_user_and_project(t):
+    """Worklogs with their user's name and their issue's project."""
+    return enrich.worklog_with_user_and_project(t["worklog"], t["user"], t["issue"]).select(
+        "worklog_id", "user_id", "username", "project_id", "hours_logged")

@@ -165,6 +165,11 @@ FROM {t_activity} WHERE kind = 'attachment_insert'""",
 SELECT project_id AS pk FROM {t_project} WHERE status = 'archived'""",
     "t_delete_user": """
 SELECT user_id AS pk FROM {t_user} WHERE role = 'project_manager'""",
+    # Keys that lookups and deletes ask for, some of which exist in each table.
+    "t_some_key": """
+SELECT DISTINCT CAST(pk AS INT) AS pk FROM (
+  SELECT event_id % 700 AS pk FROM {events} UNION ALL SELECT (event_id % 700) * 64 + 1 FROM {events}
+  UNION ALL SELECT (event_id % 70) * 100 + 1 FROM {events}) x""",
     # The tables with bad rows in them: every rule of the validity checks meets some.
     "t_dirty_user": """
 SELECT CASE WHEN user_id % 97 = 1 THEN NULL ELSE user_id END AS user_id,
