@@ -15,8 +15,8 @@ UNION ALL SELECT 'worklog', count(*) FROM t_worklog
 
 sql("append_rows", """
 WITH ok AS (
-  SELECT r.hours_logged FROM t_new_worklog r
-  WHERE r.hours_logged > 0 AND r.hours_logged <= 999.99 AND r.work_date IS NOT NULL
+  SELECT CAST(round_even(r.hours_logged, 2) AS DECIMAL(5,2)) AS hours_logged FROM t_new_worklog r
+  WHERE round_even(r.hours_logged, 2) > 0 AND r.hours_logged <= 999.99 AND r.work_date IS NOT NULL
     AND EXISTS (SELECT 1 FROM t_issue i WHERE i.issue_id = r.issue_id)
     AND (r.user_id IS NULL OR EXISTS (SELECT 1 FROM t_user u WHERE u.user_id = r.user_id)))
 SELECT (SELECT count(*) FROM t_worklog) + (SELECT count(*) FROM ok) AS row_count,
