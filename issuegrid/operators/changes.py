@@ -19,7 +19,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import (AUTO_UPDATE_COLUMNS, COLUMN_DEFAULTS, FOREIGN_KEYS, INSERT_DEFAULTS, ISSUE_STATUSES,
+from ..schema import (AUTO_UPDATE_COLUMNS, CASCADE_ORDER, COLUMN_DEFAULTS, FOREIGN_KEYS, INSERT_DEFAULTS, ISSUE_STATUSES,
                       PATCH_ALLOW, PRIMARY_KEYS, SCHEMAS, TOUCHING_KINDS, UNIQUE_KEYS)
 from ..session import checkpoint_dir
 from .common import lookup
@@ -383,7 +383,7 @@ def delete_cascade(tables: dict[str, DataFrame], table: str, keys: DataFrame,
     pk = PRIMARY_KEYS[table]
     deleted: dict[str, DataFrame] = {
         table: tables[table].join(keys.select(F.col(key_col).alias(pk)), pk, "left_semi").select(pk)}
-    order = [t for t in ("user", "project", "sprint", "issue", "comment", "attachment", "worklog") if t in tables]
+    order = [t for t in CASCADE_ORDER if t in tables]
     for child in order:
         if child == table:
             continue

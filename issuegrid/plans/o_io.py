@@ -59,7 +59,7 @@ WHERE i.project_id IN (SELECT project_id FROM t_project WHERE project_id IN (SEL
 """)
 
 sql("missing_files", f"""
-SELECT CAST((SELECT max(attachment_id) FROM t_attachment) + row_number() OVER (ORDER BY n.request_id) AS INT) AS attachment_id,
+SELECT CAST((SELECT max(attachment_id) FROM t_attachment) + row_number() OVER (ORDER BY n.request_id) AS BIGINT) AS attachment_id,
   n.issue_id,
   concat(substr(sha256(concat_ws('_', CAST(n.request_id AS VARCHAR), n.file_name)), 1, 32), '_',
     {_SAFE.format(c="n.file_name")}) AS file_path

@@ -83,7 +83,7 @@ SELECT worklog_id, NULLIF(description, '') AS description, COALESCE(regexp_match
 FROM t_worklog""")
 
 sql("text_to_int", """
-SELECT worklog_id, CASE WHEN worklog_id % 7 <> 0 AND CAST(worklog_id AS BIGINT) * 1000003 <= 2147483647
-  THEN TRY_CAST(CAST(worklog_id AS BIGINT) * 1000003 AS INT) END AS number
+SELECT worklog_id, CASE WHEN worklog_id % 7 <> 0 AND (worklog_id % 4001) * 1000003 <= 2147483647
+  THEN TRY_CAST((worklog_id % 4001) * 1000003 AS INT) END AS number
 FROM t_worklog
 """)

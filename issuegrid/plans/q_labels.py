@@ -143,6 +143,6 @@ def blank_to_null(t):
 @query("text_to_int")
 def text_to_int(t):
     """Form texts as integers: whole numbers up to the largest INT, else null."""
-    digits = F.concat(F.lit(" "), (F.col("worklog_id").cast("long") * 1_000_003).cast("string"), F.lit("\t"))
+    digits = F.concat(F.lit(" "), ((F.col("worklog_id") % 4001) * 1_000_003).cast("string"), F.lit("\t"))
     text = F.when(F.col("worklog_id") % 7 == 0, F.concat(F.col("worklog_id").cast("string"), F.lit("abc"))).otherwise(digits)
     return t["worklog"].select("worklog_id", X.text_to_int(text).alias("number"))

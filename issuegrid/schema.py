@@ -46,16 +46,16 @@ SCHEMAS: dict[str, T.StructType] = {
         _f("story_points", I), _f("parent_issue_id", I),
     ]),
     "comment": T.StructType([
-        _f("comment_id", I, False), _f("issue_id", I, False), _f("user_id", I),
+        _f("comment_id", L, False), _f("issue_id", I, False), _f("user_id", I),
         _f("comment_text", S, False), _f("created_at", TS), _f("updated_at", TS),
     ]),
     "attachment": T.StructType([
-        _f("attachment_id", I, False), _f("issue_id", I, False), _f("user_id", I),
+        _f("attachment_id", L, False), _f("issue_id", I, False), _f("user_id", I),
         _f("file_name", S, False), _f("file_path", S, False), _f("file_type", S),
         _f("file_size_bytes", L), _f("uploaded_at", TS),
     ]),
     "worklog": T.StructType([
-        _f("worklog_id", I, False), _f("issue_id", I, False), _f("user_id", I),
+        _f("worklog_id", L, False), _f("issue_id", I, False), _f("user_id", I),
         _f("hours_logged", HOURS, False), _f("work_date", D, False), _f("description", S),
         _f("created_at", TS),
     ]),

@@ -68,7 +68,7 @@ FROM {orders}""",
     # Line items carry no id of their own; (order, ship date, part, line) is unique
     # in the driver data, so a per-order sequence over it gives a stable id.
     "t_worklog": """
-SELECT CAST(CAST(issue_id AS BIGINT) * 64 + row_number() OVER (PARTITION BY issue_id ORDER BY created_at, src_partkey, src_line) AS INT) AS worklog_id,
+SELECT CAST(CAST(issue_id AS BIGINT) * 1000000 + row_number() OVER (PARTITION BY issue_id ORDER BY created_at, src_partkey, src_line) AS BIGINT) AS worklog_id,
   issue_id, user_id, hours_logged, work_date, description, created_at, src_partkey, src_line
 FROM (
   SELECT CAST(l_orderkey AS INT) AS issue_id,
@@ -79,7 +79,7 @@ FROM (
     l_partkey AS src_partkey, l_linenumber AS src_line
   FROM {lineitem}) x""",
     "t_comment": """
-SELECT CAST(conv_id * 100 + turn AS INT) AS comment_id, CAST(conv_id AS INT) AS issue_id,
+SELECT CAST(CAST(conv_id AS BIGINT) * 1000000 + turn AS BIGINT) AS comment_id, CAST(conv_id AS INT) AS issue_id,
   CASE role WHEN 'system' THEN NULL WHEN 'user' THEN CAST(conv_id % 100 AS INT) ELSE CAST((conv_id + 1) % 100 AS INT) END AS user_id,
   text AS comment_text,
   CAST(TIMESTAMP '2024-01-01 00:00:00' + conv_id * INTERVAL '1' HOUR + turn * INTERVAL '1' MINUTE AS TIMESTAMP) AS created_at,
@@ -167,9 +167,8 @@ SELECT project_id AS pk FROM {t_project} WHERE status = 'archived'""",
 SELECT user_id AS pk FROM {t_user} WHERE role = 'project_manager'""",
     # Keys that lookups and deletes ask for, some of which exist in each table.
     "t_some_key": """
-SELECT DISTINCT CAST(pk AS INT) AS pk FROM (
-  SELECT event_id % 700 AS pk FROM {events} UNION ALL SELECT (event_id % 700) * 64 + 1 FROM {events}
-  UNION ALL SELECT (event_id % 70) * 100 + 1 FROM {events}) x""",
+SELECT DISTINCT CAST(pk AS BIGINT) AS pk FROM (
+  SELECT event_id % 700 AS pk FROM {events} UNION ALL SELECT CAST(event_id % 700 AS BIGINT) * 1000000 + 1 FROM {events}) x""",
     # The tables with bad rows in them: every rule of the validity checks meets some.
     "t_dirty_user": """
 SELECT CASE WHEN user_id % 97 = 1 THEN NULL ELSE user_id END AS user_id,
