@@ -224,7 +224,8 @@ def apply_patches(table: str, df: DataFrame, patches: DataFrame, now: str | Colu
                .withColumn("reasons", F.array(F.lit(f"{pk}:not_found"))))
     rejected = probe.filter(F.size("reasons") > 0).unionByName(unknown)
     if "hours_logged" in allowed:                                      # X10, then the stored width
-        good = good.withColumn("hours_logged", F.bround("hours_logged", 2).cast(types["hours_logged"]))
+        sent = F.when(F.array_contains("set_fields", "hours_logged"), F.bround("hours_logged", 2))   # others are untested
+        good = good.withColumn("hours_logged", sent.cast(types["hours_logged"]))
     per_field = []
     for f in allowed:
         sets, v = F.array_contains("set_fields", f), F.col(f)

@@ -1,5 +1,7 @@
 """Oracle bodies for set-based changes."""
 
+import re
+
 from .o_quality import PK, REASONS
 from .oracle import sql
 
@@ -260,3 +262,47 @@ SELECT issue_id, CASE WHEN issue_id IN (SELECT issue_id FROM t_comment WHERE com
     AND (updated_date IS NULL OR updated_date < {NOW}) THEN {NOW} ELSE updated_date END AS updated_date
 FROM t_issue
 """)
+
+
+def _patch_texts(table, fields, refs, moved, unique=""):
+    """(new rows, refused patches) of a table's patch view. The row rules are those of the
+    validity checks, for the fields a patch sets; ``refs``: (column, parent)."""
+    pk, tests = PK[table], []
+    for cond, col, code in re.findall(r"CASE WHEN (.*) THEN '(\w+):(\w+)' END", REASONS[table]):
+        if col in fields:
+            tests.append(f"CASE WHEN list_contains(set_fields, '{col}') AND ({cond}) THEN '{col}:{code}' END")
+    for col, parent in refs:
+        tests.append(f"CASE WHEN list_contains(set_fields, '{col}') AND {col} IS NOT NULL AND NOT EXISTS "
+                     f"(SELECT 1 FROM t_{parent} q WHERE q.{PK[parent]} = p.{col}) THEN '{col}:unknown_parent' END")
+    value = lambda f: "TRY_CAST(round_even(hours_logged, 2) AS DECIMAL(5,2))" if f == "hours_logged" else f
+    ctes = f"""
+ruled AS (SELECT *, concat_ws(',', {', '.join(tests)}) AS r0 FROM t_{table}_patch p),
+judged AS (SELECT *, concat_ws(',', NULLIF(r0, ''){unique}) AS r FROM ruled p),
+ok AS (SELECT change_id, pk, set_fields, {', '.join(f'{value(f)} AS {f}' if f == 'hours_logged' else f for f in fields)} FROM judged j
+  WHERE r = '' AND EXISTS (SELECT 1 FROM t_{table} x WHERE x.{pk} = j.pk)),
+""" + ",\n".join(
+        f"f_{f} AS (SELECT pk, {f} FROM (SELECT pk, {f}, row_number() OVER (PARTITION BY pk ORDER BY change_id DESC) AS rn "
+        f"FROM ok WHERE list_contains(set_fields, '{f}')) WHERE rn = 1)" for f in fields)
+    changed = " OR ".join(f"(list_contains(o.set_fields, '{f}') AND o.{f} IS DISTINCT FROM x.{f})" for f in fields)
+    instant = "".join(f", CASE WHEN EXISTS (SELECT 1 FROM ok o WHERE o.pk = x.{pk} AND ({changed})) THEN {NOW} ELSE x.{m} END AS {m}" for m in moved)
+    rows = ", ".join(f"CASE WHEN f_{f}.pk IS NOT NULL THEN f_{f}.{f} ELSE x.{f} END AS {f}" for f in fields)
+    joins = " ".join(f"LEFT JOIN f_{f} ON f_{f}.pk = x.{pk}" for f in fields)
+    refused = f"""SELECT change_id, pk, CASE WHEN r <> '' THEN r ELSE '{pk}:not_found' END AS reasons FROM judged j
+WHERE r <> '' OR NOT EXISTS (SELECT 1 FROM t_{table} x WHERE x.{pk} = j.pk)"""
+    return f"WITH {ctes}\nSELECT x.{pk}, {rows}{instant} FROM t_{table} x {joins}", f"WITH {ctes}\n{refused}"
+
+
+# A value that another row holds, or that an earlier patch that keeps the rules claims for another row.
+_EMAIL = """, CASE WHEN r0 = '' AND list_contains(set_fields, 'email') AND (
+    EXISTS (SELECT 1 FROM t_user u WHERE lower(u.email) = lower(p.email) AND u.user_id <> p.pk)
+    OR EXISTS (SELECT 1 FROM ruled m WHERE m.r0 = '' AND list_contains(m.set_fields, 'email') AND lower(m.email) = lower(p.email)
+      AND m.change_id < p.change_id AND m.pk <> p.pk AND NOT EXISTS (SELECT 1 FROM t_user u WHERE lower(u.email) = lower(m.email) AND u.user_id <> m.pk)))
+    THEN 'email:duplicate' END"""
+for _table, _args in {"user": (["email", "first_name", "last_name", "phone"], [], [], _EMAIL),
+                      "project": (["project_name", "description", "end_date", "status", "owner_id"], [("owner_id", "user")], ["updated_at"]),
+                      "sprint": (["sprint_name", "goal", "status"], [], ["updated_at"]),
+                      "worklog": (["hours_logged", "work_date", "description"], [], []),
+                      "comment": (["comment_text"], [], ["updated_at"])}.items():
+    _rows, _refused = _patch_texts(_table, *_args)
+    sql(f"patch_{_table}s", _rows)
+    sql(f"patch_{_table}s_rejected", _refused)

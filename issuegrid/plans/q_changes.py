@@ -183,3 +183,24 @@ def comment_edit_touch(t):
             .when(F.col("comment_id") % 3 == 1, F.upper("comment_text")).otherwise(F.col("comment_text")))
     events = changes.comment_edit_events(old, t["comment"].withColumn("comment_text", text), NOW)
     return changes.issue_touch(t["issue"], events).select("issue_id", "updated_date")
+
+
+# D3 for the other tables: the fields that the patch views carry.
+PATCHED = {"user": ["email", "first_name", "last_name", "phone"], "project": ["project_name", "description", "end_date", "status", "owner_id"],
+           "sprint": ["sprint_name", "goal", "status"], "worklog": ["hours_logged", "work_date", "description"], "comment": ["comment_text"]}
+MOVED = {"project": ["updated_at"], "sprint": ["updated_at"], "comment": ["updated_at"]}
+
+
+def _patched(table, rejected):
+    def fn(t):
+        new, bad = changes.apply_patches(table, t[table], t[f"{table}_patch"], NOW, parents=_base(t))
+        if rejected:
+            return bad.select("change_id", "pk", F.array_join("reasons", ",").alias("reasons"))
+        return new.select(f"{table}_id", *PATCHED[table], *MOVED.get(table, []))
+    fn.__doc__ = f"D3+D8: {table} patches" + (": the refused ones with their reasons." if rejected else " applied to all rows.")
+    return fn
+
+
+for _table in PATCHED:
+    query(f"patch_{_table}s")(_patched(_table, False))
+    query(f"patch_{_table}s_rejected")(_patched(_table, True))

@@ -128,6 +128,40 @@ SELECT event_id AS change_id, CAST(event_id % 2000 AS INT) AS pk,
   CAST(user_id % 13 - 1 AS INT) AS story_points,
   CASE WHEN user_id % 3 = 0 THEN NULL WHEN user_id % 7 = 1 THEN 987654321 ELSE CAST(event_id % 2000 + 1 AS INT) END AS parent_issue_id,
   'Done' AS status, CAST(user_id AS INT) AS assignee_id, CAST(NULL AS INT) AS sprint_id
+FROM {events}""",
+    # Patches of the other tables: fields set to good and bad values and to null.
+    "t_user_patch": """
+SELECT event_id AS change_id, CAST(event_id % 170 AS INT) AS pk,
+  split(CASE event_type WHEN 'click' THEN 'email' WHEN 'view' THEN 'phone,first_name' WHEN 'purchase' THEN 'first_name,role' ELSE 'last_name' END, ',') AS set_fields,
+  CASE WHEN event_id % 5 = 0 THEN concat('CUSTOMER#', lpad(CAST(user_id % 150 AS VARCHAR(10)), 9, '0'), '@example.com') WHEN event_id % 5 = 1 THEN 'nowhere' ELSE concat('new', CAST(event_id AS VARCHAR(20)), '@example.org') END AS email,
+  CASE WHEN user_id % 4 = 0 THEN NULL ELSE concat('F', CAST(user_id AS VARCHAR(10))) END AS first_name,
+  CASE WHEN user_id % 9 = 0 THEN repeat('l', 101) ELSE 'Lee' END AS last_name,
+  CASE WHEN user_id % 3 = 0 THEN repeat('1', 21) ELSE '555' END AS phone, 'admin' AS role
+FROM {events}""",
+    "t_project_patch": """
+SELECT event_id AS change_id, CAST(event_id % 27 AS INT) AS pk,
+  split(CASE event_type WHEN 'click' THEN 'owner_id' WHEN 'view' THEN 'status' WHEN 'purchase' THEN 'project_name,project_key' ELSE 'end_date,description' END, ',') AS set_fields,
+  CASE WHEN event_id % 3 = 0 THEN '' ELSE concat('Plan ', CAST(user_id % 3 AS VARCHAR(10))) END AS project_name,
+  CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'Described' END AS description, CAST(NULL AS DATE) AS end_date,
+  CASE user_id % 4 WHEN 0 THEN 'paused' WHEN 1 THEN 'active' ELSE 'completed' END AS status,
+  CASE WHEN user_id % 5 = 0 THEN NULL WHEN user_id % 5 = 1 THEN 987654 ELSE CAST(user_id % 100 AS INT) END AS owner_id, 'KEY' AS project_key
+FROM {events}""",
+    "t_sprint_patch": """
+SELECT event_id AS change_id, CAST(event_id % 250 AS INT) AS pk,
+  split(CASE event_type WHEN 'click' THEN 'sprint_name' WHEN 'view' THEN 'status,project_id' ELSE 'goal' END, ',') AS set_fields,
+  CASE user_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('Sprint ', CAST(1995 + user_id % 4 AS VARCHAR(10))) END AS sprint_name,
+  CASE WHEN user_id % 2 = 0 THEN NULL ELSE 'A goal' END AS goal,
+  CASE user_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'future' ELSE 'completed' END AS status, CAST(1 AS INT) AS project_id
+FROM {events}""",
+    "t_worklog_patch": """
+SELECT event_id AS change_id, CAST(event_id % 500 AS BIGINT) * 1000000 + 1 AS pk,
+  split(CASE event_type WHEN 'click' THEN 'hours_logged' WHEN 'view' THEN 'work_date' ELSE 'description,hours_logged' END, ',') AS set_fields,
+  CAST(CASE event_id % 9 WHEN 0 THEN 0 WHEN 1 THEN 0.004 WHEN 2 THEN 0.125 WHEN 3 THEN 999.99 WHEN 4 THEN 1000 WHEN 5 THEN NULL ELSE user_id % 20 + 1 END AS DECIMAL(20,6)) AS hours_logged,
+  CASE WHEN user_id % 3 = 0 THEN NULL ELSE CAST(ts AS DATE) END AS work_date, CAST(NULL AS STRING) AS description
+FROM {events}""",
+    "t_comment_patch": """
+SELECT event_id AS change_id, CAST(event_id % 200 AS BIGINT) * 1000000 + 1 AS pk, split('comment_text,user_id', ',') AS set_fields,
+  CASE user_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('Edit ', CAST(user_id % 3 AS VARCHAR(10))) END AS comment_text, CAST(1 AS INT) AS user_id
 FROM {events}""",
     "t_new_worklog": """
 SELECT event_id AS request_id, issue_id, user_id,
