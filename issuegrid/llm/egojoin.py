@@ -5,7 +5,8 @@ turned so that the leading coordinates are their principal directions and sorted
 grid cells of that width along them: the epsilon grid order. The sorted sequence is cut
 into blocks; two blocks are compared only if their bounds on the leading coordinates come
 that close, and inside a task two intervals are halved and skipped the same way until a
-matrix product settles what is left, in double precision.
+matrix product settles what is left, in double precision. Vectors of different lengths are
+never linked: every length has its own directions, order and blocks.
 """
 
 from __future__ import annotations
@@ -22,27 +23,15 @@ LEADING = 8              # principal coordinates that the order and the bounds u
 BLOCK, LEAF = 4096, 512  # vectors of a block, and of an interval that is multiplied out
 
 
-def _matrix(column) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of an Arrow list column as rows of doubles, and which of them can be linked
-    (all of one length, finite, not zero); others are rows of zeros."""
-    lists = column.to_pylist() if column.null_count or column.values.null_count else None
-    size = np.asarray(column.value_lengths().fill_null(0))
-    width = int(np.bincount(size).argmax()) if len(size) else 0
-    good = (size == width) & (width > 0)
-    out = np.zeros((len(size), width))
-    if lists is None:
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-        start = np.cumsum(size) - size
-        out[good] = flat[(start[good][:, None] + np.arange(width)[None, :])]
-    else:
-        for k in np.flatnonzero(good):
-            if lists[k] is None or None in lists[k]:
-                good[k] = False
-            else:
-                out[k] = lists[k]
-    good &= np.isfinite(out).all(1) & (out != 0).any(1)
-    out[~good] = 0
-    return out, good
+def _by_length(column):
+    """``(length, places, vectors)`` of an Arrow list column: its vectors as rows of doubles, one
+    length at a time in the order in which the lengths first occur."""
+    size = np.asarray(column.value_lengths())
+    flat, start = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
+    widths, first = np.unique(size, return_index=True)
+    for w in widths[np.argsort(first)].tolist():
+        rows = np.flatnonzero(size == w)
+        yield w, rows, flat[start[rows][:, None] + np.arange(w)[None, :]]
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -50,27 +39,40 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _principal(vectors: DataFrame, width: int) -> np.ndarray:
-    """Leading principal directions of the unit vectors, from sums made in the tasks."""
+def _principal(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """Leading principal directions of the unit vectors of each length, from sums made in the
+    tasks; one length's sums are held at a time, which suits rows in the order of lengths."""
 
     def run(batches):
-        total = np.zeros((width + 1, width + 1))
+        width, total = 0, None
+
+        def sums():
+            return pa.RecordBatch.from_arrays([pa.array(np.full(total.size, width, np.int32)), pa.array(np.arange(total.size, dtype=np.int32)),
+                                               pa.array(total.ravel())], ["w", "k", "s"])
+
         for batch in batches:
-            v, good = _matrix(batch.column(0))
-            if good.any() and v.shape[1] == width:
-                u = np.concatenate([_unit(v[good]), np.ones((good.sum(), 1))], 1)
+            for w, _, v in _by_length(batch.column(0)):
+                if w != width:
+                    if width:
+                        yield sums()
+                    width, total = w, np.zeros((w + 1, w + 1))
+                u = np.concatenate([_unit(v), np.ones((len(v), 1))], 1)
                 total += u.T @ u
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], ["k", "s"])
+        if width:
+            yield sums()
+
+    def axes(table):
+        width = table.column("w")[0].as_py()
+        total = np.zeros((width + 1) ** 2)
+        total[table.column("k").to_numpy()] = table.column("s").to_numpy()
+        total = total.reshape(width + 1, width + 1)
+        n = max(total[-1, -1], 1)
+        mean = total[-1, :-1] / n
+        _, out = np.linalg.eigh(total[:-1, :-1] / n - np.outer(mean, mean))
+        return pa.table({"w": pa.array([width], pa.int32()), "axes": pa.array([np.ascontiguousarray(out[:, ::-1][:, :LEADING]).tobytes()])})
 
-    rows = vectors.mapInArrow(run, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
-    total = np.zeros((width + 1) ** 2)
-    for r in rows:
-        total[r.k] = r.s
-    total = total.reshape(width + 1, width + 1)
-    n = max(total[-1, -1], 1)
-    mean = total[-1, :-1] / n
-    _, axes = np.linalg.eigh(total[:-1, :-1] / n - np.outer(mean, mean))
-    return axes[:, ::-1][:, :LEADING]
+    sums = vectors.mapInArrow(run, "w int, k int, s double").groupBy("w", "k").agg(F.sum("s").alias("s"))
+    return {r.w: np.frombuffer(r.axes).reshape(r.w, -1) for r in sums.groupBy("w").applyInArrow(axes, "w int, axes binary").collect()}
 
 
 def _close(lo_a, hi_a, lo_b, hi_b, eps: float) -> bool:
@@ -106,9 +108,8 @@ def join_intervals(u: np.ndarray, lead: np.ndarray, a: slice, b: slice, cosine:
 def near_vectors(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``embeddings (vec_id, embedding)``.
 
-    A vector that is null, zero, empty, or holds null or non-finite components has no links,
-    like one whose length isn't that of the table's other vectors in its batch; it is its
-    own component. Equal vectors are one point with a weight: a row's ``n_links`` counts the
+    A vector that is null, zero, empty, or holds null or non-finite components has no links;
+    it is its own component. Others are linked to vectors of their length. Equal vectors are one point with a weight: a row's ``n_links`` counts the
     other rows of its own point and all rows of linked points. Rows repeated under one
     vec_id count as vectors of their own. A row without vec_id is counted as a link by
     others, but lends no id to a component (null if no other row has one). Other columns
@@ -116,74 +117,76 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
     """
     spark, eps = embeddings.sparkSession, float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     rows = embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    width = rows.groupBy(F.size("v").alias("w")).count().where("w > 0").orderBy(F.desc("count"), "w").first()
-    width = width.w if width else 0
-    usable = (F.size("v") == width) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0.0)
+    usable = (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0.0)
     rows = rows.withColumn("point", F.when(F.coalesce(usable, F.lit(False)), F.xxhash64("v")))
     points = rows.where("point is not null").groupBy("point", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("id"))
-    points = saved(points, "points")
-    axes = _principal(points.select("v"), width)
+    points = saved(points.sortWithinPartitions(F.size("v")), "points")
+    axes = _principal(points.select("v"))
     shared = spark.sparkContext.broadcast(axes)
 
     def cells(batches):
         for batch in batches:
-            v, _ = _matrix(batch.column(1))
-            lead = (_unit(v) if len(v) else v.reshape(0, width)) @ shared.value
-            cell = np.floor(lead / eps).astype(np.int64) if eps else np.round(lead * 1e9).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cell), pa.list_(pa.int64()))], ["point", "v", "n", "id", "cell"])
+            for w, at, v in _by_length(batch.column(1)):
+                lead = _unit(v) @ shared.value[w]
+                cell = np.floor(lead / eps).astype(np.int64) if eps else np.round(lead * 1e9).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(np.full(len(at), w, np.int32)), pa.array(list(cell), pa.list_(pa.int64()))],
+                                                 ["point", "v", "n", "id", "w", "cell"])
 
-    # The epsilon grid order: by cells, coordinate by coordinate.
-    order = saved(points.mapInArrow(cells, "point bigint, v array<double>, n bigint, id bigint, cell array<bigint>").orderBy("cell", "point"), "order")
+    # The epsilon grid order of each length: by cells, coordinate by coordinate.
+    order = saved(points.mapInArrow(cells, "point bigint, v array<double>, n bigint, id bigint, w int, cell array<bigint>").orderBy("w", "cell", "point"), "order")
 
     def blocks(batches):
-        held, count = [], 0
+        held, count, width = [], 0, 0
 
         def block(held):
             point, v, n = (np.concatenate([h[k] for h in held]) for k in range(3))
             u = _unit(v)
-            lead = u @ shared.value
+            lead = u @ shared.value[width]
             return pa.RecordBatch.from_arrays(
-                [pa.array([int(point[0])], pa.int64()), pa.array([point.tobytes()]), pa.array([n.tobytes()]), pa.array([u.tobytes()]),
-                 pa.array([lead.min(0)]), pa.array([lead.max(0)])], ["block", "point", "n", "u", "lo", "hi"])
+                [pa.array([width], pa.int32()), pa.array([int(point[0])], pa.int64()), pa.array([point.tobytes()]), pa.array([n.tobytes()]),
+                 pa.array([u.tobytes()]), pa.array([lead.min(0)]), pa.array([lead.max(0)])], ["w", "block", "point", "n", "u", "lo", "hi"])
 
         for batch in batches:
-            v, _ = _matrix(batch.column(1))
-            rest = (batch.column(0).to_numpy(), v, batch.column(2).to_numpy())
-            while len(rest[0]):
-                take = min(BLOCK - count, len(rest[0]))
-                held.append(tuple(x[:take] for x in rest))
-                rest, count = tuple(x[take:] for x in rest), count + take
-                if count == BLOCK:
-                    yield block(held)
-                    held, count = [], 0
+            for w, at, v in _by_length(batch.column(1)):
+                if w != width:                                # a block holds vectors of one length
+                    if held:
+                        yield block(held)
+                    held, count, width = [], 0, w
+                rest = (batch.column(0).to_numpy()[at], v, batch.column(2).to_numpy()[at])
+                while len(rest[0]):
+                    take = min(BLOCK - count, len(rest[0]))
+                    held.append(tuple(x[:take] for x in rest))
+                    rest, count = tuple(x[take:] for x in rest), count + take
+                    if count == BLOCK:
+                        yield block(held)
+                        held, count = [], 0
         if held:
             yield block(held)
 
     cut = saved(order.select("point", "v", "n").mapInArrow(
-        blocks, "block bigint, point binary, n binary, u binary, lo array<double>, hi array<double>"), "blocks")
-    # Blocks meet in the cells of the first coordinate that their bounds, widened by eps, touch;
+        blocks, "w int, block bigint, point binary, n binary, u binary, lo array<double>, hi array<double>"), "blocks")
+    # Blocks of one length meet in the cells of the first coordinate that their bounds, widened by eps, touch;
     # then the bounds on all leading coordinates decide.
-    box = cut.select("block", "lo", "hi")
+    box = cut.select("w", "block", "lo", "hi")
     step = max(eps, 1e-3)
     touch = lambda lo, hi: F.explode(F.sequence(F.floor(lo / step), F.floor(hi / step)))
-    left = box.select(F.col("block").alias("x"), F.col("lo").alias("lo_x"), F.col("hi").alias("hi_x"), touch(F.col("lo")[0], F.col("hi")[0] + eps + 1e-9).alias("c"))
-    right = box.select(F.col("block").alias("y"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"), touch(F.col("lo")[0], F.col("hi")[0] + eps + 1e-9).alias("c"))
+    left = box.select("w", F.col("block").alias("x"), F.col("lo").alias("lo_x"), F.col("hi").alias("hi_x"), touch(F.col("lo")[0], F.col("hi")[0] + eps + 1e-9).alias("c"))
+    right = box.select("w", F.col("block").alias("y"), F.col("lo").alias("lo_y"), F.col("hi").alias("hi_y"), touch(F.col("lo")[0], F.col("hi")[0] + eps + 1e-9).alias("c"))
     gaps = F.transform(F.arrays_zip("lo_x", "hi_x", "lo_y", "hi_y"), lambda z: F.greatest(F.lit(0.0), z["lo_x"] - z["hi_y"], z["lo_y"] - z["hi_x"]))
-    pairs = left.join(right, "c").where("x <= y").select("x", "y", gaps.alias("gaps")).where(
-        F.aggregate("gaps", F.lit(0.0), lambda s, g: s + g * g) <= eps * eps + 1e-9).select("x", "y").distinct()
+    pairs = left.join(right, ["w", "c"]).where("x <= y").select("w", "x", "y", gaps.alias("gaps")).where(
+        F.aggregate("gaps", F.lit(0.0), lambda s, g: s + g * g) <= eps * eps + 1e-9).select("w", "x", "y").distinct()
     body = cut.select("block", F.struct("point", "n", "u").alias("body"))
     work = pairs.join(body.select(F.col("block").alias("x"), F.col("body").alias("bx")), "x").join(
         body.select(F.col("block").alias("y"), F.col("body").alias("by")), "y")
 
     def compare(batches):
-        axes = shared.value
         for batch in batches:
-            for x, y, bx, by in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for width, x, y, bx, by in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 sides = [bx] if x == y else [bx, by]
                 point = np.concatenate([np.frombuffer(s["point"], np.int64) for s in sides])
                 n = np.concatenate([np.frombuffer(s["n"], np.int64) for s in sides])
                 u = np.concatenate([np.frombuffer(s["u"]).reshape(-1, width) for s in sides])
-                lead, first = u @ axes, len(np.frombuffer(sides[0]["point"], np.int64))
+                lead, first = u @ shared.value[width], len(np.frombuffer(sides[0]["point"], np.int64))
                 a, b = slice(0, first), slice(0, first) if x == y else slice(first, len(point))
                 links, label = np.zeros(len(point), np.int64), np.arange(len(point))
                 found = []
@@ -204,7 +207,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(point[hit]), pa.array(point[label[hit]]), pa.array(links[hit])], ["a", "b", "links"])
 
     # One row a point and piece of work: how many links, and a link to the piece's smallest one.
-    linked = saved(work.select("x", "y", "bx", "by").mapInArrow(compare, "a bigint, b bigint, links bigint"), "linked")
+    linked = saved(work.select("w", "x", "y", "bx", "by").mapInArrow(compare, "a bigint, b bigint, links bigint"), "linked")
     ends = components(linked.select("a", "b")).select(F.col("id").alias("point"), "component")
     counts = linked.groupBy(F.col("a").alias("point")).agg(F.sum("links").alias("links"))
     grouped = points.select("point", "n", "id").join(counts, "point", "left").join(ends, "point", "left").select(

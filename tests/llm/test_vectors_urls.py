@@ -41,6 +41,20 @@ def test_links_match_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute(rows, 0.95)
 
 
+def test_vectors_of_every_length_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(egojoin, "BLOCK", 10)
+    r, rows = np.random.default_rng(3), []
+    for width, groups in ((12, 12), (9, 6), (3, 9), (1, 2)):
+        for _ in range(groups):
+            c = r.normal(0, 1, width)
+            for s in (0.0, 0.0, 0.05, 0.12):
+                rows.append((len(rows) * 7 % 1009, np.float32(c + s * r.normal(0, 1, width) * np.sqrt(c @ c) / 2).tolist()))
+    rows += [(2_000, [1.0, 1.0]), (2_001, [0.0] * 9), (2_002, [None] + [1.0] * 8), (2_003, None), (2_004, [])]
+    random.Random(5).shuffle(rows)
+    got = egojoin.near_vectors(vectors(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 0.95)
+
+
 def test_intervals_recursion(monkeypatch):
     monkeypatch.setattr(egojoin, "LEAF", 4)
     r = np.random.default_rng(1)
