@@ -9,7 +9,8 @@ Both are keyed aggregates without a time window: the state is one row per issue.
   A sum is not repeat-insensitive, so events are de-duplicated on ``event_id``
   within a watermark (``dropDuplicatesWithinWatermark``); ``delay`` (no default) must
   exceed the worst lateness. An event behind the watermark would be left out of the
-  sum, so :func:`run_until_caught_up` fails if the stream reports any.
+  sum, so :func:`run_until_caught_up` fails if any micro-batch of its run reports one,
+  or if a micro-batch's report is missing.
 
 Results leave the stream through ``foreachBatch`` in update mode: each
 micro-batch writes only the issues it changed, into its own ``epoch=N``
@@ -22,14 +23,19 @@ far into a base table so later reads only scan newer epochs.
 from __future__ import annotations
 
 import os
+import threading
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..schema import ACTIVITY, HOURS_SIGN, HOURS_SUM, TOUCHING_KINDS
 from ..session import checkpoint_dir
 
+REPORTS_S = 60           # seconds that the reports of a run may come in after its end
+
 
 def read_activity(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None,
                   max_bytes_per_trigger: int | None = None) -> DataFrame:
@@ -61,8 +67,34 @@ def running_hours(events: DataFrame, delay: str | None, dedupe: bool = True) ->
             .groupBy("issue_id").agg(F.sum(F.col("hours") * sign).cast(HOURS_SUM).alias("total_hours")))
 
 
-def _epoch_writer(path: str):
+class _LateRows(StreamingQueryListener):
+    """Rows that each micro-batch of each run dropped behind the watermark. Unlike a query's
+    ``recentProgress``, it keeps every batch: one number each."""
+
+    def __init__(self):
+        self.dropped = defaultdict(dict)                     # run -> batch -> rows
+        self.ended = defaultdict(threading.Event)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        late = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        batches = self.dropped[str(p.runId)]
+        batches[p.batchId] = batches.get(p.batchId, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.runId)].set()                   # comes after all of the run's reports
+
+
+def _epoch_writer(path: str, epochs: set[int] | None = None):
     def write(batch: DataFrame, epoch_id: int) -> None:
+        if epochs is not None:
+            epochs.add(epoch_id)
         (batch.withColumn("epoch", F.lit(epoch_id).cast("long"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("epoch").parquet(path))
@@ -70,10 +102,11 @@ def _epoch_writer(path: str):
 
 
 def start(agg: DataFrame, sink: str, checkpoint: str, available_now: bool = True,
-          processing_time: str | None = None):
+          processing_time: str | None = None, epochs: set[int] | None = None):
     """Start ``agg`` (a keyed streaming aggregate) in update mode, writing each
-    micro-batch's changed keys to ``sink`` (epoch partitions)."""
-    writer = (agg.writeStream.outputMode("update").foreachBatch(_epoch_writer(sink))
+    micro-batch's changed keys to ``sink`` (epoch partitions); ``epochs`` takes the
+    numbers of the micro-batches that ran."""
+    writer = (agg.writeStream.outputMode("update").foreachBatch(_epoch_writer(sink, epochs))
               .option("checkpointLocation", checkpoint))
     if available_now:
         writer = writer.trigger(availableNow=True)
@@ -118,8 +151,9 @@ def run_until_caught_up(spark: SparkSession, events_dir: str, which: str, work_d
                         max_bytes_per_trigger: int | None = None) -> DataFrame:
     """Run ST1 (``which="last_activity"``) or ST2 (``"running_hours"``) over
     everything in ``events_dir`` with ``availableNow`` and return the result
-    table; fails if events came too late for the watermark. Sink and checkpoint live under ``work_dir`` (default: a new folder in
-    the session's shared checkpoint folder)."""
+    table; fails if events came too late for the watermark in any micro-batch of this run.
+    Sink and checkpoint live under ``work_dir`` (default: a new folder in the session's
+    shared checkpoint folder)."""
     base = work_dir or os.path.join(checkpoint_dir(spark), f"stream-{which}-{uuid.uuid4().hex[:12]}")
     events = read_activity(spark, events_dir, max_files_per_trigger, max_bytes_per_trigger)
     if which == "last_activity":
@@ -128,13 +162,22 @@ def run_until_caught_up(spark: SparkSession, events_dir: str, which: str, work_d
         agg, values = running_hours(events, delay, dedupe), ["total_hours"]
     else:
         raise ValueError(which)
-    q = start(agg, os.path.join(base, "sink"), os.path.join(base, "checkpoint"))
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
-    late = sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"])
+    reports, epochs = _LateRows(), set()
+    spark.streams.addListener(reports)
+    try:
+        q = start(agg, os.path.join(base, "sink"), os.path.join(base, "checkpoint"), epochs=epochs)
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+        reports.ended[q.runId].wait(REPORTS_S)
+    finally:
+        spark.streams.removeListener(reports)
+    dropped = reports.dropped[q.runId]
+    late = sum(dropped.values())
     if late:
         raise RuntimeError(f"{late} events came later than {delay}: run again from the start with a larger delay")
+    if epochs - dropped.keys():
+        raise RuntimeError(f"no report of micro-batches {sorted(epochs - dropped.keys())[:10]}: events may have come too late unseen")
     return current_table(spark, os.path.join(base, "sink"), "issue_id", values)
 
 

@@ -3,6 +3,7 @@ import os
 import tempfile
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from edge_rows import base_tables
@@ -40,6 +41,42 @@ def test_stream_equals_batch_with_reordered_files_and_repeats(spark):
     assert sorted(raw.collect()) != sorted(expect.collect())          # repeats double-count without de-dup
 
 
+def _land_one_by_one(spark, rows, directory):
+    """Each row as a file of its own, files in the order of the rows."""
+    seen = set()
+    for k, row in enumerate(rows):
+        activity.land_events(_events(spark, [row]), directory, files=1)
+        for name in set(os.listdir(directory)) - seen:
+            seen.add(name)
+            os.utime(os.path.join(directory, name), (1.7e9 + k, 1.7e9 + k))
+
+
+def test_late_events_fail_the_run_however_many_batches_follow(spark):
+    base = dt.datetime(2025, 1, 1)
+    days = [0, 10, 11, 0, *range(12, 18)]                     # the fourth comes ten days behind
+    rows = [(k, base + dt.timedelta(days=n), 1, k % 3, "worklog_insert", Decimal(1)) for k, n in enumerate(days)]
+    d = tempfile.mkdtemp(prefix="events-", dir="/tmp")
+    _land_one_by_one(spark, rows, d)
+    key = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")                                  # fewer than the batches after the late one
+    try:
+        with pytest.raises(RuntimeError, match="1 events came later than 1 day"):
+            activity.run_until_caught_up(spark, d, "running_hours", delay="1 day", max_files_per_trigger=1)
+        whole = activity.run_until_caught_up(spark, d, "running_hours", delay="30 days", max_files_per_trigger=1)
+        assert sorted(map(tuple, whole.collect())) == [(0, Decimal(4)), (1, Decimal(3)), (2, Decimal(3))]
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_missing_report_fails_the_run(spark, monkeypatch):
+    d = tempfile.mkdtemp(prefix="events-", dir="/tmp")
+    activity.land_events(_events(spark, [(1, dt.datetime(2025, 1, 1), 1, 1, "worklog_insert", Decimal(1))]), d, files=1)
+    monkeypatch.setattr(activity._LateRows, "onQueryProgress", lambda self, event: None)
+    with pytest.raises(RuntimeError, match="no report of micro-batches"):
+        activity.run_until_caught_up(spark, d, "running_hours", delay="1 day")
+
+
 def test_file_audit_both_directions(spark):
     t = base_tables(spark)
     store = tempfile.mkdtemp(prefix="store-", dir="/tmp")
