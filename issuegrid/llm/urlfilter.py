@@ -5,8 +5,10 @@ urls that a rule rejects each train a variable-order Markov model of characters.
 models back off with Witten-Bell weights: the probability of a character after its last
 ``ORDER`` characters is mixed with that after one character less, down to a uniform one.
 A url without a rule is blocked if its length-normalised log-likelihood difference lies
-above a threshold that is calibrated on labelled urls kept out of the counts. Everything
-is DataFrame expressions, aggregates and equi-joins; counts cover all urls.
+above a threshold. The threshold is calibrated by cross-fitting: labelled url texts are
+dealt into folds, and each is scored by models of the other folds' counts. The urls without
+a rule are scored by models that count every labelled url. Everything is DataFrame
+expressions, aggregates and equi-joins.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from .text import saved
 ORDER = 4                # characters of context at most
 ALPHABET = 256           # characters that the uniform model at the bottom spreads over
 PAD = "\u0002"           # stands before a url's first character
-CALIBRATE = 5            # one labelled url text in so many sets the threshold and isn't counted
+CALIBRATE = 5            # folds of the labelled url texts, for the threshold
 #: The rules of the contract (fixed values): verdict, host, path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -54,26 +56,28 @@ def _grams(texts: DataFrame, *keep: str) -> DataFrame:
         *keep, F.expr(f"substring(__t, __k, {ORDER + 1})").alias("gram"))
 
 
-def log_ratios(counts: DataFrame) -> DataFrame:
-    """``(gram, ratio)``: log P(last character | those before) of the rejected less the accepted model.
+def log_ratios(counts: DataFrame, models: tuple[str, ...] = ("",)) -> DataFrame:
+    """``(gram, ratio of each model)``: log P(last character | those before) of the rejected less the accepted model.
 
-    ``counts``: ``(gram, good, bad)`` for every gram that is to be scored, zeros for unseen.
+    ``counts``: ``(gram, good, bad)`` for every gram that is to be scored, zeros for unseen;
+    several pairs of models have columns of their own, told by their names' ends.
     """
-    p = {c: F.lit(1.0 / ALPHABET) for c in ("good", "bad")}
+    names = [c + m for m in models for c in ("good", "bad")]
+    p = {c: F.lit(1.0 / ALPHABET) for c in names}
     table = counts
     for n in range(ORDER + 1):                               # from no context to the longest
         gram = F.expr(f"right(gram, {n + 1})")
         context = F.expr(f"left(right(gram, {n + 1}), {n})")
-        of_gram = counts.groupBy(gram.alias(f"g{n}")).agg(F.sum("good").alias(f"good{n}"), F.sum("bad").alias(f"bad{n}"))
-        of_context = of_gram.groupBy(F.expr(f"left(g{n}, {n})").alias(f"c{n}")).agg(
-            *(F.sum(f"{c}{n}").alias(f"{c}_all{n}") for c in p), *(F.sum((F.col(f"{c}{n}") > 0).cast("int")).alias(f"{c}_kinds{n}") for c in p))
-        table = table.join(of_gram, gram == F.col(f"g{n}")).join(of_context, context == F.col(f"c{n}"))
-        for c in p:
-            kinds, total = F.col(f"{c}_kinds{n}"), F.col(f"{c}_all{n}")
-            p[c] = F.when(total > 0, (F.col(f"{c}{n}") + kinds * p[c]) / (total + kinds)).otherwise(p[c])
-        table = table.select("gram", "good", "bad", *(v.alias(f"p_{c}") for c, v in p.items()))
+        of_gram = counts.groupBy(gram.alias("__g")).agg(*(F.sum(c).alias(f"n_{c}") for c in names))
+        of_context = of_gram.groupBy(F.expr(f"left(__g, {n})").alias("__c")).agg(
+            *(F.sum(f"n_{c}").alias(f"all_{c}") for c in names), *(F.sum((F.col(f"n_{c}") > 0).cast("int")).alias(f"kinds_{c}") for c in names))
+        table = table.join(of_gram, gram == F.col("__g")).join(of_context, context == F.col("__c"))
+        for c in names:
+            kinds, total = F.col(f"kinds_{c}"), F.col(f"all_{c}")
+            p[c] = F.when(total > 0, (F.col(f"n_{c}") + kinds * p[c]) / (total + kinds)).otherwise(p[c])
+        table = table.select("gram", *(v.alias(f"p_{c}") for c, v in p.items()))
         p = {c: F.col(f"p_{c}") for c in p}
-    return table.select("gram", (F.log("p_bad") - F.log("p_good")).alias("ratio"))
+    return table.select("gram", *((F.log(p["bad" + m]) - F.log(p["good" + m])).alias("ratio" + m) for m in models))
 
 
 def _threshold(scores: DataFrame) -> float:
@@ -111,17 +115,22 @@ def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
 
     # Equal urls are counted together before they are cut into grams.
     texts = rows.groupBy("seen", "verdict").agg(F.count("*").alias("n"))
-    texts = texts.withColumn("checks", F.pmod(F.crc32(F.col("seen").cast("binary")), F.lit(CALIBRATE)) == 0)
+    texts = texts.withColumn("fold", F.when(F.col("verdict").isNotNull(), F.pmod(F.crc32(F.col("seen").cast("binary")), F.lit(CALIBRATE)).cast("int")))
     texts = saved(texts, "urls")
-    tally = lambda v: F.sum(F.when((F.col("verdict") == v) & ~F.col("checks"), F.col("n")).otherwise(0))
-    counts = saved(_grams(texts, "verdict", "checks", "n").groupBy("gram").agg(tally("allow").alias("good"), tally("block").alias("bad")), "grams")
-    ratios = saved(log_ratios(counts), "ratios")
-
-    asked = texts.where(F.col("verdict").isNull() | F.col("checks"))
-    scored = _grams(asked, "seen").groupBy("seen", "gram").agg(F.count("*").alias("k")).join(ratios, "gram").groupBy("seen").agg(
-        (F.sum(F.col("ratio") * F.col("k")) / F.sum("k")).alias("score"))
+    tally = lambda v, f: F.sum(F.when((F.col("verdict") == v) & (F.col("fold") == f), F.col("n")).otherwise(0))
+    kinds, folds = {"good": "allow", "bad": "block"}, range(CALIBRATE)
+    counts = saved(_grams(texts, "verdict", "fold", "n").groupBy("gram").agg(*(tally(v, f).alias(f"{c}_{f}") for c, v in kinds.items() for f in folds)), "grams")
+    # One pair of models counts all labelled urls, and one for each fold those of the other folds.
+    of = lambda c, but: functools.reduce(Column.__add__, [F.col(f"{c}_{f}") for f in folds if f != but])
+    models = {"": None} | {f"_but_{f}": f for f in folds}
+    ratios = saved(log_ratios(counts.select("gram", *(of(c, but).alias(c + m) for m, but in models.items() for c in kinds)), tuple(models)), "ratios")
+
+    own = F.coalesce(*(F.when(F.col("fold") == but, F.col("ratio" + m)) for m, but in models.items() if m), F.col("ratio"))
+    scored = _grams(texts, "seen", "verdict", "fold").groupBy("seen", "verdict", "fold", "gram").agg(F.count("*").alias("k")).join(ratios, "gram").groupBy(
+        "seen", "verdict").agg((F.sum(own * F.col("k")) / F.sum("k")).alias("score"))
     scored = saved(scored, "scores")
-    cut = _threshold(texts.where("checks and verdict is not null").join(scored, "seen"))
+    cut = _threshold(scored.where("verdict is not null"))
+    scored = scored.where("verdict is null")
     out = rows.withColumn("key", F.when(F.col("verdict").isNull(), F.col("seen"))).join(
         scored.select(F.col("seen").alias("key"), "score"), "key", "left")
     score = F.when(F.col("verdict").isNull(), F.coalesce("score", F.lit(0.0)))

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -138,5 +139,44 @@ def test_language_model_matches_brute_force(spark):
     assert all(by[u].verdict == "allow" for u in urls[110:125]) and all(by[u].verdict == "block" for u in urls[125:140])
 
 
+def model_log_ratio(rows):
+    """Brute force of the models over ``rows`` (text, verdict): a function from a text to its mean log ratio."""
+    order, count = urlfilter.ORDER, {"allow": defaultdict(Counter), "block": defaultdict(Counter)}
+    grams = lambda t: [(urlfilter.PAD * order + t)[k:k + order + 1] for k in range(len(t))]
+    for text, verdict in rows:
+        for gram in grams(text) if verdict else ():
+            for n in range(order + 1):
+                count[verdict][gram[order - n:order]][gram[order]] += 1
+
+    def log_p(verdict, gram):
+        p = 1 / urlfilter.ALPHABET
+        for n in range(order + 1):
+            c = count[verdict][gram[order - n:order]]
+            if c:
+                p = (c[gram[order]] + len(c) * p) / (sum(c.values()) + len(c))
+        return math.log(p)
+
+    return lambda t: sum(log_p("block", g) - log_p("allow", g) for g in grams(t)) / len(grams(t))
+
+
+def test_every_labelled_url_is_counted(spark, monkeypatch):
+    r = random.Random(6)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(3, 6)))
+    fold = lambda seen: zlib.crc32(seen.encode()) % 5
+    hot = next(u for u in iter(lambda: f"{word('vwxyz')}.net/es/{word('vwxyz')}", None) if fold(u) == 0)   # the only rejected text
+    urls = [f"http://{hot}"] * 40 + [f"http://{word('abcde')}.com/{word('abcde')}" for _ in range(40)]
+    urls += [f"http://{word('vwxyz')}.org/{word('vwxyz')}" for _ in range(8)] + [f"http://{hot.replace('.net/es', '.org/es')}"]
+    scores = {}
+    threshold = urlfilter._threshold
+    monkeypatch.setattr(urlfilter, "_threshold", lambda s: scores.update({x.seen: (x.verdict, x.score) for x in s.collect()}) or threshold(s))
+    got = urlfilter.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()
+    labelled = [("".join(split(u)), rule_of(*split(u))[1]) for u in urls]
+    of_all = model_log_ratio(labelled)
+    assert all(abs(x.score - of_all(x.host + x.path)) < 1e-9 for x in got if x.rule is None)
+    others = {f: model_log_ratio([x for x in labelled if fold(x[0]) != f]) for f in range(5)}
+    assert {t: v for t, (v, _) in scores.items()} == {t: v for t, v in labelled if v}
+    assert all(abs(s - others[fold(t)](t)) < 1e-9 for t, (_, s) in scores.items())
+
+
 def test_no_pages(spark):
     assert urlfilter.url_verdicts(spark.createDataFrame([], "page_id bigint, url string")).collect() == []
