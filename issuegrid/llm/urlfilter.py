@@ -40,6 +40,13 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return _lower(F.regexp_extract(rest, r"(?s)\A([^/?#]*)", 1)), F.regexp_extract(rest, r"(?s)\A[^/?#]*([^?#]*)", 1)
 
 
+def modelled(url: Column) -> Column:
+    """What the models read: the lower-cased host and all behind it; without ``://`` the url as it is."""
+    rest = F.expr("substring(url, instr(url, '://') + 3)")
+    host = F.regexp_extract(rest, r"(?s)\A([^/?#]*)", 1)
+    return F.when(F.instr(url, "://") > 0, F.concat(_lower(host), F.regexp_extract(rest, r"(?s)\A[^/?#]*(.*)", 1))).otherwise(url)
+
+
 def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """``(rule, verdict)`` of the longest fitting rule; null where none fits."""
     order = sorted(rules, key=lambda r: -len(r[1] + r[2]))
@@ -102,16 +109,18 @@ def _threshold(scores: DataFrame) -> float:
 def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
     """``(page_id, host, path, rule, verdict, score)`` for every row of ``pages (page_id, url)``.
 
-    ``score`` is the length-normalised log-likelihood difference of the url's host and path
-    (null where a rule decides); a url with neither scores 0. A null url, or one without
-    ``://``, has an empty host and path, which no rule fits. Repeated rows are judged alike,
+    ``score`` is the length-normalised log-likelihood difference of the url behind its scheme,
+    query and fragment included, or of all of it if it has no ``://`` (null where a rule
+    decides); with nothing there it is 0. A null url, or one without ``://``, has an empty
+    host and path, which no rule fits. Repeated rows are judged alike,
     rows without page_id like any other; other columns are ignored. Without urls of both
     kinds the threshold is 0, and a score above the threshold blocks.
     """
     host, path = split_url(F.col("url"))
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url")).select("page_id", host.alias("host"), path.alias("path"))
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url")).select(
+        "page_id", host.alias("host"), path.alias("path"), modelled(F.col("url")).alias("seen"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict"), F.concat("host", "path").alias("seen"))
+    rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict"))
 
     # Equal urls are counted together before they are cut into grams.
     texts = rows.groupBy("seen", "verdict").agg(F.count("*").alias("n"))

@@ -178,5 +178,17 @@ def test_every_labelled_url_is_counted(spark, monkeypatch):
     assert all(abs(s - others[fold(t)](t)) < 1e-9 for t, (_, s) in scores.items())
 
 
+def test_models_read_the_whole_url(spark):
+    urls = [f"http://a{k}.com/abc?good=abc{k}#abc" for k in range(30)] + [f"http://b{k}.net/es/?bad=xyz{k}#xyz" for k in range(30)]
+    asked = {"http://C.org/p?good=ABC": "c.org/p?good=ABC", "http://c.org/p?bad=xyz": "c.org/p?bad=xyz", "http://c.org/p#xyz": "c.org/p#xyz",
+             "Good=abc": "Good=abc", "bad=xyz\n#xyz": "bad=xyz\n#xyz", "http://": "", None: ""}
+    got = urlfilter.url_verdicts(spark.createDataFrame(list(enumerate([*urls, *asked])), "page_id bigint, url string")).collect()
+    of_all = model_log_ratio([(u.removeprefix("http://"), rule_of(*split(u))[1]) for u in urls])
+    score = {x.page_id - len(urls): x.score for x in got}
+    for k, text in enumerate(asked.values()):
+        assert abs(score[k] - (of_all(text) if text else 0.0)) < 1e-9, text
+    assert len({score[k] for k in range(5)}) == 5
+
+
 def test_no_pages(spark):
     assert urlfilter.url_verdicts(spark.createDataFrame([], "page_id bigint, url string")).collect() == []
