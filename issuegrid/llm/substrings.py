@@ -11,11 +11,16 @@ cover; phrases overlap, and every string lies in exactly one.
 * Dictionary (first round): phrases meet by trigger and content. A phrase that occurred
   before is repeated as a whole. Only a trigger with several different phrases leaves
   something open: their strings may be equal in part.
-* Parse order (second round): the open phrases' strings are brought into one order of
-  (trigger, string, document, place) - the order in which a suffix array of the corpus
-  would list them - and all but the first of equal strings are repeated.
+* Parse order (second round): the open phrases' strings are sorted by the hashes of
+  trigger and string, then document and place, and all but the first of equal strings are
+  repeated.
 * Last round: each document's repeated stretches are cut out.
 
+No suffix array of dictionary or parse is built: hash grouping replaces both. Only equality
+of strings and the first place of each are asked for, so no lexicographic order is needed,
+and groups by hash can be dealt to parts without a global order. Results are exact up to
+64-bit hashes.
+
 Rows travel packed: one compressed row holds what a chunk of text sends to one part, and a
 part is worked off alone, in bounded memory. A phrase met many times in a chunk is sent
 once, and a trigger with many phrases in one chunk is dealt out string by string, so no
