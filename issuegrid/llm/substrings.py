@@ -45,9 +45,9 @@ _PLACE = _U((1 << 23) - 1)
 RUNS, MARKS, ASKS, STRINGS, TEXT = range(5)
 #: Columns of the packed rows: a document is told by its doc_id and a hash of its text.
 _KINDS = {
-    RUNS: {"g": "u8", "c": "u8", "d": "i8", "h": "i4", "lo": "i8", "more": "u1", "at": "u1", "crowd": "u1"},
+    RUNS: {"g": "u8", "c": "u8", "d": "i8", "h": "i4", "lo": "i8", "more": "u4", "at": "u4", "crowd": "u1"},
     MARKS: {"d": "i8", "h": "i4", "lo": "i8", "more": "i4"},
-    ASKS: {"g": "u8", "d": "i8", "h": "i4", "lo": "i8", "more": "u1", "crowd": "u1"},
+    ASKS: {"g": "u8", "d": "i8", "h": "i4", "lo": "i8", "more": "u4", "crowd": "u1"},
     STRINGS: {"g": "u8", "s": "u8", "d": "i8", "h": "i4", "lo": "i8"},
 }
 _ROW = "part int, kind int, data binary"
@@ -342,11 +342,13 @@ def repeated_substrings(docs: DataFrame, length: int = 100, carry: tuple[str, ..
 
     ``spans``: the removed stretches as flat ``start, end`` byte places; ``kept``: the bytes
     left. With ``whole_characters`` a stretch leaves out characters that it covers only in
-    part, so what is kept is text. Null counts as an empty text; a text shorter than ``length`` keeps all. Rows
+    part, so what is kept is text. Null counts as an empty text; a text shorter than ``length`` (at least ``GRAM``) keeps all. Rows
     without doc_id come before all others. Rows with one doc_id and one text are one
     document (each gets the result); different texts under one doc_id are documents in the
     order of a hash of their texts. ``carry`` columns are passed on; other columns are ignored.
     """
+    if length < GRAM:
+        raise ValueError(f"length must be at least {GRAM}")
     spark = docs.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = spread

@@ -64,6 +64,20 @@ def test_repeated_rows_null_ids_empty(docs_of):
     assert substrings.repeated_substrings_digest(docs_of([])).collect() == []
 
 
+@pytest.mark.parametrize("length", [40, 400])
+def test_other_lengths(docs_of, length):
+    text, other = " ".join(sentences(41, 8, 100)), " ".join(sentences(42, 4, 100))
+    rows = [(1, text), (2, "x" + text[300:2500] + "y" + other), (3, other[:700] + text[900:1800] + other[500:])]
+    got = substrings.repeated_substrings(docs_of(rows), length=length).collect()
+    spans = {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans) // 2, hashlib.sha256(r.kept).hexdigest()) for r in got}
+    assert spans == brute(rows, length)
+
+
+def test_length_below_a_gram(docs_of):
+    with pytest.raises(ValueError, match="at least 32"):
+        substrings.repeated_substrings(docs_of([]), length=31)
+
+
 def test_whole_characters(docs_of):
     t = "é" * 80
     got = substrings.repeated_substrings(docs_of([(1, t), (2, "è" + t[:60] + "ô")]), whole_characters=True).collect()
