@@ -109,11 +109,10 @@ def test_language_model_matches_brute_force(spark):
     urls += urls[:20] + [None]
     got = urlfilter.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).collect()
     order, count = urlfilter.ORDER, {"allow": defaultdict(Counter), "block": defaultdict(Counter)}
-    import zlib
-    for u in urls:
+    for u in urls:                            # every labelled url counts
         seen = "".join(split(u))
         verdict = rule_of(*split(u))[1]
-        if verdict and zlib.crc32(seen.encode()) % urlfilter.CALIBRATE:
+        if verdict:
             padded = urlfilter.PAD * order + seen
             for k in range(len(seen)):
                 gram = padded[k:k + order + 1]
