@@ -66,7 +66,7 @@ def issue_details(issue: DataFrame, project: DataFrame, sprint: DataFrame, user:
 
 def _tagger(kind: str):
     def tag(e, i):
-        return F.struct(F.lit(kind).alias("kind"), i.alias("pos"), e[CHILD_KEYS[kind]].cast("int").alias("child_id"),
+        return F.struct(F.lit(kind).alias("kind"), i.alias("pos"), e[CHILD_KEYS[kind]].cast("long").alias("child_id"),
                         e[CHILD_USER[kind]].alias("child_user"))
     return tag
 
@@ -82,7 +82,7 @@ def explode_details(doc: DataFrame) -> DataFrame:
     for kind in CHILD_FIELDS:
         entries = F.transform(F.col(kind), _tagger(kind))
         empty = F.array(F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("pos"),
-                                 F.lit(None).cast("int").alias("child_id"),
+                                 F.lit(None).cast("long").alias("child_id"),
                                  F.lit(None).cast("string").alias("child_user")))
         tagged.append(F.when(F.size(kind) == 0, empty).otherwise(entries))
     return (doc.select(*head, F.explode(F.concat(*tagged)).alias("x"))

@@ -50,6 +50,14 @@ def test_issue_document_lists_bounded_and_ordered(spark):
     assert flat.filter(F.col("issue_id") == 3).count() == 3
 
 
+def test_issue_document_with_child_ids_beyond_int(spark):
+    t = base_tables(spark)
+    far = t["worklog"].withColumn("worklog_id", F.col("worklog_id") + 5_000_000_000)
+    doc = details.issue_details(t["issue"], t["project"], t["sprint"], t["user"], t["comment"], far, t["attachment"])
+    got = {r.child_id for r in details.explode_details(doc).filter("kind = 'worklogs' and child_id is not null").collect()}
+    assert got == {r.worklog_id for r in far.collect()}
+
+
 def test_p3_sprint_order_null_dates_last(spark):
     import datetime as dt
 
