@@ -67,3 +67,36 @@ FROM vectors v LEFT JOIN direct d ON d.id = v.vec_id LEFT JOIN component c ON c.
 """
 
 ORACLES = {"op2_minhash_near_dedup": OP2, "op4_benchmark_decontamination": OP4, "op6_embedding_near_dedup": OP6}
+
+#: Operator 13. Hashes and blocks play no part: every pair of sources over every kept term.
+OP13 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+places AS (SELECT row_id, lang, source, unnest(words) AS term FROM texts),
+kept AS (SELECT lang, term, count(*) AS n FROM places GROUP BY lang, term HAVING count(DISTINCT row_id) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM texts),
+cells AS (
+  SELECT g.lang, g.source, k.term, k.n AS n_lang, coalesce(c.n, 0) AS n
+  FROM groups g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM places GROUP BY ALL) c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS (
+  SELECT lang, source, term, n,
+    1 + CAST(1000000000 AS HUGEINT) * (n + 5) // (sum(n) OVER w + 5 * count(*) OVER w) AS p,
+    1 + CAST(1000000000 AS HUGEINT) * (n_lang + 5) // (sum(n_lang) OVER w + 5 * count(*) OVER w) AS q
+  FROM cells WINDOW w AS (PARTITION BY lang, source)),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sum(abs(x.p - y.p)), 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) u)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLES["op13_source_divergence"] = OP13

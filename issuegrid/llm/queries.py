@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip_digest
 from .decontam import contamination_digest
+from .divergence import source_divergence
 from .egojoin import near_vectors
 from .minhash import near_duplicates
 from .oracles import ORACLES  # noqa: F401
@@ -84,6 +85,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all pairs of a language's sources, and each source's most distinctive terms."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -95,4 +101,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_packing": op8_token_packing,
     "op9_bpe_encoding": op9_bpe_encoding,
     "op10_url_filter": op10_url_filter,
+    "op13_source_divergence": op13_source_divergence,
 }
