@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .align import alignment_digest
 from .bpe import round_trip_digest
 from .decontam import contamination_digest
 from .divergence import source_divergence
@@ -85,6 +86,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document, and how common its links are."""
+    return alignment_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of all pairs of a language's sources, and each source's most distinctive terms."""
     return source_divergence(table(spark, sf_dir, "documents"))
@@ -101,5 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_packing": op8_token_packing,
     "op9_bpe_encoding": op9_bpe_encoding,
     "op10_url_filter": op10_url_filter,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
     "op13_source_divergence": op13_source_divergence,
 }
