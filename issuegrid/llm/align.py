@@ -29,7 +29,8 @@ from .bpe import tokenizer
 from .ordinary import ordinary_encoder
 from .text import saved, text_chunks
 
-CHUNK = 1 << 20          # bytes of text that are aligned at a time (or one longer text)
+CHUNK = 1 << 18          # bytes of text that are aligned at a time (or one longer text)
+LINKS = 500_000          # links that are looked up at a time (or one longer text's)
 
 
 class Pairing:
@@ -221,9 +222,16 @@ def alignment_digest(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in batches:
             links = batch.column(5)
             values, at = links.flatten().to_numpy(), np.concatenate([[0], np.cumsum(links.value_lengths().to_numpy())]).astype(np.int64)
-            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[at])  # noqa: E731, B023
+            n_best, count_sum = np.zeros(len(at) - 1, np.int64), np.zeros(len(at) - 1, np.int64)
+            i = 0
+            while i < len(at) - 1:
+                j = max(i + 1, int(np.searchsorted(at, at[i] + LINKS, "right")) - 1)
+                some, places = values[at[i]:at[j]], at[i:j + 1] - at[i]
+                n_best[i:j] = np.diff(np.concatenate([[0], np.cumsum(best[some])])[places])
+                count_sum[i:j] = np.diff(np.concatenate([[0], np.cumsum(n[some])])[places])
+                i = j
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(4)), pa.array(np.diff(at)), pa.array(total(best[values].astype(np.int64))), pa.array(total(n[values])), batch.column(4)],
+                [*(batch.column(k) for k in range(4)), pa.array(np.diff(at)), pa.array(n_best), pa.array(count_sum), batch.column(4)],
                 ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     return linked.mapInArrow(run, "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string")

@@ -111,10 +111,6 @@ class Tokenizer:
         self.pairs = _Pairs(self.halves)
         self.packed = [np.int32(i).tobytes() for i in self.ids]
         self.number = {b.decode("latin-1"): k for b, k in number.items()}
-        self.automaton = ahocorasick.Automaton()
-        for k, b in enumerate(self.bytes_of):
-            self.automaton.add_word(b.decode("latin-1"), k)
-        self.automaton.make_automaton()
         self.size = [len(b) for b in self.bytes_of]
         self.most = max(self.size)
         self.shorter = [next((number[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in number), -1) for b in self.bytes_of]
@@ -126,6 +122,14 @@ class Tokenizer:
         self.stop = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache = _Remembered(self)
 
+    @functools.cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        out = ahocorasick.Automaton()
+        for k, b in enumerate(self.bytes_of):
+            out.add_word(b.decode("latin-1"), k)
+        out.make_automaton()
+        return out
+
     def longest(self, text: str, at: int) -> int:
         """The longest token that begins at ``at``."""
         n = at + self.automaton.longest_prefix(text[at:at + self.most])   # a prefix of some token
