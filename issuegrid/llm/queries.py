@@ -19,6 +19,7 @@ from .minhash import near_duplicates
 from .oracles import ORACLES  # noqa: F401
 from .packing import packed_rows
 from .quality import quality_scores
+from .sanitise import sanitised_digest
 from .substrings import repeated_substrings_digest
 from .tokencount import token_counts
 from .toxicity import toxicity_scores
@@ -91,6 +92,11 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, and the terms that the corpus shows to disclose it."""
+    return sanitised_digest(table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of all pairs of a language's sources, and each source's most distinctive terms."""
     return source_divergence(table(spark, sf_dir, "documents"))
@@ -108,5 +114,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_encoding": op9_bpe_encoding,
     "op10_url_filter": op10_url_filter,
     "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_pii_sanitisation": op12_pii_sanitisation,
     "op13_source_divergence": op13_source_divergence,
 }
