@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from ..schema import (AUTO_UPDATE_COLUMNS, CASCADE_ORDER, COLUMN_DEFAULTS, FOREIGN_KEYS, INSERT_DEFAULTS, ISSUE_STATUSES,
                       PATCH_ALLOW, PRIMARY_KEYS, SCHEMAS, TOUCHING_KINDS, UNIQUE_KEYS)
 from ..session import checkpoint_dir
+from .claims import ROUNDS, claims_of, codes, one_by_one
 from .common import lookup
 from .lookup import insensitive, not_equal
 from .quality import SAME_PROJECT_KEYS, row_rules
+from .sequence import next_start
 
 DEFAULT_NOW = "2025-01-01 00:00:00"
 
@@ -87,7 +89,7 @@ CREATED_COLUMN = {"user": "created_at", "project": "created_at", "sprint": "crea
 
 def insert_rows(table: str, requests: DataFrame, tables: dict[str, DataFrame], now: str | Column | None = None,
                 request_key: str = "request_id", acting_user: str | None = None,
-                assign: bool = True) -> tuple[DataFrame, DataFrame]:
+                assign: bool = True, sequences: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Turn insert requests into new rows of ``table``.
 
     Forced values win over the request (issue status 'To Do'; project status
@@ -96,8 +98,8 @@ def insert_rows(table: str, requests: DataFrame, tables: dict[str, DataFrame], n
     reporter / owner / author when ``acting_user`` names its column. Each row is
     checked against the row rules (§ validity), its foreign keys must resolve
     (the database's unknown-parent error) and its unique keys must be free (D10).
-    Accepted rows get ids after the table's largest id, in ``request_key``
-    order (D2). An issue's sprint and parent must be in its project (V12, V13). Hours are
+    Accepted rows get ids after the table's largest id - or, with ``sequences``
+    (:mod:`.sequence`), after the last one ever given out - in ``request_key`` order (D2). An issue's sprint and parent must be in its project (V12, V13). Hours are
     tested as sent; an accepted value is then rounded half-even to two places (X10).
 
     Returns ``(accepted, rejected)``; ``rejected`` = requests + ``reasons``.
@@ -159,6 +161,8 @@ def insert_rows(table: str, requests: DataFrame, tables: dict[str, DataFrame], n
     rejected = checked.filter(F.size("reasons") > 0)
     if assign:
         start = max_id(tables[table], pk) if table in tables else F.lit(0)
+        if sequences is not None:
+            start = F.greatest(start, next_start(sequences, table))
         accepted = assign_ids(accepted, pk, [request_key], start)
     return accepted, rejected
 
@@ -248,29 +252,22 @@ def apply_patches(table: str, df: DataFrame, patches: DataFrame, now: str | Colu
 
 def _unique_conflicts(table: str, df: DataFrame, probe: DataFrame, allowed: list[str],
                       change_key: str) -> DataFrame:
-    """D10 on update: a patch that sets a unique column (e.g. a user's email) to
-    a value another row already holds — compared insensitively, in the
-    snapshot — or that an earlier patch of the batch claims for another row,
-    gets ``<column>:duplicate``. (Conservative: a value freed by an earlier
-    patch of the same batch still counts as taken.)"""
+    """D10 on update: a patch that sets a unique column (a user's email) to a value that
+    another row holds at that moment - compared insensitively - gets
+    ``<column>:duplicate``. Patches count one by one: an accepted one frees the value its
+    row held before, a refused one (also by another rule, or for an unknown row) frees and
+    claims nothing."""
     pk = PRIMARY_KEYS[table]
     for t, column in UNIQUE_KEYS:
         if t != table or column not in allowed:
             continue
-        rule_ok = F.size("reasons") == 0
-        setting = (probe.filter(rule_ok & F.array_contains("set_fields", column) & F.col(column).isNotNull())
-                   .select(change_key, "pk", insensitive(column).alias("__ck")))
-        holders = (df.select(F.col(pk).alias("__holder"), insensitive(column).alias("__ck"))
-                   .join(setting.select("__ck").distinct(), "__ck", "left_semi"))
-        taken = (setting.join(holders, "__ck").filter(F.col("__holder") != F.col("pk")).select(change_key))
-        # Among the patches whose value is free in the snapshot, the first claim wins.
-        free = setting.join(taken, change_key, "left_anti")
-        first = free.groupBy("__ck").agg(F.min(F.struct(change_key, "pk")).alias("__first"))
-        lost = free.join(first, "__ck").filter(F.col("__first.pk") != F.col("pk")).select(change_key)
-        dup = taken.unionByName(lost).distinct().withColumn("__dup", F.lit(True))
-        probe = (probe.join(dup, change_key, "left")
-                 .withColumn("reasons", F.when(F.col("__dup"), F.concat("reasons", F.array(F.lit(f"{column}:duplicate"))))
-                             .otherwise(F.col("reasons")))
+        setting = probe.filter((F.size("reasons") == 0) & F.array_contains("set_fields", column) & F.col(column).isNotNull())
+        setting = setting.join(df.select(F.col(pk).alias("pk")), "pk", "left_semi")
+        lost = one_by_one(claims_of(setting, F.col(change_key), F.col("pk"), [(0, insensitive(column))]),
+                          claims_of(df, F.lit(0), F.col(pk), [(0, insensitive(column))]).drop("id"), 1)
+        lost = lost.select(F.col("id").alias(change_key), codes([column]).alias("__dup"))
+        probe = (probe.join(lost, change_key, "left")
+                 .withColumn("reasons", F.when(F.col("__dup").isNotNull(), F.concat("reasons", "__dup")).otherwise(F.col("reasons")))
                  .drop("__dup"))
     return probe
 
@@ -457,51 +454,19 @@ def issue_touch(issue: DataFrame, events: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- D10 duplicates
 
 def reject_duplicates(table: str, existing: DataFrame, new: DataFrame,
-                      request_key: str = "request_id", rounds: int = 20) -> DataFrame:
+                      request_key: str = "request_id", rounds: int = ROUNDS) -> DataFrame:
     """``(request_key, accepted, reasons)`` for each new row, as if the requests came
     one by one: a row is refused when one of its unique natural keys (insensitive
     collation) is held by an existing row or by an earlier **accepted** request; a
-    refused request holds no key.
-
-    Requests with a key of an existing row are refused at once. Of the others, those
-    that are first on all their keys are accepted and the later ones that share a key
-    with them are refused; the rest goes through the next round. Each round is a few
-    aggregates and joins on the keys and is written to the shared folder; a chain of
-    refusals deeper than ``rounds`` raises an error rather than give a guess.
+    refused request holds no key. Exact for chains of any length (:mod:`.claims`);
+    ``rounds`` only says how many set-based rounds come before chains are replayed.
     """
     pk = PRIMARY_KEYS[table]
     columns = [c for t, c in UNIQUE_KEYS if t == table and c in new.columns]
-    rid = F.col(request_key).cast("long").alias("__id")
-    requests = new.select(rid, *[insensitive(c).alias(c) for c in columns])
-    keys = functools.reduce(DataFrame.unionByName, [
-        requests.select("__id", F.lit(k).alias("__o"), F.col(c).alias("__ck")).filter(F.col("__ck").isNotNull())
-        for k, c in enumerate(columns)])
-    held = functools.reduce(DataFrame.unionByName, [
-        existing.select(F.lit(k).alias("__o"), insensitive(c).alias("__ck")) for k, c in enumerate(columns)])
-    checkpoint_dir(new.sparkSession)
-    held = held.join(keys.select("__o", "__ck").distinct(), ["__o", "__ck"], "left_semi").select("__o", "__ck", F.lit(-1).cast("long").alias("__by"))
-    keys = keys.join(held.distinct(), ["__o", "__ck"], "left").select("__id", "__o", "__ck", F.col("__by").isNotNull().alias("__taken")).checkpoint()
-    flagged = keys.groupBy("__id").agg(F.max("__taken").alias("__refused"))
-    undecided = keys.join(flagged.filter(~F.col("__refused")).select("__id"), "__id", "left_semi").select("__id", "__o", "__ck")
-    claims, accepted = undecided, None
-    for _ in range(rounds):
-        first = undecided.groupBy("__o", "__ck").agg(F.min("__id").alias("__first"))
-        marked = undecided.join(first, ["__o", "__ck"])
-        wins = marked.groupBy("__id").agg(F.min((F.col("__first") == F.col("__id")).cast("int")).alias("__w")).filter("__w = 1").select("__id")
-        wins = wins.checkpoint()
-        accepted = wins if accepted is None else accepted.unionByName(wins)
-        lost = marked.join(wins.withColumnRenamed("__id", "__first"), "__first", "left_semi").select("__id").distinct()
-        undecided = undecided.join(lost, "__id", "left_anti").checkpoint()     # the accepted are among them
-        if undecided.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"requests still wait on one another after {rounds} rounds; pass a larger number")
-    owners = claims.join(accepted, "__id", "left_semi").select("__o", "__ck", F.col("__id").alias("__by"))
-    flags = (keys.join(owners, ["__o", "__ck"], "left")
-             .withColumn("__lost", F.col("__taken") | F.coalesce(F.col("__by") < F.col("__id"), F.lit(False))))
-    names = F.array(*[F.lit(f"{c}:duplicate") for c in columns])
-    reasons = F.transform(F.array_sort(F.collect_list(F.when(F.col("__lost"), F.col("__o")))), lambda o: names[o])
-    per_request = flags.groupBy("__id").agg(reasons.alias("reasons"))
-    out = new.select(F.col(request_key), rid).join(per_request, "__id", "left").withColumn(
-        "reasons", F.coalesce("reasons", F.array().cast("array<string>")))
-    return out.select(F.col("__id").alias(request_key), (F.size("reasons") == 0).alias("accepted"), "reasons")
+    rid, keys = F.col(request_key).cast("long"), [(k, insensitive(c)) for k, c in enumerate(columns)]
+    requests = claims_of(new, rid, F.concat(F.lit("new "), rid.cast("string")), keys)
+    held = claims_of(existing, F.lit(0), F.col(pk), keys).drop("id")
+    lost = one_by_one(requests, held, max(2, len(columns)), rounds)
+    out = new.select(rid.alias("id")).join(lost, "id", "left").withColumn(
+        "reasons", F.coalesce(codes(columns), F.array().cast("array<string>")))
+    return out.select(F.col("id").alias(request_key), (F.size("reasons") == 0).alias("accepted"), "reasons")

@@ -41,6 +41,35 @@ sql("insert_comments", "WITH " + _insert(
     "comment", "t_new_comment", f"issue_id, user_id, comment_text, {NOW} AS created_at", [("issue_id", "issue", False), ("user_id", "user", False)],
     "request_id, issue_id, user_id, comment_text, created_at"))
 
+sql("insert_sprints", "WITH " + _insert(
+    "sprint", "t_new_sprint", f"project_id, sprint_name, goal, start_date, end_date, COALESCE(status, 'future') AS status, {NOW} AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at",
+    [("project_id", "project", False)], "request_id, project_id, sprint_name, goal, start_date, end_date, status, created_at"))
+
+# A project has one unique key: its first request that keeps the other rules gets it, if no project holds it.
+sql("insert_projects", "WITH " + _insert(
+    "project", "t_new_project", f"""project_key, project_name, description, CAST(NULL AS DATE) AS start_date, CAST(NULL AS DATE) AS end_date,
+  'planning' AS status, owner_id, {NOW} AS created_at""", [("owner_id", "user", False)],
+    "request_id, project_key, project_name, description, start_date, end_date, status, owner_id, created_at",
+    dup="""judged AS (SELECT *, concat_ws(',', NULLIF(first_reasons, ''), CASE WHEN first_reasons = '' AND (
+    EXISTS (SELECT 1 FROM t_project p WHERE lower(p.project_key) = lower(r.project_key))
+    OR EXISTS (SELECT 1 FROM ruled e WHERE e.first_reasons = '' AND lower(e.project_key) = lower(r.project_key) AND e.request_id < r.request_id))
+    THEN 'project_key:duplicate' END) AS reasons FROM ruled r)"""))
+
+# Ids after the largest one ever given out, though the comments of the last issues are gone.
+sql("insert_after_delete", """
+SELECT request_id, CAST((SELECT max(comment_id) FROM t_comment) + row_number() OVER (ORDER BY request_id) AS BIGINT) AS comment_id
+FROM t_new_comment c WHERE EXISTS (SELECT 1 FROM t_issue i WHERE i.issue_id = c.issue_id AND i.issue_id <= 900) AND EXISTS (SELECT 1 FROM t_user u WHERE u.user_id = c.user_id)
+""")
+sql("stored_sequences", """
+WITH made AS (
+  SELECT count(*) AS n FROM t_new_comment c WHERE EXISTS (SELECT 1 FROM t_issue i WHERE i.issue_id = c.issue_id AND i.issue_id <= 900)
+    AND EXISTS (SELECT 1 FROM t_user u WHERE u.user_id = c.user_id))
+SELECT 'user' AS table_name, CAST(max(user_id) AS BIGINT) AS last_id FROM t_user UNION ALL SELECT 'project', max(project_id) FROM t_project
+UNION ALL SELECT 'sprint', max(sprint_id) FROM t_sprint UNION ALL SELECT 'issue', max(issue_id) FROM t_issue
+UNION ALL SELECT 'comment', max(comment_id) + (SELECT n FROM made) FROM t_comment
+UNION ALL SELECT 'attachment', max(attachment_id) FROM t_attachment UNION ALL SELECT 'worklog', max(worklog_id) FROM t_worklog
+""")
+
 
 def _one_by_one(source):
     """CTEs that take the rows of ``source`` in request order: a row is accepted when neither
@@ -264,7 +293,7 @@ FROM t_issue
 """)
 
 
-def _patch_texts(table, fields, refs, moved, unique=""):
+def _patch_texts(table, fields, refs, moved, unique="", before=""):
     """(new rows, refused patches) of a table's patch view. The row rules are those of the
     validity checks, for the fields a patch sets; ``refs``: (column, parent)."""
     pk, tests = PK[table], []
@@ -276,7 +305,7 @@ def _patch_texts(table, fields, refs, moved, unique=""):
                      f"(SELECT 1 FROM t_{parent} q WHERE q.{PK[parent]} = p.{col}) THEN '{col}:unknown_parent' END")
     value = lambda f: "TRY_CAST(round_even(hours_logged, 2) AS DECIMAL(5,2))" if f == "hours_logged" else f
     ctes = f"""
-ruled AS (SELECT *, concat_ws(',', {', '.join(tests)}) AS r0 FROM t_{table}_patch p),
+ruled AS (SELECT *, concat_ws(',', {', '.join(tests)}) AS r0 FROM t_{table}_patch p),{before}
 judged AS (SELECT *, concat_ws(',', NULLIF(r0, ''){unique}) AS r FROM ruled p),
 ok AS (SELECT change_id, pk, set_fields, {', '.join(f'{value(f)} AS {f}' if f == 'hours_logged' else f for f in fields)} FROM judged j
   WHERE r = '' AND EXISTS (SELECT 1 FROM t_{table} x WHERE x.{pk} = j.pk)),
@@ -289,16 +318,26 @@ ok AS (SELECT change_id, pk, set_fields, {', '.join(f'{value(f)} AS {f}' if f ==
     joins = " ".join(f"LEFT JOIN f_{f} ON f_{f}.pk = x.{pk}" for f in fields)
     refused = f"""SELECT change_id, pk, CASE WHEN r <> '' THEN r ELSE '{pk}:not_found' END AS reasons FROM judged j
 WHERE r <> '' OR NOT EXISTS (SELECT 1 FROM t_{table} x WHERE x.{pk} = j.pk)"""
-    return f"WITH {ctes}\nSELECT x.{pk}, {rows}{instant} FROM t_{table} x {joins}", f"WITH {ctes}\n{refused}"
-
-
-# A value that another row holds, or that an earlier patch that keeps the rules claims for another row.
-_EMAIL = """, CASE WHEN r0 = '' AND list_contains(set_fields, 'email') AND (
-    EXISTS (SELECT 1 FROM t_user u WHERE lower(u.email) = lower(p.email) AND u.user_id <> p.pk)
-    OR EXISTS (SELECT 1 FROM ruled m WHERE m.r0 = '' AND list_contains(m.set_fields, 'email') AND lower(m.email) = lower(p.email)
-      AND m.change_id < p.change_id AND m.pk <> p.pk AND NOT EXISTS (SELECT 1 FROM t_user u WHERE lower(u.email) = lower(m.email) AND u.user_id <> m.pk)))
-    THEN 'email:duplicate' END"""
-for _table, _args in {"user": (["email", "first_name", "last_name", "phone"], [], [], _EMAIL),
+    head = "WITH RECURSIVE" if before else "WITH"
+    return f"{head} {ctes}\nSELECT x.{pk}, {rows}{instant} FROM t_{table} x {joins}", f"{head} {ctes}\n{refused}"
+
+
+# Email patches one by one: a list holds every user's address; a patch that keeps the rules
+# is refused when the address stands at another user's place, else it replaces its own.
+_EMAIL = ", CASE WHEN p.change_id IN (SELECT change_id FROM step WHERE NOT ok) THEN 'email:duplicate' END"
+_EMAIL_TURNS = """
+places AS (SELECT user_id, lower(email) AS e, row_number() OVER (ORDER BY user_id) AS place FROM t_user),
+turns AS (
+  SELECT m.change_id, lower(m.email) AS e, x.place, row_number() OVER (ORDER BY m.change_id) AS k
+  FROM ruled m JOIN places x ON x.user_id = m.pk WHERE m.r0 = '' AND list_contains(m.set_fields, 'email') AND m.email IS NOT NULL),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS k, (SELECT list(e ORDER BY place) FROM places) AS held, CAST(NULL AS BIGINT) AS change_id, true AS ok
+  UNION ALL
+  SELECT t.k, CASE WHEN coalesce(list_position(s.held, t.e), 0) IN (0, t.place)
+      THEN list_concat(list_concat(s.held[1:t.place - 1], [t.e]), s.held[t.place + 1:]) ELSE s.held END,
+    t.change_id, coalesce(list_position(s.held, t.e), 0) IN (0, t.place)
+  FROM step s JOIN turns t ON t.k = s.k + 1),"""
+for _table, _args in {"user": (["email", "first_name", "last_name", "phone"], [], [], _EMAIL, _EMAIL_TURNS),
                       "project": (["project_name", "description", "end_date", "status", "owner_id"], [("owner_id", "user")], ["updated_at"]),
                       "sprint": (["sprint_name", "goal", "status"], [], ["updated_at"]),
                       "worklog": (["hours_logged", "work_date", "description"], [], []),

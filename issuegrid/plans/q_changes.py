@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import changes
+from ..operators import changes, sequence
 from .catalog import query
 
 NOW = changes.DEFAULT_NOW
@@ -48,6 +48,42 @@ def insert_users(t):
     return _both(ok, bad, "user_id", ["request_id", "username", "email", "role", "created_at"])
 
 
+@query("insert_sprints")
+def insert_sprints(t):
+    """D1+D2: new sprints: default status, row rules, known projects."""
+    ok, bad = changes.insert_rows("sprint", t["new_sprint"], _base(t), NOW)
+    return _both(ok, bad, "sprint_id", ["request_id", "project_id", "sprint_name", "goal", "start_date", "end_date", "status", "created_at"])
+
+
+@query("insert_projects")
+def insert_projects(t):
+    """D1+D2+D10: new projects: forced status and dates, row rules, known owners, unique keys."""
+    ok, bad = changes.insert_rows("project", t["new_project"], _base(t), NOW)
+    return _both(ok, bad, "project_id", ["request_id", "project_key", "project_name", "description", "start_date", "end_date", "status", "owner_id", "created_at"])
+
+
+def _after_delete(t):
+    """Sequences before a delete of the last issues (their comments go with them), and the inserts after it."""
+    known = sequence.sequences(_base(t))
+    left, _ = changes.delete_cascade(_base(t), "issue", t["late_issue"])
+    ok, _ = changes.insert_rows("comment", t["new_comment"], left, NOW, sequences=known)
+    return known, ok
+
+
+@query("insert_after_delete")
+def insert_after_delete(t):
+    """Comments inserted after the last ones were deleted: no id is given out twice."""
+    _, ok = _after_delete(t)
+    return ok.select("request_id", "comment_id")
+
+
+@query("stored_sequences")
+def stored_sequences(t):
+    """The stored sequences after that delete and insert."""
+    known, ok = _after_delete(t)
+    return sequence.advanced(known, "comment", ok)
+
+
 @query("insert_comments")
 def insert_comments(t):
     """D1+D2: the new comments of the activity batch."""

@@ -191,6 +191,22 @@ SELECT event_id AS request_id, CAST(event_id % 27 AS INT) AS project_id,
   CAST(event_id % 9 - 1 AS INT) AS story_points, 'Done' AS status,
   CAST(user_id AS INT) AS reporter_id, CAST(user_id % 200 AS INT) AS assignee_id
 FROM {events}""",
+    # Project keys: taken ones, keys that several requests want, bad ones.
+    "t_new_project": """
+SELECT event_id AS request_id,
+  CASE event_type WHEN 'click' THEN concat('K', CAST(event_id % 300 AS VARCHAR(10))) WHEN 'view' THEN 'FRANCE' WHEN 'purchase' THEN concat('P', CAST(event_id AS VARCHAR(20))) WHEN 'signup' THEN 'lower' END AS project_key,
+  CASE WHEN event_id % 13 = 0 THEN '' ELSE concat('Plan ', CAST(event_id AS VARCHAR(20))) END AS project_name,
+  CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'Asked for' END AS description, CAST(ts AS DATE) AS start_date, CAST(NULL AS DATE) AS end_date, 'active' AS status,
+  CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(user_id AS INT) END AS owner_id
+FROM {events}""",
+    "t_new_sprint": """
+SELECT event_id AS request_id, CASE WHEN event_id % 31 = 0 THEN NULL ELSE CAST(event_id % 27 AS INT) END AS project_id,
+  CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN repeat('s', 256) ELSE concat('Sprint ', CAST(event_id AS VARCHAR(20))) END AS sprint_name,
+  CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'A goal' END AS goal, CAST(ts AS DATE) AS start_date, CAST(NULL AS DATE) AS end_date,
+  CASE event_type WHEN 'click' THEN 'active' WHEN 'view' THEN 'open' WHEN 'signup' THEN 'completed' END AS status
+FROM {events}""",
+    "t_late_issue": """
+SELECT issue_id AS pk FROM {t_issue} WHERE issue_id > 900""",
     "t_new_attachment": """
 SELECT event_id AS request_id, issue_id, user_id, concat('upload_', CAST(event_id AS VARCHAR(20)), '.txt') AS file_name,
   'text/plain' AS file_type, CAST(hours * 100 AS BIGINT) AS file_size_bytes

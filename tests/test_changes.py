@@ -225,14 +225,59 @@ def test_refused_request_holds_no_key(spark):
         1: ["email:duplicate"], 2: [], 3: ["username:duplicate"], 4: ["email:duplicate"], 5: []}
 
 
-def test_long_chain_of_refusals_is_an_error_not_a_guess(spark):
+def test_long_chain_of_refusals_is_exact(spark):
     users = spark.createDataFrame([], "user_id int, username string, email string")
-    rows = [(k, f"n{k // 2}", f"m{(k + 1) // 2}") for k in range(30)]
+    rows = [(k, f"n{k // 2}", f"m{(k + 1) // 2}") for k in range(1000)]
     new = spark.createDataFrame(rows, "request_id int, username string, email string")
-    with pytest.raises(RuntimeError):
-        changes.reject_duplicates("user", users, new, rounds=3)
-    got = changes.reject_duplicates("user", users, new, rounds=30)
-    assert [r.request_id for r in got.filter("accepted").orderBy("request_id").collect()] == list(range(0, 30, 2))
+    got = changes.reject_duplicates("user", users, new)
+    assert [r.request_id for r in got.filter("accepted").orderBy("request_id").collect()] == list(range(0, 1000, 2))
+
+
+def replayed(emails, patches):
+    """Patches (id, user, email) one by one over {user: email}: the refused ids and the emails left."""
+    emails, refused = dict(emails), []
+    for change, user, email in sorted(patches):
+        if user not in emails:
+            continue
+        if any(e.lower() == email.lower() for u, e in emails.items() if u != user):
+            refused.append(change)
+        else:
+            emails[user] = email
+    return refused, emails
+
+
+def check_email_patches(spark, emails, patches):
+    users = spark.createDataFrame([(u, f"name{u}", e) for u, e in emails.items()], "user_id int, username string, email string")
+    probe = spark.createDataFrame([(c, u, ["email"], e) for c, u, e in patches], "change_id long, pk int, set_fields array<string>, email string")
+    new, rejected = changes.apply_patches("user", users, probe, NOW_S)
+    refused, left = replayed(emails, patches)
+    got = {r.change_id: list(r.reasons) for r in rejected.collect()}
+    assert sorted(c for c, r in got.items() if r == ["email:duplicate"]) == refused
+    assert {c for c, r in got.items() if r == ["user_id:not_found"]} == {c for c, u, _ in patches if u not in emails}
+    assert {r.user_id: r.email for r in new.collect()} == left
+
+
+def test_emails_are_swapped_and_freed_one_by_one(spark):
+    emails = {1: "a@x.org", 2: "b@x.org", 3: "c@x.org", 4: "d@x.org"}
+    check_email_patches(spark, emails, [
+        (1, 1, "b@x.org"), (2, 1, "t@x.org"), (3, 2, "A@x.org"), (4, 1, "B@x.org"),    # a swap through a third address
+        (5, 3, "t@x.org"), (6, 4, "c@x.org"), (7, 3, "C@X.org"), (8, 9, "z@x.org"),    # freed, taken, an unknown row
+        (9, 2, "z@x.org"), (10, 2, "z@X.org"), (11, 4, "A@x.org"), (12, 1, "d@x.org")])
+
+
+def test_long_chains_of_emails_are_exact(spark):
+    n = 1000
+    emails = {k: f"e{k}@x.org" for k in range(n)}
+    check_email_patches(spark, emails, [(0, 0, "free@x.org"), *((k, k, f"e{k - 1}@x.org") for k in range(1, n))])       # each frees the next one's
+    check_email_patches(spark, emails, [(0, 0, "e1@x.org"), *((k, k, f"e{k - 1}@x.org") for k in range(1, n))])         # the first is refused, and so all
+
+
+def test_random_email_patches_match_a_replay(spark):
+    import random
+    r = random.Random(3)
+    for users, values, n in ((6, 9, 80), (40, 50, 300), (5, 400, 400)):
+        emails = {u: f"v{u}@x.org" for u in range(users)}
+        check_email_patches(spark, emails, [(c, r.randrange(users + 1) if c % 3 else 0, f"V{r.randrange(values) if c % 4 else 7}@x.org") for c in range(n)])
 
 
 def test_patch_back_and_forth_moves_the_instant_and_unknown_parent_is_refused(spark):
