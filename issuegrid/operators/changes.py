@@ -18,6 +18,7 @@ import functools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import (AUTO_UPDATE_COLUMNS, CASCADE_ORDER, COLUMN_DEFAULTS, FOREIGN_KEYS, INSERT_DEFAULTS, ISSUE_STATUSES,
                       PATCH_ALLOW, PRIMARY_KEYS, SCHEMAS, TOUCHING_KINDS, UNIQUE_KEYS)
@@ -87,6 +88,31 @@ CREATED_COLUMN = {"user": "created_at", "project": "created_at", "sprint": "crea
                   "attachment": "uploaded_at"}
 
 
+def shaped(table: str, requests: DataFrame, now: Column, acting_user: str | None = None) -> list[tuple[T.StructField, Column]]:
+    """The columns of new rows made of insert requests: forced values, then the acting user,
+    the creation instant, the request's value or the default (hours as sent)."""
+    forced = INSERT_DEFAULTS.get(table, {})
+    defaults = COLUMN_DEFAULTS.get(table, {})
+    cols = []
+    for f in SCHEMAS[table].fields:
+        if f.name in forced:
+            c = F.lit(forced[f.name]).cast(f.dataType)
+        elif acting_user and f.name == ACTING_USER_COLUMN.get(table):
+            c = F.col(acting_user).cast(f.dataType)
+        elif f.name == CREATED_COLUMN.get(table):
+            c = now
+        elif f.name in requests.columns:
+            c = F.col(f.name).cast(RAW_HOURS if f.name == "hours_logged" else f.dataType)
+            if f.name in defaults:
+                c = F.coalesce(c, F.lit(defaults[f.name]).cast(f.dataType))
+        elif f.name in defaults:
+            c = F.lit(defaults[f.name]).cast(f.dataType)
+        else:
+            c = F.lit(None).cast(f.dataType)
+        cols.append((f, c))
+    return cols
+
+
 def insert_rows(table: str, requests: DataFrame, tables: dict[str, DataFrame], now: str | Column | None = None,
                 request_key: str = "request_id", acting_user: str | None = None,
                 assign: bool = True, sequences: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -104,30 +130,9 @@ def insert_rows(table: str, requests: DataFrame, tables: dict[str, DataFrame], n
 
     Returns ``(accepted, rejected)``; ``rejected`` = requests + ``reasons``.
     """
-    now_c = _now(now)
     schema = SCHEMAS[table]
     pk = PRIMARY_KEYS[table]
-    forced = INSERT_DEFAULTS.get(table, {})
-    defaults = COLUMN_DEFAULTS.get(table, {})
-    cols = []
-    for f in schema.fields:
-        if f.name == pk:
-            continue
-        if f.name in forced:
-            c = F.lit(forced[f.name]).cast(f.dataType)
-        elif acting_user and f.name == ACTING_USER_COLUMN.get(table):
-            c = F.col(acting_user).cast(f.dataType)
-        elif f.name == CREATED_COLUMN.get(table):
-            c = now_c
-        elif f.name in requests.columns:
-            c = F.col(f.name).cast(RAW_HOURS if f.name == "hours_logged" else f.dataType)
-            if f.name in defaults:
-                c = F.coalesce(c, F.lit(defaults[f.name]).cast(f.dataType))
-        elif f.name in defaults:
-            c = F.lit(defaults[f.name]).cast(f.dataType)
-        else:
-            c = F.lit(None).cast(f.dataType)
-        cols.append(c.alias(f.name))
+    cols = [c.alias(f.name) for f, c in shaped(table, requests, _now(now), acting_user) if f.name != pk]
     rows = requests.select(F.col(request_key), *cols)
     rules = [(code, broken) for code, broken in row_rules(table, rows.columns) if not code.startswith(f"{pk}:")]
     checked = rows.withColumn("reasons", F.array_compact(F.array(*[F.when(b, F.lit(c)) for c, b in rules])))

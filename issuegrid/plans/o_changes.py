@@ -345,3 +345,133 @@ for _table, _args in {"user": (["email", "first_name", "last_name", "phone"], []
     _rows, _refused = _patch_texts(_table, *_args)
     sql(f"patch_{_table}s", _rows)
     sql(f"patch_{_table}s_rejected", _refused)
+
+
+# A mixed change log. Every row has a life (k, born, died] in change ids; parents before children.
+def _there(life, ref, at="c.change_id", extra=""):
+    return f"EXISTS (SELECT 1 FROM life_{life} x WHERE x.k = {ref} AND x.born < {at} AND (x.died IS NULL OR x.died > {at}){extra})"
+
+
+def _reference(col, parent, same=False):
+    out = f", CASE WHEN c.{col} IS NOT NULL AND NOT {_there(parent, 'c.' + col)} THEN '{col}:unknown_parent' END"
+    if same:
+        out += f", CASE WHEN c.{col} IS NOT NULL AND {_there(parent, 'c.' + col, extra=' AND x.project_id <> c.project_id')} THEN '{col}:other_project' END"
+    return out
+
+
+def _life(table, rows, cascade=None):
+    """Life of ``rows (k, born, project_id, up)``: until its first delete, or the death of its parent ``up``."""
+    parent = f", (SELECT min(p.died) FROM life_{cascade} p WHERE p.k = r.up)" if cascade else ""
+    return f"""SELECT k, born, project_id, least((SELECT min(d.change_id) FROM log d WHERE d.table_name = '{table}' AND d.action = 'delete' AND d.pk = r.k AND d.change_id > r.born)
+    {parent or ', NULL'}) AS died FROM ({rows}) r"""
+
+
+def _made(table, cols):
+    rules = "\n".join(x for x in REASONS[table].split("\n") if f"WHEN {PK[table]} IS NULL" not in x)
+    return f"""SELECT *, NULLIF({rules}, '') AS ruled,
+    CASE WHEN EXISTS (SELECT 1 FROM t_{table} x WHERE x.{PK[table]} = m.pk) OR EXISTS (SELECT 1 FROM log e WHERE e.table_name = '{table}' AND e.action = 'insert' AND e.pk = m.pk AND e.change_id < m.change_id)
+      THEN '{PK[table]}:taken' END AS taken
+  FROM (SELECT change_id, ts, pk, {cols} FROM log WHERE table_name = '{table}' AND action = 'insert') m"""
+
+
+_SETTERS = {"issue": ["description", "story_points", "parent_issue_id", "status", "assignee_id", "sprint_id"], "comment": ["comment_text"], "worklog": ["hours_logged"]}
+_REF = {"parent_issue_id": "issue", "assignee_id": "user", "sprint_id": "sprint"}
+
+
+def _updates(table, refs):
+    """Updates of a table with their reasons, their accepted setters, and what these really changed."""
+    fields, tests = _SETTERS[table], []
+    for cond, col, code in re.findall(r"CASE WHEN (.*) THEN '(\w+):(\w+)' END", REASONS[table]):
+        if col in fields:
+            tests.append(f"CASE WHEN list_contains(fields, '{col}') AND ({cond}) THEN '{col}:{code}' END")
+    for col, same in refs:
+        tests.append(_reference(col, _REF[col], same)[2:].replace(f"c.{col} IS NOT NULL", f"list_contains(fields, '{col}') AND c.{col} IS NOT NULL"))
+    value = lambda f: f"CAST(round_even({f}, 2) AS DECIMAL(5,2))" if f == "hours_logged" else f
+    return f"""
+{table}_asked AS (
+  SELECT l.* EXCLUDE (project_id), x.project_id, CASE action WHEN 'status' THEN ['status'] WHEN 'assign' THEN ['assignee_id'] WHEN 'sprint' THEN ['sprint_id']
+    ELSE list_filter(set_fields, lambda f: list_contains({[f for f in fields if f not in ('status', 'assignee_id', 'sprint_id')]}, f)) END AS fields,
+    x.k IS NOT NULL AND x.born < l.change_id AND (x.died IS NULL OR x.died > l.change_id) AS there
+  FROM log l LEFT JOIN life_{table} x ON x.k = l.pk WHERE table_name = '{table}' AND action IN ('patch', 'status', 'assign', 'sprint')),
+{table}_updates AS (SELECT c.*, CASE WHEN there THEN NULLIF(concat_ws(',', {', '.join(tests)}), '') ELSE '{PK[table]}:not_found' END AS reasons FROM {table}_asked c),
+{table}_base AS (
+  SELECT {PK[table]} AS pk, CAST(-1 AS BIGINT) AS born, {', '.join(fields)} FROM t_{table}
+  UNION ALL SELECT pk, change_id, {', '.join(value(f) for f in fields)} FROM {table}_in WHERE ok),
+{table}_setters AS ({' UNION ALL '.join(f"SELECT pk, '{f}' AS field, change_id, ts, action, CAST({value(f)} AS VARCHAR) AS v FROM {table}_updates WHERE reasons IS NULL AND list_contains(fields, '{f}') UNION ALL SELECT pk, '{f}', born, NULL, 'base', CAST({f} AS VARCHAR) FROM {table}_base" for f in fields)}),
+{table}_ordered AS (SELECT *, lag(v) OVER (PARTITION BY pk, field ORDER BY change_id) AS old FROM {table}_setters),
+{table}_real AS (
+  SELECT * FROM (SELECT *, CASE {' '.join(f"WHEN field = '{f}' AND EXISTS (SELECT 1 FROM life_{_REF[f]} x WHERE CAST(x.k AS VARCHAR) = old AND x.died < change_id) THEN NULL" for f in fields if f in _REF)}
+    {"WHEN false THEN NULL" if not any(f in _REF for f in fields) else ""} ELSE old END AS before FROM {table}_ordered WHERE action <> 'base') o WHERE before IS DISTINCT FROM v),
+{table}_last AS (SELECT pk, {', '.join(f"max(struct_pack(k := change_id, v := v)) FILTER (field = '{f}') AS {f}" for f in fields)} FROM {table}_setters GROUP BY pk)"""
+
+
+CHANGE_LOG = f"""
+WITH RECURSIVE log AS (SELECT * REPLACE (CASE WHEN table_name = 'issue' THEN status END AS status) FROM t_change_log),
+life_user AS ({_life('user', 'SELECT user_id AS k, CAST(-1 AS BIGINT) AS born, NULL AS project_id FROM t_user')}),
+life_project AS ({_life('project', 'SELECT project_id AS k, CAST(-1 AS BIGINT) AS born, NULL AS project_id FROM t_project')}),
+sprint_in AS (SELECT *, reasons = '' AS ok FROM (SELECT *, concat_ws(',', ruled, taken{_reference('project_id', 'project')}) AS reasons
+  FROM ({_made('sprint', "pk AS sprint_id, project_id, sprint_name, goal, COALESCE(status, 'future') AS status")}) c) j),
+life_sprint AS ({_life('sprint', 'SELECT sprint_id AS k, CAST(-1 AS BIGINT) AS born, project_id, project_id AS up FROM t_sprint UNION ALL SELECT pk, change_id, project_id, project_id FROM sprint_in WHERE ok', 'project')}),
+issue_own AS (SELECT *, concat_ws(',', ruled, taken{_reference('project_id', 'project')}{_reference('sprint_id', 'sprint', True)}{_reference('reporter_id', 'user')}{_reference('assignee_id', 'user')}) AS own
+  FROM ({_made('issue', "pk AS issue_id, project_id, sprint_id, parent_issue_id, description, 'Task' AS issue_type, 'Medium' AS priority, 'To Do' AS status, reporter_id, assignee_id, story_points")}) c),
+life_candidate AS ({_life('issue', "SELECT issue_id AS k, CAST(-1 AS BIGINT) AS born, project_id, project_id AS up FROM t_issue UNION ALL SELECT pk, change_id, project_id, project_id FROM issue_own WHERE own = ''", 'project')}),
+stands AS (
+  SELECT c.pk FROM issue_own c WHERE own = '' AND (c.parent_issue_id IS NULL OR {_there('candidate', 'c.parent_issue_id', extra=' AND x.born = -1 AND x.project_id = c.project_id')})
+  UNION SELECT c.pk FROM issue_own c JOIN stands s ON s.pk = c.parent_issue_id WHERE own = '' AND {_there('candidate', 'c.parent_issue_id', extra=' AND x.project_id = c.project_id')}),
+life_issue AS (SELECT * FROM life_candidate WHERE born = -1 OR k IN (SELECT pk FROM stands)),
+issue_in AS (SELECT *, reasons = '' AS ok FROM (SELECT *, concat_ws(',', NULLIF(own, ''){_reference('parent_issue_id', 'issue', True)}) AS reasons FROM issue_own c) j),
+comment_in AS (SELECT *, reasons = '' AS ok FROM (SELECT *, concat_ws(',', ruled, taken{_reference('issue_id', 'issue')}{_reference('user_id', 'user')}) AS reasons
+  FROM ({_made('comment', 'pk AS comment_id, issue_id, user_id, comment_text')}) c) j),
+life_comment AS ({_life('comment', 'SELECT comment_id AS k, CAST(-1 AS BIGINT) AS born, NULL AS project_id, issue_id AS up FROM t_comment UNION ALL SELECT pk, change_id, NULL, issue_id FROM comment_in WHERE ok', 'issue')}),
+worklog_in AS (SELECT *, reasons = '' AS ok FROM (SELECT *, concat_ws(',', ruled, taken{_reference('issue_id', 'issue')}{_reference('user_id', 'user')}) AS reasons
+  FROM ({_made('worklog', 'pk AS worklog_id, issue_id, user_id, hours_logged, work_date')}) c) j),
+life_worklog AS ({_life('worklog', 'SELECT worklog_id AS k, CAST(-1 AS BIGINT) AS born, NULL AS project_id, issue_id AS up FROM t_worklog UNION ALL SELECT pk, change_id, NULL, issue_id FROM worklog_in WHERE ok', 'issue')}),
+{_updates('issue', [('sprint_id', True), ('assignee_id', False), ('parent_issue_id', False)])},
+{_updates('comment', [])},
+{_updates('worklog', [])},
+sprint_updates AS (SELECT c.*, CASE WHEN {_there('sprint', 'c.pk')} THEN NULL ELSE 'sprint_id:not_found' END AS reasons FROM log c WHERE table_name = 'sprint' AND action = 'patch'),
+touched AS (
+  SELECT pk, max(struct_pack(k := change_id, ts := ts)) AS t FROM (
+    SELECT pk, change_id, ts FROM issue_real UNION ALL SELECT pk, change_id, ts FROM issue_updates WHERE reasons IS NULL AND action IN ('status', 'sprint')
+    UNION ALL SELECT issue_id, change_id, ts FROM comment_in WHERE ok UNION ALL SELECT issue_id, change_id, ts FROM worklog_in WHERE ok
+    UNION ALL SELECT b.issue_id, r.change_id, r.ts FROM comment_real r JOIN (SELECT comment_id AS pk, issue_id FROM t_comment UNION ALL SELECT pk, issue_id FROM comment_in WHERE ok) b ON b.pk = r.pk
+      WHERE lower(r.before) <> lower(r.v)) e GROUP BY pk)"""
+
+
+def _kept(ref, life):
+    """A reference, or null if its row has died."""
+    return f"CASE WHEN EXISTS (SELECT 1 FROM life_{life} x WHERE x.k = {ref} AND x.died IS NOT NULL) THEN NULL ELSE {ref} END"
+
+
+sql("change_log_issues", CHANGE_LOG + f"""
+SELECT issue_id, project_id, {_kept('sprint_id', 'sprint')} AS sprint_id, {_kept('parent_issue_id', 'issue')} AS parent_issue_id, description, status,
+  {_kept('reporter_id', 'user')} AS reporter_id, {_kept('assignee_id', 'user')} AS assignee_id, story_points, coalesce(t.ts, updated_date) AS updated_date
+FROM (
+  SELECT CAST(b.issue_id AS INT) AS issue_id, b.project_id, CAST(l.sprint_id.v AS INT) AS sprint_id, CAST(l.parent_issue_id.v AS INT) AS parent_issue_id, l.description.v AS description, l.status.v AS status,
+    b.reporter_id, CAST(l.assignee_id.v AS INT) AS assignee_id, CAST(l.story_points.v AS INT) AS story_points, b.updated_date, t.t AS t
+  FROM (SELECT issue_id, project_id, reporter_id, updated_date FROM t_issue UNION ALL SELECT pk, project_id, reporter_id, NULL FROM issue_in WHERE ok) b
+  JOIN issue_last l ON l.pk = b.issue_id JOIN life_issue f ON f.k = b.issue_id AND f.died IS NULL LEFT JOIN touched t ON t.pk = b.issue_id) r
+""")
+sql("change_log_comments", CHANGE_LOG + f"""
+SELECT comment_id, issue_id, {_kept('user_id', 'user')} AS user_id, comment_text, coalesce(t.ts, updated_at) AS updated_at
+FROM (
+  SELECT b.comment_id, b.issue_id, b.user_id, l.comment_text.v AS comment_text, b.updated_at, r.t AS t
+  FROM (SELECT comment_id, issue_id, user_id, updated_at FROM t_comment UNION ALL SELECT pk, issue_id, user_id, NULL FROM comment_in WHERE ok) b
+  JOIN comment_last l ON l.pk = b.comment_id JOIN life_comment f ON f.k = b.comment_id AND f.died IS NULL
+  LEFT JOIN (SELECT pk, max(struct_pack(k := change_id, ts := ts)) AS t FROM comment_real GROUP BY pk) r ON r.pk = b.comment_id) r
+""")
+sql("change_log_worklogs", CHANGE_LOG + f"""
+SELECT b.worklog_id, b.issue_id, {_kept('b.user_id', 'user')} AS user_id, CAST(l.hours_logged.v AS DECIMAL(5,2)) AS hours_logged, b.work_date
+FROM (SELECT worklog_id, issue_id, user_id, work_date FROM t_worklog UNION ALL SELECT pk, issue_id, user_id, work_date FROM worklog_in WHERE ok) b
+JOIN worklog_last l ON l.pk = b.worklog_id JOIN life_worklog f ON f.k = b.worklog_id AND f.died IS NULL
+""")
+_deleted = " UNION ALL ".join(
+    f"SELECT change_id, '{PK[t]}:not_found' AS reasons FROM log d WHERE table_name = '{t}' AND action = 'delete' AND NOT EXISTS (SELECT 1 FROM life_{t} x WHERE x.k = d.pk AND x.died = d.change_id)"
+    for t in ("user", "project", "sprint", "issue", "comment", "worklog"))
+sql("change_log_refused", CHANGE_LOG + f""",
+every AS ({_deleted}
+  {' '.join(f"UNION ALL SELECT change_id, reasons FROM {t}_in WHERE NOT ok" for t in ('sprint', 'issue', 'comment', 'worklog'))}
+  {' '.join(f"UNION ALL SELECT change_id, reasons FROM {t}_updates WHERE reasons IS NOT NULL" for t in ('sprint', 'issue', 'comment', 'worklog'))}
+  UNION ALL SELECT change_id, 'action:not_supported' FROM log WHERE action = 'merge')
+SELECT e.change_id, l.table_name, l.action, l.pk, array_to_string(list_sort(string_split(e.reasons, ',')), ',') AS reasons FROM every e JOIN log l ON l.change_id = e.change_id
+""")

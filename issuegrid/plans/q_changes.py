@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import changes, sequence
+from ..operators import changelog, changes, sequence
 from .catalog import query
 
 NOW = changes.DEFAULT_NOW
@@ -240,3 +240,34 @@ def _patched(table, rejected):
 for _table in PATCHED:
     query(f"patch_{_table}s")(_patched(_table, False))
     query(f"patch_{_table}s_rejected")(_patched(_table, True))
+
+
+def _logged(t):
+    # Statuses of the log are those of issues; its sprints take the default.
+    log = t["change_log"].withColumn("status", F.when(F.col("table_name") == "issue", F.col("status")))
+    return changelog.apply_log(_base(t), log)
+
+
+@query("change_log_issues")
+def change_log_issues(t):
+    """D1 with D3 to D9: all issues after a mixed change log."""
+    return _logged(t)[0]["issue"].select("issue_id", "project_id", "sprint_id", "parent_issue_id", "description", "status", "reporter_id", "assignee_id",
+                                         "story_points", "updated_date")
+
+
+@query("change_log_comments")
+def change_log_comments(t):
+    """D1 with D3 to D9: all comments after a mixed change log."""
+    return _logged(t)[0]["comment"].select("comment_id", "issue_id", "user_id", "comment_text", "updated_at")
+
+
+@query("change_log_worklogs")
+def change_log_worklogs(t):
+    """D1 with D3 to D9: all worklogs after a mixed change log."""
+    return _logged(t)[0]["worklog"].select("worklog_id", "issue_id", "user_id", "hours_logged", "work_date")
+
+
+@query("change_log_refused")
+def change_log_refused(t):
+    """D1 with D3 to D9: the refused changes of a mixed log with their reasons."""
+    return _logged(t)[1].select("change_id", "table_name", "action", "pk", F.array_join(F.array_sort("reasons"), ",").alias("reasons"))

@@ -204,6 +204,35 @@ SELECT event_id AS request_id, CASE WHEN event_id % 31 = 0 THEN NULL ELSE CAST(e
   CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN repeat('s', 256) ELSE concat('Sprint ', CAST(event_id AS VARCHAR(20))) END AS sprint_name,
   CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'A goal' END AS goal, CAST(ts AS DATE) AS start_date, CAST(NULL AS DATE) AS end_date,
   CASE event_type WHEN 'click' THEN 'active' WHEN 'view' THEN 'open' WHEN 'signup' THEN 'completed' END AS status
+FROM {events}""",
+    # A mixed log: changes of rows of the snapshot and of rows the log itself inserts, chains
+    # of issues under one another, deletes of parents in between.
+    "t_change_log": """
+SELECT event_id AS change_id, CAST(ts AS TIMESTAMP) AS ts,
+  CASE WHEN event_id % 20 IN (0, 1, 2, 3, 4, 5, 6, 7, 8) THEN 'issue' WHEN event_id % 20 IN (9, 10, 11) THEN 'comment' WHEN event_id % 20 IN (12, 13, 14) THEN 'worklog'
+    WHEN event_id % 20 IN (15, 16, 17) THEN 'sprint' WHEN event_id % 20 = 18 THEN 'user' ELSE 'project' END AS table_name,
+  CASE WHEN event_id % 20 IN (1, 2, 9, 12, 15) THEN 'insert' WHEN event_id % 20 IN (0, 11, 14, 17) THEN 'delete' WHEN event_id % 20 IN (3, 4, 10, 13, 16) THEN 'patch'
+    WHEN event_id % 20 IN (5, 6) THEN 'status' WHEN event_id % 20 = 7 THEN 'assign' WHEN event_id % 20 = 8 THEN 'sprint' WHEN event_id % 20 = 18 THEN 'delete'
+    WHEN event_id % 400 = 399 THEN 'delete' ELSE 'merge' END AS action,
+  CASE WHEN event_id % 20 IN (1, 2, 9, 12, 15) THEN 100000000 + event_id
+    WHEN event_id % 20 IN (0, 3, 4, 5, 6, 7, 8) THEN CASE WHEN user_id % 3 = 0 THEN 100000000 + event_id - event_id % 20 - 19 + 20 * (user_id % 2) ELSE event_id * 7 % 600 END
+    WHEN event_id % 20 IN (10, 11) THEN CASE WHEN user_id % 3 = 0 THEN 100000000 + event_id - event_id % 20 - 11 ELSE (event_id % 90) * 1000000 + event_id % 4 END
+    WHEN event_id % 20 IN (13, 14) THEN CASE WHEN user_id % 3 = 0 THEN 100000000 + event_id - event_id % 20 - 8 ELSE (event_id % 500) * 1000000 + 1 END
+    WHEN event_id % 20 IN (16, 17) THEN CASE WHEN user_id % 3 = 0 THEN 100000000 + event_id - event_id % 20 - 5 ELSE event_id % 250 END
+    WHEN event_id % 20 = 18 THEN event_id % 200 ELSE event_id % 30 END AS pk,
+  split(CASE event_id % 20 WHEN 3 THEN 'description,status' WHEN 4 THEN 'story_points,parent_issue_id' WHEN 10 THEN 'comment_text' WHEN 13 THEN 'hours_logged' ELSE 'goal' END, ',') AS set_fields,
+  CAST(floor(event_id / 40) % 25 AS INT) AS project_id,
+  CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN CAST((floor(event_id / 40) % 25) * 10 + event_id % 4 AS INT) ELSE CAST(event_id % 260 AS INT) END AS sprint_id,
+  CASE event_id % 20 WHEN 1 THEN CASE WHEN event_id % 200 < 20 THEN NULL ELSE CAST(100000000 + event_id - 19 AS INT) END WHEN 2 THEN CAST(100000000 + event_id - 1 AS INT)
+    ELSE CASE WHEN user_id % 2 = 0 THEN CAST(event_id % 700 AS INT) END END AS parent_issue_id,
+  CASE WHEN user_id % 2 = 0 THEN CAST(100000000 + event_id - event_id % 20 + 1 AS INT) ELSE CAST(event_id * 7 % 600 AS INT) END AS issue_id,
+  CASE WHEN user_id % 5 = 0 THEN NULL ELSE CAST(user_id % 160 AS INT) END AS user_id, CAST(user_id % 150 AS INT) AS reporter_id,
+  CASE WHEN user_id % 4 = 0 THEN NULL ELSE CAST(user_id % 160 AS INT) END AS assignee_id,
+  CASE WHEN event_id % 11 = 0 THEN '' ELSE concat('Text ', CAST(user_id % 3 AS VARCHAR(10))) END AS description,
+  CASE event_type WHEN 'click' THEN 'In Progress' WHEN 'view' THEN 'In Review' WHEN 'purchase' THEN 'Done' WHEN 'signup' THEN 'Blocked' ELSE 'Archived' END AS status,
+  CAST(user_id % 6 - 1 AS INT) AS story_points, 'Sprint of the log' AS sprint_name, CASE WHEN user_id % 2 = 0 THEN 'A goal' END AS goal,
+  CASE WHEN user_id % 7 = 0 THEN NULL WHEN user_id % 2 = 0 THEN 'Noted' ELSE 'NOTED' END AS comment_text,
+  CAST(user_id % 9 AS DECIMAL(20,6)) AS hours_logged, CAST(ts AS DATE) AS work_date
 FROM {events}""",
     "t_late_issue": """
 SELECT issue_id AS pk FROM {t_issue} WHERE issue_id > 900""",
