@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import functools
 import json
+import re
+import unicodedata
 
 import ahocorasick
 import numpy as np
@@ -18,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import pre_tokenizers
 
 from .text import text_chunks
 
@@ -29,6 +32,22 @@ LONG = 64                # longer pre-tokens are not remembered
 SLICE = 1 << 20          # characters that are cut into pre-tokens at a time
 
 
+#: Stands for a character that is neither letter, number nor white space (never assigned).
+OTHER = "\uffff"
+
+
+@functools.cache
+def _unknown_letters() -> re.Pattern:
+    """Characters that the regex library calls letters or numbers but the tokenizers library,
+    whose Unicode tables are older, does not: it leaves them with the sign before them. Only
+    characters that Python's own, still older tables do not know can differ."""
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    recent = "".join(chr(c) for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) == "Cn")
+    points = np.array([ord(c) for c in regex.findall(r"[\p{L}\p{N}]", recent) if len(split("!" + c)) == 1] or [ord(OTHER)])
+    ranges = np.split(points, np.flatnonzero(np.diff(points) > 1) + 1)
+    return re.compile("[" + "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in ranges) + "]")
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -118,6 +137,7 @@ class Tokenizer:
         self.blob = np.frombuffer(b"".join(table.get(i, b"") for i in range(max(table) + 1)), np.uint8)
         self.offset = np.concatenate([[0], np.cumsum([len(table.get(i, b"")) for i in range(max(table) + 1)])])
         self.pattern = regex.compile(PATTERN)
+        self.unknown = _unknown_letters()
         self.border = regex.compile(r"(?<=\S)\s")
         self.stop = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache = _Remembered(self)
@@ -164,12 +184,16 @@ class Tokenizer:
 
     def pieces(self, text: str):
         """Lists of pre-tokens of a text without special tokens, slice by slice; a slice ends
-        where a white-space character follows another one, which no pre-token spans."""
+        where white space follows another character, which no pre-token spans."""
         at = 0
         while at < len(text):
             cut = self.border.search(text, at + SLICE) if len(text) - at > SLICE else None
             end = cut.start() if cut else len(text)
-            yield self.pattern.findall(text[at:end] if at or end < len(text) else text)
+            part = text[at:end] if at or end < len(text) else text
+            if not part.isascii() and self.unknown.search(part):
+                yield [part[m.start():m.end()] for m in self.pattern.finditer(self.unknown.sub(OTHER, part))]
+            else:
+                yield self.pattern.findall(part)
             at = end
 
     def encode(self, text: str) -> np.ndarray:

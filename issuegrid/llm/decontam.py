@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .text import LOWER, PLAIN_WORD, prefix_hash, saved, span_hash, text_chunks, word_spans
+from .text import LOWER, PLAIN_WORD, prefix_hash, quoted, saved, span_hash, text_chunks, word_spans
 
 #: Words of one automaton at most (about 100 bytes of memory a word in each task).
 BLOCK_WORDS = 100_000
@@ -195,15 +196,15 @@ def _blocks(benchmark: DataFrame, window: int):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20,
                   keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, text, n_words, n_hit, n_items, items, hits, contaminated, *keep)`` for every row of ``docs``.
+    """``(doc_id, text, n_words, n_hit, n_items, items, hits, contaminated)`` for every row of ``docs``.
 
     ``items`` are the ids of items with a window in the text, sorted as strings; ``hits``
     the hit stretches as flat ``start, end`` byte places of the UTF-8 text;
     ``contaminated``: words are hit, and ``share * n_hit >= n_words``. A null or empty text
     has no words; an item without words has no window; rows of one item_id are one item
     with several texts; an item without id counts as one item with the id "" ; repeated
-    documents are judged row by row; ``keep`` columns are passed on, others ignored. Nothing
-    is shuffled.
+    documents are judged row by row; ``keep`` columns, whatever their names, are passed on in
+    one struct ``kept``, others ignored. Nothing is shuffled.
 
     The automata are broadcast one after another, each of bounded size; between two of
     them the rows are written to the shared folder.
@@ -249,9 +250,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
 
     # ``keep`` travels as one struct, so its names cannot clash with the operator's.
     rows = docs.select("doc_id", "text", F.array().cast("array<string>").alias("items"), F.array().cast("array<bigint>").alias("hits"),
-                       (F.struct(*keep) if keep else F.lit(None).cast("int")).alias("kept"))
-    types = dict(rows.dtypes)
-    schema = f"doc_id {types['doc_id']}, text string, items array<string>, hits array<bigint>, n_words bigint, n_hit bigint, kept {types['kept']}"
+                       (F.struct(*quoted(keep)) if keep else F.lit(None).cast("int")).alias("kept"))
+    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("text string, items array<string>, hits array<bigint>, n_words bigint, n_hit bigint"), rows.schema["kept"]])
     out, passes = rows, 0
     for block in _blocks(benchmark, window):
         if passes:
@@ -261,8 +261,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     if not passes:                       # a benchmark without words: only the words are counted
         out = out.mapInArrow(functools.partial(run, block=spark.sparkContext.broadcast([])), schema)
     return out.select("doc_id", "text", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", "hits",
-                      ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"),
-                      *(F.col(f"kept.{c}").alias(c) for c in keep))
+                      ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"), *(["kept"] if keep else []))
 
 
 def without_hits(judged: DataFrame, whole_text: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ bounded number of tokens, so nothing is shuffled and no group outgrows a task.
 
 from __future__ import annotations
 
+import base64
 import functools
 
 import numpy as np
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordinary import ordinary_encoder
 from .text import text_chunks
 
 ROW_TOKENS = 2048
@@ -78,17 +80,10 @@ def best_fit_decreasing(sizes: np.ndarray, size: int) -> list[list[int]]:
 
 
 @functools.lru_cache(maxsize=2)
-def ordinary_encoder(path: str):
+def encoder(path: str):
     """An encoder of a tiktoken rank file (special tokens' strings are ordinary text)."""
-    import base64
-
-    import tiktoken
-
-    from .bpe import PATTERN
-
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return ordinary_encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
 def _packed(block: list[tuple[int | None, np.ndarray]], size: int):
@@ -112,11 +107,11 @@ def packed_rows(docs: DataFrame, path: str, size: int = ROW_TOKENS) -> DataFrame
     segments' documents and first tokens), ``n_tokens``. A document longer than a row is cut
     into rows' lengths, nothing is dropped. Null and empty texts have no tokens and are in
     no row; repeated rows are packed each; a null doc_id stays null; other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. Very long runs of white space are tokens like others.
     """
 
     def run(batches):
-        encode, block, held = ordinary_encoder(path), [], 0
+        encode, block, held = encoder(path), [], 0
 
         def flush():
             rows = list(_packed(block, size))
@@ -134,7 +129,7 @@ def packed_rows(docs: DataFrame, path: str, size: int = ROW_TOKENS) -> DataFrame
                 raw = data.tobytes()
                 for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     if a < b:
-                        block.append((ids[i + k], np.array(encode(raw[a:b].decode("utf-8", "replace")), np.uint32)))
+                        block.append((ids[i + k], encode(raw[a:b].decode("utf-8", "replace"))))
                         held += len(block[-1][1])
                         if held >= BLOCK_TOKENS:
                             yield from flush()

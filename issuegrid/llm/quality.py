@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .labelled import held_out, training_rows
-from .text import LOWER, SPACED_WORD, byte_set, prefix_hash, span_hash, text_chunks, word_spans
+from .text import LOWER, SPACED_WORD, byte_set, prefix_hash, quoted, span_hash, text_chunks, word_spans
 
 #: Labelled rows that the classifier is fitted on at most.
 TRAIN_ROWS = 8000
@@ -82,8 +83,8 @@ def text_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     """The ``keep`` columns of every row as one struct ``kept`` (so no name can clash), and its
     :data:`STATISTICS` as double columns."""
-    rows = docs.select(F.struct(*keep).alias("kept"), "text")
-    ddl = ", ".join([f"kept {dict(rows.dtypes)['kept']}", *(f"{s} double" for s in STATISTICS)])
+    rows = docs.select(F.struct(*quoted(keep)).alias("kept"), "text")
+    schema = T.StructType([T.StructField("kept", rows.schema["kept"].dataType), *(T.StructField(s, T.DoubleType()) for s in STATISTICS)])
 
     def run(batches):
         for batch in batches:
@@ -92,7 +93,7 @@ def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), *(pa.array(np.ascontiguousarray(s)) for s in stats.T)], ["kept", *STATISTICS])
 
-    return rows.mapInArrow(run, ddl)
+    return rows.mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)

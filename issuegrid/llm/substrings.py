@@ -22,7 +22,7 @@ and groups by hash can be dealt to parts without a global order. Results are exa
 64-bit hashes.
 
 Rows travel packed: one compressed row holds what a chunk of text sends to one part, and a
-part is worked off alone, in bounded memory. A phrase met many times in a chunk is sent
+part is worked off alone, in bounded memory: the number of parts follows the bytes of text. A phrase met many times in a chunk is sent
 once, and a trigger with many phrases in one chunk is dealt out string by string, so no
 frequent copy, line or passage gathers in one task.
 """
@@ -34,11 +34,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .text import _U, mixed, prefix_hash, saved, span_hash, text_chunks
+from .text import _U, mixed, prefix_hash, quoted, saved, span_hash, text_chunks
 
 GRAM = 32
-SEGMENT = 4 << 20        # places whose triggers are found at a time (below 2**23)
+CHUNK = 2 << 20          # bytes of text that are parsed at a time (or one longer text)
+SEGMENT = 1 << 19        # places whose triggers are found at a time (below 2**23)
+PART_BYTES = 16 << 20    # bytes of text for each part: a part's work does not grow with the corpus
 CROWD = 16               # phrases of one trigger in one chunk from which on it is dealt string by string
 FLUSH = 4 << 20          # bytes that a task gathers before it sends them
 _PLACE = _U((1 << 23) - 1)
@@ -143,7 +146,7 @@ def _parse(docs: DataFrame, parts: int, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for i, j, data, offsets in text_chunks(batch):
+            for i, j, data, offsets in text_chunks(batch, max_bytes=CHUNK):
                 g, c, text, lo, more, at = phrases(data, offsets, length)
                 cols = {"g": g, "c": c, "d": ids[i:j][text], "h": tags[i:j][text], "lo": lo - offsets[text], "more": more, "at": at,
                         "crowd": np.zeros(len(g), np.uint8)}
@@ -351,11 +354,12 @@ def repeated_substrings(docs: DataFrame, length: int = 100, carry: tuple[str, ..
         raise ValueError(f"length must be at least {GRAM}")
     spark = docs.sparkSession
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = spread
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(spread, -(-n_bytes // PART_BYTES))
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("d"), F.hash(text).alias("h"), text.alias("text"),
-                        F.struct(F.col("doc_id"), *carry).alias("row"))
-    row_type = dict(keyed.dtypes)["row"]
+                        F.struct(F.col("doc_id"), *quoted(carry)).alias("row"))
+    row_type = keyed.schema["row"].dataType
 
     def pack_texts(batches):
         for batch in batches:
@@ -369,7 +373,7 @@ def repeated_substrings(docs: DataFrame, length: int = 100, carry: tuple[str, ..
                     [pa.array(part[i:j].astype(np.int32)), pa.array(np.full(n, TEXT, np.int32)), pa.nulls(n, pa.binary()), batch.column(0).slice(i, n),
                      batch.column(1).slice(i, n), pa.array(blobs, pa.binary()), batch.column(3).slice(i, n)], ["part", "kind", "data", "d", "h", "text", "row"])
 
-    full = f"{_ROW}, d bigint, h int, text binary, row {row_type}"
+    full = T.StructType.fromDDL(f"{_ROW}, d bigint, h int, text binary").add("row", row_type)
     texts = keyed.mapInArrow(pack_texts, full)
 
     def with_texts(rows: DataFrame, kind: int) -> DataFrame:
@@ -415,8 +419,9 @@ def repeated_substrings(docs: DataFrame, length: int = 100, carry: tuple[str, ..
         if out:
             yield flush()
 
-    done = with_texts(first.unionByName(second), MARKS).mapInArrow(cut, f"row {row_type}, n_bytes bigint, spans array<bigint>, kept binary")
-    return done.select("row.doc_id", "n_bytes", "spans", "kept", *(F.col(f"row.{c}").alias(c) for c in carry))
+    done = with_texts(first.unionByName(second), MARKS).mapInArrow(
+        cut, T.StructType([T.StructField("row", row_type), *T.StructType.fromDDL("n_bytes bigint, spans array<bigint>, kept binary")]))
+    return done.select("row.doc_id", "n_bytes", "spans", "kept", *(F.col(f"row.{q}").alias(c) for c, q in zip(carry, quoted(carry), strict=True)))
 
 
 def repeated_substrings_digest(docs: DataFrame) -> DataFrame:

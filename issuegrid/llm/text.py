@@ -86,7 +86,7 @@ def powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         with np.errstate(over="ignore"):
-            have = np.ones(max(n, CHUNK_BYTES + 1), np.uint64)
+            have = np.ones(max(n, 1 << 20), np.uint64)
             have[1:] = base
             np.multiply.accumulate(have, out=have)
         _POWERS[base] = have
@@ -96,11 +96,18 @@ def powers(base: int, n: int) -> np.ndarray:
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """``H`` with :func:`span_hash` telling any span's hash from two entries of it."""
     h = np.zeros(len(data) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(_BYTE_VALUE[data] * powers(_ODD, len(data)), out=h[1:])
+    with np.errstate(over="ignore"):                 # in place: one array of the data's length
+        np.take(_BYTE_VALUE, data, out=h[1:])
+        h[1:] *= powers(_ODD, len(data))
+        np.cumsum(h[1:], out=h[1:])
     return h
 
 
+def quoted(names) -> list[str]:
+    """Column names as expressions, also with a dot in them."""
+    return [f"`{n.replace('`', '``')}`" for n in names]
+
+
 def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans ``[start, end)``; equal spans hash alike wherever they are."""
     with np.errstate(over="ignore"):

@@ -6,7 +6,8 @@ import re
 import pytest
 
 SF_SMALL, SF_LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
-CLASHING = "doc_id bigint, text string, score double, kept boolean, words int, part int, d string, component int, ids string"
+CLASHING = ("doc_id bigint, text string, score double, kept boolean, words int, part int, d string, component int, ids string, "
+            "n_words int, n_hit int, n_items int, items string, hits string, contaminated boolean, `a.b` int")
 
 
 @pytest.fixture(autouse=True)
@@ -20,7 +21,7 @@ def few_partitions(spark):
 @pytest.fixture
 def docs_of(spark):
     """A documents table of (doc_id, text) rows with extra columns of clashing names."""
-    return lambda rows: spark.createDataFrame([(i, t, 0.5, True, 1, 2, "x", 3, "y") for i, t in rows], CLASHING)
+    return lambda rows: spark.createDataFrame([(i, t, 0.5, True, 1, 2, "x", 3, "y", 4, 5, 6, "z", "w", False, 7) for i, t in rows], CLASHING)
 
 
 def lower(text):

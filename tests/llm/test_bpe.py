@@ -36,6 +36,15 @@ def test_crafted_texts():
         same("".join(r.choice(parts) for _ in range(r.randint(0, 25))))
 
 
+def test_every_code_point():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"!{c}'s 1{c}" for c in points]
+    for k in range(0, len(texts), 100_000):
+        some = texts[k:k + 100_000]
+        for text, e in zip(some, REFERENCE.encode_batch(some, add_special_tokens=False), strict=True):
+            assert MINE.encode(text).tolist() == e.ids, ascii(text)
+
+
 def test_slices_of_a_long_text(monkeypatch):
     monkeypatch.setattr(bpe, "SLICE", 50)
     r = random.Random(5)
