@@ -23,7 +23,7 @@ from issuegrid.llm.minhash import near_duplicates
 from issuegrid.llm.quality import fitted, with_statistics
 from issuegrid.llm.queries import table, tokenizer_path
 from issuegrid.llm.substrings import repeated_substrings
-from issuegrid.llm.text import shared_path
+from issuegrid.llm.text import quoted, shared_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,25 +43,26 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay as often as they come; a doc_id goes with all its rows; rows without doc_id stay.
     """
     gone = near_duplicates(docs, words=5, percent=80).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*quoted(docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without bytes of earlier 100-byte strings. A character only part of whose bytes
     are repeated stays whole; a text that is repeated as a whole becomes empty; null becomes empty."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    rows = docs.select("doc_id", "text", F.struct(*rest).alias("rest")) if rest else docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.struct(*quoted(rest)).alias("rest")) if rest else docs.select("doc_id", "text")
     cut = repeated_substrings(rows, 100, carry=("rest",) if rest else (), whole_characters=True)
-    out = cut.select("doc_id", F.col("kept").cast("string").alias("text"), *(F.col(f"rest.`{c}`") for c in rest))
+    out = cut.select("doc_id", F.col("kept").cast("string").alias("text"), *(F.col(f"rest.{q}") for q in quoted(rest)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    return out.select(*quoted(docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark does not contaminate (hit words below a twentieth)."""
-    judged = contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
-    return judged.where("not contaminated").select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    clean = contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(rest)).where("not contaminated")
+    return clean.select(*(q if c in ("doc_id", "text") else F.col(f"kept.{q}").alias(c) for c, q in zip(docs.columns, quoted(docs.columns), strict=True)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
