@@ -109,10 +109,8 @@ class _Log:
         # Ids come from a sequence: one that the table holds, or an earlier insert of the log named, is taken.
         taken = asked.groupBy("pk").agg(F.min("change_id").alias("__first"))
         held = self.tables[table].select(F.col(pk).cast("long").alias("pk"), F.lit(True).alias("__held"))
-        rows = rows.join(taken, "pk").join(held, "pk", "left")
+        rows = rows.join(taken, "pk", "left").join(held, "pk", "left")      # a null id matches nothing, and is refused
         rows = rows.withColumn("reasons", _add(f"{pk}:taken", F.col("pk").isNull() | F.col("__held").isNotNull() | (F.col("__first") < F.col("change_id")))).drop("__first", "__held")
-        # A null id is dropped by the join; it is refused here.
-        rows = rows.unionByName(asked.filter(F.col("pk").isNull()).select("change_id", "ts", "table_name", "action", "pk", *columns).withColumn("reasons", F.array(F.lit(f"{pk}:taken"))))
         for fk in FOREIGN_KEYS:
             if fk.child == table and fk.parent != table and fk.parent in self.tables:
                 rows = self.check_reference(rows, table, fk.column, fk.parent, table == "issue" and fk.column in SAME_PROJECT_KEYS)
