@@ -40,10 +40,14 @@ WHERE kind IN ('comment_insert', 'comment_update', 'worklog_insert', 'attachment
 GROUP BY issue_id
 """)
 
-sql("stream_issue_hours", """
+STREAM_HOURS = """
 SELECT issue_id, CAST(SUM(CASE kind WHEN 'worklog_insert' THEN hours ELSE -hours END) AS DECIMAL(18,2)) AS total_hours
 FROM t_activity WHERE kind IN ('worklog_insert', 'worklog_delete') GROUP BY issue_id
-""")
+"""
+
+sql("stream_issue_hours", STREAM_HOURS)
+
+sql("stream_issue_hours_keyed", STREAM_HOURS)
 
 _SAFE = r"""CASE WHEN {c} IS NULL THEN 'unknown_file'
          WHEN regexp_replace({c}, '[^\p{{L}}\p{{N}}._-]', '', 'g') = '' THEN 'attached_file'

@@ -135,3 +135,10 @@ def stream_issue_hours(t):
     The batch's events span 30 days and land in files without time order, so
     the watermark delay is set above that lateness (31 days)."""
     return _stream(t, "running_hours", delay="31 days")
+
+
+@query("stream_issue_hours_keyed")
+def stream_issue_hours_keyed(t):
+    """ST2 on keyed state: the same totals without any lateness limit; every event id is
+    remembered, and some events are delivered twice."""
+    return _stream(t, "keyed_hours")

@@ -11,6 +11,9 @@ Both are keyed aggregates without a time window: the state is one row per issue.
   exceed the worst lateness. An event behind the watermark would be left out of the
   sum, so :func:`run_until_caught_up` fails if any micro-batch of its run reports one,
   or if a micro-batch's report is missing.
+* ST2 without a lateness limit, ``keyed_hours``: keyed state remembers every event id it
+  counted, so a repeat is known however late it comes. An issue's events are dealt over
+  ``SHARES`` keys by their id, so no issue is the state or the work of one task.
 
 Results leave the stream through ``foreachBatch`` in update mode: each
 micro-batch writes only the issues it changed, into its own ``epoch=N``
@@ -29,12 +32,15 @@ from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ..schema import ACTIVITY, HOURS_SIGN, HOURS_SUM, TOUCHING_KINDS
 from ..session import checkpoint_dir
 
 REPORTS_S = 60           # seconds that the reports of a run may come in after its end
+SHARES = 32              # keys that the events of one issue are dealt over in keyed state
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_activity(spark: SparkSession, directory: str, max_files_per_trigger: int | None = None,
@@ -67,6 +73,51 @@ def running_hours(events: DataFrame, delay: str | None, dedupe: bool = True) ->
             .groupBy("issue_id").agg(F.sum(F.col("hours") * sign).cast(HOURS_SUM).alias("total_hours")))
 
 
+class _HoursOnce(StatefulProcessor):
+    """Signed hundredths of hours of one (issue, share), each event id counted once."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._counted = handle.getMapState("counted", "event_id long", "cents long")
+        self._total = handle.getValueState("total", "cents long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        total = self._total.get()[0] if self._total.exists() else 0
+        for batch in rows:
+            for event, cents in batch.drop_duplicates("event_id")[["event_id", "cents"]].itertuples(index=False):
+                if not self._counted.containsKey((int(event),)):
+                    self._counted.updateValue((int(event),), (int(cents),))
+                    total += int(cents)
+        self._total.update((total,))
+        yield pd.DataFrame({"issue_id": [key[0]], "share": [key[1]], "cents": [total]})
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_hours(events: DataFrame, shares: int = SHARES) -> DataFrame:
+    """ST2 on keyed state: ``(issue_id, share, total_hours)``, running signed sums that count
+    each event id once however late its repeats come; an issue's total is the sum over its
+    shares (:func:`total_of_shares`). No watermark: the state keeps every event id.
+
+    Events without issue or id belong to no total that could be kept once and are left out;
+    missing hours count as none. Needs the RocksDB state store (``STATE_STORE``).
+    """
+    sign = F.coalesce(*[F.when(F.col("kind") == k, F.lit(s)) for k, s in HOURS_SIGN.items()])
+    signed = events.filter(F.col("kind").isin(*HOURS_SIGN) & F.col("issue_id").isNotNull() & F.col("event_id").isNotNull()).select(
+        "issue_id", F.pmod(F.xxhash64("event_id"), F.lit(shares)).cast("int").alias("share"), "event_id",
+        F.coalesce(F.col("hours") * 100 * sign, F.lit(0)).cast("long").alias("cents"))
+    out = signed.groupBy("issue_id", "share").transformWithStateInPandas(
+        _HoursOnce(), "issue_id int, share int, cents long", "Update", "None")
+    return out.select("issue_id", "share", (F.col("cents").cast("decimal(20,0)") / 100).cast(HOURS_SUM).alias("total_hours"))
+
+
+def total_of_shares(shares: DataFrame) -> DataFrame:
+    """``(issue_id, total_hours)`` from the current rows of :func:`keyed_hours`."""
+    return shares.groupBy("issue_id").agg(F.sum("total_hours").cast(HOURS_SUM).alias("total_hours"))
+
+
 class _LateRows(StreamingQueryListener):
     """Rows that each micro-batch of each run dropped behind the watermark. Unlike a query's
     ``recentProgress``, it keeps every batch: one number each."""
@@ -115,19 +166,20 @@ def start(agg: DataFrame, sink: str, checkpoint: str, available_now: bool = True
     return writer.start()
 
 
-def _latest(spark: SparkSession, sink: str, key: str, value_cols: list[str], base: str | None) -> DataFrame:
+def _latest(spark: SparkSession, sink: str, key: str | list[str], value_cols: list[str], base: str | None) -> DataFrame:
     """``(key, epoch, values)``: the newest written value per key (a
     partial-aggregated ``max(struct(epoch, values))``), over ``base`` if given."""
-    df = spark.read.parquet(sink).select(key, "epoch", *value_cols)
+    keys = [key] if isinstance(key, str) else key
+    df = spark.read.parquet(sink).select(*keys, "epoch", *value_cols)
     if base is not None:
-        b = spark.read.parquet(base).select(key, "epoch", *value_cols)
+        b = spark.read.parquet(base).select(*keys, "epoch", *value_cols)
         upto = b.select(F.max("epoch")).scalar()
         df = b.unionByName(df.filter(F.col("epoch") > upto))   # prunes folded epoch partitions
-    latest = df.groupBy(key).agg(F.max(F.struct("epoch", *value_cols)).alias("__v"))
-    return latest.select(key, F.col("__v.epoch").alias("epoch"), *[F.col(f"__v.{c}").alias(c) for c in value_cols])
+    latest = df.groupBy(*keys).agg(F.max(F.struct("epoch", *value_cols)).alias("__v"))
+    return latest.select(*keys, F.col("__v.epoch").alias("epoch"), *[F.col(f"__v.{c}").alias(c) for c in value_cols])
 
 
-def current_table(spark: SparkSession, sink: str, key: str, value_cols: list[str],
+def current_table(spark: SparkSession, sink: str, key: str | list[str], value_cols: list[str],
                   base: str | None = None) -> DataFrame:
     """The latest value per key across the written epochs. With ``base``
     (written by :func:`compact`) only epochs newer than the base are read from
@@ -135,7 +187,7 @@ def current_table(spark: SparkSession, sink: str, key: str, value_cols: list[str
     return _latest(spark, sink, key, value_cols, base).drop("epoch")
 
 
-def compact(spark: SparkSession, sink: str, key: str, value_cols: list[str], base: str,
+def compact(spark: SparkSession, sink: str, key: str | list[str], value_cols: list[str], base: str,
             previous: str | None = None) -> str:
     """Fold every epoch of ``sink`` (over an optional ``previous`` base) into one
     row per key, written to the new folder ``base`` with the epoch each value
@@ -149,20 +201,26 @@ def run_until_caught_up(spark: SparkSession, events_dir: str, which: str, work_d
                         delay: str | None = None, dedupe: bool = True,
                         max_files_per_trigger: int | None = None,
                         max_bytes_per_trigger: int | None = None) -> DataFrame:
-    """Run ST1 (``which="last_activity"``) or ST2 (``"running_hours"``) over
-    everything in ``events_dir`` with ``availableNow`` and return the result
+    """Run ST1 (``which="last_activity"``) or ST2 (``"running_hours"``, or ``"keyed_hours"``
+    without a lateness limit) over everything in ``events_dir`` with ``availableNow`` and return the result
     table; fails if events came too late for the watermark in any micro-batch of this run.
     Sink and checkpoint live under ``work_dir`` (default: a new folder in the session's
     shared checkpoint folder)."""
     base = work_dir or os.path.join(checkpoint_dir(spark), f"stream-{which}-{uuid.uuid4().hex[:12]}")
     events = read_activity(spark, events_dir, max_files_per_trigger, max_bytes_per_trigger)
+    key = "issue_id"
     if which == "last_activity":
         agg, values = last_activity(events), ["last_activity"]
+    elif which == "keyed_hours":
+        agg, key, values = keyed_hours(events), ["issue_id", "share"], ["total_hours"]
     elif which == "running_hours":
         agg, values = running_hours(events, delay, dedupe), ["total_hours"]
     else:
         raise ValueError(which)
     reports, epochs = _LateRows(), set()
+    store = spark.conf.get(STATE_STORE)
+    if which == "keyed_hours":
+        spark.conf.set(STATE_STORE, ROCKSDB)
     spark.streams.addListener(reports)
     try:
         q = start(agg, os.path.join(base, "sink"), os.path.join(base, "checkpoint"), epochs=epochs)
@@ -172,13 +230,15 @@ def run_until_caught_up(spark: SparkSession, events_dir: str, which: str, work_d
         reports.ended[q.runId].wait(REPORTS_S)
     finally:
         spark.streams.removeListener(reports)
+        spark.conf.set(STATE_STORE, store)
     dropped = reports.dropped[q.runId]
     late = sum(dropped.values())
     if late:
         raise RuntimeError(f"{late} events came later than {delay}: run again from the start with a larger delay")
     if epochs - dropped.keys():
         raise RuntimeError(f"no report of micro-batches {sorted(epochs - dropped.keys())[:10]}: events may have come too late unseen")
-    return current_table(spark, os.path.join(base, "sink"), "issue_id", values)
+    table = current_table(spark, os.path.join(base, "sink"), key, values)
+    return total_of_shares(table) if which == "keyed_hours" else table
 
 
 def land_events(events: DataFrame, directory: str, files: int | None = None) -> None:

@@ -41,6 +41,22 @@ def test_stream_equals_batch_with_reordered_files_and_repeats(spark):
     assert sorted(raw.collect()) != sorted(expect.collect())          # repeats double-count without de-dup
 
 
+def test_keyed_hours_know_repeats_however_late(spark):
+    base = dt.datetime(2025, 1, 1)
+    rows = [(k, base + dt.timedelta(days=n), 1, k % 3, "worklog_delete" if k % 4 == 3 else "worklog_insert", Decimal("1.25") * k)
+            for k, n in enumerate([0, 400, 3, 800, 1, 2, 900, 5])]
+    odd = [(None, base, 1, 1, "worklog_insert", Decimal(5)), (90, base, 1, None, "worklog_insert", Decimal(5)),
+           (91, base, 1, 2, "worklog_insert", None), (92, None, 1, 2, "worklog_insert", Decimal(2)), (93, base, 1, 2, "comment_insert", None)]
+    d = tempfile.mkdtemp(prefix="events-", dir="/tmp")
+    for part in (rows, odd, rows[::-1], rows[:3]):            # repeats years behind the newest event, in later batches
+        activity.land_events(_events(spark, part), d, files=1)
+    got = activity.run_until_caught_up(spark, d, "keyed_hours", max_files_per_trigger=1)
+    expect = {}
+    for k, _, _, issue, kind, hours in [*rows, odd[2], odd[3]]:
+        expect[issue] = expect.get(issue, Decimal(0)) + (hours or 0) * (1 if kind == "worklog_insert" else -1)
+    assert {r.issue_id: r.total_hours for r in got.collect()} == expect
+
+
 def _land_one_by_one(spark, rows, directory):
     """Each row as a file of its own, files in the order of the rows."""
     seen = set()
