@@ -53,16 +53,18 @@ _SAFE = r"""CASE WHEN {c} IS NULL THEN 'unknown_file'
          WHEN regexp_replace({c}, '[^\p{{L}}\p{{N}}._-]', '', 'g') = '' THEN 'attached_file'
          ELSE regexp_replace({c}, '[^\p{{L}}\p{{N}}._-]', '', 'g') END"""
 
-sql("orphan_files", f"""
+ORPHANS = f"""
 SELECT concat(substr(sha256(concat_ws('_', CAST(a.attachment_id AS VARCHAR), a.file_name)), 1, 32), '_',
     {_SAFE.format(c="a.file_name")}) AS stored_name,
   CAST(strlen(COALESCE(b.body, '')) AS BIGINT) AS size_bytes
 FROM t_attachment a JOIN t_page_body b ON b.attachment_id = a.attachment_id
 JOIN t_issue i ON i.issue_id = a.issue_id
 WHERE i.project_id IN (SELECT project_id FROM t_project WHERE project_id IN (SELECT pk FROM t_delete_project))
-""")
+"""
+
+sql("orphan_files", ORPHANS)
 
-sql("missing_files", f"""
+MISSING = f"""
 SELECT CAST((SELECT max(attachment_id) FROM t_attachment) + row_number() OVER (ORDER BY n.request_id) AS BIGINT) AS attachment_id,
   n.issue_id,
   concat(substr(sha256(concat_ws('_', CAST(n.request_id AS VARCHAR), n.file_name)), 1, 32), '_',
@@ -70,4 +72,11 @@ SELECT CAST((SELECT max(attachment_id) FROM t_attachment) + row_number() OVER (O
 FROM t_new_attachment n
 WHERE EXISTS (SELECT 1 FROM t_issue i WHERE i.issue_id = n.issue_id)
   AND (n.user_id IS NULL OR EXISTS (SELECT 1 FROM t_user u WHERE u.user_id = n.user_id))
+"""
+
+sql("missing_files", MISSING)
+
+sql("stream_file_audit", f"""
+SELECT 'orphan_file' AS kind, stored_name, size_bytes, CAST(NULL AS BIGINT) AS attachment_id, CAST(NULL AS INTEGER) AS issue_id FROM ({ORPHANS})
+UNION ALL SELECT 'missing_file', file_path, NULL, attachment_id, issue_id FROM ({MISSING})
 """)

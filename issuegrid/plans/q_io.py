@@ -15,7 +15,7 @@ from ..session import checkpoint_dir
 from ..sources import files as listing
 from ..sources import tables as io
 from ..sources.filestore import write_files
-from ..streaming import activity
+from ..streaming import activity, audit
 from .catalog import query
 
 TABLES = ("user", "project", "sprint", "issue", "comment", "attachment", "worklog")
@@ -99,16 +99,24 @@ def orphan_files(t):
     return files.orphan_files(store, records).select("stored_name", "size_bytes")
 
 
+def _base(t):
+    return {k: t[k] for k in TABLES}
+
+
+def _recorded(t):
+    """The attachments that the activity batch records (D1, ids by D2)."""
+    requests = t["new_attachment"].withColumn("file_path", X.stored_path(
+        "file_name", F.concat_ws("_", F.col("request_id").cast("string"), F.col("file_name"))))
+    return changes.insert_rows("attachment", requests, _base(t), changes.DEFAULT_NOW, acting_user="user_id")[0]
+
+
 @query("missing_files")
 def missing_files(t):
     """Attachment records without a stored file — the attachments the
     activity batch recorded (D1, ids by D2) whose upload never reached the store."""
     spark = t["attachment"].sparkSession
     store = listing.list_files(spark, _store(t))
-    requests = t["new_attachment"].withColumn("file_path", X.stored_path(
-        "file_name", F.concat_ws("_", F.col("request_id").cast("string"), F.col("file_name"))))
-    new, _ = changes.insert_rows("attachment", requests, {k: t[k] for k in TABLES}, changes.DEFAULT_NOW,
-                                 acting_user="user_id")
+    new = _recorded(t)
     current = t["attachment"].withColumn("file_path", _upload_name(t["attachment"]))
     records = current.unionByName(new.select(*current.columns))
     return files.missing_files(store, records)
@@ -142,3 +150,21 @@ def stream_issue_hours_keyed(t):
     """ST2 on keyed state: the same totals without any lateness limit; every event id is
     remembered, and some events are delivered twice."""
     return _stream(t, "keyed_hours")
+
+
+@query("stream_file_audit")
+def stream_file_audit(t):
+    """J11 as a running audit: uploads arrive up to 50 minutes after their records; the records
+    of archived projects never come, and those of the activity batch come without a file."""
+    spark = t["attachment"].sparkSession
+    files_dir, records_dir = _fresh(spark, "arriving-files"), _fresh(spark, "arriving-records")
+    uploads = t["attachment"].join(t["page_body"].select("attachment_id", "body"), "attachment_id")
+    (uploads.select(_upload_name(uploads).alias("stored_name"), F.coalesce(F.octet_length("body"), F.lit(0)).cast("long").alias("size_bytes"),
+                    (F.col("uploaded_at") + F.make_interval(mins=F.col("attachment_id") % 50)).alias("arrived_at"))
+     .write.parquet(files_dir))
+    after, _ = changes.delete_cascade(_base(t), "project", t["delete_project"])
+    kept = after["attachment"].withColumn("file_path", _upload_name(after["attachment"]))
+    new = _recorded(t)
+    (kept.unionByName(new.select(*kept.columns))
+     .select(F.col("attachment_id").cast("long").alias("attachment_id"), "issue_id", "file_path", "uploaded_at").write.parquet(records_dir))
+    return audit.audit_until_finished(spark, files_dir, records_dir, delay="400 days", wait="1 hour")

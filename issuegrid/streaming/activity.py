@@ -153,11 +153,11 @@ def _epoch_writer(path: str, epochs: set[int] | None = None):
 
 
 def start(agg: DataFrame, sink: str, checkpoint: str, available_now: bool = True,
-          processing_time: str | None = None, epochs: set[int] | None = None):
+          processing_time: str | None = None, epochs: set[int] | None = None, mode: str = "update"):
     """Start ``agg`` (a keyed streaming aggregate) in update mode, writing each
     micro-batch's changed keys to ``sink`` (epoch partitions); ``epochs`` takes the
-    numbers of the micro-batches that ran."""
-    writer = (agg.writeStream.outputMode("update").foreachBatch(_epoch_writer(sink, epochs))
+    numbers of the micro-batches that ran. A join that gives each row once takes ``mode`` append."""
+    writer = (agg.writeStream.outputMode(mode).foreachBatch(_epoch_writer(sink, epochs))
               .option("checkpointLocation", checkpoint))
     if available_now:
         writer = writer.trigger(availableNow=True)
@@ -197,6 +197,28 @@ def compact(spark: SparkSession, sink: str, key: str | list[str], value_cols: li
     return base
 
 
+def catch_up(spark: SparkSession, stream: DataFrame, base: str, delay: str | None, mode: str = "update") -> None:
+    """Run ``stream`` over everything that has landed, into the ``sink`` beside its
+    ``checkpoint`` under ``base``; fails if rows came too late for the watermark in any
+    micro-batch of this run, or if a micro-batch's report is missing."""
+    reports, epochs = _LateRows(), set()
+    spark.streams.addListener(reports)
+    try:
+        q = start(stream, os.path.join(base, "sink"), os.path.join(base, "checkpoint"), epochs=epochs, mode=mode)
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
+        reports.ended[q.runId].wait(REPORTS_S)
+    finally:
+        spark.streams.removeListener(reports)
+    dropped = reports.dropped[q.runId]
+    late = sum(dropped.values())
+    if late:
+        raise RuntimeError(f"{late} events came later than {delay}: run again from the start with a larger delay")
+    if epochs - dropped.keys():
+        raise RuntimeError(f"no report of micro-batches {sorted(epochs - dropped.keys())[:10]}: events may have come too late unseen")
+
+
 def run_until_caught_up(spark: SparkSession, events_dir: str, which: str, work_dir: str | None = None,
                         delay: str | None = None, dedupe: bool = True,
                         max_files_per_trigger: int | None = None,
@@ -221,22 +243,10 @@ def run_until_caught_up(spark: SparkSession, events_dir: str, which: str, work_d
     store = spark.conf.get(STATE_STORE)
     if which == "keyed_hours":
         spark.conf.set(STATE_STORE, ROCKSDB)
-    spark.streams.addListener(reports)
     try:
-        q = start(agg, os.path.join(base, "sink"), os.path.join(base, "checkpoint"), epochs=epochs)
-        q.awaitTermination()
-        if q.exception():
-            raise q.exception()
-        reports.ended[q.runId].wait(REPORTS_S)
+        catch_up(spark, agg, base, delay)
     finally:
-        spark.streams.removeListener(reports)
         spark.conf.set(STATE_STORE, store)
-    dropped = reports.dropped[q.runId]
-    late = sum(dropped.values())
-    if late:
-        raise RuntimeError(f"{late} events came later than {delay}: run again from the start with a larger delay")
-    if epochs - dropped.keys():
-        raise RuntimeError(f"no report of micro-batches {sorted(epochs - dropped.keys())[:10]}: events may have come too late unseen")
     table = current_table(spark, os.path.join(base, "sink"), key, values)
     return total_of_shares(table) if which == "keyed_hours" else table
 

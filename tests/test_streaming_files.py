@@ -124,3 +124,22 @@ def test_compaction_keeps_the_current_table(spark):
                                  _events(spark, rows))
     assert sorted(got.collect()) == sorted(expect.collect())
     assert sorted(activity.current_table(spark, sink, "issue_id", ["total_hours"]).collect()) == sorted(got.collect())
+
+
+def test_running_audit_reports_each_unmatched_side_once(spark):
+    from issuegrid.streaming import audit
+
+    t0 = dt.datetime(2025, 1, 1)
+    at = lambda minutes: t0 + dt.timedelta(minutes=minutes)
+    stored = [("a", 1, at(0)), ("b", 2, at(5)), ("c", 3, at(0)), ("d", 4, at(9)), ("d", 4, at(9)), ("f", 6, None)]
+    records = [(1, 10, "up/a", at(30)), (2, 10, "up/b", at(-20)), (3, 11, "up/c", at(61)), (4, 11, "up/e", at(3)),
+               (4, 11, "up/e", at(3)), (5, 12, None, at(4)), (6, 12, "up/f", at(8))]
+    where = [tempfile.mkdtemp(prefix="audit-", dir="/tmp") for _ in range(2)]
+    for path, rows, schema in ((where[0], stored, audit.FILES), (where[1], records, audit.RECORDS)):
+        for part in (rows[::2], rows[1::2]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    got = audit.audit_until_finished(spark, *where, delay="2 hours", wait="1 hour", max_files_per_trigger=1)
+    assert sorted((r.kind, r.stored_name, r.size_bytes, r.attachment_id) for r in got.collect() if r.stored_name) == [
+        ("missing_file", "c", None, 3), ("missing_file", "e", None, 4), ("missing_file", "f", None, 6),   # f's file has no time
+        ("orphan_file", "c", 3, None), ("orphan_file", "d", 4, None)]                                     # c's record came 61 minutes on
+    assert [r.attachment_id for r in got.collect() if r.stored_name is None] == [5]                       # a record without a path
