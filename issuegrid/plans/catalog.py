@@ -34,4 +34,4 @@ def query(name: str, oracle: bool = True):
 
 
 # Queries are defined in these modules; importing them fills QUERIES.
-from . import q_access, q_changes, q_core, q_io, q_labels, q_pages, q_quality  # noqa: E402,F401
+from . import q_access, q_changes, q_core, q_io, q_labels, q_maintain, q_pages, q_quality  # noqa: E402,F401

@@ -22,3 +22,4 @@ def oracle_sql() -> dict[str, str]:
 
 # Bodies live in these modules.
 from . import o_access, o_changes, o_core, o_io, o_labels, o_pages, o_quality  # noqa: E402,F401
+from . import o_maintain  # noqa: E402,F401  (over the bodies of the others)
