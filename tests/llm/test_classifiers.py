@@ -98,3 +98,18 @@ def test_one_bad_word_in_a_long_text_is_found():
     for text, toxic in ((clean, False), (clean[:5000] + " DREADFUL " + clean[5000:], True)):
         raw = text.encode()
         assert (toxicity.text_logits(model, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0] > 0) == toxic
+
+
+def test_training_sample_is_bounded_in_rows_and_bytes(spark):
+    from issuegrid.llm.labelled import held_out, training_rows
+
+    docs = spark.createDataFrame([(7, f"text {k:04d}") for k in range(3000)] + [(k, "x" * 100) for k in range(100, 160)] + [(8, None), (None, "y")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in (7, 8, *range(100, 160))] + [(7, 1), (None, 1), (9, None)], "doc_id long, toxic int")
+    known = {r.doc_id for r in labels.where("doc_id is not null and toxic is not null").where(~held_out(5, 0)).collect()}
+    sample = training_rows(docs, labels, "toxic", 5, 0, 1000).collect()
+    assert sorted(r.doc_id for r in sample) == sorted(known)              # a repeated doc_id is one row
+    assert {r.doc_id: (r.text, r.label) for r in sample}.get(7, ("text 0000", 1)) == ("text 0000", 1)
+    assert len(training_rows(docs, labels, "toxic", 5, 0, 10).collect()) == 10
+    few = training_rows(docs, labels, "toxic", 5, 0, 1000, max_bytes=1000).collect()
+    assert 9 <= len(few) < len(sample) and sum(len(r.text) for r in few) <= 1000
