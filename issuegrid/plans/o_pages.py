@@ -76,3 +76,15 @@ SELECT * FROM ({ISSUE_ENRICHED}) e
 WHERE e.project_id = (SELECT project_id FROM t_issue GROUP BY project_id ORDER BY count(*) DESC, project_id LIMIT 1)
 ORDER BY created_date DESC NULLS LAST, issue_id LIMIT 100 OFFSET 100
 """)
+
+sql("page_project_issues_deep", f"""
+WITH hot AS (SELECT project_id, count(*) AS n FROM t_issue GROUP BY project_id ORDER BY n DESC, project_id LIMIT 1)
+SELECT * FROM ({ISSUE_ENRICHED}) e WHERE e.project_id = (SELECT project_id FROM hot)
+ORDER BY created_date DESC NULLS LAST, issue_id LIMIT 100 OFFSET (SELECT n // 2 FROM hot)
+""")
+
+sql("page_issue_worklogs_deep", """
+WITH hot AS (SELECT issue_id, count(*) AS n FROM t_worklog GROUP BY issue_id ORDER BY n DESC, issue_id LIMIT 1)
+SELECT worklog_id, issue_id, user_id, hours_logged, work_date FROM t_worklog WHERE issue_id = (SELECT issue_id FROM hot)
+ORDER BY work_date DESC NULLS LAST, created_at DESC NULLS LAST, worklog_id LIMIT 100 OFFSET (SELECT n // 2 FROM hot)
+""")

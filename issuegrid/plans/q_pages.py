@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import details, enrich, paging
+from ..operators import details, enrich, pagedir, paging
+from ..session import checkpoint_dir
 from .catalog import query
 
 def busiest(df, key: str):
@@ -88,3 +92,27 @@ def issue_details(t):
     doc = details.issue_details(t["issue"], t["project"], t["sprint"], t["user"], t["comment"],
                                 t["worklog"], t["attachment"])
     return details.explode_details(doc)
+
+
+def _deep(rows, kind, parent):
+    """The page in the middle of the list of the parent with most rows, by a page directory."""
+    spark = rows.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"pages-{kind}-{uuid.uuid4().hex[:12]}")
+    pages = pagedir.build(rows, paging.ORDERS[kind], path, parent)
+    hottest = rows.groupBy(parent).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), parent).first()[0]
+    return pages.page(spark, hottest, skip=pages.rows_of(spark, hottest) // 2, limit=100)
+
+
+@query("page_project_issues_deep")
+def page_project_issues_deep(t):
+    """P4 at depth: the busiest project's page that starts in the middle of its issues."""
+    issues = t["issue"].join(t["project"].select("project_id"), "project_id", "left_semi").select(*t["issue"].columns)
+    rows = _deep(issues, "project_issues", "project_id")
+    return enrich.issue_enriched(rows, t["project"], t["sprint"], t["user"]).orderBy(*paging.sort_columns(paging.ORDERS["project_issues"]))
+
+
+@query("page_issue_worklogs_deep")
+def page_issue_worklogs_deep(t):
+    """P7 at depth: the page in the middle of the busiest issue's worklogs."""
+    cols = ["worklog_id", "issue_id", "user_id", "hours_logged", "work_date", "created_at"]
+    return _deep(t["worklog"].select(*cols), "worklogs", "issue_id").select(*cols[:-1])
