@@ -20,6 +20,7 @@ operators see to that); A2, A3 and the checks hold without. Results are those of
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +37,14 @@ ROLES = {"reporter": "reporter_id", "assignee": "assignee_id"}
 
 def changed_rows(old: DataFrame, new: DataFrame, keys: DataFrame | None = None, pk: str | None = None) -> DataFrame:
     """The signed rows between two states of a table (one grouping over both; equal rows
-    cancel). With ``keys`` (the ``pk`` values that the change named) only those rows are read on."""
+    cancel). With ``keys`` (the ``pk`` values that the change named) only those rows are read on.
+
+    Rows are dealt out by all their columns before they are grouped: hardly two rows of one task
+    are equal before that, so grouping there would hold (and spill) whole input splits in vain."""
     if keys is not None:
         old, new = (df.join(keys.select(pk).distinct(), pk, "left_semi").select(*old.columns) for df in (old, new))
     both = old.select("*", F.lit(-1).alias(SIGN)).unionByName(new.select(*old.columns, F.lit(1).alias(SIGN)))
-    return both.groupBy(*old.columns).agg(F.sum(SIGN).alias(SIGN)).where(F.col(SIGN) != 0)
+    return both.repartition(*old.columns).groupBy(*old.columns).agg(F.sum(SIGN).alias(SIGN)).where(F.col(SIGN) != 0)
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -49,9 +53,30 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def changes_between(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """:func:`changed_rows` of every table, each written once."""
-    return {name: saved(changed_rows(old[name], new[name])) for name in old}
+class Written(Mapping):
+    """Tables by name, each written once (:func:`saved`) when it is first read: a report pays
+    for the tables that it reads, several reports over the same tables pay once."""
+
+    def __init__(self, tables: Mapping[str, DataFrame], of: Callable[[str], DataFrame] | None = None):
+        self._names, self._of, self._done = list(tables), of or tables.__getitem__, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._names:
+            raise KeyError(name)
+        if name not in self._done:
+            self._done[name] = saved(self._of(name))
+        return self._done[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+
+def changes_between(old: Mapping[str, DataFrame], new: Mapping[str, DataFrame]) -> Mapping[str, DataFrame]:
+    """:func:`changed_rows` of every table, each written once when it is first read."""
+    return Written(old, lambda name: changed_rows(old[name], new[name]))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

@@ -106,3 +106,17 @@ def test_named_keys_bound_what_is_compared_and_nothing_changed_changes_nothing(s
     tables = _frames(spark, _states(5, dangling=False)[0])
     none = maintain.changes_between(tables, tables)
     assert maintain.fk_violations(stored, tables, none).isEmpty()
+
+
+def test_only_tables_that_are_read_are_compared(spark):
+    old, new = (_frames(spark, s) for s in _states(3, False))
+    delta = maintain.changes_between(old, {**new, "worklog": None})     # a table that cannot be compared
+    counts = maintain.project_issue_counts(reports.project_issue_counts(old["project"], old["issue"]), delta)
+    _same(counts, reports.project_issue_counts(new["project"], new["issue"]))
+    assert delta["issue"] is delta["issue"] and set(delta) == set(TABLES)
+
+
+def test_changed_rows_are_dealt_out_before_they_are_grouped(spark):
+    old, new = (_frames(spark, s) for s in _states(4, True))
+    plan = maintain.changed_rows(old["issue"], new["issue"])._jdf.queryExecution().sparkPlan().toString()
+    assert "Exchange" in plan and plan.index("Exchange") > plan.rindex("HashAggregate")     # no grouping below the exchange
