@@ -6,8 +6,9 @@ accepted update releases the key that its row held before. What a request meets
 depends on what became of the requests before it.
 
 Keys are compared under the case- and accent-insensitive collation. Each distinct key gets
-one representative first (a single collated grouping), so that everything after it runs on
-binary keys with hash joins and hash aggregates.
+one representative first, so that everything after it runs on binary keys with hash joins and
+hash aggregates. Printable ASCII keys are equal there if their lower-case forms are, so that
+form is their representative; the collation is asked only about keys with other characters.
 
 ``ROUNDS`` rounds decide, by aggregates per key and per row, the requests whose outcome
 does not depend on an undecided one: the first claim of a free key, a claim of a key whose
@@ -21,20 +22,47 @@ component is one task's work; the order inside it cannot be split.
 from __future__ import annotations
 
 import functools
+import itertools
+import operator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from .lookup import INSENSITIVE
 
 ROUNDS = 3
 BINARY = "UTF8_BINARY"
 
 
-def _representatives(keys: DataFrame) -> DataFrame:
-    """``(o, ck, key)``: one binary string for each collated key ``ck`` of column number ``o``."""
-    return keys.groupBy("o", "ck").agg(F.min(F.collate("ck", BINARY)).alias("key"))
+def _plain(raw: str | Column) -> Column:
+    """Whether the binary string is printable ASCII: every such character has a weight of its own."""
+    return (F.col(raw) if isinstance(raw, str) else raw).rlike(r"\A[ -~]*\z")
+
+
+def _binary(requests: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with the binary string ``key`` in the place of their collated key ``ck``: one for
+    all keys that are equal under the collation."""
+    raw = F.collate("ck", BINARY)
+    requests, held = (df.withColumn("raw", raw).withColumn("key", F.when(_plain("raw"), F.lower("raw"))) for df in (requests, held))
+    asked = requests.select("o", "ck", "raw", "key")
+    others = asked.filter("key is null").unionByName(held.filter("key is null").select("o", "ck", "raw", "key")).groupBy("o", "raw").agg(
+        F.any_value("ck").alias("ck")).checkpoint()
+    if others.isEmpty():
+        return requests.drop("ck", "raw"), held.drop("ck", "raw")
+    # The others' strings among themselves, and with the plain ones that are equal to them.
+    plain = [df.filter("key is not null").select("o", "key").distinct().withColumn("ck", F.collate("key", INSENSITIVE)) for df in (requests, held)]
+    groups = others.groupBy("o", "ck").agg(F.min("raw").alias("low"))
+    same = plain[0].unionByName(plain[1]).join(groups.select("o", "ck"), ["o", "ck"]).groupBy("o", "ck").agg(F.min("key").alias("same"))
+    names = others.join(groups.join(same, ["o", "ck"], "left"), ["o", "ck"]).select("o", "raw", F.coalesce("same", "low").alias("name")).checkpoint()
+
+    def named(df: DataFrame) -> DataFrame:
+        rest = df.filter("key is null").join(names, ["o", "raw"]).withColumn("key", F.col("name"))
+        cols = [c for c in df.columns if c not in ("ck", "raw")]
+        return df.filter("key is not null").select(*cols).unionByName(rest.select(*cols))
+
+    return named(requests), named(held)
 
 
 def _round(open_requests: DataFrame) -> DataFrame:
@@ -85,8 +113,10 @@ def _replay(part: pd.DataFrame) -> pd.DataFrame:
     holder = {(o, k): h for o, k, h in zip(part["o"], part["key"], part["holder"], strict=True) if h == h and h is not None}
     current = {(h, o): k for (o, k), h in holder.items()}
     out = []
-    for request, rows in part.sort_values(["id", "o"]).groupby("id", sort=True):
-        claims = list(zip(rows["row"], rows["o"], rows["key"], strict=True))
+    part = part.sort_values(["id", "o"])
+    in_order = zip(part["id"], zip(part["row"], part["o"], part["key"], strict=True), strict=True)
+    for request, rows in itertools.groupby(in_order, operator.itemgetter(0)):
+        claims = [claim for _, claim in rows]
         good = all(holder.get((o, k), row) == row for row, o, k in claims)
         if good:
             for row, o, k in claims:
@@ -108,9 +138,11 @@ def one_by_one(requests: DataFrame, held: DataFrame, columns: int, rounds: int =
     inserts and updates may be mixed.
     """
     checkpoint_dir(requests.sparkSession)
-    names = _representatives(requests)
-    held = held.join(names, ["o", "ck"]).select("o", "key", F.col("row").alias("holder"))
-    claims = requests.join(names, ["o", "ck"]).join(held, ["o", "key"], "left").select("id", "row", "o", "key", "holder").checkpoint()
+    requests, held = _binary(requests, held)
+    held = held.select("o", "key", F.col("row").alias("holder"))
+    if columns > 1:                      # inserts never hold a key before: any holder refuses them
+        held = held.groupBy("o", "key").agg(F.min("holder").alias("holder"))
+    claims = requests.join(held, ["o", "key"], "left").select("id", "row", "o", "key", "holder").checkpoint()
     open_requests = claims.withColumn("done", F.lit(False))
     undecided = True
     for _ in range(rounds):
@@ -122,6 +154,15 @@ def one_by_one(requests: DataFrame, held: DataFrame, columns: int, rounds: int =
         if not undecided:
             break
     accepted = open_requests.select("id").distinct()
+    if undecided and columns > 1:
+        # Inserts release nothing: the accepted refuse the later claims of their keys and have
+        # no more say, and only what is left is replayed.
+        done = open_requests.filter("done")
+        since = done.groupBy("o", "key").agg(F.min("id").alias("since"))
+        left = open_requests.filter(~F.col("done"))
+        late = left.join(since, ["o", "key"]).filter(F.col("since") < F.col("id")).select("id")
+        open_requests = left.join(late, "id", "left_anti").checkpoint()
+        accepted = done.select("id").distinct().unionAll(open_requests.select("id").distinct()).checkpoint()
     if undecided:
         node = lambda kind, *cols: F.concat_ws("\x1f", F.lit(kind), *(F.col(c).cast("string") for c in cols))
         # A holder counts only where it has requests of its own; without, it is just a taken key.

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from edge_rows import T0, as_dict, base_tables
 
-from issuegrid.operators import changes, reports
+from issuegrid.operators import changes, claims, reports
+from issuegrid.operators.lookup import insensitive
 
 NOW = dt.datetime(2025, 6, 1, 12, 0, 0)
 NOW_S = "2025-06-01 12:00:00"
@@ -233,6 +234,38 @@ def test_long_chain_of_refusals_is_exact(spark):
     assert [r.request_id for r in got.filter("accepted").orderBy("request_id").collect()] == list(range(0, 1000, 2))
 
 
+def test_plain_and_other_characters_share_their_keys(spark):
+    users = spark.createDataFrame([(1, "josé", "a@x.org"), (2, "plain", "b@x.org"), (3, "PLAIN", "b@x.org")], "user_id int, username string, email string")
+    rows = [(1, "Jose", "n1@x.org"), (2, "PLÄIN", "n2@x.org"), (3, "zoë", "n3@x.org"), (4, "ZOE", "n4@x.org"), (5, "ｗide", "n5@x.org"),
+            (6, "Wide", "n6@x.org"), (7, "a b", "n7@x.org"), (8, "ab", "n8@x.org"), (9, "a\u00adb", "n9@x.org"), (10, "ab\n", "N8@x.org")]
+    got = {r.request_id: list(r.reasons) for r in changes.reject_duplicates(
+        "user", users, spark.createDataFrame(rows, "request_id int, username string, email string")).collect()}
+    refused = {k for k, v in got.items() if v}
+    names, want = ["josé", "plain"], set()
+    for k, name, _ in rows[:-1]:
+        same = spark.createDataFrame([(n, name) for n in names], "a string, b string").select(insensitive("a") == insensitive("b")).collect()
+        want |= {k} if any(r[0] for r in same) else set()
+        names += [name] if k not in want else []
+    assert refused == want | {10} and {1, 2, 4, 6} <= refused and 7 not in refused
+
+
+def test_plain_characters_differ_but_for_case(spark):
+    """What :mod:`.claims` takes for granted of the collation."""
+    chars = spark.range(32, 127).select(F.expr("char(id)").alias("c"))
+    pairs = chars.crossJoin(chars.withColumnRenamed("c", "d")).withColumns({"c": F.concat(F.lit("x"), "c", F.lit("y")), "d": F.concat(F.lit("x"), "d", F.lit("y"))})
+    assert pairs.filter((insensitive("c") == insensitive("d")) != (F.lower("c") == F.lower("d"))).isEmpty()
+
+
+def test_plain_keys_need_no_collated_join(spark):
+    held = claims.claims_of(spark.createDataFrame([(1, "Ann")], "user_id int, username string"), F.lit(0), F.col("user_id"), [(0, insensitive("username"))]).drop("id")
+    asked = claims.claims_of(spark.createDataFrame([(5, "ANN")], "request_id long, username string"), F.col("request_id"), F.lit("new 5"), [(0, insensitive("username"))])
+    asked, held = claims._binary(asked, held)
+    assert [r.key for r in asked.unionByName(held, allowMissingColumns=True).collect()] == ["ann", "ann"]
+    for df in (asked, held):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+
+
 def replayed(emails, patches):
     """Patches (id, user, email) one by one over {user: email}: the refused ids and the emails left."""
     emails, refused = dict(emails), []
