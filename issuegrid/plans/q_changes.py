@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import changelog, changes, sequence
+from ..operators.maintain import saved
 from .catalog import query
 
 NOW = changes.DEFAULT_NOW
@@ -245,7 +246,9 @@ for _table in PATCHED:
 def _logged(t):
     # Statuses of the log are those of issues; its sprints take the default.
     log = t["change_log"].withColumn("status", F.when(F.col("table_name") == "issue", F.col("status")))
-    return changelog.apply_log(_base(t), log)
+    tables = _base(t)
+    tables["worklog"] = saved(tables["worklog"])           # numbered by a window; several steps read it
+    return changelog.apply_log(tables, log)
 
 
 @query("change_log_issues")

@@ -6,8 +6,11 @@ from decimal import Decimal
 
 import pytest
 from edge_rows import T0, base_tables, table
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from issuegrid.operators import changelog
+from issuegrid.plans import q_changes
 from issuegrid.schema import AUTO_UPDATE_COLUMNS, FOREIGN_KEYS, ISSUE_STATUSES, ISSUE_TYPES, PATCH_ALLOW, PRIMARY_KEYS, PRIORITIES, SPRINT_STATUSES
 
 @pytest.fixture(autouse=True)
@@ -207,3 +210,13 @@ def test_empty_log_and_empty_tables(spark):
     check(spark, [])
     empty = {t: table(spark, t, []) for t in PRIMARY_KEYS}
     check(spark, [dict(change_id=1, ts=at(1), table_name="issue", action="insert", pk=1, project_id=1, description="d")], empty)
+
+
+def test_log_reads_the_numbered_worklogs_from_one_copy(spark, monkeypatch):
+    t = dict(base_tables(spark))
+    t["worklog"] = t["worklog"].withColumn("worklog_id", F.row_number().over(Window.partitionBy("issue_id").orderBy("worklog_id")).cast("long"))
+    t["change_log"] = spark.createDataFrame([], "table_name string, status string")
+    monkeypatch.setattr(q_changes.changelog, "apply_log", lambda tables, log: (tables, log))
+    worklog = q_changes._logged(t)[0]["worklog"]
+    assert "Window" not in worklog._jdf.queryExecution().sparkPlan().toString()
+    assert worklog.count() == t["worklog"].count()
