@@ -120,3 +120,54 @@ def test_changed_rows_are_dealt_out_before_they_are_grouped(spark):
     old, new = (_frames(spark, s) for s in _states(4, True))
     plan = maintain.changed_rows(old["issue"], new["issue"])._jdf.queryExecution().sparkPlan().toString()
     assert "Exchange" in plan and plan.index("Exchange") > plan.rindex("HashAggregate")     # no grouping below the exchange
+
+
+def test_states_compared_in_the_columns_read_give_the_same_reports(spark):
+    from issuegrid.plans import q_maintain as q
+
+    old, new = (_frames(spark, s) for s in _states(6, dangling=False))
+    def delta(columns):
+        return maintain.changes_between(old, new, columns)
+
+    counts = delta(q.USER_COUNTS)
+    assert counts["issue"].columns == [*q.USER_COUNTS["issue"], maintain.SIGN] and set(counts) == set(q.USER_COUNTS)
+    _same(maintain.user_issue_counts(reports.user_issue_counts(old["user"], old["issue"]), counts), reports.user_issue_counts(new["user"], new["issue"]))
+    _same(maintain.project_issue_counts(reports.project_issue_counts(old["project"], old["issue"]), delta(q.PROJECT_COUNTS)),
+          reports.project_issue_counts(new["project"], new["issue"]))
+    hours = delta(q.HOURS)
+    state = maintain.user_project_hours_after(maintain.user_project_hours(old["issue"], old["worklog"]), old["issue"], new["worklog"], hours)
+    _same(state, maintain.user_project_hours(new["issue"], new["worklog"]))
+    _same(maintain.issue_hours(reports.issue_hours(old["issue"], old["worklog"]), hours), reports.issue_hours(new["issue"], new["worklog"]))
+    children, touches = ("issue", "comment", "worklog", "attachment"), delta(q.TOUCHES)
+    _same(maintain.issue_child_counts(reports.issue_child_counts(*[old[c] for c in children]), touches), reports.issue_child_counts(*[new[c] for c in children]))
+    last = [reports.issue_last_activity(s["issue"], reports.touch_events(s["comment"], s["worklog"], s["attachment"])) for s in (old, new)]
+    _same(maintain.issue_last_activity_after(last[0], new, touches), last[1])
+
+
+def test_checks_of_states_compared_in_their_keys(spark):
+    from issuegrid.plans import q_maintain as q
+
+    old, new = (_frames(spark, s) for s in _states(7, dangling=True))
+    def delta(columns):
+        return maintain.changes_between(old, new, columns)
+
+    _same(maintain.fk_violations(quality.fk_violations(old), new, delta(q.KEYS)), quality.fk_violations(new))
+    _same(maintain.parent_project_mismatch(quality.parent_project_mismatch(old["issue"]), new["issue"], delta(q.PARENTS)), quality.parent_project_mismatch(new["issue"]))
+    _same(maintain.sprint_project_mismatch(quality.sprint_project_mismatch(old["issue"], old["sprint"]), new, delta(q.SPRINTS)),
+          quality.sprint_project_mismatch(new["issue"], new["sprint"]))
+
+
+def test_saved_rows_are_computed_once_and_keep_their_types(spark):
+    seen = spark.sparkContext.accumulator(0)
+    def count(rows):
+        for row in rows:
+            seen.add(1)
+            yield row
+
+    rows = _frames(spark, _states(8, True)[0])["worklog"]
+    kept = maintain.saved(spark.createDataFrame(rows.rdd.mapPartitions(count), rows.schema))
+    _same(kept, rows)
+    assert seen.value == rows.count() and kept.schema == rows.schema
+    assert maintain.saved(rows.where("false")).isEmpty()
+    scan = kept.select("hours_logged")._jdf.queryExecution().executedPlan().toString()
+    assert "hours_logged" in scan and "description" not in scan          # only the column asked for is read back
