@@ -15,6 +15,7 @@ row (one issue receiving a third of all changes) from landing in one task.
 from __future__ import annotations
 
 import functools
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,7 +192,8 @@ def auto_touch(old: DataFrame, new: DataFrame, table: str, now: str | Column | N
 # ---------------------------------------------------------------- D3 apply_patches
 
 def apply_patches(table: str, df: DataFrame, patches: DataFrame, now: str | Column | None = None,
-                  change_key: str = "change_id", parents: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+                  change_key: str = "change_id", parents: dict[str, DataFrame] | None = None,
+                  whole: bool = True) -> tuple[DataFrame, DataFrame]:
     """D3: general updates. A patch row carries ``pk``, ``set_fields`` and one
     column per field. Only fields named in ``set_fields`` change — a field set to
     null becomes null, an absent field keeps its value — and fields outside the
@@ -200,7 +202,8 @@ def apply_patches(table: str, df: DataFrame, patches: DataFrame, now: str | Colu
     sets a foreign key to a row that does not exist (``parents``: the parent tables;
     the table itself is always known). Rows that some accepted patch really changed on
     the way, even if a later one changed them back, get ``now`` as last-changed
-    instant (D8).
+    instant (D8). Without ``whole``, ``df`` holds only some columns of its table: patches are
+    judged by all fields, as for the whole table, and applied to the columns that are there.
 
     Plan: valid patches are reduced to one row per key (per field the last setter, the
     smallest and the largest value and whether a null was set; all partial aggregates),
@@ -210,7 +213,7 @@ def apply_patches(table: str, df: DataFrame, patches: DataFrame, now: str | Colu
     Returns ``(new_table, rejected_patches)``.
     """
     pk = PRIMARY_KEYS[table]
-    allowed = [f for f in PATCH_ALLOW[table] if f in patches.columns and f in df.columns]
+    allowed = [f for f in PATCH_ALLOW[table] if f in patches.columns and (f in df.columns or not whole)]
     types = {f.name: f.dataType for f in SCHEMAS[table].fields}
     probe = patches.select(F.col(change_key), F.col("pk"), "set_fields",
                            *[F.col(f).cast(RAW_HOURS if f == "hours_logged" else types[f]).alias(f) for f in allowed])
@@ -235,7 +238,10 @@ def apply_patches(table: str, df: DataFrame, patches: DataFrame, now: str | Colu
     if "hours_logged" in allowed:                                      # X10, then the stored width
         sent = F.when(F.array_contains("set_fields", "hours_logged"), F.bround("hours_logged", 2))   # others are untested
         good = good.withColumn("hours_logged", sent.cast(types["hours_logged"]))
-    per_field = []
+    here = [f for f in allowed if f in df.columns]
+    if here != allowed and AUTO_UPDATE_COLUMNS.get(table) in df.columns:
+        raise ValueError(f"{table}: its last-changed instant needs every patched column")
+    allowed, per_field = here, []
     for f in allowed:
         sets, v = F.array_contains("set_fields", f), F.col(f)
         per_field += [F.max(F.when(sets, F.struct(F.col(change_key).alias("k"), v.alias("v")))).alias(f"__set_{f}"),
@@ -372,7 +378,7 @@ def apply_sprint_requests(issue: DataFrame, sprint: DataFrame, requests: DataFra
 # ---------------------------------------------------------------- D7 deletes
 
 def delete_cascade(tables: dict[str, DataFrame], table: str, keys: DataFrame,
-                   key_col: str = "pk", materialize: bool = True) -> tuple[dict[str, DataFrame], DataFrame]:
+                   key_col: str = "pk", materialize: bool | Collection[str] = True) -> tuple[dict[str, DataFrame], DataFrame]:
     """Delete ``keys`` from ``table`` and follow the key graph: children on a
     CASCADE key are deleted with their parent, children on a SET NULL key lose
     the reference. The graph has fixed depth, so this is a constant number of
@@ -399,9 +405,10 @@ def delete_cascade(tables: dict[str, DataFrame], table: str, keys: DataFrame,
         deleted[child] = functools.reduce(DataFrame.union, parts).distinct() if len(parts) > 1 else parts[0]
     if materialize:
         # Each key set feeds several joins below (cascade, set-null, report); write
-        # it once to the shared checkpoint folder instead of re-deriving it.
+        # it once to the shared checkpoint folder instead of re-deriving it (all of
+        # them, or those of the tables that ``materialize`` names).
         checkpoint_dir(keys.sparkSession)
-        deleted = {name: d.checkpoint(eager=True) for name, d in deleted.items()}
+        deleted = {name: d.checkpoint(eager=True) if materialize is True or name in materialize else d for name, d in deleted.items()}
     new: dict[str, DataFrame] = {}
     report = []
     for name, df in tables.items():

@@ -32,7 +32,7 @@ from .common import hours_sum
 from .enrich import worklog_with_project
 from .reports import issue_last_activity, touch_events
 
-SIGN = "__sign"
+SIGN, WAS, IS = "__sign", "__was", "__is"
 ROLES = {"reporter": "reporter_id", "assignee": "assignee_id"}
 
 
@@ -48,6 +48,35 @@ def changed_rows(old: DataFrame, new: DataFrame, keys: DataFrame | None = None,
     return both.repartition(*old.columns).groupBy(*old.columns).agg(F.sum(SIGN).alias(SIGN)).where(F.col(SIGN) != 0)
 
 
+def both_states(old: DataFrame, new: DataFrame, dealt_by: str | None = None) -> DataFrame:
+    """The distinct rows of two states of a table and how often each is there before
+    (:data:`WAS`) and after (:data:`IS`): the signed rows and the new state are read from it.
+
+    Rows are dealt out as in :func:`changed_rows`. ``dealt_by`` names the key by which the plan of
+    ``new`` has its rows dealt out already (its last step joins on it): then the old rows alone are
+    dealt out in the same way, and the union of both is grouped where it is."""
+    if dealt_by is not None:
+        old = old.repartition(dealt_by)
+    both = (old.select("*", F.lit(1).alias(WAS), F.lit(0).alias(IS))
+            .unionByName(new.select(*old.columns, F.lit(0).alias(WAS), F.lit(1).alias(IS))))
+    if dealt_by is None:
+        both = both.repartition(*old.columns)
+    return both.groupBy(*old.columns).agg(F.sum(WAS).cast("int").alias(WAS), F.sum(IS).cast("int").alias(IS))
+
+
+def signed_rows(both: DataFrame) -> DataFrame:
+    """:func:`changed_rows` of :func:`both_states`."""
+    return both.where(F.col(WAS) != F.col(IS)).withColumn(SIGN, (F.col(IS) - F.col(WAS)).cast("long")).drop(WAS, IS)
+
+
+def rows_after(both: DataFrame) -> DataFrame:
+    """The new state of :func:`both_states`, equal rows as often as they are there. Only further
+    copies of a row are exploded: the others stay a plain scan, which joins filter as they read."""
+    columns = [c for c in both.columns if c not in (WAS, IS)]
+    copies = both.where(F.col(IS) > 1).select(*columns, F.explode(F.array_repeat(F.lit(1), F.col(IS) - 1)).alias(IS))
+    return both.where(F.col(IS) > 0).select(*columns).unionByName(copies.select(*columns))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, as Parquet: it feeds several results,
     and each reads back only the columns it needs. (An eager ``checkpoint`` computes its last stage
@@ -78,6 +107,22 @@ class Written(Mapping):
         return len(self._names)
 
 
+class Derived(Mapping):
+    """Tables by name, each made of the table of that name in ``tables``."""
+
+    def __init__(self, tables: Mapping[str, DataFrame], make: Callable[[DataFrame], DataFrame]):
+        self._tables, self._make = tables, make
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._make(self._tables[name])
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._tables)
+
+    def __len__(self) -> int:
+        return len(self._tables)
+
+
 def changes_between(old: Mapping[str, DataFrame], new: Mapping[str, DataFrame],
                     columns: Mapping[str, tuple[str, ...]] | None = None) -> Mapping[str, DataFrame]:
     """:func:`changed_rows` of every table, each written once when it is first read. With
@@ -85,7 +130,17 @@ def changes_between(old: Mapping[str, DataFrame], new: Mapping[str, DataFrame],
     others gets the same sums from them (a row that changed elsewhere would count -1 and +1)."""
     if columns is None:
         return Written(old, lambda name: changed_rows(old[name], new[name]))
-    return Written(columns, lambda name: changed_rows(old[name].select(*columns[name]), new[name].select(*columns[name])))
+    return compared(old, new, columns)[1]
+
+
+def compared(old: Mapping[str, DataFrame], new: Mapping[str, DataFrame], columns: Mapping[str, tuple[str, ...]],
+             dealt_by: Mapping[str, str] | None = None) -> tuple[Mapping[str, DataFrame], Mapping[str, DataFrame]]:
+    """The new state and :func:`changes_between` in ``columns``, both from one copy a table
+    (:func:`both_states`) that is written when one of them is first read: the new state is
+    neither written nor dealt out again to be compared. ``dealt_by`` as there, by table."""
+    both = Written(columns, lambda name: both_states(old[name].select(*columns[name]), new[name].select(*columns[name]),
+                                                     (dealt_by or {}).get(name)))
+    return Derived(both, rows_after), Derived(both, signed_rows)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -117,21 +172,22 @@ def issue_hours(stored: DataFrame, delta: dict[str, DataFrame]) -> DataFrame:
 
 def user_project_hours(issue: DataFrame, worklog: DataFrame) -> DataFrame:
     """The stored state of A2 and A3: ``(project_id, user_id, hours, logs)``, worklogs without
-    a user under the null user."""
-    per_issue = worklog.groupBy("issue_id", "user_id").agg(F.sum("hours_logged").alias("h"), F.count(F.lit(1)).alias("n"))
-    return (per_issue.join(issue.select("issue_id", "project_id"), "issue_id").groupBy("project_id", "user_id")
-            .agg(hours_sum("h").alias("hours"), F.sum("n").alias("logs")))
+    a user under the null user. Worklogs meet their issue unsummed: sums per issue and user are
+    hardly fewer rows and would be shuffled once more (a hot issue is split by the skew join)."""
+    return (worklog_with_project(worklog, issue).groupBy("project_id", "user_id")
+            .agg(hours_sum("hours_logged").alias("hours"), F.count(F.lit(1)).alias("logs")))
 
 
 def user_project_hours_after(stored: DataFrame, old_issue: DataFrame, new_worklog: DataFrame, delta: dict[str, DataFrame]) -> DataFrame:
     """That state after a change. Old issues are read in two columns and joined to the changed
-    worklogs' sums; new worklogs are joined only to issues that came, went or changed project."""
-    logged = delta["worklog"].groupBy("issue_id", "user_id").agg(F.sum(_signed("hours_logged")).alias("h"), F.sum(SIGN).alias("n"))
+    worklogs; new worklogs are joined only to issues that came, went or changed project."""
+    logged = worklog_with_project(delta["worklog"], old_issue).groupBy("project_id", "user_id").agg(
+        F.sum(_signed("hours_logged")).alias("h"), F.sum(SIGN).alias("n"))
     moved = delta["issue"].groupBy("issue_id", "project_id").agg(F.sum(SIGN).alias(SIGN)).where(F.col(SIGN) != 0)
     resettled = new_worklog.join(moved, "issue_id").groupBy("project_id", "user_id").agg(
         F.sum(_signed("hours_logged")).alias("h"), F.sum(SIGN).alias("n"))
-    added = [worklog_with_project(logged, old_issue).select("project_id", "user_id", "h", "n"), resettled]
-    parts = [stored] + [c.select("project_id", "user_id", F.col("h").cast(HOURS_SUM).alias("hours"), F.col("n").cast("long").alias("logs")) for c in added]
+    parts = [stored] + [c.select("project_id", "user_id", F.col("h").cast(HOURS_SUM).alias("hours"), F.col("n").cast("long").alias("logs"))
+                        for c in (logged, resettled)]
     return (_union(parts).groupBy("project_id", "user_id").agg(hours_sum("hours").alias("hours"), F.sum("logs").alias("logs"))
             .where(F.col("logs") > 0))
 

@@ -325,3 +325,30 @@ def test_patch_back_and_forth_moves_the_instant_and_unknown_parent_is_refused(sp
     got = {r.issue_id: (r.priority, r.parent_issue_id, r.updated_date.year) for r in new.collect()}
     assert got == {1: ("Low", 2, 2024), 2: ("Low", None, 2020)}
     assert [(r.change_id, list(r.reasons)) for r in bad.collect()] == [(4, ["parent_issue_id:unknown_parent"])]
+
+
+def test_patches_of_some_columns_are_judged_by_all_fields(spark):
+    logs = spark.createDataFrame([(1, 5, 2, "3.00", "2024-01-01"), (2, 5, None, "4.00", "2024-01-01"), (3, 6, 2, "5.00", "2024-01-01")],
+                                 "worklog_id long, issue_id int, user_id int, h string, d string").selectExpr(
+        "worklog_id", "issue_id", "user_id", "CAST(h AS DECIMAL(5,2)) AS hours_logged", "CAST(d AS DATE) AS work_date")
+    patches = spark.createDataFrame([(1, 1, ["hours_logged", "work_date"], "7", None), (2, 2, ["hours_logged"], "8", None),
+                                     (3, 3, ["work_date"], None, "2024-02-02")],
+                                    "change_id long, pk long, set_fields array<string>, h string, d string").selectExpr(
+        "change_id", "pk", "set_fields", "CAST(h AS DECIMAL(20,6)) AS hours_logged", "CAST(d AS DATE) AS work_date")
+    whole, refused = changes.apply_patches("worklog", logs, patches, NOW_S)
+    some, also = changes.apply_patches("worklog", logs.drop("work_date"), patches, NOW_S, whole=False)
+    assert sorted(some.collect()) == sorted(whole.drop("work_date").collect())
+    assert [r["change_id"] for r in refused.collect()] == [r["change_id"] for r in also.collect()] == [1]
+
+
+def test_only_named_keys_of_a_cascade_are_written(spark, monkeypatch):
+    issue = spark.createDataFrame([(1, 1, None), (2, 2, 1)], "issue_id int, project_id int, parent_issue_id int")
+    tables = {"project": spark.createDataFrame([(1,), (2,)], "project_id int"), "issue": issue,
+              "worklog": spark.createDataFrame([(1, 1), (2, 2)], "worklog_id long, issue_id int")}
+    kind, written = type(issue), []
+    real = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda df, eager=True: written.append(df.columns) or real(df, eager))
+    new, report = changes.delete_cascade(tables, "project", spark.createDataFrame([(1,)], "pk int"), materialize=("project", "issue"))
+    assert written == [["project_id"], ["issue_id"]]
+    assert [tuple(r) for r in new["worklog"].collect()] == [(2, 2)] and [tuple(r) for r in new["issue"].collect()] == [(2, 2, None)]
+    assert ("worklog", "deleted", 1) in [tuple(r) for r in report.collect()]

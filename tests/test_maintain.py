@@ -171,3 +171,39 @@ def test_saved_rows_are_computed_once_and_keep_their_types(spark):
     assert maintain.saved(rows.where("false")).isEmpty()
     scan = kept.select("hours_logged")._jdf.queryExecution().executedPlan().toString()
     assert "hours_logged" in scan and "description" not in scan          # only the column asked for is read back
+
+
+def test_new_state_and_changes_come_from_one_copy_of_both_states(spark, monkeypatch):
+    old, new = (_frames(spark, s)["worklog"] for s in _states(9, dangling=True))
+    new = new.unionByName(new.limit(3)).unionByName(new.limit(1))               # rows that come twice and three times
+    new = new.unionByName(new.limit(2).selectExpr("CAST(NULL AS BIGINT) AS worklog_id", *new.columns[1:]))
+    kept, written = maintain.saved, []
+    monkeypatch.setattr(maintain, "saved", lambda df: written.append(df) or kept(df))
+    columns = {"worklog": ("worklog_id", "issue_id", "user_id", "hours_logged")}
+    for dealt_by in (None, {"worklog": "worklog_id"}):
+        del written[:]
+        now, delta = maintain.compared({"worklog": old}, {"worklog": new}, columns, dealt_by)
+        assert set(now) == set(delta) == {"worklog"} and not written            # nothing before it is read
+        o, n = (df.select(*columns["worklog"]) for df in (old, new))
+        _same(now["worklog"], n)
+        _same(delta["worklog"], maintain.changed_rows(o, n))
+        assert len(written) == 1
+
+
+def test_rows_dealt_out_by_key_are_not_dealt_out_again_to_be_compared(spark):
+    old, new = (_frames(spark, s)["worklog"] for s in _states(10, dangling=False))
+    gone = new.select("worklog_id").limit(2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        base = old.select("worklog_id", "hours_logged")
+        after = base.repartition("worklog_id").join(gone.hint("merge"), "worklog_id", "left_anti")
+        plan = maintain.both_states(base, after, "worklog_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.index("Union") < plan.index("Exchange")                          # grouped where the union is
+
+
+def test_worklogs_are_shuffled_once_for_the_hours_of_users(spark):
+    state = _frames(spark, _states(11, dangling=False)[0])
+    plan = maintain.user_project_hours(state["issue"], state["worklog"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.index("Aggregate") < plan.index("Join")
